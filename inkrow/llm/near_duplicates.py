@@ -18,6 +18,8 @@ WORDS, PERCENT = 5, 85
 COORDINATES, MATCHES = 64, 38
 #: Node ids up to so many are broadcast when their texts are looked for again.
 MOST_BROADCAST = 1_000_000
+#: Shingles of a chunk of a family.
+CHUNK = 1 << 17
 RNG = np.random.default_rng(8)
 FACTORS = RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -113,33 +115,90 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(fits & (agree >= MATCHES)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """Pairs whose full sets are alike enough. One text of each node in question is read again for its set."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "near-ids")
+def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """node and its whole set of shingles for the ids (node, rep); the text of one row of each node is read again."""
     wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     rows = docs.join(wanted, docs["key"].eqNullSafe(wanted["rep"])).select("node", "text")
 
     def run(batches):
         for batch in slices(batches, 500):
             hashes = shingle_hashes(text_array(batch.column(1)), words)
-            keep = [node_of(h) == node if len(h) else False for h, node in zip(hashes, batch.column(0).to_pylist(), strict=True)]
+            keep = [len(h) > 0 and node_of(h) == node for h, node in zip(hashes, batch.column(0).to_pylist(), strict=True)]
             own = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["node", "shingles"])
             yield pc.filter(own, pa.array(keep, pa.bool_()))
 
-    full = stored(rows.mapInArrow(run, "node long, shingles array<long>"), "near-full").dropDuplicates(["node"])
+    return stored(rows.mapInArrow(run, "node long, shingles array<long>"), "near-full").dropDuplicates(["node"])
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Pairs whose full sets are alike enough."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "near-ids")
+    full = full_sets(ids, docs, words)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
+def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """Number of shingles that each two of the sets share. Common shingles go through a matrix product, others through their short postings."""
+    n = len(lists)
+    row = np.repeat(np.arange(n), [len(x) for x in lists])
+    _, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    out = np.zeros((n, n), np.float32)
+    common = np.flatnonzero(times >= 16)
+    step = max(1, 8_000_000 // n)
+    place = np.full(len(times), -1)
+    for at in range(0, len(common), step):
+        place[:] = -1
+        place[common[at : at + step]] = np.arange(len(common[at : at + step]))
+        use = place[column] >= 0
+        dense = np.zeros((n, len(common[at : at + step])), np.float32)
+        dense[row[use], place[column[use]]] = 1
+        out += dense @ dense.T
+    rare = (times[column] > 1) & (times[column] < 16)
+    order = np.argsort(column[rare], kind="stable")
+    row, column = row[rare][order], column[rare][order]
+    for gap in range(1, 16):  # members of a posting that stand so far apart in it
+        same = column[gap:] == column[:-gap]
+        np.add.at(out, (row[:-gap][same], row[gap:][same]), 1)
+        np.add.at(out, (row[gap:][same], row[:-gap][same]), 1)
+    return out
+
+
+def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Pairs of components (a, b) with a link between them, from all pairs of nodes of a family (hub, node) that are in different ones.
+
+    Families of one component are done. Others are dealt into chunks of about CHUNK shingles, and each two chunks are one group: a group compares whole sets and
+    returns each pair of components once, so that candidate pairs are never rows.
+    """
+    placed = families.join(labels, "node").join(nodes.select("node", "n", "rep"), "node")
+    open_ = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")).where("low < high").select("hub", "chunks")
+    left = stored(placed.join(open_, "hub"), "near-open")
+    full = full_sets(stored(left.select("node", "rep").distinct(), "near-open-ids"), docs, words)
+    own = F.pmod(F.xxhash64("node", "hub"), F.col("chunks")).cast("int")
+    tiles = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    tiles = tiles.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp").join(full, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        comp = group["comp"].to_numpy()
+        found = np.zeros((0, 2), np.int64)
+        if len(np.unique(comp)) > 1:
+            lists = [np.asarray(x.values.to_numpy()) for x in group["shingles"]]
+            size = np.array([len(x) for x in lists])
+            shared = shared_counts(lists).astype(np.int64)
+            a, b = np.nonzero(np.triu(100 * shared >= PERCENT * (size[:, None] + size[None, :] - shared), 1) & (comp[:, None] != comp[None, :]))
+            found = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1), axis=0)
+        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return tiles.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """labels (node, comp) after the edges (a, b) are joined in: comp becomes the least comp that edges reach.
+    """labels (node, comp) after the edges (a, b) between components are joined in: comp becomes the least one that edges reach.
 
-    Labels are contracted first, so that a round works on the components that edges touch. Each round takes the least neighbour and then
-    follows it to its own; every round is written out.
+    A round works on the components that edges touch. It takes the least neighbour and then follows it to its own; every round is written out.
     """
-    a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
-    cross = stored(edges.join(a, "a").join(b, "b").where("ca <> cb").select("ca", "cb").distinct(), "near-cross")
+    cross = stored(edges.where("a <> b").select(F.col("a").alias("ca"), F.col("b").alias("cb")).distinct(), "near-cross")
     if cross.isEmpty():
         return labels
     both = stored(cross.unionByName(cross.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct(), "near-both")
@@ -162,10 +221,11 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     """key, n_shingles, component_id, kept and n_copies (rows with the same set) of every row.
 
     Rows whose sets of distinct shingles share PERCENT of a hundred of their union are linked; component_id is the least key
-    that links reach, kept says whether the row has it. Equal sets are one node from the start. Other candidates come from the prefix postings:
-    first every node of a posting against its most central node and its least one, then, once linked nodes are one component, all pairs of a posting that
-    are still in different components. So a group of many near copies isn't expanded into its pairs, and every pair is either tested or
-    joined already. Null or empty text: no shingle, no link. Null keys: least only where a component has no other; repeated
+    that links reach, kept says whether the row has it. Equal sets are one node from the start. Other candidates come from the
+    prefix postings: every node of a posting is held against its hub, the most central node of it; then all nodes that share
+    a hub and are still in different components against each other, in groups of bounded size that return joined components
+    only. So a group of many near copies isn't expanded into rows of pairs, and every candidate pair is either tested or joined
+    already. Null or empty text: no shingle, no link. Null keys: least only where a component has no other; repeated
     rows are equal sets. Other columns aren't read.
     """
     own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -174,27 +234,12 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     reps = some.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
     nodes = stored(some.dropDuplicates(["node"]).select("node", "n", "signature").join(reps, "node"), "near-nodes")
     posted = stored(postings(nodes), "near-postings")
-    labels = nodes.select("node", F.col("node").alias("comp"))
-    tested = None
-    for hub in (F.max(F.struct("central", "node")), F.min(F.struct("n", "node"))):
-        at = posted.groupBy("token").agg(hub["node"].alias("hub"))
-        paired = posted.join(at, "token").where("node <> hub")
-        paired = paired.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tested is not None:
-            placed = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-            paired = paired.join(placed[0], "a").join(placed[1], "b").where("ca <> cb").select("a", "b").join(tested, ["a", "b"], "left_anti")
-        paired = stored(paired, "near-pairs")
-        tested = paired if tested is None else tested.unionByName(paired)
-        labels = components(confirmed(stored(agreeing(paired, nodes), "near-agreeing"), own, nodes, words), labels)
-    placed = posted.join(labels, "node")
-    open_ = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    left = stored(placed.join(open_, "token"), "near-left")
-    x, y = left.alias("x"), left.alias("y")
-    fits = (100 * F.least("x.n", "y.n")) >= PERCENT * F.greatest("x.n", "y.n")
-    rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")) & fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    rest = stored(agreeing(rest.join(tested, ["a", "b"], "left_anti"), nodes), "near-rest")
-    if not rest.isEmpty():
-        labels = components(confirmed(rest, own, nodes, words), labels)
+    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("hub"))
+    families = stored(posted.join(hubs, "token").select("hub", "node").distinct(), "near-families")
+    labels = nodes.select("node", F.col("node").alias("comp"))  # every node is a component
+    paired = families.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    labels = components(confirmed(stored(agreeing(paired, nodes), "near-agreeing"), own, nodes, words), labels)
+    labels = components(links_within(families, labels, nodes, own, words), labels)
     least = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("component"))
     named = nodes.select("node", "n_copies").join(labels, "node").join(least, "comp").select("node", "n_copies", "component")
     out = rows.select("key", "node", "n").join(named, "node", "left")
