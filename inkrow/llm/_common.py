@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -50,11 +52,19 @@ def remainder(column: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
 
-def slices(batches, rows: int = 2000):
-    """Record batches of at most so many rows, without copies."""
+def slices(batches, rows: int = 500):
+    """Record batches of at most so many rows, without copies. At the end the worker gives back what it no longer holds."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    trim()
+
+
+def trim() -> None:
+    """Python workers outlive their tasks: free memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_array(column: pa.Array) -> pa.Array:

@@ -30,7 +30,7 @@ TRAIN_ROWS = 5_000
 SCRIPT_SHARE = 0.001
 #: What a change of language between two words costs, and what a word costs in a language outside the candidates (natural logarithms).
 SWITCH, OUTSIDE = 10.0, 60.0
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def scripts(points: np.ndarray) -> np.ndarray:
@@ -66,13 +66,17 @@ class Model:
         share = by_script / np.maximum(by_script.sum(axis=0), 1)
         self.outside = np.where(share >= SCRIPT_SHARE, 0, -OUTSIDE).astype(np.float32)
         self.outside[(share < SCRIPT_SHARE).all(axis=1)] = 0  # no language has this script: none is ruled out
+        self.fresh()
+
+    def fresh(self) -> None:
+        """Forgets the words that were scored."""
         self.cache: dict[str, int] = {}
-        self.known = np.zeros((0, len(langs)), np.float32)
+        self.known = np.zeros((0, len(self.langs)), np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language; 0 for a word without letters."""
         if len(self.cache) > CACHE_WORDS:
-            self.cache, self.known = {}, self.known[:0]
+            self.fresh()
         new = list({w for w in words if w and w not in self.cache})
         if new:
             bucket, offsets, script = word_features(new)
@@ -226,6 +230,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", switch: f
             if spans:
                 columns.append(pa.array(lists, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *(f.name for f in own)])
+        if model:
+            model.fresh()
 
     def doc_starts(batch, text):
         _, offsets, _ = word_codes(text_array(batch.column(text)), lower=False)

@@ -15,7 +15,7 @@ from inkrow.llm._common import mix64, slices, sums, text_array, word_codes
 #: Weights shared by all hashed features; each word has KINDS of them.
 BUCKETS, KINDS = 1 << 20, 4
 #: The model is fitted on a hash sample of about so many graded rows; all counts for scoring come from whole texts.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 4_000
 #: A feature in fewer texts of the sample has no weight.
 LEAST_TEXTS = 4
 TAIL = re.compile(r"[^\w\s]+$")
@@ -142,10 +142,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     got = rows.mapInArrow(extract, "grade int, bucket array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return None
-    bucket = np.concatenate([c.flatten().to_numpy() for c in got["bucket"].chunks]).astype(np.int64)
+    bucket = np.concatenate([c.flatten().to_numpy() for c in got["bucket"].chunks])
     value = np.concatenate([c.flatten().to_numpy() for c in got["value"].chunks])
     lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in got["bucket"].chunks])
-    order = np.lexsort((lengths, sums(bucket, np.concatenate([[0], np.cumsum(lengths)])), got["grade"].to_numpy()))  # the sums don't depend on which task ended first
+    order = np.lexsort((lengths, sums(bucket.astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])), got["grade"].to_numpy()))  # the sums don't depend on which task ended first
     starts = np.concatenate([[0], np.cumsum(lengths)])
     index = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in order]) if len(order) else np.zeros(0, int)
     return fit_rows(bucket[index], value[index], np.concatenate([[0], np.cumsum(lengths[order])]), got["grade"].to_numpy().astype(np.int64)[order])
@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", least: float
         model = shared.value
         cache: dict[str, int] = {}
         table = np.zeros((0, KINDS), np.int64)
-        for batch in slices(batches, 1000):
+        for batch in slices(batches, 500):
             codes, offsets, distinct = word_codes(text_array(batch.column(text)), lower=False)
             n = np.diff(offsets)
             if model is None:
@@ -175,7 +175,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", least: float
                 yield pa.RecordBatch.from_arrays([*batch.columns, none, none, none, pa.array(n > 0)], [*batch.schema.names, *names])
                 continue
             words = distinct.to_pylist()
-            if len(cache) > 300_000:
+            if len(cache) > 150_000:
                 cache, table = {}, table[:0]
             if new := [w for w in words if w not in cache]:
                 table = np.concatenate([table, features(new)])
