@@ -1,5 +1,231 @@
-"""All queries of the library and the SQL that gives the same rows."""
+"""All queries of the library on the driver's tables, and the SQL that gives the same rows."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkrow.functions import jamo, text
+from inkrow.operators import decide, evaluate, layout, synthetic
+from inkrow.sources.tables import table
+
+FLAGSHIP = "verdict_report"
+TODAY = "2026-10-07"
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recognised fields taken from line items: an order is an image, a line a field."""
+    kind = F.when(F.col("l_linenumber") % 3 == 0, "numeric").when(F.col("l_linenumber") % 3 == 1, "text").otherwise("address")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("image"),
+        F.col("l_linenumber").alias("field"),
+        kind.alias("kind"),
+        F.round(F.lit(0.99) - F.col("l_discount") * 4, 2).alias("confidence"),
+        (F.col("l_returnflag") != "R").alias("valid"),
+        (F.col("l_linestatus") == "F").alias("verified"),
+        (F.col("l_linenumber") == 1).alias("core"),
+        (F.col("l_linenumber") <= 3).alias("required"),
+        (F.col("l_tax") > 0.01).alias("found"),
+        (F.col("l_partkey") % 7 != 0).alias("correct"),
+        F.col("l_suppkey").alias("other"),
+    )
+
+
+FIELDS_SQL = """fields AS (
+  SELECT l_orderkey AS image, l_linenumber AS field, CASE l_linenumber % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'text' ELSE 'address' END AS kind,
+    round(0.99 - l_discount * 4, 2) AS confidence, l_returnflag <> 'R' AS valid, l_linestatus = 'F' AS verified, l_linenumber = 1 AS core,
+    l_linenumber <= 3 AS required, l_tax > 0.01 AS found, l_partkey % 7 <> 0 AS correct, l_suppkey AS other FROM lineitem),
+acc AS (
+  SELECT *, valid AND confidence >= CASE WHEN verified THEN 0.60 WHEN kind = 'numeric' THEN 0.90 WHEN kind = 'text' THEN 0.85 ELSE 0.80 END AS accepted FROM fields),
+verdict AS (
+  SELECT image, CASE WHEN NOT coalesce(bool_and(accepted) FILTER (core), true) THEN 'FAIL' WHEN coalesce(bool_and(accepted) FILTER (required), true) THEN 'OK' ELSE 'PARTIAL' END AS status,
+    count(*) FILTER (accepted) AS n_accepted, avg(confidence) AS mean_confidence, bool_and(correct) AS all_correct FROM acc GROUP BY image)"""
+
+
+def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    red = text.redact("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(red, F.lit(""))).alias("redacted_md5"), F.coalesce(red != F.col("text"), F.lit(False)).alias("changed"))
+
+
+def verdict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = decide.accepted(_fields(spark, sf_dir))
+    verdicts = decide.verdicts(fields, ["image"]).join(fields.groupBy("image").agg(F.bool_and("correct").alias("all_correct")), "image")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderpriority").alias("condition"))
+    out = evaluate.group_report(verdicts.join(orders, "image"), ["condition"])
+    return out.select("condition", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decide.verdicts(decide.accepted(_fields(spark, sf_dir)), ["image"])
+    return out.withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+def field_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = decide.accepted(_fields(spark, sf_dir)).withColumn("cer", F.col("other") % 5 / 5)
+    out = evaluate.field_report(fields, ["field"])
+    return out.select("field", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:-1]], "false_accepts")
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.calibration(_fields(spark, sf_dir).where("found"), aim=0.857)
+    return out.select("kind", F.round("threshold", 2).alias("threshold"), "n", F.round("precision", 6).alias("precision"), F.round("coverage", 6).alias("coverage"), "recommended")
+
+
+def error_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.examples(_fields(spark, sf_dir), ["field"], ["image"]).select("field", "image", "k")
+
+
+def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ms", F.floor(F.abs("value") * 10).cast("long"))
+    return evaluate.latency(events, ["event_type"], "ms")
+
+
+def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_partkey") % 11 == 0, "OK").when(F.col("l_partkey") % 3 == 0, "PARTIAL").otherwise("FAIL")
+    tries = lines.select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("position"), status.alias("status"), (F.col("l_suppkey") % 4).alias("n_accepted"), F.col("l_discount").alias("mean_confidence"))
+    return decide.best_attempts(tries, "image", "position").select("image", "position", "status", "passes")
+
+
+def cer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = F.concat(F.translate("c_name", "05", "O"), F.lit("  "), F.substring("c_mktsegment", 1, 2))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", evaluate.cer(read, F.concat("c_name", F.lit(" "), F.substring("c_mktsegment", 1, 3))).alias("cer"))
+    return rows.withColumn("cer", F.round("cer", 6))
+
+
+def nearest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("candidate"))
+    words = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    words = words.select(F.concat(F.substring("n_name", 1, 2), F.when(F.col("s_suppkey") % 2 == 0, F.substring("n_name", 4, 30)).otherwise(F.concat(F.lit("X"), F.substring("n_name", 4, 30)))).alias("word"))
+    return decide.nearest(words, nations, 2)
+
+
+def rrn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers made of customer keys, read from a noisy line and validated."""
+    key = F.col("c_custkey")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    front = F.concat(pad(key % 100, 2), pad(key % 13, 2), pad(key % 31, 2))
+    line = F.concat(F.lit("주민 "), front, F.lit(" - "), (key % 10).cast("string"), pad(key * 7919 % 1_000_000, 6), F.lit("번"))
+    hit = text.find_rrns(line)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.try_element_at(hit, F.lit(1)).alias("r"))
+    part = [F.col(f"r.{c}") for c in ("front", "sex", "back")]
+    return rows.select("c_custkey", text.rrn_formatted(*part).alias("rrn"), text.rrn_checksum_ok(*part).alias("checksum_ok"), text.rrn_birth(*part[:2]).cast("string").alias("birth"), text.rrn_is_valid(part[0], part[1], F.lit(TODAY).cast("date")).alias("valid"), text.rrn_derived(*part[:2])["gender"].alias("gender"), text.rrn_derived(*part[:2])["is_foreigner"].alias("is_foreigner"))
+
+
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(". "), F.date_format("o_orderdate", "M"), F.lit(". "), F.date_format("o_orderdate", "d"), F.lit(".서울특별시장"))
+    found = F.try_element_at(text.find_dates(line), F.lit(1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", found["value"].cast("string").alias("iso"), text.repair_issuer(text.text_after_numbers(line))["value"].alias("issuer"))
+
+
+def license_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
+    line = F.concat(F.lit("번호 "), pad(key % 30, 2), F.lit("-"), pad(key % 100, 2), F.lit("-"), pad(key * 31 % 1_000_000, 6), F.lit(" - "), F.when(key % 5 == 0, F.lit("XX")).otherwise(pad(key % 97, 2)))
+    number = F.try_element_at(text.find_license_numbers(line), F.lit(1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.license_formatted(number).alias("number"), text.license_is_masked(number).alias("masked"), text.license_number_is_valid(number).alias("valid"))
+
+
+def serial_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = text.find_serial_code(F.concat(F.substring(F.upper(F.md5(F.col("p_partkey").cast("string"))), 1, 3), F.lit(" "), F.substring(F.upper(F.md5(F.col("p_partkey").cast("string"))), 4, 3)))
+    return table(spark, sf_dir, "part").select("p_partkey", code.alias("code"), text.has_lookalike(code).alias("has_lookalike"), F.size(text.serial_alternatives(code)).cast("long").alias("n_alternatives"))
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = (F.col("l_partkey") % 40 * 10).cast("double"), (F.col("l_suppkey") % 20 * 8).cast("double")
+    w, h = (F.col("l_quantity") + 30).cast("double"), (F.col("l_linenumber") * 3 + 10).cast("double")
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    box = F.array(point(x, y), point(x + w, y), point(x + w, y + h), point(x, y + h))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 100 + F.col("l_quantity")).cast("long").alias("idx"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), F.col("l_tax").alias("score"), box.alias("box"))
+
+
+LINES_SQL = """lines AS (
+  SELECT l_orderkey AS image, CAST(l_linenumber * 100 + l_quantity AS BIGINT) AS idx, CAST(l_partkey % 40 * 10 AS DOUBLE) AS x0, CAST(l_partkey % 40 * 10 + l_quantity + 30 AS DOUBLE) AS x1,
+    CAST(l_suppkey % 20 * 8 AS DOUBLE) AS y0, CAST(l_suppkey % 20 * 8 + l_linenumber * 3 + 10 AS DOUBLE) AS y1, CAST(l_linenumber * 3 + 10 AS DOUBLE) AS h FROM lineitem),
+cl AS (SELECT *, (y0 + y1) / 2 AS cy FROM lines)"""
+
+
+def reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.reading_order(layout.bounds(_lines(spark, sf_dir))).select("image", "idx", "x0", "x1", "y0", "y1", F.col("place").cast("long").alias("place"))
+
+
+def row_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per image: pairs of lines in a row and pairs where one is below the other. An image has a handful of lines."""
+    own = layout.bounds(_lines(spark, sf_dir))
+    a, b = own.alias("a"), own.alias("b")
+    both = a.join(b, (F.col("a.image") == F.col("b.image")) & (F.col("a.idx") != F.col("b.idx")))
+    return both.groupBy(F.col("a.image").alias("image")).agg(F.count_if(layout.same_row("a", "b")).alias("same_row"), F.count_if(layout.is_below("a", "b")).alias("below"))
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.rows(layout.bounds(_lines(spark, sf_dir)))
+
+
+def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_shape(layout.bounds(_lines(spark, sf_dir)))
+
+
+def synthetic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.cards(spark, 200)
+
+
+def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of each synthetic name to the next number's."""
+    own = synthetic.cards(spark, 200).select("id", "name")
+    both = own.join(own.select((F.col("id") - 1).alias("id"), F.col("name").alias("next")), "id")
+    return both.select("id", "name", "next", jamo.jamo_distance(F.col("name"), F.col("next")).alias("distance"))
+
+
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances)}
+
+SQL = {
+    "redact_documents": r"""SELECT doc_id, md5(coalesce(r, '')) AS redacted_md5, coalesce(r <> text, false) AS changed
+      FROM (SELECT doc_id, text, regexp_replace(text, '[0-9](?:[ \t\n\x0B\f\r\-.]*[0-9]){5,}', '[REDACTED]', 'g') AS r FROM documents)""",
+    "verdict_report": f"""WITH {FIELDS_SQL}
+      SELECT o_orderpriority AS condition, count(*) AS n, round(avg(CAST(status = 'OK' AS INT)), 6) AS share_ok, round(avg(CAST(status = 'PARTIAL' AS INT)), 6) AS share_partial,
+        round(avg(CAST(status = 'FAIL' AS INT)), 6) AS share_fail, round(avg(CAST(all_correct AS INT)), 6) AS share_correct, round(avg(CAST(status = 'OK' AND NOT all_correct AS INT)), 6) AS share_ok_wrong
+      FROM verdict JOIN orders ON image = o_orderkey GROUP BY 1""",
+    "verdicts": f"WITH {FIELDS_SQL} SELECT image, status, n_accepted, round(mean_confidence, 6) AS mean_confidence FROM verdict",
+    "field_report": f"""WITH {FIELDS_SQL}
+      SELECT field, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, round(avg(other % 5 / 5.0) FILTER (found), 6) AS mean_cer,
+        round(avg(CAST(accepted AS INT)), 6) AS accept_rate, round(avg(CAST(correct AS INT)) FILTER (accepted), 6) AS accept_precision, count(*) FILTER (accepted AND NOT correct) AS false_accepts
+      FROM acc GROUP BY field""",
+    "calibration": f"""WITH {FIELDS_SQL},
+      f AS (SELECT * FROM fields WHERE found), g AS (
+        SELECT kind, t, count(*) FILTER (confidence >= t / 100.0 - 1e-9) AS n, avg(CAST(correct AS INT)) FILTER (confidence >= t / 100.0 - 1e-9) AS p, count(*) AS total
+        FROM f, (SELECT unnest(range(50, 100)) AS t) GROUP BY kind, t)
+      SELECT kind, round(t / 100.0, 2) AS threshold, n, round(p, 6) AS precision, round(n / total, 6) AS coverage,
+        coalesce(t = min(t) FILTER (p >= 0.857) OVER (PARTITION BY kind), false) AS recommended FROM g""",
+    "error_examples": f"WITH {FIELDS_SQL} SELECT field, image, k FROM (SELECT field, image, CAST(row_number() OVER (PARTITION BY field ORDER BY image) AS INT) AS k FROM fields WHERE found AND NOT correct) WHERE k <= 4",
+    "latency": """WITH v AS (SELECT event_type, CAST(floor(abs(value) * 10) AS BIGINT) AS ms, row_number() OVER (PARTITION BY event_type ORDER BY floor(abs(value) * 10)) - 1 AS i,
+        count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+      SELECT event_type, any_value(n) AS n, avg(ms) FILTER (i IN ((n - 1) // 2, n // 2)) AS p50, max(ms) FILTER (i = CAST(floor(0.95 * (n - 1)) AS BIGINT)) AS p95 FROM v GROUP BY event_type""",
+    "best_attempts": """WITH t AS (
+        SELECT l_orderkey AS image, l_linenumber * 1000000 + l_partkey AS position, CASE WHEN l_partkey % 11 = 0 THEN 'OK' WHEN l_partkey % 3 = 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status, l_suppkey % 4 AS a, l_discount AS c FROM lineitem),
+      s AS (SELECT *, coalesce(max(CAST(status = 'OK' AS INT)) OVER (PARTITION BY image ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM t),
+      r AS (SELECT *, count(*) OVER (PARTITION BY image) AS passes, row_number() OVER (PARTITION BY image ORDER BY CASE status WHEN 'OK' THEN 3 WHEN 'PARTIAL' THEN 2 ELSE 1 END DESC, a DESC, c DESC, position) AS k FROM s WHERE stopped = 0)
+      SELECT image, position, status, passes FROM r WHERE k = 1""",
+    "cer_names": """WITH v AS (SELECT c_custkey, replace(translate(c_name, '05', 'O') || substr(c_mktsegment, 1, 2), ' ', '') AS p, replace(c_name || substr(c_mktsegment, 1, 3), ' ', '') AS t FROM customer)
+      SELECT c_custkey, round(least(1.0, levenshtein(p, t) / CAST(length(t) AS DOUBLE)), 6) AS cer FROM v""",
+    "nearest_names": """WITH w AS (
+        SELECT DISTINCT substr(n_name, 1, 2) || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'X' END || substr(n_name, 4) AS word FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+      d AS (SELECT word, n_name, levenshtein(word, n_name) AS d FROM w JOIN (SELECT DISTINCT n_name FROM nation) ON abs(length(word) - length(n_name)) <= 1),
+      b AS (SELECT word, n_name, count(*) OVER (PARTITION BY word) AS ties FROM (SELECT *, min(d) OVER (PARTITION BY word) AS low FROM d WHERE d <= 2) WHERE d = low)
+      SELECT DISTINCT w.word, CASE WHEN ties = 1 THEN n_name END AS found FROM w LEFT JOIN b ON w.word = b.word""",
+    "rrn_checks": f"""WITH v AS (SELECT c_custkey, lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 13 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 31 AS VARCHAR), 2, '0') AS f,
+        CAST(c_custkey % 10 AS VARCHAR) AS s, lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS b FROM customer),
+      n AS (SELECT *, f || s || b AS a, TRY_CAST((CASE WHEN s IN ('1', '2', '5', '6') THEN '19' WHEN s IN ('9', '0') THEN '18' ELSE '20' END) || substr(f, 1, 2) || '-' || substr(f, 3, 2) || '-' || substr(f, 5, 2) AS DATE) AS d FROM v)
+      SELECT c_custkey, f || '-' || s || b AS rrn, (11 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(a, i, 1) AS INT) * (2 + (i - 1) % 8))) % 11) % 10 = CAST(substr(a, 13, 1) AS INT) AS checksum_ok,
+        CAST(d AS VARCHAR) AS birth, coalesce(s NOT IN ('9', '0') AND d <= DATE '{TODAY}' AND year(DATE '{TODAY}') - year(d) <= 120, false) AS valid,
+        CASE WHEN CAST(s AS INT) % 2 = 1 THEN 'M' ELSE 'F' END AS gender, CAST(s AS INT) BETWEEN 5 AND 8 AS is_foreigner FROM n""",
+    "order_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, '서울특별시장' AS issuer FROM orders",
+    "license_numbers": """SELECT o_orderkey, lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey * 31 % 1000000 AS VARCHAR), 6, '0') || '-'
+        || CASE WHEN o_orderkey % 5 = 0 THEN 'XX' ELSE lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, '0') END AS number, o_orderkey % 5 = 0 AS masked, o_orderkey % 30 BETWEEN 11 AND 28 AND o_orderkey % 30 <> 27 AS valid FROM orders""",
+    "serial_codes": """WITH c AS (SELECT p_partkey, substr(upper(md5(CAST(p_partkey AS VARCHAR))), 1, 6) AS code FROM part),
+      k AS (SELECT *, length(regexp_replace(code, '[^0OQ]', '', 'g')) AS a, length(regexp_replace(code, '[^1I]', '', 'g')) AS b FROM c)
+      SELECT p_partkey, code, a + b > 0 AS has_lookalike, CAST(CASE WHEN pow(3, a) * pow(2, b) - 1 <= 16 THEN pow(3, a) * pow(2, b) - 1 ELSE 0 END AS BIGINT) AS n_alternatives FROM k""",
+    "reading_order": f"WITH {LINES_SQL} SELECT image, idx, x0, x1, y0, y1, row_number() OVER (PARTITION BY image ORDER BY y0, x0, idx) AS place FROM cl",
+    "row_pairs": f"""WITH {LINES_SQL} SELECT a.image, count(*) FILTER (abs(a.cy - b.cy) <= 0.5 * least(a.h, b.h)) AS same_row, count(*) FILTER (a.cy > b.cy + 0.5 * least(a.h, b.h)) AS below
+      FROM cl a JOIN cl b ON a.image = b.image AND a.idx <> b.idx GROUP BY a.image""",
+    "page_shapes": f"""WITH {LINES_SQL} SELECT image, list_sort(list(cy))[len(list(cy)) // 2 + 1] AS middle, 2 * count(*) FILTER (h > 1.5 * (x1 - x0)) > count(*) AS vertical FROM cl GROUP BY image""",
+}
