@@ -16,8 +16,9 @@ from inkrow.llm._common import mix64, slices, sums, text_array, word_codes
 BUCKETS, KINDS = 1 << 20, 4
 #: The model is fitted on a hash sample of about so many graded rows; all counts for scoring come from whole texts.
 TRAIN_ROWS = 4_000
-#: A feature in fewer texts of the sample has no weight.
-LEAST_TEXTS = 4
+#: A feature in fewer texts of the sample has no weight, nor one whose texts are graded like the others: its share of texts above some grade must
+#: differ by so many standard deviations from that of all. So words that are rare by chance don't count.
+LEAST_TEXTS, LEAST_Z = 4, 4.0
 TAIL = re.compile(r"[^\w\s]+$")
 BODY = re.compile(r"[\W_]+")
 GRADES = 3
@@ -79,10 +80,16 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -50, 50)))
 
 
-def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Model:
+def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Full-batch Adam on the likelihood of the grades; the thresholds are a first one and positive steps."""
     seen, column, texts = np.unique(bucket, return_inverse=True, return_counts=True)
-    use = texts >= LEAST_TEXTS
+    graded = np.repeat(grades, np.diff(offsets))
+    use = np.zeros(len(seen), bool)
+    for cut in range(GRADES - 1):
+        p = (grades > cut).mean()
+        above = np.bincount(column, graded > cut, len(seen))
+        use |= np.abs(above - texts * p) >= LEAST_Z * np.sqrt(np.maximum(texts * p * (1 - p), 1e-9))
+    use &= texts >= LEAST_TEXTS
     keep = use[column]
     column = (np.cumsum(use) - 1)[column[keep]]
     place = np.concatenate([[0], np.cumsum(keep)])[offsets]
@@ -91,9 +98,7 @@ def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades:
     x = np.zeros(m + cuts)
     x[m] = -1.0
     first, second = np.zeros_like(x), np.zeros_like(x)
-    share = np.bincount(grades, minlength=GRADES) / len(grades)
-    balance = np.minimum(1 / np.maximum(share * GRADES, 1e-9), 10)[grades]  # rare grades count as much as common ones
-    balance /= balance.sum()
+    balance = 1 / len(grades)  # grades count as often as they occur: without evidence a text is most likely of the commonest
     for t in range(1, rounds + 1):
         steps = np.exp(np.clip(x[m + 1 :], -5, 5))
         theta = x[m] + np.concatenate([[0], np.cumsum(steps)])
