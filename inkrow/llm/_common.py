@@ -67,6 +67,16 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def trimmed(run):
+    """run, a function on batches, with trim() once its own data are gone."""
+
+    def outer(batches):
+        yield from run(batches)
+        trim()
+
+    return outer
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """Null texts become empty ones. No cast here: Arrow's kernels misread the result of casting a slice to 64-bit offsets."""
     return pc.fill_null(column, "")
