@@ -80,7 +80,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - eta[:, None], -50, 50)))
 
 
-def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 3e-5) -> Model:
+def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades: np.ndarray, rounds: int = 400, rate: float = 0.1, decay: float = 3e-5) -> Model:
     """Full-batch Adam on the likelihood of the grades; the thresholds are a first one and positive steps."""
     seen, column, texts = np.unique(bucket, return_inverse=True, return_counts=True)
     graded = np.repeat(grades, np.diff(offsets))
