@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkrow.functions import jamo, text
-from inkrow.operators import decide, evaluate, layout, synthetic
+from inkrow.operators import address, classify, decide, evaluate, extract, layout, synthetic
 from inkrow.sources.tables import table
 
 FLAGSHIP = "verdict_report"
@@ -176,7 +176,61 @@ def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("id", "name", "next", jamo.jamo_distance(F.col("name"), F.col("next")).alias("distance"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances)}
+def license_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of licence made of part keys, half of them with a letter wrong."""
+    key = F.col("p_partkey")
+    kind = F.when(key % 3 == 0, "보통").when(key % 3 == 1, "보동").otherwise("대형")
+    line = F.concat((key % 2 + 1).cast("string"), F.lit(" 종 "), kind, F.lit(" 소형 특수(구난,소형견인) 원동기"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.find_license_types(line), "|").alias("kinds"))
+
+
+def address_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of customer keys: province, city or district misread, province unreadable; all can be set right."""
+    provinces = spark.createDataFrame([(p,) for p in text.PROVINCES], "province string")
+    pairs = [("서울특별시", "송파구"), ("서울특별시", "종로구"), ("서울특별시", "중구"), ("부산광역시", "중구"), ("경기도", "성남시"), ("경기도", "분당구")]
+    districts = spark.createDataFrame(pairs, "province string, district string")
+    read = ["서울특별세 송파규 올림픽로1", "성울병신 종로구 은천로93", "경기도 성남시 분당규 정자로 12", "서울시 중구 세종대로 1(정동)"]
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.element_at(F.array(*map(F.lit, read)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("address"))
+    out = address.correct(own, provinces, districts, spark.createDataFrame([("올림픽로",), ("은전로",)], "word string"))
+    return out.select("id", "corrected", F.size("changed").cast("long").alias("n_changed"), "valid")
+
+
+def resident_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of customers as lines, the number of every third in two boxes, read back as fields."""
+    key, pad = F.col("c_custkey"), lambda c: F.lpad(c.cast("string"), 6, "0")
+    front = F.concat(F.lpad((key % 90 + 10).cast("string"), 2, "0"), F.lpad((key % 12 + 1).cast("string"), 2, "0"), F.lit("15"))
+    back = F.concat(F.lit("1"), pad(key * 7919 % 1_000_000))
+    day = F.concat_ws(".", (key % 20 + 2000).cast("string"), (key % 12 + 1).cast("string"), (key % 28 + 1).cast("string"))
+    split = key % 3 == 0
+    row = lambda text_, x, y, w: F.struct(text_.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("w"))
+    first = row(F.when(split, front).otherwise(F.concat(front, F.lit("-"), back)), 10, 100, 80)
+    said = F.array(row(F.lit("주민등록중"), 20, 0, 80), row(F.lit("홍길동(洪吉童)"), 12, 50, 60), first, row(F.when(split, F.concat(F.lit("-"), back)), 100, 101, 60), row(day, 40, 200, 50))
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
+    box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
+    own = table(spark, sf_dir, "customer").select(key.alias("image"), F.posexplode(said).alias("idx", "l"))
+    chars = F.lit(None).cast("array<struct<text:string,score:double>>")
+    lines = own.select("image", "idx", F.col("l.text").alias("text"), F.lit(0.9).alias("score"), box.alias("box"), chars.alias("chars")).where("text IS NOT NULL")
+    out = extract.resident_fields(lines, classify.title_lines(lines, classify.RESIDENT), F.lit(TODAY).cast("date"))
+    return out.select("image", "field", "value", "confidence")
+
+
+def number_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decide.accepted(_fields(spark, sf_dir)).withColumn("correct", F.col("found") & F.col("correct")).withColumn("warned", F.col("other") % 3 == 0)
+    out = evaluate.number_safety(rows, ["kind"])
+    return out.withColumns({c: F.round(c, 6) for c in ("found_rate", "correct_rate")})
+
+
+def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals made of line items: reasons follow from part, supplier and quantity."""
+    codes = list(evaluate.REASONS.values())
+    reasons = F.array_compact(F.array(F.when(F.col("l_partkey") % 3 == 0, codes[0]), F.when(F.col("l_suppkey") % 4 == 0, codes[1]), F.when(F.col("l_quantity") > 40, codes[2])))
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.when(F.col("l_returnflag") == "A", "OK").otherwise("FAIL").alias("status"), F.when(F.col("l_linenumber") > 1, reasons).alias("reasons"))
+    out = evaluate.signal_report(rows, ["l_linestatus"])
+    return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
+
+
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, number_safety, signal_report)}
 
 SQL = {
     "redact_documents": r"""SELECT doc_id, md5(coalesce(r, '')) AS redacted_md5, coalesce(r <> text, false) AS changed
@@ -228,4 +282,17 @@ SQL = {
     "row_pairs": f"""WITH {LINES_SQL} SELECT a.image, count(*) FILTER (abs(a.cy - b.cy) <= 0.5 * least(a.h, b.h)) AS same_row, count(*) FILTER (a.cy > b.cy + 0.5 * least(a.h, b.h)) AS below
       FROM cl a JOIN cl b ON a.image = b.image AND a.idx <> b.idx GROUP BY a.image""",
     "page_shapes": f"""WITH {LINES_SQL} SELECT image, list_sort(list(cy))[len(list(cy)) // 2 + 1] AS middle, 2 * count(*) FILTER (h > 1.5 * (x1 - x0)) > count(*) AS vertical FROM cl GROUP BY image""",
+    "license_kinds": """SELECT p_partkey, g || '종' || CASE WHEN p_partkey % 3 = 2 THEN '대형' ELSE '보통' END || '|' || g || '종소형|1종특수(구난)|1종특수(소형견인)|2종원동기' AS kinds
+      FROM (SELECT p_partkey, CAST(p_partkey % 2 + 1 AS VARCHAR) AS g FROM part)""",
+    "address_corrections": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '서울특별시 송파구 올림픽로 1' WHEN 1 THEN '서울특별시 종로구 은전로 93' WHEN 2 THEN '경기도 성남시 분당구 정자로 12' ELSE '서울시 중구 세종대로 1 (정동)' END AS corrected,
+      CAST(CASE c_custkey % 4 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS n_changed, true AS valid FROM customer""",
+    "resident_fields": """WITH c AS (SELECT c_custkey AS image, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS rrn,
+        CAST(make_date(c_custkey % 20 + 2000, c_custkey % 12 + 1, c_custkey % 28 + 1) AS VARCHAR) AS day FROM customer)
+      SELECT image, f.field, f.value, 0.9::DOUBLE AS confidence FROM (SELECT image, unnest([{'field': 'rrn', 'value': rrn}, {'field': 'name', 'value': '홍길동'}, {'field': 'name_hanja', 'value': '洪吉童'}, {'field': 'issue_date', 'value': day}]) AS f FROM c)""",
+    "number_safety": f"""WITH {FIELDS_SQL}, r AS (SELECT kind, found, found AND correct AS correct, accepted, other % 3 = 0 AS warned FROM acc)
+      SELECT kind, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, count(*) FILTER (found AND NOT correct) AS n_wrong,
+        count(*) FILTER (found AND NOT correct AND accepted) AS false_accepts, count(*) FILTER (found AND NOT correct AND warned) AS wrong_warned, count(*) FILTER (correct AND warned) AS correct_warned FROM r GROUP BY kind""",
+    "signal_report": """SELECT l_linestatus, count(*) AS n, round(avg(CAST(l_linenumber = 1 AS INT)), 6) AS unchecked, round(avg(CAST(l_returnflag = 'A' AS INT)), 6) AS share_ok,
+        round(avg(CAST(l_partkey % 3 = 0 OR l_suppkey % 4 = 0 OR l_quantity > 40 AS INT)) FILTER (l_linenumber > 1), 6) AS suspicious, round(avg(CAST(l_partkey % 3 = 0 AS INT)) FILTER (l_linenumber > 1), 6) AS no_face,
+        round(avg(CAST(l_suppkey % 4 = 0 AS INT)) FILTER (l_linenumber > 1), 6) AS card_aspect, round(avg(CAST(l_quantity > 40 AS INT)) FILTER (l_linenumber > 1), 6) AS plain_background FROM lineitem GROUP BY l_linestatus""",
 }

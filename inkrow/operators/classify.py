@@ -37,6 +37,12 @@ def document_types(lines: DataFrame) -> DataFrame:
     return best.select("image", F.when(F.col("best0") >= RESIDENT[1], "RESIDENT").when(licence, "LICENSE").otherwise("UNKNOWN").alias("document_type"))
 
 
+def title_lines(lines: DataFrame, title: tuple[str, float]) -> DataFrame:
+    """image and idx of the line (image, idx, text) most like the title, the first of equals, where that is enough to count."""
+    scored = lines.select("image", "idx", likeness(F.regexp_replace(F.coalesce("text", F.lit("")), "[^가-힣]", ""), [title[0]], True)[0].alias("score")).where(F.col("score") >= title[1])
+    return scored.groupBy("image").agg(F.max_by("idx", F.struct(F.col("score"), -F.col("idx"))).alias("idx"))
+
+
 def snap_to_list(text: Column, names: list[str], least: float = 0.75) -> Column:
     """(value, changed): the name of the list (a short one, as a parameter) most like text without spaces, if that is at least so like it; else text itself."""
     bare = F.regexp_replace(text, r"\s", "")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkrow.functions.jamo import jamo
+
 #: Least confidence of each kind of field, and of a field that a check digit confirms.
 THRESHOLDS, VERIFIED = {"numeric": 0.90, "text": 0.85, "address": 0.80}, 0.60
 
@@ -40,15 +42,22 @@ def best_attempts(attempts: DataFrame, key: str, position: str) -> DataFrame:
     return tried.withColumn("k", ranked).where("k = 1").drop("k")
 
 
-def nearest(words: DataFrame, candidates: DataFrame, most: int, word: str = "word", candidate: str = "candidate") -> DataFrame:
-    """word and found: the one candidate at the least edit distance, at most most, of those whose length differs by at most 1; null if none or several.
+def attempt_order(vertical: Column, unknown: Column, title_low: Column) -> Column:
+    """The further attempts at an image in order, by how its first one looks; the first condition that holds counts, null ones don't."""
+    order = lambda *names: F.array(*map(F.lit, names))
+    return F.when(vertical, order("rot90", "rot270", "contrast", "rot180")).when(unknown, order("rot180", "rot90", "rot270", "contrast")).when(title_low, order("rot180", "contrast", "rot90", "rot270")).otherwise(order("contrast", "rot90", "rot270", "rot180"))
+
+
+def nearest(words: DataFrame, candidates: DataFrame, most: int, word: str = "word", candidate: str = "candidate", within: list[str] = [], letters: bool = False) -> DataFrame:
+    """word and found, beside the columns named in within, which must agree: the one candidate at the least edit distance, at most most, of those whose length differs by at most 1; null if none or several.
 
-    Words are compared once each; candidates join by their length, so that no word meets all of them.
+    Words are compared once each, by the letters of their syllables if letters is set; candidates join by their length, so that no word meets all of them.
     """
-    own = words.select(F.col(word).alias("word")).where("word IS NOT NULL").distinct()
+    own = words.select(*within, F.col(word).alias("word")).where("word IS NOT NULL").distinct()
     near = own.withColumn("n", F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])))
-    listed = candidates.select(F.col(candidate).alias("candidate")).where("candidate IS NOT NULL").distinct().withColumn("n", F.length("candidate"))
-    scored = near.join(listed, "n").withColumn("d", F.levenshtein("word", "candidate", most)).where("d >= 0")
-    least = scored.groupBy("word", "d").agg(F.count("*").alias("ties"), F.min("candidate").alias("found"))
-    best = least.groupBy("word").agg(F.min_by(F.struct("ties", "found"), "d").alias("b"))
-    return own.join(best, "word", "left").select(F.col("word").alias(word), F.when(F.col("b.ties") == 1, F.col("b.found")).alias("found"))
+    listed = candidates.select(*within, F.col(candidate).alias("candidate")).where("candidate IS NOT NULL").distinct().withColumn("n", F.length("candidate"))
+    form = jamo if letters else (lambda c: c)
+    scored = near.join(listed, [*within, "n"]).withColumn("d", F.levenshtein(form(F.col("word")), form(F.col("candidate")), most)).where("d >= 0")
+    least = scored.groupBy(*within, "word", "d").agg(F.count("*").alias("ties"), F.min("candidate").alias("found"))
+    best = least.groupBy(*within, "word").agg(F.min_by(F.struct("ties", "found"), "d").alias("b"))
+    return own.join(best, [*within, "word"], "left").select(*within, F.col("word").alias(word), F.when(F.col("b.ties") == 1, F.col("b.found")).alias("found"))

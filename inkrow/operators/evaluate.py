@@ -72,3 +72,29 @@ def calibration(fields: DataFrame, kind: str = "kind", aim: float = 0.98) -> Dat
     out = out.withColumns({"precision": F.try_divide(F.col("good").cast("double"), F.col("n").cast("double")), "coverage": F.col("n") / F.col("total")})
     best = out.where(F.col("precision") >= aim).groupBy(kind).agg(F.min("t").alias("best"))
     return out.join(best, kind, "left").select(kind, (F.col("t") / 100).alias("threshold"), "n", "precision", "coverage", F.coalesce(F.col("t") == F.col("best"), F.lit(False)).alias("recommended"))
+
+
+def number_safety(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of rows (found, correct, accepted, warned: its check digit disagrees): n, shares found and correct, wrong numbers, those accepted, those warned of, and right numbers warned of."""
+    wrong = F.col("found") & ~F.col("correct")
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("found")).alias("found_rate"), share(F.col("correct")).alias("correct_rate"), F.count_if(wrong).alias("n_wrong"), F.count_if(wrong & F.col("accepted")).alias("false_accepts"), F.count_if(wrong & F.col("warned")).alias("wrong_warned"), F.count_if(F.col("correct") & F.col("warned")).alias("correct_warned"))
+
+
+#: Reasons to suspect a card.
+REASONS = {"no_face": "NO_FACE_IN_PHOTO_AREA", "card_aspect": "CARD_ASPECT", "plain_background": "PLAIN_BACKGROUND"}
+
+
+def signal_report(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of rows (status, reasons: array of strings, null where nothing was checked): n, shares not checked and OK, and of the checked ones those suspicious and those with each reason (null without any)."""
+    checked = F.col("reasons").isNotNull()
+    of_checked = lambda c: F.avg(F.when(checked, c.cast("int").cast("double")))
+    each = [of_checked(F.array_contains("reasons", code)).alias(name) for name, code in REASONS.items()]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), share(~checked).alias("unchecked"), share(F.col("status") == "OK").alias("share_ok"), of_checked(F.size("reasons") > 0).alias("suspicious"), *each)
+
+
+def missed(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The first few fakes (label) that are OK without a reason, and genuine ones with one, as error; the number is the report's feature."""
+    fake = (F.col("label") == "fake") & (F.col("status") == "OK") & (F.size("reasons") == 0)
+    genuine = (F.col("label") == "genuine") & (F.size("reasons") > 0)
+    found = rows.where("reasons IS NOT NULL").withColumn("error", F.when(fake, "missed").when(genuine, "false_positive")).where("error IS NOT NULL")
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("error").orderBy("image"))).where(F.col("k") <= most)

@@ -48,13 +48,13 @@ def same_row(a: str, b: str) -> Column:
     return F.abs(F.col(f"{a}.cy") - F.col(f"{b}.cy")) <= 0.5 * F.least(f"{a}.h", f"{b}.h")
 
 
-def rows(lines: DataFrame) -> DataFrame:
-    """image, row (from 0), idxs in order of x0, text, score, and the box x0, x1, y0, y1 of each row of lines (with bounds).
+def rows(lines: DataFrame, joined: tuple[str, ...] = ()) -> DataFrame:
+    """image, row (from 0), idxs in order of x0, text, score, and the box x0, x1, y0, y1 of each row of lines (with bounds); the arrays named in joined are strung together.
 
     Lines are taken by cy; one joins the last row if it is in the same row as any of its members, else it opens another. An image's lines are
     few, so that they are folded as one array.
     """
-    item = F.struct("cy", "idx", "x0", "x1", "y0", "y1", "h", "text", "score")
+    item = F.struct("cy", "idx", "x0", "x1", "y0", "y1", "h", "text", "score", *joined)
     held = lines.groupBy("image").agg(F.array_sort(F.collect_list(item)).alias("items"))
     of = f"array<array<{lines.select(item.alias('s')).schema['s'].dataType.simpleString()}>>"
 
@@ -68,7 +68,7 @@ def rows(lines: DataFrame) -> DataFrame:
     ordered = F.array_sort("members", lambda a, b: F.when(a["x0"] < b["x0"], -1).when(a["x0"] > b["x0"], 1).otherwise(0))
     out = folded.withColumn("members", ordered)
     get = lambda k: F.transform("members", _part(k))
-    return out.select("image", "row", get("idx").alias("idxs"), F.array_join(get("text"), " ").alias("text"), F.array_min(get("score")).alias("score"), F.array_min(get("x0")).alias("x0"), F.array_max(get("x1")).alias("x1"), F.array_min(get("y0")).alias("y0"), F.array_max(get("y1")).alias("y1"))
+    return out.select("image", "row", get("idx").alias("idxs"), F.array_join(get("text"), " ").alias("text"), F.array_min(get("score")).alias("score"), F.array_min(get("x0")).alias("x0"), F.array_max(get("x1")).alias("x1"), F.array_min(get("y0")).alias("y0"), F.array_max(get("y1")).alias("y1"), *[F.flatten(get(c)).alias(c) for c in joined])
 
 
 def page_shape(lines: DataFrame) -> DataFrame:
@@ -77,3 +77,14 @@ def page_shape(lines: DataFrame) -> DataFrame:
     tall = F.count_if(long_ & (F.col("h") > 1.5 * (F.col("x1") - F.col("x0"))))
     centres = F.array_sort(F.collect_list("cy"))
     return lines.groupBy("image").agg(F.element_at(centres, (F.floor(F.size(centres) / 2) + 1).cast("int")).alias("middle"), (2 * tall > F.count_if(long_)).alias("vertical"))
+
+
+def turned_back(box: Column, rotation: Column, width: Column, height: Column, scale: Column) -> Column:
+    """A box found on a picture turned clockwise by 0, 90, 180 or 270 degrees, in the coordinates of the upright picture of that width and height before it was scaled; rounded to a tenth."""
+
+    def back(p: Column) -> Column:
+        x = F.when(rotation == 90, p["y"]).when(rotation == 180, width - 1 - p["x"]).when(rotation == 270, width - 1 - p["y"]).otherwise(p["x"])
+        y = F.when(rotation == 90, height - 1 - p["x"]).when(rotation == 180, height - 1 - p["y"]).when(rotation == 270, p["x"]).otherwise(p["y"])
+        return F.struct(F.round(x / scale, 1).alias("x"), F.round(y / scale, 1).alias("y"))
+
+    return F.transform(box, back)
