@@ -215,6 +215,24 @@ def resident_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "field", "value", "confidence")
 
 
+def license_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of suppliers as lines, kinds in one or two lines, read back as fields."""
+    key, pad = F.col("s_suppkey"), lambda c, n: F.lpad(c.cast("string"), n, "0")
+    number = F.concat(F.lit("11-"), pad(key % 90 + 10, 2), F.lit("-"), pad(key * 7919 % 1_000_000, 6), F.lit("-61"))
+    rrn = F.concat(F.lit("80"), pad(key % 12 + 1, 2), F.lit("15-1"), pad(key * 7907 % 1_000_000, 6))
+    begin = F.concat(F.lit("2025."), (key % 12 + 1).cast("string"), F.lit(".1"))
+    row = lambda text_, x, y, w: F.struct(text_.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("w"))
+    said = [(F.lit("1종보통"), 10, 30, 60), (F.when(key % 2 == 0, "원동기"), 10, 60, 60), (number, 200, 60, 150), (F.lit("홍길동"), 200, 90, 60), (rrn, 200, 120, 140), (F.lit("적성검사기간"), 200, 190, 100), (begin, 310, 190, 70), (F.lit("~2025.12.31"), 310, 215, 70), (F.when(key % 5 == 0, "조건: A,B"), 200, 250, 60), (F.lit("ABCDE7"), 420, 230, 60), (F.concat(F.lit("2015.3."), (key % 28 + 1).cast("string")), 220, 300, 70)]
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
+    box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
+    own = table(spark, sf_dir, "supplier").select(key.alias("image"), F.posexplode(F.array(*[row(*s) for s in said])).alias("idx", "l"))
+    chars = F.lit(None).cast("array<struct<text:string,score:double>>")
+    lines = own.select("image", "idx", F.col("l.text").alias("text"), F.lit(0.9).alias("score"), box.alias("box"), chars.alias("chars")).where("text IS NOT NULL")
+    out = extract.license_fields(lines, classify.title_lines(lines, classify.LICENSE), F.lit(TODAY).cast("date"))
+    return out.select("image", "field", "value", "valid")
+
+
 def number_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decide.accepted(_fields(spark, sf_dir)).withColumn("correct", F.col("found") & F.col("correct")).withColumn("warned", F.col("other") % 3 == 0)
     out = evaluate.number_safety(rows, ["kind"])
@@ -230,7 +248,7 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, number_safety, signal_report)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report)}
 
 SQL = {
     "redact_documents": r"""SELECT doc_id, md5(coalesce(r, '')) AS redacted_md5, coalesce(r <> text, false) AS changed
@@ -289,6 +307,12 @@ SQL = {
     "resident_fields": """WITH c AS (SELECT c_custkey AS image, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS rrn,
         CAST(make_date(c_custkey % 20 + 2000, c_custkey % 12 + 1, c_custkey % 28 + 1) AS VARCHAR) AS day FROM customer)
       SELECT image, f.field, f.value, 0.9::DOUBLE AS confidence FROM (SELECT image, unnest([{'field': 'rrn', 'value': rrn}, {'field': 'name', 'value': '홍길동'}, {'field': 'name_hanja', 'value': '洪吉童'}, {'field': 'issue_date', 'value': day}]) AS f FROM c)""",
+    "license_fields": """WITH c AS (SELECT s_suppkey AS image, s_suppkey AS k FROM supplier)
+      SELECT image, f.field, f.value, true AS valid FROM (SELECT image, unnest([{'field': 'rrn', 'value': '80' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(k * 7907 % 1000000 AS VARCHAR), 6, '0')},
+        {'field': 'license_number', 'value': '11-' || CAST(k % 90 + 10 AS VARCHAR) || '-' || lpad(CAST(k * 7919 % 1000000 AS VARCHAR), 6, '0') || '-61'},
+        {'field': 'license_types', 'value': CASE WHEN k % 2 = 0 THEN '1종보통|2종원동기' ELSE '1종보통' END}, {'field': 'name', 'value': '홍길동'},
+        {'field': 'aptitude_period', 'value': '2025-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '-01~2025-12-31'}, {'field': 'issue_date', 'value': '2015-03-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0')},
+        {'field': 'serial_code', 'value': 'ABCDE7'}, {'field': 'conditions', 'value': CASE WHEN k % 5 = 0 THEN 'A|B' END}]) AS f FROM c) WHERE f.value IS NOT NULL""",
     "number_safety": f"""WITH {FIELDS_SQL}, r AS (SELECT kind, found, found AND correct AS correct, accepted, other % 3 = 0 AS warned FROM acc)
       SELECT kind, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, count(*) FILTER (found AND NOT correct) AS n_wrong,
         count(*) FILTER (found AND NOT correct AND accepted) AS false_accepts, count(*) FILTER (found AND NOT correct AND warned) AS wrong_warned, count(*) FILTER (correct AND warned) AS correct_warned FROM r GROUP BY kind""",

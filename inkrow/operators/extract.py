@@ -1,15 +1,18 @@
-"""Fields of a resident card from its recognised lines, one row per image and field, as decide.accepted takes them."""
+"""Fields of resident cards and driving licences from their recognised lines, one row per image and field, as decide.accepted takes them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkrow.functions import text
 from inkrow.operators import layout
 
-#: Fixed value: the first day on which cards were issued.
-EARLIEST_ISSUE = "1968-11-21"
+#: The first days on which cards and licences were issued, the label of the conditions.
+EARLIEST_ISSUE, EARLIEST_LICENSE = "1968-11-21", "1960-01-01"
+CONDITION = r"^조\s*(?:건)?\s*[:：;]?\s*(.+)$"
 
 
 def _number_confidence(chars: Column, score: Column, digits: Column) -> Column:
@@ -71,3 +74,79 @@ def resident_fields(lines: DataFrame, titles: DataFrame, today: Column) -> DataF
     read = F.array(row("name", F.nullif(name, F.lit("")), F.col("n.score"), text.name_is_valid(name)), row("name_hanja", hanja, F.col("n.score"), hanja.isNotNull()), row("issue_date", F.coalesce(day.cast("string"), F.col("i.d.raw")), F.col("i.score"), issued))
     rest = own.select("image", F.inline(read)).where("value IS NOT NULL")
     return found.select("image", F.lit("rrn").alias("field"), "value", F.col("confidence").cast("double").alias("confidence"), "valid", "verified", "warnings").unionByName(rest)
+
+
+def _below(low: Column | dict, high: Column | dict) -> Column:
+    return low["cy"] > high["cy"] + 0.5 * F.least(low["h"], high["h"])
+
+
+def _out(rows: DataFrame, field: str, value: Column, confidence: Column, valid: Column, *warnings: Column) -> DataFrame:
+    flags = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
+    out = rows.select("image", F.lit(field).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(False).alias("verified"), flags.alias("warnings"))
+    return out.where("value IS NOT NULL")
+
+
+def license_fields(lines: DataFrame, titles: DataFrame, today: Column) -> DataFrame:
+    """image, field, value, confidence, valid, verified, warnings of the fields found on licences: rrn, license_number, license_types (joined by a
+    bar), name, aptitude_period (start~end), issue_date, serial_code and conditions (joined by a bar).
+
+    Places are relative to the registration number: without it only the number and kinds of the licence are read. titles is as for resident_fields.
+    lines are read once a field, so store them first if they are costly.
+    """
+    own = layout.reading_order(layout.bounds(lines))
+    line = {c: F.col(c) for c in ("cy", "h")}
+    found = numbers(own, today)
+    anchor = found.select("image", "birth", F.struct("x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h")).alias("a"))
+
+    hits = own.select("image", "place", "score", "x0", "cy", "h", F.posexplode(text.find_license_numbers("text")).alias("k", "no")).withColumn("value", text.license_formatted(F.col("no")))
+    number = hits.groupBy("image").agg(F.min_by(F.struct("value", "no", "score", "x0", "cy", "h"), F.struct("place", "k")).alias("l"), F.count_distinct("value").alias("n"))
+    no, many = F.col("l.no"), F.col("n") > 1
+    out = [
+        found.select("image", F.lit("rrn").alias("field"), "value", F.col("confidence").cast("double").alias("confidence"), "valid", "verified", "warnings"),
+        _out(number, "license_number", F.col("l.value"), F.col("l.score"), text.license_number_is_valid(no) & ~many, F.when(many, "AMBIGUOUS:license_number"), F.when(text.license_is_masked(no), "MASKED:license_number")),
+    ]
+
+    near = own.join(anchor, "image", "left").join(number.select("image", "l"), "image", "left").join(titles.select("image", F.col("idx").alias("title")), "image", "left")
+    a, lic = F.col("a"), F.col("l")
+    place = lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "cy", "h")])
+    top = F.when(lic.isNotNull(), place(lic)).when(a.isNotNull(), place(a))
+    in_region = top.isNull() | _below(top, line) | ((F.col("x1") <= top["x0"]) & (a.isNull() | _below(a, line)))
+    kinds = near.where(in_region).withColumn("kinds", text.find_license_types("text")).where(F.size("kinds") > 0)
+    kinds = kinds.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "kinds"))).alias("k"), F.min("score").alias("score")).withColumn("k", F.array_distinct(F.flatten("k.kinds")))
+    out.append(_out(kinds, "license_types", F.array_join("k", "|"), F.col("score"), F.forall("k", text.license_type_is_valid)))
+
+    near = near.where(a.isNotNull())
+    in_column = (F.col("x0") >= a["x0"] - a["h"]) & (F.col("x0") < a["x1"])
+    names = near.where(_below(a, line) & in_column & F.col("text").rlike("[가-힣]") & (lic.isNull() | _below(line, lic)) & ~F.col("idx").eqNullSafe(F.col("title")))
+    names = names.groupBy("image").agg(F.max_by(F.struct("text", "score"), F.struct(F.col("y1"), -F.col("place"))).alias("n"))
+    name = text.leading_hangul("n.text")
+    out.append(_out(names, "name", F.nullif(name, F.lit("")), F.col("n.score"), text.name_is_valid(name)))
+
+    under = near.where(_below(line, a)).withColumn("dates", text.find_dates("text"))
+    issued_here = (F.size("dates") > 0) & (F.length(F.regexp_replace(text.text_after_numbers("text"), "[^가-힣]", "")) >= 3)
+    label = under.where(in_column & text.aptitude_kind("text").isNotNull()).groupBy("image").agg(F.min_by(F.struct("cy", "h", "score"), F.struct("cy", "place")).alias("label"))
+    around = under.join(label, "image").where(F.col("cy").between(F.col("label.cy") - 0.5 * F.col("label.h"), F.col("label.cy") + 2 * F.col("label.h")) & ~F.coalesce(issued_here, F.lit(False)))
+    ordered = layout.rows(around).select("image", "row", F.posexplode("idxs").alias("pos", "idx"))
+    dated = around.select("image", "idx", "score", "label", F.posexplode("dates").alias("k", "d")).join(ordered, ["image", "idx"])
+    dated = dated.withColumn("nth", F.row_number().over(Window.partitionBy("image").orderBy("row", "pos", "k"))).where("nth <= 2")
+    period = dated.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("nth", "d", "idx"))).alias("p"), F.min(F.least("score", F.col("label.score"))).alias("score"))
+    start, end = (F.try_element_at("p", F.lit(i))["d"] for i in (1, 2))
+    said = lambda d: F.coalesce(d["value"].cast("string"), d["raw"], F.lit(""))
+    out.append(_out(period, "aptitude_period", F.concat(said(start), F.lit("~"), said(end)), F.col("score"), F.date_diff(end["value"], start["value"]).between(0, 400)))
+
+    used = period.select("image", F.explode("p.idx").alias("idx")).distinct()
+    days = under.where(F.size("dates") > 0).join(used, ["image", "idx"], "left_anti").groupBy("image").agg(F.max_by(F.struct(F.col("dates")[0].alias("d"), "score", "cy", "h"), F.struct(F.col("cy"), -F.col("place"))).alias("i"), F.first("birth").alias("birth"))
+    day = F.col("i.d.value")
+    earliest = F.coalesce(F.make_date(F.year("birth") + 16, F.lit(1), F.lit(1)), F.lit(EARLIEST_LICENSE).cast("date"))
+    out.append(_out(days, "issue_date", said(F.col("i.d")), F.col("i.score"), day.between(earliest, today)))
+
+    i = F.col("i")
+    codes = under.join(days.select("image", "i"), "image", "left").withColumn("code", text.find_serial_code("text"))
+    codes = codes.where(F.col("code").isNotNull() & ((F.col("x0") + F.col("x1")) / 2 > a["x1"]) & (i.isNull() | _below(i, line)))
+    codes = codes.groupBy("image").agg(F.max_by(F.struct("code", "score"), F.struct(F.col("x0"), -F.col("place"))).alias("c"))
+    out.append(_out(codes, "serial_code", F.col("c.code"), F.col("c.score"), F.lit(True), F.when(text.has_lookalike("c.code"), "LOOKALIKE:serial_code")))
+
+    marks = layout.rows(under.where(F.col("x0") < a["x1"])).withColumn("said", F.regexp_extract(F.trim("text"), CONDITION, 1)).where(F.length("said").between(1, 12))
+    marks = marks.groupBy("image").agg(F.min_by(F.struct("said", "score"), "row").alias("m"))
+    out.append(_out(marks, "conditions", F.array_join(F.array_remove(F.split("m.said", r"[,·\s]+"), ""), "|"), F.col("m.score"), F.lit(True)))
+    return reduce(DataFrame.unionByName, out)

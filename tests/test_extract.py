@@ -70,3 +70,29 @@ def test_boxes_turn_back(spark, turn):
     seen = {0: (x, y), 90: (h - 1 - y, x), 180: (w - 1 - x, h - 1 - y), 270: (y, w - 1 - x)}[turn]
     df = spark.createDataFrame([([(float(seen[0]), float(seen[1]))],)], "box array<struct<x:double,y:double>>")
     assert tuple(df.select(layout.turned_back(F.col("box"), F.lit(turn), F.lit(w), F.lit(h), F.lit(2.0))[0].alias("p")).first().p) == (15.0, 10.0)
+
+
+def test_license_fields(spark):
+    data = [
+        line(1, 0, "자동차운전면허증", 200, 0, 150), line(1, 1, "1종보통", 10, 30, 60), line(1, 2, "2종보동", 10, 60, 60, score=0.8),
+        line(1, 3, "11-20-123456-61", 200, 60, 150), line(1, 4, "홍길동", 200, 90, 60), line(1, 5, "800101-1234567", 200, 120, 140),
+        line(1, 6, "서울특별시 중구 세종대로 1", 200, 150, 180), line(1, 7, "적성검사기간", 200, 190, 100), line(1, 8, "2025.01.01", 310, 190, 70),
+        line(1, 9, "~2025.12.31", 310, 215, 70, score=0.7), line(1, 10, "조건: A", 200, 250, 50), line(1, 11, "AB1CDE", 420, 230, 60),
+        line(1, 12, "2015.03.02", 220, 300, 70), line(1, 13, "서울특별시경찰청장", 300, 300, 150),
+        line(2, 0, "11-20-123456-6X", 200, 60, 150), line(2, 1, "29-20-123456-61", 200, 90, 150), line(2, 2, None, 0, 0, 9),
+    ]
+    lines = spark.createDataFrame(data, LINES)
+    titles = spark.createDataFrame([(1, 0)], "image long, idx int")
+    rows = extract.license_fields(lines, titles, F.lit("2026-10-07").cast("date")).collect()
+    got = {(r.image, r.field): (r.value, r.confidence, r.valid, r.warnings) for r in rows}
+    assert len(got) == len(rows) == 10
+    assert got[2, "rrn"] == ("123456-6******", 0.9, False, ["MASKED:rrn"])  # a licence number with a hidden check digit reads as a hidden number too
+    assert got[1, "rrn"][0] == "800101-1234567"
+    assert got[1, "license_number"] == ("11-20-123456-61", 0.9, True, [])
+    assert got[1, "license_types"] == ("1종보통|2종보통", 0.8, True, [])
+    assert got[1, "name"] == ("홍길동", 0.9, True, [])
+    assert got[1, "aptitude_period"] == ("2025-01-01~2025-12-31", 0.7, True, [])
+    assert got[1, "issue_date"] == ("2015-03-02", 0.9, True, [])
+    assert got[1, "serial_code"] == ("AB1CDE", 0.9, True, ["LOOKALIKE:serial_code"])
+    assert got[1, "conditions"] == ("A", 0.9, True, [])
+    assert got[2, "license_number"] == ("11-20-123456-6X", 0.9, False, ["AMBIGUOUS:license_number", "MASKED:license_number"])
