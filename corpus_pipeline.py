@@ -11,6 +11,8 @@ from inkrow.llm._common import stored, table
 
 #: A text is rejected as of no language if its best language has less than this share of its letters.
 LEAST_LANGUAGE = 0.5
+#: Texts are near copies if the sets of their five-word shingles share so many of a hundred of their union.
+NEAR_PERCENT = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies; rows that repeat an id become one."""
-    kept = near_duplicates.link(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates.link(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from inkrow.llm._common import mix64, slices, stored, text_array, word_codes
 
-#: Words of a shingle; links need 100 * shared >= PERCENT * all.
+#: Words of a shingle; links need 100 * shared >= percent * all, PERCENT if nothing else is asked for.
 WORDS, PERCENT = 5, 85
-#: Coordinates of a signature, and how many must agree. At a likeness of 0.85, 54.4 of 64 agree on average with a deviation of 2.9; fewer than 38 agree in about one pair of ten million.
-COORDINATES, MATCHES = 64, 38
+#: Coordinates of a signature, and the share of pairs just alike enough that may agree in too few of them.
+COORDINATES, LOSS = 64, 1.6e-7
 #: Node ids up to so many are broadcast when their texts are looked for again.
 MOST_BROADCAST = 1_000_000
 #: Shingles of a chunk of a family.
@@ -25,6 +26,14 @@ FACTORS = RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) +
 SHIFTS = RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 
 
+def matches(percent: int) -> int:
+    """Coordinates that must agree: the most that all but LOSS of the pairs with a likeness of percent reach (38 at 85, 33 at 80)."""
+    p, under, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (under := under + math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) <= LOSS:
+        m += 1
+    return max(1, m)
+
+
 def word_hashes(distinct: pa.Array) -> np.ndarray:
     import xxhash
 
@@ -89,14 +98,14 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, f"key {kind}, node long, n long, signature array<int>")
 
 
-def postings(nodes: DataFrame) -> DataFrame:
+def postings(nodes: DataFrame, least: int) -> DataFrame:
     """token, node, n and central: the signature prefix of every node.
 
-    A token is a coordinate with its value. Nodes that agree in MATCHES coordinates share a token among the COORDINATES - MATCHES + 1 rarest of
+    A token is a coordinate with its value. Nodes that agree in least coordinates share a token among the COORDINATES - least + 1 rarest of
     either (by count, then token). Tokens of one node only come first and need no posting, so most nodes have none. central sums the tokens'
     logarithmic counts: the node most like the others has the most.
     """
-    prefix = COORDINATES - MATCHES + 1
+    prefix = COORDINATES - least + 1
     exploded = nodes.select("node", "n", F.posexplode("signature").alias("at", "value")).select("node", "n", F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("token"))
     counts = exploded.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = exploded.join(counts, "token")
@@ -105,14 +114,14 @@ def postings(nodes: DataFrame) -> DataFrame:
     return ranked.where(F.col("place") <= F.lit(prefix - COORDINATES) + F.col("many")).select("token", "node", "n", "central")
 
 
-def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) that agree in MATCHES coordinates at least: the skip step, which looks up whole signatures rather than merging the long postings."""
+def agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that agree in enough coordinates: the skip step, which looks up whole signatures rather than merging the long postings."""
     one = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
     two = nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
     both = pairs.join(one, "a").join(two, "b")
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda z: z))
-    fits = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
-    return both.where(fits & (agree >= MATCHES)).select("a", "b")
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return both.where(fits & (agree >= matches(percent))).select("a", "b")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -130,13 +139,13 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return stored(rows.mapInArrow(run, "node long, shingles array<long>"), "near-full").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets are alike enough."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node"), "near-ids")
     full = full_sets(ids, docs, words)
     both = pairs.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= PERCENT * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.where(100 * shared >= percent * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +174,7 @@ def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs of components (a, b) with a link between them, from all pairs of nodes of a family (hub, node) that are in different ones.
 
     Families of one component are done. Others are dealt into chunks of about CHUNK shingles, and each two chunks are one group: a group compares whole sets and
@@ -186,7 +195,7 @@ def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs:
             lists = [np.asarray(x.values.to_numpy()) for x in group["shingles"]]
             size = np.array([len(x) for x in lists])
             shared = shared_counts(lists).astype(np.int64)
-            a, b = np.nonzero(np.triu(100 * shared >= PERCENT * (size[:, None] + size[None, :] - shared), 1) & (comp[:, None] != comp[None, :]))
+            a, b = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1) & (comp[:, None] != comp[None, :]))
             found = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1), axis=0)
         return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
@@ -217,10 +226,10 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "near-labels")
 
 
-def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id, kept and n_copies (rows with the same set) of every row.
 
-    Rows whose sets of distinct shingles share PERCENT of a hundred of their union are linked; component_id is the least key
+    Rows whose sets of distinct shingles share percent of a hundred of their union are linked; component_id is the least key
     that links reach, kept says whether the row has it. Equal sets are one node from the start. Other candidates come from the
     prefix postings: every node of a posting is held against its hub, the most central node of it; then all nodes that share
     a hub and are still in different components against each other, in groups of bounded size that return joined components
@@ -233,13 +242,13 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     some = rows.where("node IS NOT NULL")
     reps = some.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
     nodes = stored(some.dropDuplicates(["node"]).select("node", "n", "signature").join(reps, "node"), "near-nodes")
-    posted = stored(postings(nodes), "near-postings")
+    posted = stored(postings(nodes, matches(percent)), "near-postings")
     hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("hub"))
     families = stored(posted.join(hubs, "token").select("hub", "node").distinct(), "near-families")
     labels = nodes.select("node", F.col("node").alias("comp"))  # every node is a component
     paired = families.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    labels = components(confirmed(stored(agreeing(paired, nodes), "near-agreeing"), own, nodes, words), labels)
-    labels = components(links_within(families, labels, nodes, own, words), labels)
+    labels = components(confirmed(stored(agreeing(paired, nodes, percent), "near-agreeing"), own, nodes, words, percent), labels)
+    labels = components(links_within(families, labels, nodes, own, words, percent), labels)
     least = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("component"))
     named = nodes.select("node", "n_copies").join(labels, "node").join(least, "comp").select("node", "n_copies", "component")
     out = rows.select("key", "node", "n").join(named, "node", "left")

@@ -49,7 +49,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.link(table(spark, sf_dir, "documents"))
+    return near_duplicates.link(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicates.link(frame.limit(0)).count() == 0
 
 
+def test_near_copies_at_080_are_one_document_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    base = [f"w{k}" for k in range(504)]  # 500 shingles; each changed word far from others costs 5 of them
+    changed = {1: [], 2: range(10, 500, 50), 3: range(10, 500, 40)}  # 450 of 550 shared (0.818), and 435 of 565 (0.770)
+    rows = [(d, " ".join(f"x{k}" if k in places else w for k, w in enumerate(base))) for d, places in changed.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, frame, "").collect()} == {1, 3}
+    assert all(r["kept"] for r in near_duplicates.link(frame).collect())
+    assert (near_duplicates.matches(85), near_duplicates.matches(80)) == (38, 33)
+
+
 def test_shared_counts():
     rng = np.random.default_rng(10)
     lists = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(30)]
