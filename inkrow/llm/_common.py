@@ -52,6 +52,16 @@ def remainder(column: Column | str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))
 
 
+def hash_of(column: Column | str) -> Column:
+    """63-bit hash of a value, for samples that are the same in every run."""
+    return F.xxhash64(column).bitwiseAND(F.lit(2**63 - 1))
+
+
+def highest_hash(wanted: int, rows: int) -> int:
+    """Highest hash_of in a sample of about wanted of so many rows; all of them if there are no more than that."""
+    return (min(wanted, rows) << 63) // rows - 1
+
+
 def slices(batches, rows: int = 500):
     """Record batches of at most so many rows, without copies. At the end the worker gives back what it no longer holds."""
     for batch in batches:

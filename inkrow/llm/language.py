@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkrow.llm._common import slices, sums, text_array, word_codes
+from inkrow.llm._common import hash_of, highest_hash, slices, sums, text_array, word_codes
 
 #: First and last code points of scripts, in order.
 SCRIPTS = [
@@ -128,17 +128,18 @@ def label_words(scores: np.ndarray, offsets: np.ndarray, switch: float, cells: i
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
     """Model of the languages of labelled; None if no row has a language and a word.
 
-    Rows without text or language are left out. Each language gives a hash sample of about train_rows rows,
-    the same rows in every run. Counts are summed on the executors; languages times BUCKETS sums reach the driver.
+    Rows without text or language are left out. Each language gives a hash sample of about train_rows rows, and
+    the one of the least hash at least, the same rows in every run; a sample without a word in it fails.
+    Counts are summed on the executors; languages times BUCKETS sums reach the driver.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r for r in labelled.groupBy("lang").agg(F.count("*").alias("rows"), F.min(hash_of("text")).alias("least")).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     # a sample only where a language has more rows than the bound
-    limit = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1_000_000, 1_000_000 * train_rows // sizes[k]))])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for k in langs for x in (k, max(sizes[k]["least"], highest_hash(train_rows, sizes[k]["rows"])))])
+    sample = labelled.where(hash_of("text") <= limit[F.col("lang")])
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
@@ -170,6 +171,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
     counts = np.zeros((BUCKETS + len(NAMES), len(langs)), np.int64)
     counts[got["bucket"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
     seen = counts[:BUCKETS].sum(axis=0) > 0
+    if lost := [k for k, s in zip(langs, seen, strict=True) if not s and sizes[k]["rows"] > train_rows]:
+        raise ValueError(f"no word in the sampled texts of {lost}: raise train_rows")
     if not seen.any():
         return None
     return Model([k for k, s in zip(langs, seen, strict=True) if s], counts[:BUCKETS, seen], counts[BUCKETS:, seen])

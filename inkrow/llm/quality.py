@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkrow.llm._common import mix64, slices, sums, text_array, word_codes
+from inkrow.llm._common import hash_of, highest_hash, mix64, slices, sums, text_array, word_codes
 
 #: Weights shared by all hashed features; each word has KINDS of them.
 BUCKETS, KINDS = 1 << 20, 4
@@ -129,13 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     A hash sample of about train_rows labels is fitted, the same in every run; train_rows bounds what is broadcast
     and what reaches the driver (a few thousand features a text). Rows without key, rating or text are left out;
-    of several labels of a key, each counts.
+    of several labels of a key, each counts. A grade that has labels but no text in a sample of them fails.
     """
     graded = labels.select(F.col(key).alias("key"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL")
-    n = graded.count()
+    sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
+    n = sum(sizes.values())
     if not n:
         return None
-    sample = graded.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < min(1_000_000, 1_000_000 * train_rows // n)).limit(2 * train_rows)
+    sample = graded.where(hash_of("key") <= highest_hash(train_rows, n)).limit(2 * train_rows)
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "key").select("grade", "text")
 
     def extract(batches):
@@ -145,6 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), cut(bucket, pa.int32()), cut(value, pa.float32())], ["grade", "bucket", "value"])
 
     got = rows.mapInArrow(extract, "grade int, bucket array<int>, value array<float>").toArrow()
+    if n > train_rows and (lost := sorted(sizes.keys() - set(got["grade"].to_pylist()))):
+        raise ValueError(f"no text in the sample of the labels of grades {lost}: raise train_rows")
     if not got.num_rows:
         return None
     bucket = np.concatenate([c.flatten().to_numpy() for c in got["bucket"].chunks])

@@ -143,6 +143,21 @@ def test_quality(spark):
     assert quality.train(frame, graded.limit(0)) is None and quality.score(frame, None).where("accepted").count() == 601
 
 
+def test_samples_of_very_many_rows_are_not_empty(spark):
+    from inkrow.llm._common import highest_hash
+
+    for rows in (4001, 10**6, 7 * 10**9, 10**13):
+        assert (highest_hash(4000, rows) + 1) / 2**63 == pytest.approx(4000 / rows)
+    assert highest_hash(4000, 4000) == highest_hash(4000, 1) == 2**63 - 1
+    # as many rows for each one wanted as 5.5 billion for 5,000
+    many = spark.range(1_100_000)
+    labelled = many.select(F.concat(F.lit("the of and "), "id").alias("text"), F.lit("en").alias("lang")).unionByName(spark.createDataFrame([("der die das", "de")], "text string, lang string"))
+    assert language.train(labelled, train_rows=1).langs == ["de", "en"]
+    graded = many.select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") == 5).cast("int").alias("toxic"))
+    with pytest.raises(ValueError, match="grades"):
+        quality.train(many.select(F.col("id").alias("doc_id"), F.lit("the of").alias("text")), graded, train_rows=1)
+
+
 def test_pitman_yor(spark):
     frame = docs(spark)
     got = rows_of(pitman_yor.score(frame, F.coalesce(F.col("doc_id") % 4 != 1, F.lit(True))))
