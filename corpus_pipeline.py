@@ -27,9 +27,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; rows that repeat an id become one."""
-    kept = near_duplicates.link(docs, percent=NEAR_PERCENT).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    """The row with the least id of each group of near copies; rows that repeat an id and its text become one."""
+    return near_duplicates.one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +43,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", good_quality), ("language", known_language), ("near_duplicates", one_of_each), ("decontaminate", no_benchmark), ("encode", encoded)]
 
-#: SQL can't express the classifiers, the signatures or the encoding; tests hold the stages against brute force.
+#: SQL can't express the classifiers, the signatures or the encoding; tests hold run() against brute force where the classifiers keep all texts with a letter.
 ORACLE_SQL = None
 
 

@@ -71,6 +71,11 @@ def overlap(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     strings. Every input row gives a row, repeated rows and null keys too. Null or empty text has no words; items
     without words have no window, a null item id reads as the empty string, items that repeat an id count as one.
     """
+    return hits(docs, benchmark, key, text, item, item_text, window).drop("text_key")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """overlap() with text_key, the digest of each row's text."""
     # equal rows get equal results, so that they are one document until the end
     own = docs.select(F.col(key).alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"), words(text).alias("words"))
     wins = stored(windows(benchmark, item, item_text, window), "decontaminate-windows")
@@ -96,10 +101,10 @@ def overlap(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         base = base.withColumns({"n_hit": F.lit(0), "items": F.array().cast("array<string>")})
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce(F.col("n_hit").cast("long"), F.lit(0).cast("long"))
-    return base.select(F.col("id").alias(key), "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return base.select(F.col("id").alias(key), "text_key", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that contain a window of benchmark; null keys and texts stay unless hit."""
-    bad = overlap(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("__bad")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows that contain a window of benchmark; null keys and texts stay unless hit, and so do other texts of a hit row's key."""
+    bad = hits(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("__bad"), F.col("text_key").alias("__text")).distinct()
+    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("__text")), "left_anti")

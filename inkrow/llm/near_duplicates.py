@@ -79,7 +79,7 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
-    """key, node, n_shingles and signature of every row; without words node and signature are null."""
+    """key, node, n_shingles, signature and a hash of the text of every row; without words node and signature are null."""
 
     def run(batches):
         for batch in slices(batches, 500):
@@ -90,12 +90,13 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
                     pa.array([node_of(h) if len(h) else None for h in hashes], pa.int64()),
                     pa.array([len(h) for h in hashes], pa.int64()),
                     pa.array([signature(h) if len(h) else None for h in hashes], pa.list_(pa.int32())),
+                    batch.column(2),
                 ],
-                ["key", "node", "n", "signature"],
+                ["key", "node", "n", "signature", "digest"],
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text").mapInArrow(run, f"key {kind}, node long, n long, signature array<int>")
+    return docs.select("key", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"key {kind}, node long, n long, signature array<int>, digest long")
 
 
 def postings(nodes: DataFrame, least: int) -> DataFrame:
@@ -226,6 +227,36 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "near-labels")
 
 
+def labelled(own: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of sets(), their nodes, and labels (node, comp) once all links are found, for docs (key, text)."""
+    rows = stored(sets(own, words), "near-sets")
+    some = rows.where("node IS NOT NULL")
+    reps = some.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
+    nodes = stored(some.dropDuplicates(["node"]).select("node", "n", "signature").join(reps, "node"), "near-nodes")
+    posted = stored(postings(nodes, matches(percent)), "near-postings")
+    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("hub"))
+    families = stored(posted.join(hubs, "token").select("hub", "node").distinct(), "near-families")
+    labels = nodes.select("node", F.col("node").alias("comp"))  # every node is a component
+    paired = families.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    labels = components(confirmed(stored(agreeing(paired, nodes, percent), "near-agreeing"), own, nodes, words, percent), labels)
+    return rows, nodes, components(links_within(families, labels, nodes, own, words, percent), labels)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each component of link(): that with the least key (nulls last), then the least hash of its text.
+
+    Of rows with equal keys and texts one stays, also where they have no shingle; other rows without one all stay.
+    """
+    rows, _, labels = labelled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words, percent)
+    row = F.struct(F.col("key").isNull().alias("none"), "key", "digest")
+    first = rows.where("node IS NOT NULL").join(labels, "node").groupBy("comp").agg(F.min(row).alias("__row")).select("__row")
+    wanted = first.unionByName(rows.where("node IS NULL").select(row.alias("__row")).distinct())
+    # nulls inside of structs are equal; the window finds the rows as the join dealt them
+    own = docs.withColumn("__row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("digest")))
+    equal = Window.partitionBy("__row").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return own.join(wanted, "__row", "left_semi").withColumn("__place", F.row_number().over(equal)).where("__place = 1").select(*docs.columns)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles, component_id, kept and n_copies (rows with the same set) of every row.
 
@@ -237,18 +268,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     already. Null or empty text: no shingle, no link. Null keys: least only where a component has no other; repeated
     rows are equal sets. Other columns aren't read.
     """
-    own = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = stored(sets(own, words), "near-sets")
-    some = rows.where("node IS NOT NULL")
-    reps = some.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n_copies"))
-    nodes = stored(some.dropDuplicates(["node"]).select("node", "n", "signature").join(reps, "node"), "near-nodes")
-    posted = stored(postings(nodes, matches(percent)), "near-postings")
-    hubs = posted.groupBy("token").agg(F.max(F.struct("central", "node"))["node"].alias("hub"))
-    families = stored(posted.join(hubs, "token").select("hub", "node").distinct(), "near-families")
-    labels = nodes.select("node", F.col("node").alias("comp"))  # every node is a component
-    paired = families.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    labels = components(confirmed(stored(agreeing(paired, nodes, percent), "near-agreeing"), own, nodes, words, percent), labels)
-    labels = components(links_within(families, labels, nodes, own, words, percent), labels)
+    rows, nodes, labels = labelled(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), words, percent)
     least = nodes.join(labels, "node").groupBy("comp").agg(F.min("rep").alias("component"))
     named = nodes.select("node", "n_copies").join(labels, "node").join(least, "comp").select("node", "n_copies", "component")
     out = rows.select("key", "node", "n").join(named, "node", "left")

@@ -351,6 +351,35 @@ def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, sf).count() == source.count() > 0
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import tiktoken
+
+    rng = random.Random(14)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, other, passage = fresh(504), fresh(60), fresh(12)
+    near = [f"x{k}" if k % 50 == 10 else w for k, w in enumerate(base)]  # a likeness of about 0.82
+    rows = [(1, base), (2, near), (None, near), (None, fresh(30)), (None, other), (3, other), (4, fresh(20)), (5, fresh(9) + passage), (5, fresh(25)), (None, passage), (6, ["solo"]), (7, ["solo"]), (8, fresh(40))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    rows += [rows[6], rows[6], rows[11], rows[12], rows[3], (9, None), (10, "123 !"), (10, "123 !")]
+    frame = spark.createDataFrame([(*r, "en", "s") for r in rows], "doc_id long, text string, lang string, source string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = sorted((r for r in rows if r[1] and any(c.isalpha() for c in r[1])), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in (t.lower().split() for _, t in left)]
+    group = list(range(len(left)))
+    for a in range(len(left)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = [left[group.index(g)] for g in sorted(set(group))]
+    hit = {r for r in kept if next(iter(brute_overlap([r], [(1, " ".join(passage))])))[-1]}
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}, special_tokens={})
+    want = Counter((d, len(own.encode_ordinary(t))) for d, t in kept if (d, t) not in hit)
+    assert want and hit and Counter((r["doc_id"], r["n_tokens"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
 def test_words_of_a_slice():
     texts = pa.array(["Ä b", None, " c  d ", "e"]).slice(1)
     from inkrow.llm._common import text_array, word_codes
