@@ -31,8 +31,9 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
 
     Turns stand in order of turn, then role and text; nulls come first, a null role or text is empty, null conversations are one. Prefix
     sums of the turns' tokens cut each conversation into spans of whole turns: a turn is in the span of the budget's share that its last token falls in, so that only a
-    turn longer than half the free budget can exceed it, and no turn is cut or dropped. A leading system turn is repeated at the
-    start of each later window, then as many of the turns just before the span as fit in history tokens. loss has
+    turn longer than half of what system turn and history leave of the budget can exceed it, and no turn is cut or dropped. A leading system turn is repeated at the
+    start of each later window, then as many of the turns just before the span's first as fit in history tokens, or in half of what a long system turn
+    leaves. A system turn of the whole budget or more leaves nothing: all later windows exceed it, and are cut as if there were none. loss has
     (start, length) in characters of the escaped texts of the assistant turns of the span itself; repeated ones are masked.
     Rows that repeat stay turns of their own.
     """
@@ -46,13 +47,18 @@ def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: s
     first_system = (F.col("seq") == 1) & (F.lower("role") == "system")
     own = own.withColumn("system", first_system)
     # the window's stride leaves room for the system turn and the history
-    stride = max(1, (budget - history) // 2)
-    own = own.withColumn("window", F.floor((F.col("upto") - 1) / stride).cast("long"))
+    of_system = F.coalesce(F.first(F.when(first_system, F.col("tokens"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    free = F.when(of_system < budget, budget - of_system).otherwise(budget).cast("long")
+    own = own.withColumn("free", free).withColumn("behind", F.least(F.lit(history), F.floor(F.col("free") / 2)).cast("long"))
+    stride = F.greatest(F.lit(1), F.floor((F.col("free") - F.col("behind")) / 2))
+    own = own.withColumns({"window": F.floor((F.col("upto") - 1) / stride).cast("long"), "start": F.col("upto") - F.col("tokens")})
+    before = F.lag("window").over(ordered)
+    own = own.withColumn("opens", F.when(before.isNotNull() & (before < F.col("window")), F.struct("start", "window")))
     span = own.select("conv", "window", "seq", "piece", "role", "head", "inner", F.lit(2).alias("part"), F.lit(False).alias("sys"))
-    # a turn may repeat in the windows after it: those whose first token is at most history tokens behind the turn's start
-    last = F.floor((F.col("upto") - F.col("tokens") + history - 1) / stride).cast("long")
-    fits = (F.col("tokens") <= history) & ~F.col("system") & (last > F.col("window"))
-    again = own.where(fits).withColumn("later", F.sequence(F.col("window") + 1, last))
+    # a turn repeats in the windows after it whose first turn starts at most history tokens behind the turn's start; each turn has a token, so that they are few
+    ahead = F.collect_list("opens").over(Window.partitionBy("conv").orderBy("start").rangeBetween(1, history))
+    later = F.transform(F.filter("ahead", lambda x: x["start"] - F.col("start") <= F.col("behind")), lambda x: x["window"])
+    again = own.withColumn("ahead", ahead).where(~F.col("system") & (F.size("ahead") > 0)).withColumn("later", later)
     again = again.select("conv", F.explode("later").alias("window"), "seq", "piece", "role", "head", "inner", F.lit(1).alias("part"), F.lit(False).alias("sys"))
     top = own.where("system").select("conv", F.col("window").alias("own_window"), "seq", "piece", "role", "head", "inner")
     held = span.groupBy("conv", "window").agg(F.count("*").alias("n"))

@@ -230,6 +230,43 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
 
 
+def brute_windows(turns, budget, history):
+    """(texts of the system turn and the history, texts of the span) of each window of one conversation's turns (role, text without characters to escape)."""
+    size = [-(-len(f"### {r}: {t} </turn>\n") // 4) for r, t in turns]
+    start = [sum(size[:i]) for i in range(len(size))]
+    system = size[0] if turns[0][0] == "system" else 0
+    free = budget - system if system < budget else budget
+    behind = min(history, free // 2)
+    number = [(a + b - 1) // max(1, (free - behind) // 2) for a, b in zip(start, size, strict=True)]
+    out = []
+    for w in sorted(set(number)):
+        first = number.index(w)
+        again = [i for i in range(first) if i >= bool(system) and start[first] - start[i] <= behind]
+        again = [0] * bool(system and first) + again
+        span = [i for i in range(len(turns)) if number[i] == w]
+        out.append(([turns[i][1] for i in again], [turns[i][1] for i in span], sum(size[i] for i in again + span), max((size[i] for i in span if i or not system), default=0), free - behind))
+    return out
+
+
+def test_chat_windows_equal_brute_force(spark):
+    rng = random.Random(15)
+    say = lambda n: " ".join(f"t{rng.randrange(10**4)}" for _ in range(n))
+    who = lambda t: ["assistant", "user"][t % 2]
+    talks = {c: [("system" if not t and c % 2 else who(t), say(rng.choice([1, 5, 20, 60, 500, 4000]))) for t in range(30)] for c in range(8)}
+    talks[20] = [("user", say(60)), ("assistant", "x" * 7000), ("user", "short"), ("assistant", "y" * 16000), ("user", "end")]
+    for c, n in ((21, 8000), (22, 14000), (23, 15900), (24, 20000)):  # long system turns
+        talks[c] = [("system", "s" * n)] + [(who(t), say(rng.randint(1, 20))) for t in range(60)]
+    rows = [(c, t, r, x) for c, own in talks.items() for t, (r, x) in enumerate(own)]
+    got = {}
+    for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect():
+        said, k = [x for _, x in chat.parse(r["text"])], r["n_system"] + r["n_history"]
+        got.setdefault(int(r["conv"]), []).append((said[:k], said[k:]))
+    want = {c: brute_windows(own, chat.BUDGET, chat.HISTORY) for c, own in talks.items()}
+    assert got == {c: [w[:2] for w in own] for c, own in want.items()}
+    assert [len(h) for h, _ in got[20]] == [0, 1, 1]  # the short turn before each long one
+    assert all(tokens <= chat.BUDGET for c, own in want.items() if talks[c][0][0] != "system" or len(talks[c][0][1]) < 16000 for _, _, tokens, longest, room in own if 2 * longest <= room)
+
+
 def brute_components(rows):
     sets = [frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := (t or "").encode().lower().split()) else frozenset() for _, t in rows]
     parent = list(range(len(rows)))
