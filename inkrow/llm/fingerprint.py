@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from inkrow.llm._common import mix64, partitions, slices
 
-#: Bytes of a window; windows start at words. Bits of a filter, bits a feature sets, features a filter takes.
+#: Bytes of a window. Bits of a filter, bits a feature sets, features a filter takes.
 SPAN, BITS, HASHES, FEATURES = 32, 2048, 5, 160
+#: Windows start where GRAM bytes have the least hash of a run of RUN bytes (a power of two).
+GRAM, RUN = 8, 8
 #: A window is a feature if it is the rarest of at least POPULAR of the runs of NEAR windows around it.
 NEAR, POPULAR = 8, 4
 #: A text of fewer bytes than SHORT has all its runs of TINY bytes as features.
@@ -47,27 +49,36 @@ def short_features(data: np.ndarray) -> np.ndarray:
     return mix64(((runs + np.uint64(1)) * powers(TINY)[0][: runs.shape[1]]).sum(axis=1, dtype=np.uint64))
 
 
+def least_of_runs(hashes: np.ndarray, fits: np.ndarray) -> np.ndarray:
+    """Places that fit and have the least hash of one of the runs of RUN places that they are in; what doesn't fit parts texts."""
+    most = np.uint32(0xFFFFFFFF)
+    own = np.full(len(fits) + 2 * (RUN - 1), most, np.uint32)
+    own[RUN - 1 : RUN - 1 + len(hashes)] = np.where(fits[: len(hashes)], (hashes >> np.uint64(32)).astype(np.uint32), most)
+    least, step = own, 1
+    while step < RUN:
+        least, step = np.minimum(least[:-step], least[step:]), 2 * step
+    above, step = least, 1
+    while step < RUN:
+        above, step = np.maximum(above[:-step], above[step:]), 2 * step
+    return fits & (above == own[RUN - 1 : RUN - 1 + len(fits)])
+
+
 def window_features(texts: list[np.ndarray]) -> list[np.ndarray]:
     """Features of texts of SHORT bytes at least, in order of appearance.
 
-    Every window of SPAN bytes that starts a word gets a rank from the entropy of its bytes (in CLASSES classes); of each run of
-    NEAR windows the rarest is counted, and those that are counted POPULAR times become features.
+    Windows of SPAN bytes start at bytes that their content chooses, words or not: those whose next GRAM bytes have the least hash of
+    some run of RUN bytes, so that no stretch of RUN is without a start. Every window gets a rank from the entropy of its bytes (in CLASSES
+    classes); of each run of NEAR windows the rarest is counted, and those that are counted POPULAR times become features.
     """
     sizes = np.array([len(t) for t in texts])
     data, ends = np.concatenate(texts), np.cumsum(sizes)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~space & np.concatenate([[True], space[:-1]])
-    word[ends[:-1]] = ~space[ends[:-1]]  # a text's first byte
     doc = np.repeat(np.arange(len(texts)), sizes)
     fits = np.arange(len(data)) <= (ends - SPAN)[doc]
-    bare = np.bincount(doc, word & fits, len(texts)) == 0
-    if bare.any():  # one long word: windows step by half their size
-        word |= bare[doc] & ((np.arange(len(data)) - (ends - sizes)[doc]) % (SPAN // 2) == 0)
-    starts = np.flatnonzero(word & fits)
-    doc = doc[starts]
     pow_, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[: len(data)], out=total[1:])
+    starts = np.flatnonzero(least_of_runs(mix64((total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1]), fits))
+    doc = doc[starts]
     hashed = mix64((total[starts + SPAN] - total[starts]) * inverse[starts])
     entropy = np.full(len(starts), np.log2(SPAN), np.float32)
     kinds, upto = data & np.uint8(CLASSES - 1), np.zeros(len(data) + 1, np.int32)

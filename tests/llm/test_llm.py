@@ -344,6 +344,23 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(frame.limit(0)).count() == 0
 
 
+def test_fingerprints_of_texts_without_spaces():
+    rng = random.Random(16)
+    like = lambda a, b: fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b))
+    for letters in ("".join(map(chr, range(0x4E00, 0x5200))), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        text = lambda n: "".join(rng.choice(letters) for _ in range(n)).encode()  # noqa: B023, E731
+        own, other, n = text(3000), text(3000), 300
+        n *= len(own) // 3000
+        size = len(own)
+        assert like(own[:n] + other[n:], own) < 0.5 and like(own, other) < 0.1  # the same beginning alone
+        for at in (0, size // 2, size - n):  # start, middle and end changed
+            assert 0.7 < like(own, own[:at] + other[at : at + n] + own[at + n :]) < 1
+    spaced = b" ".join([own[:1000], own[1000:2000], own[2000:]])
+    assert like(spaced, own) > 0.7 and like(spaced, b" ".join([own[:40] + other[40:1000], own[1000:1040] + other[1040:2000], own[2000:2040] + other[2040:]])) < 0.4
+    # a text's features don't depend on those computed with it
+    assert [x.tolist() for x in fingerprint.features([own, spaced])] == [fingerprint.features([x])[0].tolist() for x in (own, spaced)] == [x.tolist() for x in fingerprint.features([spaced, own])[::-1]]
+
+
 def brute_judge(url):
     host = path = ""
     if url is not None and "://" in url:
