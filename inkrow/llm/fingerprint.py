@@ -18,8 +18,10 @@ SPAN, BITS, HASHES, FEATURES = 32, 2048, 5, 160
 GRAM, RUN = 8, 8
 #: A window is a feature if it is the rarest of at least POPULAR of the runs of NEAR windows around it.
 NEAR, POPULAR = 8, 4
-#: A text of fewer bytes than SHORT has all its runs of TINY bytes as features.
-SHORT, TINY = 160, 6
+#: A text of fewer bytes than BOTH has all its runs of TINY bytes as features, one of SHORT bytes or more has windows; those between have filters of either family.
+SHORT, BOTH, TINY = 160, 640, 6
+#: First byte of a filter: its family.
+RUNS, WINDOWS = 0, 1
 #: Entropy of windows (bits a byte) of ordinary prose, and its spread: the further from it, the rarer. Windows under LEAST have too little in them.
 USUAL, SPREAD, LEAST = 3.2, 0.25, 1.0
 CLASSES = 16
@@ -96,10 +98,11 @@ def window_features(texts: list[np.ndarray]) -> list[np.ndarray]:
     return [hashed[a:b][popular[a:b]] if popular[a:b].any() else hashed[a:b][[place[a:b].argmin()]] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def features(raws: list[bytes]) -> list[np.ndarray]:
-    """64-bit features of each text in order of appearance, each once. A text under SHORT bytes has its runs of TINY bytes, the empty one none."""
+def features(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """64-bit features of each text in order of appearance, each once: its runs of TINY bytes if it has fewer than BOTH bytes, and its windows if it has SHORT or more."""
     texts = [np.frombuffer(r, np.uint8) for r in raws]
-    out = [short_features(t) if 0 < len(t) < SHORT else np.zeros(0, np.uint64) for t in texts]
+    runs = [short_features(t) if 0 < len(t) < BOTH else np.zeros(0, np.uint64) for t in texts]
+    out = [np.zeros(0, np.uint64)] * len(texts)
     long_, size = [], 0
     for i, t in enumerate(texts):
         if len(t) >= SHORT:
@@ -109,18 +112,22 @@ def features(raws: list[bytes]) -> list[np.ndarray]:
             for k, own in zip(long_, window_features([texts[k] for k in long_]), strict=True):
                 out[k] = own
             long_, size = [], 0
-    return [own[np.sort(np.unique(own, return_index=True)[1])] for own in out]
+    once = lambda own: own[np.sort(np.unique(own, return_index=True)[1])]
+    return [(once(a), once(b)) for a, b in zip(runs, out, strict=True)]
 
 
 def digests(raws: list[bytes]) -> list[np.ndarray]:
-    """Of each text a chain of filters [filter, byte]: FEATURES features each, in order."""
+    """Of each text a chain of filters [filter, byte], the first byte its family: FEATURES features each, in order, RUNS before WINDOWS."""
     out = []
-    for own in features(raws):
-        chain = np.zeros((-(-len(own) // FEATURES), BITS), bool)
-        row = np.arange(len(own)) // FEATURES
-        for i in range(HASHES):
-            chain[row, ((own >> np.uint64(11 * i)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-        out.append(np.packbits(chain, axis=1))
+    for families in features(raws):
+        parts = []
+        for family, own in enumerate(families):
+            chain = np.zeros((-(-len(own) // FEATURES), BITS), bool)
+            row = np.arange(len(own)) // FEATURES
+            for i in range(HASHES):
+                chain[row, ((own >> np.uint64(11 * i)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+            parts.append(np.concatenate([np.full((len(chain), 1), family, np.uint8), np.packbits(chain, axis=1)], axis=1))
+        out.append(np.concatenate(parts))
     return out
 
 
@@ -133,14 +140,19 @@ def encode(chain: np.ndarray) -> str:
 
 
 def decode(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, BITS // 8)
+    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 1 + BITS // 8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1. Each filter of the shorter chain counts with its best partner in the longer: bits in common beyond those that chance gives, as a share of
-    those that are possible. Both empty: 1; one empty: 0."""
+    those that are possible. Both empty: 1; one empty: 0. Windows are compared if both have them, else runs: a text of under SHORT bytes and one of BOTH or more have
+    no family in common, and give 0."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    both = [(x, y) for x, y in ((a[a[:, 0] == k, 1:], b[b[:, 0] == k, 1:]) for k in (WINDOWS, RUNS)) if len(x) and len(y)]
+    if not both:
+        return 0.0
+    a, b = both[0]
     if len(a) > len(b) or (len(a) == len(b) and a.tobytes() > b.tobytes()):
         a, b = b, a
     x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)

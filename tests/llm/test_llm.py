@@ -358,7 +358,21 @@ def test_fingerprints_of_texts_without_spaces():
     spaced = b" ".join([own[:1000], own[1000:2000], own[2000:]])
     assert like(spaced, own) > 0.7 and like(spaced, b" ".join([own[:40] + other[40:1000], own[1000:1040] + other[1040:2000], own[2000:2040] + other[2040:]])) < 0.4
     # a text's features don't depend on those computed with it
-    assert [x.tolist() for x in fingerprint.features([own, spaced])] == [fingerprint.features([x])[0].tolist() for x in (own, spaced)] == [x.tolist() for x in fingerprint.features([spaced, own])[::-1]]
+    assert [x.tolist() for x in fingerprint.digests([own, spaced])] == [fingerprint.digest(x).tolist() for x in (own, spaced)] == [x.tolist() for x in fingerprint.digests([spaced, own])[::-1]]
+
+
+def test_fingerprints_across_the_sizes_of_features():
+    rng = random.Random(17)
+    like = lambda a, b: fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b))
+    for size in (fingerprint.SHORT, fingerprint.BOTH):
+        text, other = (" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)) for _ in range(2))
+        below, above = text[: size - 2].encode(), (text[: size - 2] + " word").encode()
+        assert len(below) < size <= len(above) and like(below, above) == like(above, below) > 0.9
+        accented = (text[: size - 40] + text[size - 40 : size - 2].replace("e", "é").replace("a", "ä").replace("o", "ö").replace("i", "ï")).encode()
+        assert len(accented) >= size and like(below, accented) > 0.5
+        assert like(below, other[: size + 5].encode()) < 0.1
+    chain = fingerprint.digest(text[:300].encode())
+    assert set(chain[:, 0]) == {fingerprint.RUNS, fingerprint.WINDOWS} and fingerprint.decode(fingerprint.encode(chain)).tolist() == chain.tolist()
 
 
 def brute_judge(url):
