@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,7 +19,6 @@ SCRIPTS = [
     (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"),
 ]
 NAMES = sorted({name for *_, name in SCRIPTS}) + ["Other"]
-LETTERS = re.compile(r"[^\W\d_]+")
 #: Features of a word are its character trigrams, hashed to so many buckets.
 BUCKETS = 1 << 15
 #: Training rows are a hash sample of about so many rows of each language; the text of no others is used.
@@ -54,7 +51,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def letters_of(words: pa.Array) -> list[str]:
-    return ["".join(LETTERS.findall(w)) for w in pc.utf8_lower(words).to_pylist()]
+    """Lower-cased letters of each word: characters of the Unicode categories L only, so no fraction, superscript or circled digit."""
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in pc.utf8_lower(words).to_pylist()]
 
 
 class Model:
