@@ -56,12 +56,19 @@ def occurrences(docs: DataFrame, wins: DataFrame, size: int, broadcast: bool) ->
     ranked = marked.join(counted, on, "left").fillna(0, ["df"]).withColumn("r", F.row_number().over(Window.partitionBy("words").orderBy("df", "at", *on)))
     prefix = ranked.where("r = 1 AND df > 0").select("at", *on, F.col("words").alias("window"))
     prefix = stored(prefix, "decontaminate-prefix")
-    placed = docs.select("id", "text_key", "words", F.posexplode(shingles(size)).alias("pos", "s"))
-    placed = placed.select("id", "text_key", "words", "pos", *[F.col(f"s.k{k}").alias(f"k{k}") for k in range(size)])
-    start = F.col("pos") - F.col("at")
-    found = placed.join(small(prefix), on).where((start >= 0) & (start + F.size("window") <= F.size("words")))
-    found = found.where(F.slice("words", start + 1, F.size("window")) == F.col("window"))
-    return found.select("id", "text_key", start.alias("start"), F.size("window").alias("n"), "window")
+    # beyond a broadcast the words don't go through the shuffle with each of their shingles: candidates fetch them afterwards
+    held = ["id", "text_key", *(["words"] if broadcast else [F.size("words").alias("n_words")])]
+    placed = docs.select(*held, F.posexplode(shingles(size)).alias("pos", "s"))
+    placed = placed.select(*[c for c in placed.columns if c != "s"], *[F.col(f"s.k{k}").alias(f"k{k}") for k in range(size)])
+    start, n = F.col("pos") - F.col("at"), F.size("window")
+    fits = (start >= 0) & (start + n <= (F.size("words") if broadcast else F.col("n_words")))
+    found = placed.join(small(prefix), on).where(fits).withColumn("start", start)
+    if not broadcast:
+        found = stored(found.select("id", "text_key", "start", "window").distinct(), "decontaminate-candidates").alias("f")
+        own = docs.join(found.select("text_key").distinct(), "text_key", "left_semi").select("text_key", "words").dropDuplicates(["text_key"]).alias("d")
+        found = found.join(own, "text_key").select("f.id", "text_key", "start", "window", "words")
+    found = found.where(F.slice("words", F.col("start") + 1, n) == F.col("window"))
+    return found.select("id", "text_key", "start", n.alias("n"), "window")
 
 
 def overlap(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
