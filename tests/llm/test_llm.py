@@ -68,6 +68,8 @@ def test_language(spark):
     mixed = spark.createDataFrame([(1, prose(rng, "en", 30) + " " + prose(rng, "de", 30))], "doc_id long, text string")
     spans = language.identify(mixed, model, spans=True).first()["spans"]
     assert [s["lang"] for s in spans] == ["en", "de"] and spans[0]["first"] == 0 and abs(spans[0]["last"] - 29) <= 2 and spans[-1]["last"] == 59
+    odd = spark.createDataFrame([(1, "½ ² ① ⅷ 3"), (2, "½ der ② und")], "doc_id long, text string").withColumns({"lang_pred": F.lit("clash"), "score": F.lit("clash")})
+    assert [(r["lang_pred"], r["score"], r["n_spans"]) for r in language.identify(odd, model).orderBy("doc_id").collect()] == [("und", 0.0, 0), ("de", 1.0, 1)]
     assert language.train(frame.limit(0)) is None and language.identify(frame, None).where("lang_pred <> 'und'").count() == 0
 
 
@@ -123,6 +125,19 @@ def test_decontamination_equals_brute_force(spark):
     assert got == brute_overlap(texts, items)
     assert decontaminate.overlap(frame, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.overlap(frame.limit(0), bench).count() == 0
     assert {r["doc_id"] for r in decontaminate.clean(frame, bench).collect()} >= {4, 5, 6}
+    very_long = spark.createDataFrame([(1, "w " * 300_000 + long_)], "doc_id long, text string")
+    assert [tuple(r)[1:4] for r in decontaminate.overlap(very_long, bench).collect()] == [(300_040, 40, 2)]
+
+
+def test_decontamination_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    test_decontamination_equals_brute_force(spark)
+
+
+def test_clean_decides_by_row(spark):
+    rows = [(None, "x solo y"), (None, "clean"), (7, "solo"), (7, "other text")]
+    kept = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, "solo")], "item_id long, text string"))
+    assert Counter(map(tuple, kept.collect())) == Counter([(None, "clean"), (7, "other text")])
 
 
 def test_quality(spark):
@@ -397,13 +412,26 @@ def test_urls_equal_brute_force(spark):
     assert urls.judge(pages.limit(0)).count() == 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize(("shard_keys", "most", "group"), [(10**6, 64 << 20, 10**6), (700, 64 << 20, 10**6), (700, 0, 300)])
+def test_cascade_is_exact(spark, monkeypatch, shard_keys, most, group):
+    monkeypatch.setattr(urls, "MOST_BYTES", most)
+    monkeypatch.setattr(urls, "GROUP_ROWS", group)
     universe = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = universe.where("crc32(key) % 5 = 0")
-    levels = urls.build(listed, universe)
-    assert len(levels) > 2
-    wrong = urls.members(universe.unionByName(spark.createDataFrame([(None,)], "key string")), levels, listed).where("listed <> coalesce(crc32(key) % 5 = 0, false)")
-    assert wrong.count() == 0
+    cascade = urls.build(listed, universe, shard_keys)
+    assert cascade.levels > 2 and cascade.shards == max(1, -(-listed.count() // shard_keys))
+    hot = universe.limit(1).crossJoin(spark.range(9_000)).select("key")  # one key holds a third of the rows
+    asked = universe.unionByName(hot).unionByName(spark.createDataFrame([(None,)], "key string")).withColumn("h1", F.lit("clash"))
+    got = urls.members(asked, cascade)
+    assert got.count() == 29_001 and got.where("listed <> coalesce(crc32(key) % 5 = 0, false)").count() == 0
+    assert urls.members(asked, urls.build(listed.limit(0), universe)).where("listed").count() == 0
+
+
+def test_longest_rule_wins_whatever_its_shape(spark):
+    rules = [("block", "com", "/a/very/long/path"), ("allow", "www.example.com", "/a"), ("block", "x.com", "/"), ("allow", "x.com", "/")]
+    pages = spark.createDataFrame([(1, "http://www.example.com/a/very/long/path/1"), (2, "http://www.example.com/ab"), (3, "http://x.com/" + "y" * 100_000)], "page_id long, url string")
+    assert {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(pages, rules).collect()} == {1: ("com/a/very/long/path", "block"), 2: ("www.example.com/a", "allow"), 3: ("x.com/", "block")}
+    assert {r["verdict"] for r in urls.judge(pages, []).collect()} == {"allow"}
 
 
 def test_pipeline_runs(spark):
