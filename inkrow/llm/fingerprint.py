@@ -4,28 +4,28 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkrow.llm._common import mix64, partitions, slices
 
 #: Bytes of a window. Bits of a filter, bits a feature sets, features a filter takes.
-SPAN, BITS, HASHES, FEATURES = 32, 2048, 5, 160
-#: Windows start where GRAM bytes have the least hash of a run of RUN bytes (a power of two).
-GRAM, RUN = 8, 8
-#: A window is a feature if it is the rarest of at least POPULAR of the runs of NEAR windows around it.
-NEAR, POPULAR = 8, 4
-#: A text of fewer bytes than BOTH has all its runs of TINY bytes as features, one of SHORT bytes or more has windows; those between have filters of either family.
-SHORT, BOTH, TINY = 160, 640, 6
-#: First byte of a filter: its family.
-RUNS, WINDOWS = 0, 1
+SPAN, BITS, HASHES, FEATURES = 16, 2048, 5, 160
+#: A window is a feature if it is the rarest of at least POPULAR of the runs of NEAR windows that hold it; runs may stick out of the text at both ends.
+#: NEAR is at most SPAN, a power of two.
+NEAR, POPULAR = 16, 4
 #: Entropy of windows (bits a byte) of ordinary prose, and its spread: the further from it, the rarer. Windows under LEAST have too little in them.
-USUAL, SPREAD, LEAST = 3.2, 0.25, 1.0
+USUAL, SPREAD, LEAST = 2.87, 0.25, 1.0
 CLASSES = 16
+#: Bytes of texts that are ranked at once; a longer text is ranked in pieces of so many.
+PIECE = 1 << 20
 PRIME = np.uint64(0x100000001B3)
+NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -41,93 +41,85 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return POWERS[0], POWERS[1]
 
 
-LOGS = np.arange(SPAN + 1) * np.log2(np.maximum(np.arange(SPAN + 1), 1))
-LOGS = LOGS.astype(np.float32)
+LOGS = (np.arange(SPAN + 1) * np.log2(np.maximum(np.arange(SPAN + 1), 1)) / SPAN).astype(np.float32)
 
 
-def short_features(data: np.ndarray) -> np.ndarray:
-    """Features of a text of few windows: all its runs of TINY bytes."""
-    runs = np.lib.stride_tricks.sliding_window_view(data, min(TINY, len(data))).astype(np.uint64)
-    return mix64(((runs + np.uint64(1)) * powers(TINY)[0][: runs.shape[1]]).sum(axis=1, dtype=np.uint64))
-
-
-def least_of_runs(hashes: np.ndarray, fits: np.ndarray) -> np.ndarray:
-    """Places that fit and have the least hash of one of the runs of RUN places that they are in; what doesn't fit parts texts."""
-    most = np.uint32(0xFFFFFFFF)
-    own = np.full(len(fits) + 2 * (RUN - 1), most, np.uint32)
-    own[RUN - 1 : RUN - 1 + len(hashes)] = np.where(fits[: len(hashes)], (hashes >> np.uint64(32)).astype(np.uint32), most)
-    least, step = own, 1
-    while step < RUN:
-        least, step = np.minimum(least[:-step], least[step:]), 2 * step
-    above, step = least, 1
-    while step < RUN:
-        above, step = np.maximum(above[:-step], above[step:]), 2 * step
-    return fits & (above == own[RUN - 1 : RUN - 1 + len(fits)])
-
-
-def window_features(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """Features of texts of SHORT bytes at least, in order of appearance.
-
-    Windows of SPAN bytes start at bytes that their content chooses, words or not: those whose next GRAM bytes have the least hash of
-    some run of RUN bytes, so that no stretch of RUN is without a start. Every window gets a rank from the entropy of its bytes (in CLASSES
-    classes); of each run of NEAR windows the rarest is counted, and those that are counted POPULAR times become features.
-    """
-    sizes = np.array([len(t) for t in texts])
-    data, ends = np.concatenate(texts), np.cumsum(sizes)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    fits = np.arange(len(data)) <= (ends - SPAN)[doc]
+def ranks(data: np.ndarray) -> np.ndarray:
+    """Place of the window at every byte but the last SPAN - 1: the rarer its entropy, the less; equal ones are placed by their hash."""
     pow_, inverse = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pow_[: len(data)], out=total[1:])
-    starts = np.flatnonzero(least_of_runs(mix64((total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1]), fits))
-    doc = doc[starts]
-    hashed = mix64((total[starts + SPAN] - total[starts]) * inverse[starts])
-    entropy = np.full(len(starts), np.log2(SPAN), np.float32)
+    hashed = mix64((total[SPAN:] - total[:-SPAN]) * inverse[: len(data) - SPAN + 1])
+    entropy = np.full(len(hashed), np.log2(SPAN), np.float32)
     kinds, upto = data & np.uint8(CLASSES - 1), np.zeros(len(data) + 1, np.int32)
     for k in range(CLASSES):
         np.cumsum(kinds == k, dtype=np.int32, out=upto[1:])
-        entropy -= LOGS[upto[starts + SPAN] - upto[starts]] / np.float32(SPAN)
-    rank = np.where(entropy < LEAST, 0, np.abs(entropy - USUAL) / SPREAD * 1000).astype(np.uint64)
-    # the rarest has the least place, equal ones are placed by their hash
-    place = (np.uint64(65535) - np.minimum(rank, np.uint64(65535))) << np.uint64(48) | hashed >> np.uint64(16)
-    first = np.searchsorted(doc, np.arange(len(texts) + 1))
-    popular = np.zeros(len(starts), bool)
-    if len(starts) >= NEAR:
-        best = np.lib.stride_tricks.sliding_window_view(place, NEAR).argmin(axis=1) + np.arange(len(place) - NEAR + 1)
-        popular = np.bincount(best[doc[NEAR - 1 :] == doc[: len(doc) - NEAR + 1]], minlength=len(place)) >= POPULAR
-    return [hashed[a:b][popular[a:b]] if popular[a:b].any() else hashed[a:b][[place[a:b].argmin()]] for a, b in zip(first[:-1], first[1:], strict=True)]
-
-
-def features(raws: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """64-bit features of each text in order of appearance, each once: its runs of TINY bytes if it has fewer than BOTH bytes, and its windows if it has SHORT or more."""
-    texts = [np.frombuffer(r, np.uint8) for r in raws]
-    runs = [short_features(t) if 0 < len(t) < BOTH else np.zeros(0, np.uint64) for t in texts]
-    out = [np.zeros(0, np.uint64)] * len(texts)
-    long_, size = [], 0
-    for i, t in enumerate(texts):
-        if len(t) >= SHORT:
-            long_.append(i)
-            size += len(t)
-        if long_ and (size >= 2_000_000 or i == len(texts) - 1):
-            for k, own in zip(long_, window_features([texts[k] for k in long_]), strict=True):
-                out[k] = own
-            long_, size = [], 0
+        entropy -= LOGS[upto[SPAN:] - upto[:-SPAN]]
+    rank = np.where(entropy < LEAST, 0, np.abs(entropy - np.float32(USUAL)) * np.float32(1000 / SPREAD))
+    return (np.uint64(65535) - np.minimum(rank, 65535).astype(np.uint64)) << np.uint64(48) | hashed >> np.uint64(16)
+
+
+def piece_features(pieces: list[np.ndarray]) -> list[np.ndarray]:
+    """Features of each piece in order of appearance.
+
+    Every byte starts a window, so every window is ranked; a piece of fewer than SPAN bytes is one window, filled up with zeros. Of each run of
+    NEAR windows the rarest is counted, and those that are counted POPULAR times become features: the rarest of a piece always is one.
+    """
+    pieces = [p if len(p) >= SPAN else np.concatenate([p, np.zeros(SPAN - len(p), np.uint8)]) for p in pieces]
+    sizes = np.array([len(p) for p in pieces])
+    data, ends = np.concatenate(pieces), np.cumsum(sizes)
+    # the SPAN - 1 bytes at a piece's end start no window of it, so that no run holds windows of two pieces
+    place = np.full(len(data) + 2 * (NEAR - 1), NONE, np.uint64)
+    place[NEAR - 1 : NEAR + len(data) - SPAN] = ranks(data)
+    for end in ends[:-1]:
+        place[NEAR - 1 + end - SPAN + 1 : NEAR - 1 + end] = NONE
+    step = 1
+    while step < NEAR:  # the least of each run
+        place, step = np.minimum(place[:-step], place[step:]), 2 * step
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    length = np.diff(np.concatenate([first, [len(place)]]))
+    use = (length >= POPULAR) & (place[first] != NONE)
+    chosen, at = place[first[use]], first[use]  # where a window's first run ends: at the window or after it, inside its piece
+    cuts = np.searchsorted(at, ends - sizes)
+    chosen = mix64(chosen)
+    return [chosen[a:b] for a, b in zip(cuts, [*cuts[1:], len(chosen)], strict=True)]
+
+
+def features(raws: list[bytes]) -> list[np.ndarray]:
+    """64-bit features of each text in order of appearance, each once; an empty text has none."""
+    out: list[list[np.ndarray]] = [[] for _ in raws]
+    held, owners, size = [], [], 0
+
+    def done() -> None:
+        for i, own in zip(owners, piece_features(held), strict=True):
+            out[i].append(own)
+        held.clear()
+        owners.clear()
+
+    for i, raw in enumerate(raws):
+        data = np.frombuffer(raw, np.uint8)
+        for at in range(0, len(data), PIECE):
+            if held and size + min(PIECE, len(data) - at) > PIECE:
+                done()
+                size = 0
+            held.append(data[at : at + PIECE])
+            owners.append(i)
+            size += len(held[-1])
+    if held:
+        done()
     once = lambda own: own[np.sort(np.unique(own, return_index=True)[1])]
-    return [(once(a), once(b)) for a, b in zip(runs, out, strict=True)]
+    return [once(np.concatenate([np.zeros(0, np.uint64), *parts])) for parts in out]
 
 
 def digests(raws: list[bytes]) -> list[np.ndarray]:
-    """Of each text a chain of filters [filter, byte], the first byte its family: FEATURES features each, in order, RUNS before WINDOWS."""
+    """Of each text a chain of filters [filter, byte] of FEATURES features each, in order."""
     out = []
-    for families in features(raws):
-        parts = []
-        for family, own in enumerate(families):
-            chain = np.zeros((-(-len(own) // FEATURES), BITS), bool)
-            row = np.arange(len(own)) // FEATURES
-            for i in range(HASHES):
-                chain[row, ((own >> np.uint64(11 * i)) & np.uint64(BITS - 1)).astype(np.int64)] = True
-            parts.append(np.concatenate([np.full((len(chain), 1), family, np.uint8), np.packbits(chain, axis=1)], axis=1))
-        out.append(np.concatenate(parts))
+    for own in features(raws):
+        chain = np.zeros((-(-len(own) // FEATURES), BITS), bool)
+        row = np.arange(len(own)) // FEATURES
+        for i in range(HASHES):
+            chain[row, ((own >> np.uint64(11 * i)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+        out.append(np.packbits(chain, axis=1))
     return out
 
 
@@ -140,19 +132,14 @@ def encode(chain: np.ndarray) -> str:
 
 
 def decode(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, 1 + BITS // 8)
+    return np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, BITS // 8)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1. Each filter of the shorter chain counts with its best partner in the longer: bits in common beyond those that chance gives, as a share of
-    those that are possible. Both empty: 1; one empty: 0. Windows are compared if both have them, else runs: a text of under SHORT bytes and one of BOTH or more have
-    no family in common, and give 0."""
+    those that are possible. Both empty: 1; one empty: 0."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = [(x, y) for x, y in ((a[a[:, 0] == k, 1:], b[b[:, 0] == k, 1:]) for k in (WINDOWS, RUNS)) if len(x) and len(y)]
-    if not both:
-        return 0.0
-    a, b = both[0]
     if len(a) > len(b) or (len(a) == len(b) and a.tobytes() > b.tobytes()):
         a, b = b, a
     x, y = np.unpackbits(a, axis=1).astype(np.float32), np.unpackbits(b, axis=1).astype(np.float32)
@@ -163,47 +150,62 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(score.max(axis=1).mean())
 
 
-def at_or_below(edges: list, key: str) -> Column:
-    """Number of the ascending edges that are at or below key: first the right run of about a square root of them, then the place in it."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, int(len(edges) ** 0.5))
-    runs = [edges[i : i + step] for i in range(0, len(edges), step)]
-    below = lambda run: F.size(F.filter(run, lambda e: e <= F.col(key)))
-    run = below(F.array(*[F.lit(r[0]) for r in runs]))
-    inner = F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in runs]), F.greatest(run, F.lit(1)))
-    return F.when(run == 0, 0).otherwise((run - 1) * step + below(inner))
-
-
-def with_next(docs: DataFrame, key: str, text: str, rows_a_bucket: int = 4000) -> DataFrame:
-    """docs (key, text) in buckets by ascending key, each followed by a copy of the first row of the bucket after it (head = 1).
+def with_next(docs: DataFrame, key: str, text: str, rows_a_bucket: int = 4000, most_buckets: int = 4096) -> DataFrame:
+    """docs (key, text) in buckets by ascending key, then hash of the text, each followed by a copy of the first row of the bucket after it (head = 1).
 
-    Texts are dealt once, by a bucket number that comes from a few quantiles of the keys; rows are ordered within their task.
+    Texts are dealt once. The buckets' edges are quantiles of a sample of the keys (the sample decides the balance alone); they are data that is broadcast, at most
+    most_buckets of them, and a bucket streams through its task. A key that takes several quantiles, null among them, has as many buckets, by hash.
     """
-    own = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    own = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = own.count()
-    cuts = max(1, -(-n // rows_a_bucket))
-    edges = own.agg(F.percentile_approx("key", [i / cuts for i in range(1, cuts)], 100 * cuts)).first()[0] if cuts > 1 else []
-    edges = sorted(set(edges or []))
-    bucket = at_or_below(edges, "key")
-    own = own.withColumn("bucket", F.when(F.col("key").isNull(), 0).otherwise(bucket))
-    heads = own.groupBy("bucket").agg(F.min(F.struct(F.col("key").isNotNull().alias("set"), "key")).alias("m")).select("bucket", "m.key").orderBy("bucket").collect()  # one key a bucket
+    cuts = min(most_buckets, max(1, -(-n // rows_a_bucket)))
+    wanted = 32 * cuts  # keys of the sample, at the driver
+    keys = own.select("key") if n <= wanted else own.select("key").sample(wanted / n, 9)
+    got = [r["key"] for r in keys.collect()] if cuts > 1 else []
+    known = sorted(k for k in got if k is not None)
+    none = max(1, round(cuts * (len(got) - len(known)) / max(1, len(got))))
+    edges = [known[len(known) * i // cuts] for i in range(1, cuts)] if known else []
+    times = Counter(edges)
+    edges = sorted(times)
+    room = [x for e in edges for x in (1, times[e])] + [1]  # below the first edge, at it, between it and the next, ...
+    start = none + np.concatenate([[0], np.cumsum(room)])
+    shared = own.sparkSession.sparkContext.broadcast((edges, np.array(room), start, none))
+
+    @F.pandas_udf("int")
+    def bucket_of(keys: pd.Series, hashes: pd.Series) -> pd.Series:
+        edges, room, start, none = shared.value
+        part = (hashes.to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)) / 2.0**64
+        missing = keys.isna().to_numpy()
+        out = np.minimum((part * none).astype(np.int64), none - 1)
+        if not missing.all():
+            some = keys[~missing]
+            values = some.to_numpy(dtype=object) if edges and isinstance(edges[0], str) else some.to_numpy()
+            marks = np.array(edges, dtype=values.dtype) if edges else values[:0]
+            left, right = (np.searchsorted(marks, values, side) for side in ("left", "right"))
+            slot = left + right  # even between edges, odd at one
+            out[~missing] = start[slot] + np.minimum((part[~missing] * room[slot]).astype(np.int64), room[slot] - 1)
+        return pd.Series(out.astype(np.int32))
+
+    own = own.withColumn("bucket", bucket_of("key", "hash"))
+    heads = own.groupBy("bucket").agg(F.min(F.struct(F.col("key").isNotNull().alias("set"), "key", "hash")).alias("m")).select("bucket", "m.key", "m.hash").orderBy("bucket").collect()  # one a bucket
     if not heads:
         return own.withColumns({"head": F.lit(0), "goes": F.col("bucket")})
     numbers = [h["bucket"] for h in heads]
     before = {b: numbers[i - 1] for i, b in enumerate(numbers)}  # the first follows the last
-    to = own.sparkSession.createDataFrame([(h["bucket"], h["key"], before[h["bucket"]]) for h in heads], f"bucket int, key {own.schema['key'].dataType.simpleString()}, goes int")
-    copies = own.alias("o").join(F.broadcast(to).alias("t"), (F.col("o.bucket") == F.col("t.bucket")) & F.col("o.key").eqNullSafe(F.col("t.key"))).groupBy("o.key", "t.goes").agg(F.min("o.text").alias("text"))
-    rows = own.select("key", "text", F.col("bucket").alias("goes"), F.lit(0).alias("head")).unionByName(copies.select("key", "text", "goes", F.lit(1).alias("head")))
-    return rows.repartition(max(partitions(own.sparkSession), len(numbers)), "goes").sortWithinPartitions("goes", "head", "key", "text")
+    to = own.sparkSession.createDataFrame([(h["bucket"], h["key"], h["hash"], before[h["bucket"]]) for h in heads], f"bucket int, key {own.schema['key'].dataType.simpleString()}, hash long, goes int")
+    same = (F.col("o.bucket") == F.col("t.bucket")) & F.col("o.key").eqNullSafe(F.col("t.key")) & (F.col("o.hash") == F.col("t.hash"))
+    copies = own.alias("o").join(F.broadcast(to).alias("t"), same).groupBy("o.key", "o.hash", "t.goes").agg(F.min("o.text").alias("text"))
+    rows = own.select("key", "text", "hash", F.col("bucket").alias("goes"), F.lit(0).alias("head")).unionByName(copies.select("key", "text", "hash", "goes", F.lit(1).alias("head")))
+    dealt = rows.repartition(max(partitions(own.sparkSession), len(numbers)), "goes").sortWithinPartitions("goes", "head", "key", "hash", "text")
+    return dealt.select("key", "text", "head")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next.
 
     The edited text is the text with its last floor(n_chars/4) characters replaced by as many of the first (or all) of the next document's in
-    order of key, then text (nulls first; after the last comes the first). Null text counts as empty. Rows that repeat
-    stay; the next of each is then its own repeat. Other columns aren't read.
+    order of key, then the hash of the text (nulls first; after the last comes the first). Null text counts as empty. Rows that repeat
+    stay; the next of each is then its own repeat. Keys are numbers or strings. Other columns aren't read.
     """
     kind = docs.schema[key].dataType.simpleString()
     names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
