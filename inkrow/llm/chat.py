@@ -4,80 +4,155 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkrow.llm._common import partitions, slices, stored
+
 #: Tokens a window may hold, and how many of them may repeat earlier turns. A token stands for CHARS characters.
 BUDGET, HISTORY, CHARS = 4096, 512, 4
 #: Fixed values of the template: a turn is HEAD, role, MIDDLE, text, END; an escape sign stands before each of these characters inside roles and texts.
 HEAD, MIDDLE, END, ESCAPED = "### ", ": ", " </turn>\n", "\\#<:"
 TURN = re.compile(r"### ((?:[^\\#<:]|\\.)*): ((?:[^\\#<:]|\\.)*) </turn>\n", re.S)
 UNESCAPE = re.compile(r"\\(.)", re.S)
+ESCAPE = re.compile(r"[\\#<:]")
+#: Budgets of tokens in a stretch of a conversation; stretches are cut into windows apart from each other.
+STRETCH = 64
+#: First characters of a text that deal and order the rows of one turn.
+HEAD_CHARS = 32
 WINDOW_SCHEMA = "conv string, window long, text string, n_system long, n_history long, loss array<struct<start:long,length:long>>"
 
 
-def escape(column: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"([\\#<:])", r"\\$1")
+def escape(text: str) -> str:
+    return ESCAPE.sub(r"\\\g<0>", text)
 
 
 def unescape(text: str) -> str:
     return UNESCAPE.sub(r"\1", text)
 
 
+def numbered(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """conv, role, body, tokens, seq and start (the tokens before it) of every turn, in order of turn, role and text in its conversation.
+
+    The prefix sums are taken in two steps, so that a conversation of any size is spread: rows are dealt by ranges of conversation and
+    turn and summed up within each range; only where a conversation runs over several ranges the sums of those before are added, one row a range.
+    """
+    own = turns.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("body"))
+    own = own.withColumn("begin", F.left("body", F.lit(HEAD_CHARS)))
+    order = ["conv", "turn", "role", "begin"]
+    dealt = own.repartitionByRange(partitions(turns.sparkSession), *order).sortWithinPartitions(*order, "body").withColumn("part", F.spark_partition_id())
+
+    def run(batches):
+        current, seq, at, started = None, 0, 0, False
+        for batch in slices(batches):
+            convs, roles, bodies = (batch.column(c).to_pylist() for c in ("conv", "role", "body"))
+            seqs, starts, sizes = [], [], []
+            for c, r, b in zip(convs, roles, bodies, strict=True):
+                if not started or c != current:
+                    current, seq, at, started = c, 0, 0, True
+                size = -(-len(piece(r, b)) // CHARS)
+                seqs.append(seq)
+                starts.append(at)
+                sizes.append(size)
+                seq, at = seq + 1, at + size
+            yield pa.RecordBatch.from_arrays([batch.column("conv"), batch.column("part"), batch.column("role"), batch.column("body"), *(pa.array(x, pa.int64()) for x in (seqs, starts, sizes))], ["conv", "part", "role", "body", "seq", "start", "tokens"])
+
+    rows = stored(dealt.select("conv", "part", "role", "body").mapInArrow(run, "conv string, part int, role string, body string, seq long, start long, tokens long"), "chat-turns")
+    sums = rows.groupBy("conv", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    # each border between ranges parts one conversation at most, so that these are at most twice as many as ranges
+    ends = rows.groupBy("part").agg(F.min(F.struct(F.col("conv").isNotNull(), "conv"))["conv"].alias("low"), F.max(F.struct(F.col("conv").isNotNull(), "conv"))["conv"].alias("high"))
+    edges = ends.select(F.explode(F.array("low", "high")).alias("c"), "part").distinct()
+    before = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    some = sums.alias("s").join(F.broadcast(edges).alias("e"), F.col("s.conv").eqNullSafe(F.col("e.c")) & (F.col("s.part") == F.col("e.part"))).select("s.*")
+    more = some.withColumns({"n0": F.sum("n").over(before), "t0": F.sum("t").over(before)}).where("n0 IS NOT NULL").select(F.col("conv").alias("conv_"), F.col("part").alias("part_"), "n0", "t0")
+    joined = rows.join(F.broadcast(more), F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("part") == F.col("part_")), "left")
+    return joined.select("conv", "role", "body", "tokens", (F.col("seq") + F.coalesce("n0", F.lit(0))).alias("seq"), (F.col("start") + F.coalesce("t0", F.lit(0))).alias("start"))
+
+
+def piece(role: str, body: str) -> str:
+    return f"{HEAD}{escape(role)}{MIDDLE}{escape(body)}{END}"
+
+
+def spans(start: list[int], tokens: list[int], first: int, system: int, budget: int, history: int) -> list[tuple[int, int, int]]:
+    """(first turn of the history, first turn of the span, end of the span) of each window, greedily, by the turns' prefix sums.
+
+    Turns before first only serve as history. system is the size of the system turn, 0 without any; where it has the whole budget or more, windows are cut as if there were none.
+    """
+    out, at, upto = [], first, [a + n for a, n in zip(start, tokens, strict=True)]
+    while at < len(start):
+        repeated = system if start[at] > 0 else 0  # the window of the system turn itself holds it among its turns
+        free = budget - repeated if repeated < budget else budget
+        behind = max(0, min(history, free // 2, free - tokens[at]))
+        low = bisect_left(start, start[at] - behind, 0, at)
+        if system and low < at and start[low] == 0:  # the system turn isn't history
+            low += 1
+        end = max(at + 1, bisect_right(upto, start[low] + free, at))
+        out.append((low, at, end))
+        at = end
+    return out
+
+
 def windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Formatted windows: conv, window, text, n_system, n_history (turns at the start of text that repeat) and loss.
+    """Formatted windows: conv, window (ascends in a conversation), text, n_system, n_history (turns at the start of text that repeat) and loss.
 
     Turns stand in order of turn, then role and text; nulls come first, a null role or text is empty, null conversations are one. Prefix
-    sums of the turns' tokens cut each conversation into spans of whole turns: a turn is in the span of the budget's share that its last token falls in, so that only a
-    turn longer than half of what system turn and history leave of the budget can exceed it, and no turn is cut or dropped. A leading system turn is repeated at the
-    start of each later window, then as many of the turns just before the span's first as fit in history tokens, or in half of what a long system turn
-    leaves. A system turn of the whole budget or more leaves nothing: all later windows exceed it, and are cut as if there were none. loss has
+    sums of the turns' tokens cut each conversation greedily into spans of whole turns: a window takes as many turns as fit in budget beside what it repeats, so that
+    only a single turn that doesn't fit by itself exceeds it, and no turn is cut or dropped. A leading system turn is repeated at the
+    start of each later window, then as many whole turns just before the span's first as fit in history tokens, in half of what the system turn
+    leaves, and in what the span's first turn leaves. A system turn of the whole budget or more leaves nothing: all later windows exceed it, and are cut as if there were none.
+    Every STRETCH budgets of a conversation a new span begins, so that the stretches of a long one are cut by different tasks. loss has
     (start, length) in characters of the escaped texts of the assistant turns of the span itself; repeated ones are masked.
     Rows that repeat stay turns of their own.
     """
-    own = turns.select(F.col(conv).cast("string").alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("body"))
-    piece = F.concat(F.lit(HEAD), escape("role"), F.lit(MIDDLE), escape("body"), F.lit(END))
-    own = own.withColumns({"piece": piece, "head": F.length(escape("role")) + len(HEAD + MIDDLE), "inner": F.length(escape("body"))})
-    own = own.withColumn("tokens", F.ceil((F.length("piece") / CHARS)).cast("long"))
-    # the order and the prefix sums need no texts; only the row's hash breaks ties there
-    ordered = Window.partitionBy("conv").orderBy("turn", "role", "body")
-    own = own.withColumns({"seq": F.row_number().over(ordered), "upto": F.sum("tokens").over(ordered.rowsBetween(Window.unboundedPreceding, 0))})
-    first_system = (F.col("seq") == 1) & (F.lower("role") == "system")
-    own = own.withColumn("system", first_system)
-    # the window's stride leaves room for the system turn and the history
-    of_system = F.coalesce(F.first(F.when(first_system, F.col("tokens"))).over(ordered.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    free = F.when(of_system < budget, budget - of_system).otherwise(budget).cast("long")
-    own = own.withColumn("free", free).withColumn("behind", F.least(F.lit(history), F.floor(F.col("free") / 2)).cast("long"))
-    stride = F.greatest(F.lit(1), F.floor((F.col("free") - F.col("behind")) / 2))
-    own = own.withColumns({"window": F.floor((F.col("upto") - 1) / stride).cast("long"), "start": F.col("upto") - F.col("tokens")})
-    before = F.lag("window").over(ordered)
-    own = own.withColumn("opens", F.when(before.isNotNull() & (before < F.col("window")), F.struct("start", "window")))
-    span = own.select("conv", "window", "seq", "piece", "role", "head", "inner", F.lit(2).alias("part"), F.lit(False).alias("sys"))
-    # a turn repeats in the windows after it whose first turn starts at most history tokens behind the turn's start; each turn has a token, so that they are few
-    ahead = F.collect_list("opens").over(Window.partitionBy("conv").orderBy("start").rangeBetween(1, history))
-    later = F.transform(F.filter("ahead", lambda x: x["start"] - F.col("start") <= F.col("behind")), lambda x: x["window"])
-    again = own.withColumn("ahead", ahead).where(~F.col("system") & (F.size("ahead") > 0)).withColumn("later", later)
-    again = again.select("conv", F.explode("later").alias("window"), "seq", "piece", "role", "head", "inner", F.lit(1).alias("part"), F.lit(False).alias("sys"))
-    top = own.where("system").select("conv", F.col("window").alias("own_window"), "seq", "piece", "role", "head", "inner")
-    held = span.groupBy("conv", "window").agg(F.count("*").alias("n"))
-    repeats_of_system = held.alias("h").join(top.alias("t"), F.col("h.conv").eqNullSafe(F.col("t.conv")) & (F.col("h.window") > F.col("t.own_window"))).select("h.conv", "h.window", "t.seq", "t.piece", "t.role", "t.head", "t.inner", F.lit(0).alias("part"), F.lit(True).alias("sys"))
-    rows = span.unionByName(again).unionByName(repeats_of_system)
-    packed = rows.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "piece", "role", "head", "inner"))).alias("turns"), F.count_if(F.col("part") == 0).alias("n_system"), F.count_if(F.col("part") == 1).alias("n_history"))
-    packed = packed.where(F.exists("turns", lambda t: t["part"] == 2))
-    text_out = F.array_join(F.transform("turns", lambda t: t["piece"]), "")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("loss"))
-    masked = F.aggregate(
-        "turns",
-        start,
-        lambda s, t: F.struct(
-            (s["at"] + F.length(t["piece"])).cast("long").alias("at"),
-            F.when((t["part"] == 2) & (F.lower(t["role"]) == "assistant"), F.concat(s["loss"], F.array(F.struct((s["at"] + t["head"]).cast("long").alias("start"), t["inner"].cast("long").alias("length"))))).otherwise(s["loss"]).alias("loss"),
-        ),
-        lambda s: s["loss"],
-    )
-    return packed.select("conv", "window", text_out.alias("text"), F.col("n_system").cast("long").alias("n_system"), F.col("n_history").cast("long").alias("n_history"), masked.alias("loss"))
+    room = STRETCH * budget
+    rows = numbered(turns, conv, turn, role, text).withColumn("stretch", F.floor(F.col("start") / room).cast("long"))
+    spark = turns.sparkSession
+    # a turn that starts just before a stretch may be history there; a long conversation's system turn goes to each of its stretches
+    ahead = rows.where(F.col("start") >= (F.col("stretch") + 1) * room - history).withColumn("stretch", F.col("stretch") + 1)
+    last = rows.where("stretch > 0").groupBy("conv").agg(F.max("stretch").alias("last")).withColumnRenamed("conv", "c")
+    top = rows.where((F.col("seq") == 0) & (F.lower("role") == "system"))
+    more = top.join(last, F.col("conv").eqNullSafe(F.col("c"))).withColumn("stretch", F.explode(F.sequence(F.lit(1), F.col("last")))).drop("c", "last")
+    every = rows.withColumn("part", F.lit(2)).unionByName(ahead.withColumn("part", F.lit(1))).unionByName(more.withColumn("part", F.lit(0)))
+    dealt = every.repartition(partitions(spark), "conv", "stretch").sortWithinPartitions("conv", "stretch", "part", "seq")
+
+    def formatted(held: list[dict]):
+        system = next((r for r in held if r["seq"] == 0 and r["role"].lower() == "system"), None)
+        own = [r for r in held if r["part"] > 0]
+        first = next((i for i, r in enumerate(own) if r["part"] == 2), len(own))
+        cut = spans([r["start"] for r in own], [r["tokens"] for r in own], first, system["tokens"] if system else 0, budget, history)
+        for number, (low, at, end) in enumerate(cut):
+            top = [system] * bool(system and own[at]["start"] > 0)
+            out, loss, size = [], [], 0
+            for k, r in enumerate([*top, *own[low:end]]):
+                said = piece(r["role"], r["body"])
+                if k >= len(top) + at - low and r["role"].lower() == "assistant":
+                    loss.append({"start": size + len(HEAD) + len(escape(r["role"])) + len(MIDDLE), "length": len(escape(r["body"]))})
+                out.append(said)
+                size += len(said)
+            yield (own[at]["conv"], own[at]["stretch"] << 32 | number, "".join(out), len(top), at - low, loss)
+
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+
+    def run(batches):
+        held: list[dict] = []  # the rows of one stretch: its tokens and one long turn at most
+
+        def done():
+            for w in formatted(held):
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(w, kinds, strict=True)], ["conv", "window", "text", "n_system", "n_history", "loss"])
+
+        for batch in slices(batches):
+            for r in batch.to_pylist():
+                if held and (r["conv"], r["stretch"]) != (held[0]["conv"], held[0]["stretch"]):
+                    yield from done()
+                    held = []
+                held.append(r)
+        if held:
+            yield from done()
+
+    return dealt.mapInArrow(run, WINDOW_SCHEMA)
 
 
 def parse(text: str) -> list[tuple[str, str]]:

@@ -245,25 +245,33 @@ def test_chat(spark):
     assert chat.read_back(chat.windows(frame.limit(0))).count() == 0
 
 
-def brute_windows(turns, budget, history):
-    """(texts of the system turn and the history, texts of the span) of each window of one conversation's turns (role, text without characters to escape)."""
+def brute_windows(turns, budget, history, room):
+    """(texts of the system turn and the history, texts of the span, tokens) of each window of one conversation's turns (role, text without characters to escape), turn by turn."""
     size = [-(-len(f"### {r}: {t} </turn>\n") // 4) for r, t in turns]
     start = [sum(size[:i]) for i in range(len(size))]
     system = size[0] if turns[0][0] == "system" else 0
-    free = budget - system if system < budget else budget
-    behind = min(history, free // 2)
-    number = [(a + b - 1) // max(1, (free - behind) // 2) for a, b in zip(start, size, strict=True)]
-    out = []
-    for w in sorted(set(number)):
-        first = number.index(w)
-        again = [i for i in range(first) if i >= bool(system) and start[first] - start[i] <= behind]
-        again = [0] * bool(system and first) + again
-        span = [i for i in range(len(turns)) if number[i] == w]
-        out.append(([turns[i][1] for i in again], [turns[i][1] for i in span], sum(size[i] for i in again + span), max((size[i] for i in span if i or not system), default=0), free - behind))
+    out, at = [], 0
+    while at < len(turns):
+        top = [0] * bool(system and at)
+        free = budget - (system if top and system < budget else 0)
+        behind, again = min(history, free // 2, free - size[at]), []
+        for i in range(at - 1, -1 if not system else 0, -1):
+            if sum(size[k] for k in again) + size[i] > behind:
+                break
+            again.insert(0, i)
+        span = [at]
+        for i in range(at + 1, len(turns)):
+            if start[i] // room != start[at] // room or sum(size[k] for k in again + span) + size[i] > free:
+                break
+            span.append(i)
+        out.append(([turns[i][1] for i in top + again], [turns[i][1] for i in span], sum(size[i] for i in top + again + span), len(span)))
+        at = span[-1] + 1
     return out
 
 
-def test_chat_windows_equal_brute_force(spark):
+@pytest.mark.parametrize("stretch", [64, 2])
+def test_chat_windows_equal_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(chat, "STRETCH", stretch)
     rng = random.Random(15)
     say = lambda n: " ".join(f"t{rng.randrange(10**4)}" for _ in range(n))
     who = lambda t: ["assistant", "user"][t % 2]
@@ -271,15 +279,24 @@ def test_chat_windows_equal_brute_force(spark):
     talks[20] = [("user", say(60)), ("assistant", "x" * 7000), ("user", "short"), ("assistant", "y" * 16000), ("user", "end")]
     for c, n in ((21, 8000), (22, 14000), (23, 15900), (24, 20000)):  # long system turns
         talks[c] = [("system", "s" * n)] + [(who(t), say(rng.randint(1, 20))) for t in range(60)]
+    talks[30] = [("system", "s" * 3000)] + [(who(t), "z" * 720) for t in range(900)]  # one conversation has most of the rows
     rows = [(c, t, r, x) for c, own in talks.items() for t, (r, x) in enumerate(own)]
-    got = {}
-    for r in chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("window").collect():
-        said, k = [x for _, x in chat.parse(r["text"])], r["n_system"] + r["n_history"]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got, tokens = {}, {}
+    for r in chat.windows(frame).orderBy("window").collect():
+        pieces = chat.parse(r["text"])
+        said, k = [x for _, x in pieces], r["n_system"] + r["n_history"]
         got.setdefault(int(r["conv"]), []).append((said[:k], said[k:]))
-    want = {c: brute_windows(own, chat.BUDGET, chat.HISTORY) for c, own in talks.items()}
+        tokens.setdefault(int(r["conv"]), []).append((sum(-(-len(chat.piece(*p)) // 4) for p in pieces), len(said) - k))
+        assert [unescaped for s in r["loss"] for unescaped in [chat.unescape(r["text"][s["start"] : s["start"] + s["length"]])]] == [x for role, x in pieces[k:] if role == "assistant"]
+    want = {c: brute_windows(own, chat.BUDGET, chat.HISTORY, stretch * chat.BUDGET) for c, own in talks.items()}
     assert got == {c: [w[:2] for w in own] for c, own in want.items()}
-    assert [len(h) for h, _ in got[20]] == [0, 1, 1]  # the short turn before each long one
-    assert all(tokens <= chat.BUDGET for c, own in want.items() if talks[c][0][0] != "system" or len(talks[c][0][1]) < 16000 for _, _, tokens, longest, room in own if 2 * longest <= room)
+    # only a single turn that doesn't fit exceeds the budget, and windows are filled
+    over = {c for c, own in talks.items() if own[0][0] == "system" and len(own[0][1]) >= 16000}
+    assert 24 in over and all(n <= chat.BUDGET or turns == 1 for c, own in tokens.items() if c not in over for n, turns in own)
+    assert np.mean([n for n, _ in tokens[30]]) > 0.9 * chat.BUDGET
+    back = {r["conv_id"]: r["n_turns"] for r in chat.read_back(chat.windows(frame)).collect()}
+    assert back == {c: len(own) for c, own in talks.items()}
 
 
 def brute_components(rows):
@@ -342,7 +359,10 @@ def test_shared_counts():
 def test_fingerprints(spark):
     frame = docs(spark).withColumn("head", F.lit("clash"))
     got = rows_of(fingerprint.fingerprints(frame))
-    source = sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    import xxhash
+
+    place = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (h >> 63 << 64)
+    source = sorted(((r["doc_id"], r["text"] or "") for r in frame.collect()), key=lambda x: (x[0] is not None, x[0] or 0, place(x[1])))
     want = Counter()
     for k, (d, t) in enumerate(source):
         following, q = source[(k + 1) % len(source)][1], len(t) // 4
@@ -353,9 +373,22 @@ def test_fingerprints(spark):
     chain = fingerprint.digest(text)
     assert fingerprint.likeness(chain, chain) == 1 and fingerprint.likeness(chain, fingerprint.digest(text[:-800] + prose(random.Random(12), "de", 130).encode())) > 0.5
     assert fingerprint.decode(fingerprint.encode(chain)).tolist() == chain.tolist()
-    edges = list(range(0, 1000, 7))
-    keys = spark.range(-5, 1100).withColumn("n", fingerprint.at_or_below(edges, "id"))
-    assert all(r["n"] == sum(e <= r["id"] for e in edges) for r in keys.collect())
+    for r in got:
+        own, edited = fingerprint.decode(r["fingerprint"]), fingerprint.decode(r["edited_fingerprint"])
+        assert r["near_edited"] == pytest.approx(brute_likeness(own, edited), abs=1e-5)
+    # small buckets, a key with a third of the rows and another with as many nulls
+    rows = [(k if k % 3 else None if k % 2 else 7, f"text {k} " * (1 + k % 4)) for k in range(600)]
+    many = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    source = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, place(x[1])))
+    want = Counter((d, t, source[(k + 1) % 600][1]) for k, (d, t) in enumerate(source))
+    for cast in ("long", "string"):
+        seen, last = Counter(), None
+        dealt = fingerprint.with_next(many.withColumn("doc_id", F.col("doc_id").cast(cast)), "doc_id", "text", 40).select("key", "text", "head", F.spark_partition_id().alias("p")).collect()
+        for x, y in zip(dealt, dealt[1:], strict=False):
+            if x["p"] == y["p"] and not x["head"]:
+                seen[None if x["key"] is None else int(x["key"]), x["text"], y["text"]] += 1
+        assert cast == "string" or seen == want
+        assert sum(seen.values()) == 600
     assert fingerprint.fingerprints(frame.limit(0)).count() == 0
 
 
@@ -376,18 +409,67 @@ def test_fingerprints_of_texts_without_spaces():
     assert [x.tolist() for x in fingerprint.digests([own, spaced])] == [fingerprint.digest(x).tolist() for x in (own, spaced)] == [x.tolist() for x in fingerprint.digests([spaced, own])[::-1]]
 
 
-def test_fingerprints_across_the_sizes_of_features():
+def brute_features(raw):
+    """Every window ranked, every run of windows looked at, one by one."""
+    raw = raw + bytes(max(0, fingerprint.SPAN - len(raw))) if raw else raw
+    places = []
+    for k in range(len(raw) - fingerprint.SPAN + 1):
+        window = raw[k : k + fingerprint.SPAN]
+        entropy = -sum(n / fingerprint.SPAN * math.log2(n / fingerprint.SPAN) for n in Counter(b % fingerprint.CLASSES for b in window).values())
+        rank = 0 if entropy < fingerprint.LEAST - 1e-4 else abs(entropy - fingerprint.USUAL) / fingerprint.SPREAD * 1000
+        places.append((-round(rank), window))
+    times = Counter()
+    for run in range(1 - fingerprint.NEAR, len(places)):
+        held = places[max(0, run) : run + fingerprint.NEAR]
+        times[min(held)[0]] += 1
+    return places, times
+
+
+def test_fingerprint_features_equal_brute_force():
+    rng = random.Random(18)
+    for n in (1, 5, 16, 17, 40, 400):
+        raw = "".join(rng.choice("abcdefgh  éßñ.") for _ in range(n)).encode()
+        got = fingerprint.ranks(np.frombuffer(raw + bytes(max(0, fingerprint.SPAN - len(raw))), np.uint8))
+        places, _ = brute_features(raw)
+        rank = 65535 - (got >> np.uint64(48)).astype(int)
+        assert np.abs(rank - [-p for p, _ in places]).max() <= 1
+        count = Counter(int(min(got[max(0, k) : k + fingerprint.NEAR])) for k in range(1 - fingerprint.NEAR, len(got)))
+        want = [x for x in dict.fromkeys(got.tolist()) if count[x] >= fingerprint.POPULAR]
+        assert fingerprint.features([raw])[0].tolist() == fingerprint.mix64(np.array(want, np.uint64)).tolist()
+        chain = np.zeros((1, fingerprint.BITS), bool)
+        for f in fingerprint.features([raw])[0].tolist()[: fingerprint.FEATURES]:
+            for i in range(fingerprint.HASHES):
+                chain[0, f >> 11 * i & fingerprint.BITS - 1] = True
+        assert fingerprint.digest(raw)[:1].tolist() == np.packbits(chain, axis=1).tolist()
+    long_ = [b"x" * 40, "".join(rng.choice("abc d") for _ in range(3 * fingerprint.PIECE // 2)).encode(), b"short one"]
+    assert [d.tolist() for d in fingerprint.digests(long_)] == [fingerprint.digest(x).tolist() for x in long_]
+    assert fingerprint.digest(b"").shape == (0, fingerprint.BITS // 8)
+
+
+def brute_likeness(a, b):
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    if (len(a), a.tobytes()) > (len(b), b.tobytes()):
+        a, b = b, a
+    best = []
+    for x in a:
+        scores = []
+        for y in b:
+            n, m, both = (int(np.unpackbits(z).sum()) for z in (x, y, x & y))
+            chance = n * m / fingerprint.BITS
+            scores.append(0.0 if min(n, m) <= chance else min(1.0, max(0.0, (both - chance) / (min(n, m) - chance))))
+        best.append(max(scores))
+    return sum(best) / len(best)
+
+
+def test_fingerprints_at_all_sizes():
     rng = random.Random(17)
     like = lambda a, b: fingerprint.likeness(fingerprint.digest(a), fingerprint.digest(b))
-    for size in (fingerprint.SHORT, fingerprint.BOTH):
-        text, other = (" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)) for _ in range(2))
-        below, above = text[: size - 2].encode(), (text[: size - 2] + " word").encode()
-        assert len(below) < size <= len(above) and like(below, above) == like(above, below) > 0.9
-        accented = (text[: size - 40] + text[size - 40 : size - 2].replace("e", "é").replace("a", "ä").replace("o", "ö").replace("i", "ï")).encode()
-        assert len(accented) >= size and like(below, accented) > 0.5
-        assert like(below, other[: size + 5].encode()) < 0.1
-    chain = fingerprint.digest(text[:300].encode())
-    assert set(chain[:, 0]) == {fingerprint.RUNS, fingerprint.WINDOWS} and fingerprint.decode(fingerprint.encode(chain)).tolist() == chain.tolist()
+    for size in (60, 120, 158, 160, 400, 640, 2000):
+        text, other = (" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(600)) for _ in range(2))
+        assert like(text[:size].encode(), (text[:size] + " word").encode()) > 0.6
+        assert like(text[:size].encode(), other[: size + 5].encode()) < 0.15
+    assert like(b"a", b"a") == 1 and like(b"a", b"b") < 0.1 and like(b"", b"") == 1 and like(b"", b"a") == 0
 
 
 def brute_judge(url):
