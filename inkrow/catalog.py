@@ -209,7 +209,7 @@ def resident_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
     own = table(spark, sf_dir, "customer").select(key.alias("image"), F.posexplode(said).alias("idx", "l"))
-    chars = F.lit(None).cast("array<struct<text:string,score:double>>")
+    chars = F.lit(None).cast("array<struct<text:string,score:double,box:array<struct<x:double,y:double>>>>")
     lines = own.select("image", "idx", F.col("l.text").alias("text"), F.lit(0.9).alias("score"), box.alias("box"), chars.alias("chars")).where("text IS NOT NULL")
     out = extract.resident_fields(lines, classify.title_lines(lines, classify.RESIDENT), F.lit(TODAY).cast("date"))
     return out.select("image", "field", "value", "confidence")
@@ -227,7 +227,7 @@ def license_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
     own = table(spark, sf_dir, "supplier").select(key.alias("image"), F.posexplode(F.array(*[row(*s) for s in said])).alias("idx", "l"))
-    chars = F.lit(None).cast("array<struct<text:string,score:double>>")
+    chars = F.lit(None).cast("array<struct<text:string,score:double,box:array<struct<x:double,y:double>>>>")
     lines = own.select("image", "idx", F.col("l.text").alias("text"), F.lit(0.9).alias("score"), box.alias("box"), chars.alias("chars")).where("text IS NOT NULL")
     out = extract.license_fields(lines, classify.title_lines(lines, classify.LICENSE), F.lit(TODAY).cast("date"))
     return out.select("image", "field", "value", "valid")
@@ -252,7 +252,7 @@ QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, f
 
 SQL = {
     "redact_documents": r"""SELECT doc_id, md5(coalesce(r, '')) AS redacted_md5, coalesce(r <> text, false) AS changed
-      FROM (SELECT doc_id, text, regexp_replace(text, '[0-9](?:[ \t\n\x0B\f\r\-.]*[0-9]){5,}', '[REDACTED]', 'g') AS r FROM documents)""",
+      FROM (SELECT doc_id, text, regexp_replace(text, '\p{Nd}(?:[\t\n\x0B\f\r \x{85}\p{Z}\-.]*\p{Nd}){5,}', '[REDACTED]', 'g') AS r FROM documents)""",
     "verdict_report": f"""WITH {FIELDS_SQL}
       SELECT o_orderpriority AS condition, count(*) AS n, round(avg(CAST(status = 'OK' AS INT)), 6) AS share_ok, round(avg(CAST(status = 'PARTIAL' AS INT)), 6) AS share_partial,
         round(avg(CAST(status = 'FAIL' AS INT)), 6) AS share_fail, round(avg(CAST(all_correct AS INT)), 6) AS share_correct, round(avg(CAST(status = 'OK' AND NOT all_correct AS INT)), 6) AS share_ok_wrong

@@ -1,21 +1,28 @@
-"""Fields of resident cards and driving licences from their recognised lines, one row per image and field, as decide.accepted takes them."""
+"""Fields of resident cards and driving licences from their recognised lines, one row per image and field, as decide.accepted takes them.
+
+The lines of an image are few, so they meet once, as one array per image (layout.pages), and every field is an expression on that array: one shuffle
+for all fields. Only addresses and issuers of licences, which need dictionaries, go on to joins and to the likeness of names.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkrow.functions import text
-from inkrow.operators import layout
+from inkrow.operators import address, classify, layout
+from inkrow.operators.layout import first, is_low, items, same_line
 
-#: The first days on which cards and licences were issued, the label of the conditions.
+#: The first days on which cards and licences were issued.
 EARLIEST_ISSUE, EARLIEST_LICENSE = "1968-11-21", "1960-01-01"
-CONDITION = r"^조\s*(?:건)?\s*[:：;]?\s*(.+)$"
+HANGUL = "[가-힣]"
+STRINGS = "array<string>"
+DERIVED = "map<string,string>"
 
 
-def _number_confidence(chars: Column, score: Column, digits: Column) -> Column:
+def number_confidence(chars: Column, score: Column, digits: Column) -> Column:
     """The least score of the characters that spell the digits, if every digit character is one digit and they are found, else the line's score."""
     seen = F.transform(chars, lambda c: F.struct(F.trim(text.numeric_view(c["text"])).alias("d"), c["score"].alias("score")))
     seen = F.filter(seen, lambda c: c["d"].rlike(r"^\d+$"))
@@ -25,128 +32,279 @@ def _number_confidence(chars: Column, score: Column, digits: Column) -> Column:
     return F.coalesce(F.when(fits, F.array_min(F.transform(F.slice(seen, F.greatest(at, F.lit(1)), F.length(digits)), lambda c: c["score"]))), score)
 
 
-def numbers(lines: DataFrame, today: Column) -> DataFrame:
-    """image, value, confidence, valid, verified, warnings, birth and the box x0, x1, y0, y1 of the first registration number of each image that has one.
+def _hits(lines: Column, find: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """(line, found, value) of everything that find finds in the lines, in order."""
+    return F.flatten(F.transform(lines, lambda line: F.transform(find(line["text"]), lambda r: F.struct(line.alias("line"), r.alias("r"), value(r).alias("value")))))
 
-    lines are in reading order (place) with bounds and chars. Rows of several lines are read only for images in which no line has a number.
-    Several different numbers are ambiguous and not valid.
-    """
-    box = ["x0", "x1", "y0", "y1"]
-    alone = lines.select("image", F.lit(0).alias("source"), F.col("place").alias("at"), "text", "score", "chars", *box)
-    rows = layout.rows(lines, ("chars",)).where(F.size("idxs") > 1).select("image", F.lit(1).alias("source"), F.col("row").alias("at"), "text", "score", "chars", *box)
-    hits = alone.unionByName(rows).select("*", F.posexplode(text.find_rrns("text")).alias("k", "r"))
-    part = [F.col(f"r.{c}") for c in ("front", "sex", "back")]
-    hits = hits.withColumn("value", text.rrn_formatted(*part))
-    by_source = hits.groupBy("image", "source").agg(F.min_by(F.struct("value", "r", "score", "chars", *box), F.struct("at", "k")).alias("f"), F.count_distinct("value").alias("n"))
-    one = by_source.groupBy("image").agg(F.min_by(F.struct("f", "n"), "source").alias("b")).select("image", "b.f.*", F.col("b.n").alias("n"))
-    part = [F.col(f"r.{c}") for c in ("front", "sex", "back")]
+
+def _distinct(hits: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(hits, lambda h: h["value"])))
+
+
+def with_number(pages: DataFrame, today: Column) -> DataFrame:
+    """pages with number: the first registration number of the lines, as (line, r, value, n, birth), n being how many different ones there are. Rows of several lines are read
+    only where no line has a number."""
+    value = lambda r: text.rrn_formatted(r["front"], r["sex"], r["back"])
+    out = pages.withColumn("alone", _hits(F.col("lines"), text.find_rrns, value))
+    joined = F.when(F.size("alone") == 0, F.transform(F.filter(layout.rows_of(F.col("lines")), lambda r: F.size(r) > 1), layout.merged))
+    out = out.withColumn("joined", _hits(F.coalesce(joined, layout.none_of(F.col("lines"))), text.find_rrns, value))
+    out = out.withColumn("hits", F.when(F.size("alone") > 0, F.col("alone")).otherwise(F.col("joined")))
+    hit = first(F.col("hits"))
+    number = F.struct(hit["line"].alias("line"), hit["r"].alias("r"), hit["value"].alias("value"), _distinct(F.col("hits")).alias("n"), text.rrn_birth(hit["r"]["front"], hit["r"]["sex"]).alias("birth"))
+    return out.withColumn("number", F.when(F.size("hits") > 0, number)).drop("alone", "joined", "hits")
+
+
+def field(name: str, value: Column, confidence: Column, valid: Column, boxes: Column, warnings: list[Column] = [], verified: Column | None = None, derived: Column | None = None) -> Column:  # noqa: B006
+    flags = F.array_compact(F.array(*warnings)) if warnings else F.array().cast(STRINGS)
+    verified = F.lit(False) if verified is None else F.coalesce(verified, F.lit(False))
+    derived = F.create_map().cast(DERIVED) if derived is None else F.coalesce(derived, F.create_map().cast(DERIVED))
+    return F.struct(F.lit(name).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), verified.alias("verified"), flags.alias("warnings"), boxes.alias("boxes"), derived.alias("derived"))
+
+
+def _number_field(today: Column) -> Column:
+    n, r = F.col("number"), F.col("number.r")
+    part = [r["front"], r["sex"], r["back"]]
     sound = text.rrn_checksum_ok(*part)
-    flags = [F.when(F.col("n") > 1, "AMBIGUOUS:rrn"), F.when(part[2].isNull(), "MASKED:rrn"), F.when(~sound, "CHECKSUM_MISMATCH:rrn")]
+    valid = text.rrn_is_valid(part[0], part[1], today) & (n["n"] == 1)
+    own = text.rrn_derived(*part[:2])
+    derived = F.when(valid, F.create_map(*[x for k in ("birth_date", "gender", "is_foreigner") for x in (F.lit(k), own[k].cast("string"))]))
+    flags = [F.when(n["n"] > 1, "AMBIGUOUS:rrn"), F.when(n.isNotNull() & part[2].isNull(), "MASKED:rrn"), F.when(~sound, "CHECKSUM_MISMATCH:rrn")]
     digits = F.concat(part[0], part[1], F.coalesce(part[2], F.lit("")))
-    return one.select("image", "value", _number_confidence(F.col("chars"), F.col("score"), digits).alias("confidence"), (text.rrn_is_valid(part[0], part[1], today) & (F.col("n") == 1)).alias("valid"), F.coalesce(sound, F.lit(False)).alias("verified"), F.array_compact(F.array(*flags)).alias("warnings"), text.rrn_birth(part[0], part[1]).alias("birth"), *box)
+    return field("rrn", n["value"], number_confidence(n["line"]["chars"], n["line"]["score"], digits), valid, F.array(n["line"]["box"]), flags, sound, derived)
+
+
+def with_name(pages: DataFrame, line: Column, again: DataFrame | None) -> DataFrame:
+    """pages with name: the line's leading Hangul as (line, value, score, box). again (image, text, score) are second readings of the crops of names that something is attached to."""
+    own = pages.withColumn("name_line", line)
+    line = F.col("name_line")
+    value, lead = text.leading_hangul(line["text"]), layout.leading_chars(line["chars"], lambda c: c.rlike(f"^{HANGUL}$"))
+    box = F.when(F.size(lead) > 0, layout.chars_box(line["box"], lead)).otherwise(line["box"])
+    name = F.struct(line.alias("line"), F.nullif(value, F.lit("")).alias("value"), line["score"].alias("score"), box.alias("box"))
+    if again is None:
+        return own.withColumn("name", F.when(line.isNotNull(), name)).drop("name_line")
+    own = own.join(again.select("image", F.col("text").alias("again_text"), F.col("score").alias("again_score")), "image", "left")
+    said = text.leading_hangul("again_text")
+    attached = (F.regexp_replace(line["text"], " ", "") != value) & (F.size(lead) >= 2) & text.name_is_valid(said)
+    pad = 0.25 * line["h"]
+    crop = F.transform(layout.chars_box(line["box"], lead), lambda p, i: F.struct((p["x"] + F.when(i.isin(1, 2), pad).otherwise(-pad)).alias("x"), p["y"].alias("y")))
+    better = F.struct(line.alias("line"), said.alias("value"), F.col("again_score").alias("score"), crop.alias("box"))
+    return own.withColumn("name", F.when(attached, better).when(line.isNotNull(), name)).drop("name_line", "again_text", "again_score")
+
+
+def _name_fields() -> list[Column]:
+    n = F.col("name")
+    hanja = text.hanja_in_parens(n["line"]["text"])
+    return [field("name", n["value"], n["score"], text.name_is_valid(n["value"]), F.array(n["box"])), field("name_hanja", hanja, n["line"]["score"], hanja.isNotNull(), F.array(n["line"]["box"]))]
+
+
+def with_address(pages: DataFrame, body: Column) -> DataFrame:
+    """pages with address: rows of the lines of body (texts, score, boxes), up to the first later row that reads like an issuer; null without a line of two characters that has Hangul or a digit."""
+    body = F.filter(body, lambda x: x["text"].rlike(f"{HANGUL}|[0-9]") & (F.length(F.trim(x["text"])) >= 2))
+    own = pages.withColumn("address_rows", layout.rows_of(body))
+    rows = F.col("address_rows")
+    reads = F.transform(rows, lambda r: text.let(text.repair_issuer(layout.texts(r))["value"], text.issuer_is_valid))
+    cut = F.array_position(F.transform(reads, lambda x, i: x & (i > 0)), True).cast("int")
+    own = own.withColumn("address_rows", F.when(cut > 0, F.slice(rows, 1, F.greatest(cut - 1, F.lit(0)))).otherwise(rows))
+    said = lambda r, i: text.let(layout.texts(r, text.collapse_spaces), lambda t: F.when(i == 0, text.space_after_province(t)).otherwise(t))
+    lines = F.transform(rows, lambda r, i: address.fix_spacing(said(r, i)))
+    score = F.array_min(F.transform(F.flatten(rows), lambda x: x["score"]))
+    return own.withColumn("address", F.when(F.size(rows) > 0, F.struct(lines.alias("texts"), score.alias("score"), F.transform(rows, layout.union_box).alias("boxes")))).drop("address_rows")
+
+
+def _replaced(lines: Column, changed: Column) -> Column:
+    """The lines with each change made in the first line that has the old word."""
+
+    def step(done: Column, change: Column) -> Column:
+        at = F.array_position(F.transform(done, lambda t: F.array_contains(F.split(t, " "), change["old"])), True)
+
+        def mend(t: Column) -> Column:
+            words = F.split(t, " ")
+            place = F.array_position(words, change["old"])
+            return F.array_join(F.transform(words, lambda w, i: F.when(i + 1 == place, change["new"]).otherwise(w)), " ")
+
+        return F.transform(done, lambda t, i: F.when(i + 1 == at, mend(t)).otherwise(t))
+
+    return F.aggregate(changed, lines, step)
+
+
+def _address_fields(dictionary: bool) -> list[Column]:
+    a = F.col("address")
+    changed = F.col("changed") if dictionary else F.array().cast("array<struct<old:string,new:string>>")
+    value = F.col("corrected") if dictionary else F.array_join(a["texts"], " ")
+    valid = F.col("address_valid") if dictionary else text.address_is_valid(value)
+    flags = [F.when(F.size(changed) > 0, "REPAIRED:address")]
+    return [field("address", F.when(a.isNotNull(), value), a["score"], valid, a["boxes"], flags), field("address_lines", F.array_join(_replaced(a["texts"], changed), "|"), a["score"], valid, a["boxes"])]
+
 
+def corrected(pages: DataFrame, dictionary: dict[str, DataFrame] | None) -> DataFrame:
+    """pages with corrected, changed and address_valid of their addresses, by the dictionary's provinces, districts and words; unchanged without a dictionary."""
+    if dictionary is None:
+        return pages
+    return address.correct(pages.withColumn("__address", F.array_join("address.texts", " ")), dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address").withColumnRenamed("valid", "address_valid").drop("__address")
 
-def resident_fields(lines: DataFrame, titles: DataFrame, today: Column) -> DataFrame:
-    """image, field (rrn, name, name_hanja, issue_date), value, confidence, valid, verified, warnings of the fields found.
 
-    titles (image, idx) names the title line of images that have one. The name is the lowest line with Hangul above the number, below the title and
-    left of the number's right edge; the date of issue the first below the number, from the year in which its holder turns 16. An image without a number has no fields.
+def with_issuer(pages: DataFrame, line: Column) -> DataFrame:
+    """pages with issuer (value, repaired, score, box): the text after the date in its line if it has three letters of Hangul, else the lines right of it, then the rows below, the first row that
+    opens with an issuer, or else the first with three letters. Parts are joined from the left until they read like an issuer."""
+    own = pages.withColumn("dated", line).withColumn("rest", text.text_after_numbers(F.col("dated.text")))
+    d, lines, rest = F.col("dated"), F.col("lines"), F.col("rest")
+    tail = layout.trailing_chars_after(d["chars"], lambda c: ~c.rlike(HANGUL))
+    part = lambda said, score, box: F.struct(said.alias("text"), score.alias("score"), box.alias("box"))
+    inside = F.array(part(rest, d["score"], layout.chars_box(d["box"], tail)))
+    of_line = lambda x: part(x["text"], x["score"], x["box"])
+    right = F.filter(lines, lambda x: same_line(x, d) & (x["x0"] > d["x1"]))
+    below = layout.rows_of(F.filter(lines, lambda x: is_low(x, d)))
+    candidates = F.when(F.size(right) > 0, F.concat(F.array(right), below)).otherwise(below)
+    candidates = F.filter(candidates, lambda r: text.hangul_count(layout.texts(r)) >= 3)
+    reads = lambda said: text.let(text.repair_issuer(said)["value"], text.issuer_is_valid)
+    opens = lambda said: F.exists(F.sequence(F.lit(1), F.size(said)), lambda n: reads(F.array_join(F.slice(said, F.lit(1), n), " ")))
+    own = own.withColumn("candidates", F.when(d.isNotNull() & (text.hangul_count(rest) < 3), candidates))
+    whole = F.filter("candidates", lambda r: opens(F.filter(F.transform(r, lambda x: x["text"]), lambda t: t.rlike(HANGUL))))
+    chosen = F.coalesce(first(whole), first(F.col("candidates")))
+    own = own.withColumn("parts", F.when(text.hangul_count(rest) >= 3, inside).otherwise(F.transform(chosen, of_line)))
+    # parts without Hangul in front go, but for the last part
+    start = F.array_position(F.transform("parts", lambda p: p["text"].rlike(HANGUL)), True).cast("int")
+    start = F.when(start > 0, start).otherwise(F.size("parts"))
+    own = own.withColumn("parts", F.when(F.size("parts") > 0, F.slice("parts", F.greatest(start, F.lit(1)), F.greatest(F.size("parts"), F.lit(0)))))
+    said = F.transform("parts", lambda p: p["text"])
+    enough = F.array_position(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: reads(F.array_join(F.slice(said, F.lit(1), n), " "))), True).cast("int")
+    own = own.withColumn("parts", F.when(enough > 0, F.slice("parts", F.lit(1), F.greatest(enough, F.lit(1)))).otherwise(F.col("parts")))
+    own = own.withColumn("fixed", text.repair_issuer(F.array_join(said, " ")))
+    fixed = F.col("fixed")
+    issuer = F.struct(fixed["value"].alias("value"), fixed["repaired"].alias("repaired"), F.array_min(F.transform("parts", lambda p: p["score"])).alias("score"), layout.union_box(F.col("parts")).alias("box"))
+    return own.withColumn("issuer", F.when(F.size("parts") > 0, issuer)).drop("dated", "candidates", "parts", "rest", "fixed")
+
+
+def _issuer_field(valid: Column, repaired: Column | None = None) -> Column:
+    i = F.col("issuer")
+    return field("issuer", i["value"], i["score"], valid, F.array(i["box"]), [F.when(i["repaired"] if repaired is None else repaired, "REPAIRED:issuer")])
+
+
+def _rows(pages: DataFrame, fields: list[Column]) -> DataFrame:
+    return pages.select("image", F.inline(F.filter(F.array(*fields), lambda f: f["value"].isNotNull())))
+
+
+def _date(found: Column) -> Column:
+    return F.coalesce(found["value"].cast("string"), found["raw"])
+
+
+def _dated(lines: Column) -> Column:
+    """(line, d) of every date in the lines, in order."""
+    return F.flatten(F.transform(lines, lambda line: F.transform(text.find_dates(line["text"]), lambda d: F.struct(line.alias("line"), d.alias("d")))))
+
+
+def resident_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
+    """image, field (rrn, name, name_hanja, address, address_lines, issue_date, issuer), value, confidence, valid, verified, warnings, boxes and derived of the fields found.
+
+    lines are image, idx, text, score, box and chars (may be null); lists in value are joined by a bar. titles (image, idx) names the title line of images that have one. Lines are set
+    upright by their image's angle first; boxes keep their places. The name is the lowest line with Hangul above the number, below the title and
+    left of the number's right edge; the date of issue the first below the number, from the year in which its holder turns 16; the address is between them. An image without a number has no fields.
+    dictionary holds provinces, districts and words as address.correct takes them; without it addresses stay as read. again is as for with_name.
     """
-    own = layout.reading_order(layout.bounds(lines))
-    found = numbers(own, today)
-    anchor = found.select("image", "birth", F.struct(F.col("x1"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h")).alias("a"))
-    titled = own.join(titles.select("image", "idx"), ["image", "idx"]).select("image", F.struct("idx", "cy", "h").alias("t"))
-    near = own.join(anchor, "image").join(titled, "image", "left")
-    below = lambda low, high: low["cy"] > high["cy"] + 0.5 * F.least(low["h"], high["h"])
-    line, a, t = {c: F.col(c) for c in ("cy", "h")}, F.col("a"), F.col("t")
-    is_name = below(a, line) & (F.col("x0") < a["x1"]) & F.col("text").rlike("[가-힣]") & (t.isNull() | ((F.col("idx") != t["idx"]) & below(line, t)))
-    dates = text.find_dates("text")
-    is_date = below(line, a) & (F.size(dates) > 0)
-    own = near.groupBy("image").agg(
-        F.max_by(F.when(is_name, F.struct("text", "score")), F.when(is_name, F.struct(F.col("y1"), -F.col("place")))).alias("n"),
-        F.min_by(F.when(is_date, F.struct(F.try_element_at(dates, F.lit(1)).alias("d"), "score")), F.when(is_date, F.col("place"))).alias("i"),
-        F.min("birth").alias("birth"),
-    )
-    name, hanja, day = text.leading_hangul("n.text"), text.hanja_in_parens("n.text"), F.col("i.d.value")
-    of_age = F.coalesce(day >= F.make_date(F.year("birth") + 16, F.lit(1), F.lit(1)), F.lit(True))
-    issued = F.coalesce(day.between(F.lit(EARLIEST_ISSUE).cast("date"), today) & of_age, F.lit(False))
-    row = lambda field, value, score, valid: F.struct(F.lit(field).alias("field"), value.alias("value"), score.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(False).alias("verified"), F.array().cast("array<string>").alias("warnings"))
-    read = F.array(row("name", F.nullif(name, F.lit("")), F.col("n.score"), text.name_is_valid(name)), row("name_hanja", hanja, F.col("n.score"), hanja.isNotNull()), row("issue_date", F.coalesce(day.cast("string"), F.col("i.d.raw")), F.col("i.score"), issued))
-    rest = own.select("image", F.inline(read)).where("value IS NOT NULL")
-    return found.select("image", F.lit("rrn").alias("field"), "value", F.col("confidence").cast("double").alias("confidence"), "valid", "verified", "warnings").unionByName(rest)
-
-
-def _below(low: Column | dict, high: Column | dict) -> Column:
-    return low["cy"] > high["cy"] + 0.5 * F.least(low["h"], high["h"])
-
-
-def _out(rows: DataFrame, field: str, value: Column, confidence: Column, valid: Column, *warnings: Column) -> DataFrame:
-    flags = F.array_compact(F.array(*warnings)) if warnings else F.array().cast("array<string>")
-    out = rows.select("image", F.lit(field).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(False).alias("verified"), flags.alias("warnings"))
-    return out.where("value IS NOT NULL")
-
-
-def license_fields(lines: DataFrame, titles: DataFrame, today: Column) -> DataFrame:
-    """image, field, value, confidence, valid, verified, warnings of the fields found on licences: rrn, license_number, license_types (joined by a
-    bar), name, aptitude_period (start~end), issue_date, serial_code and conditions (joined by a bar).
-
-    Places are relative to the registration number: without it only the number and kinds of the licence are read. titles is as for resident_fields.
-    lines are read once a field, so store them first if they are costly.
+    own = with_number(layout.pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
+    # no filter on the number: Spark would push it below all of the above and work that out twice; without a number every field is null
+    a, lines_ = F.col("number.line"), F.col("lines")
+    title = first(F.filter(lines_, lambda x: x["idx"] == F.col("title")))
+    above = F.filter(lines_, lambda x: is_low(a, x) & (x["x0"] < a["x1"]) & x["text"].rlike(HANGUL) & (F.col("t").isNull() | ((x["idx"] != F.col("t.idx")) & is_low(x, F.col("t")))))
+    own = with_name(own.withColumn("t", title), layout.lowest(above, "y1"), again)
+    own = own.withColumn("date", first(_dated(F.filter(lines_, lambda x: is_low(x, a)))))
+    date = F.col("date")
+    body = F.filter(lines_, lambda x: is_low(x, a) & (x["x0"] < a["x1"]) & (date.isNull() | ((x["idx"] != date["line"]["idx"]) & is_low(date["line"], x))))
+    own = corrected(with_issuer(with_address(own, body), date["line"]), dictionary)
+    day = date["d"]["value"]
+    of_age = F.coalesce(day >= F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(True))
+    issued = day.between(F.lit(EARLIEST_ISSUE).cast("date"), today) & of_age
+    fields = [_number_field(today), *_name_fields(), *_address_fields(dictionary is not None), field("issue_date", _date(date["d"]), date["line"]["score"], issued, F.array(date["line"]["box"])), _issuer_field(text.issuer_is_valid("issuer.value"))]
+    return _rows(own, fields)
+
+
+def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
+    """image, field, value, confidence, valid, verified, warnings, boxes and derived of the fields found on licences: rrn, license_number, license_region, license_types (joined by a
+    bar), name, address, address_lines, aptitude_period (start~end), issue_date, issuer (of the closed list of police offices), serial_code and conditions (joined by a bar).
+
+    Places are relative to the registration number: without it only the number, region and kinds of the licence are read. Arguments are as for resident_fields.
     """
-    own = layout.reading_order(layout.bounds(lines))
-    line = {c: F.col(c) for c in ("cy", "h")}
-    found = numbers(own, today)
-    anchor = found.select("image", "birth", F.struct("x0", "x1", ((F.col("y0") + F.col("y1")) / 2).alias("cy"), (F.col("y1") - F.col("y0")).alias("h")).alias("a"))
-
-    hits = own.select("image", "place", "score", "x0", "cy", "h", F.posexplode(text.find_license_numbers("text")).alias("k", "no")).withColumn("value", text.license_formatted(F.col("no")))
-    number = hits.groupBy("image").agg(F.min_by(F.struct("value", "no", "score", "x0", "cy", "h"), F.struct("place", "k")).alias("l"), F.count_distinct("value").alias("n"))
-    no, many = F.col("l.no"), F.col("n") > 1
-    out = [
-        found.select("image", F.lit("rrn").alias("field"), "value", F.col("confidence").cast("double").alias("confidence"), "valid", "verified", "warnings"),
-        _out(number, "license_number", F.col("l.value"), F.col("l.score"), text.license_number_is_valid(no) & ~many, F.when(many, "AMBIGUOUS:license_number"), F.when(text.license_is_masked(no), "MASKED:license_number")),
+    own = with_number(layout.pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
+    a, lines_ = F.col("number.line"), F.col("lines")
+    own = own.withColumn("licences", _hits(lines_, text.find_license_numbers, text.license_formatted))
+    own = own.withColumns({"lic": first(F.col("licences")), "n_lic": _distinct(F.col("licences"))}).drop("licences")
+    lic, no = F.col("lic"), F.col("lic.r")
+    regions = F.create_map(*[F.lit(x) for pair in text.REGIONS.items() for x in pair])
+    derived = F.when(no["region"].isin(*text.REGIONS), F.create_map(F.lit("license_region_name"), regions[no["region"]]))
+    flags = [F.when(F.col("n_lic") > 1, "AMBIGUOUS:license_number"), F.when(text.license_is_masked(no), "MASKED:license_number")]
+    fields = [
+        _number_field(today),
+        field("license_number", lic["value"], lic["line"]["score"], text.license_number_is_valid(no) & (F.col("n_lic") == 1), F.array(lic["line"]["box"]), flags, derived=derived),
+        field("license_region", no["printed"], lic["line"]["score"], F.lit(True), F.array(lic["line"]["box"])),
     ]
 
-    near = own.join(anchor, "image", "left").join(number.select("image", "l"), "image", "left").join(titles.select("image", F.col("idx").alias("title")), "image", "left")
-    a, lic = F.col("a"), F.col("l")
-    place = lambda c: F.struct(*[c[k].alias(k) for k in ("x0", "cy", "h")])
-    top = F.when(lic.isNotNull(), place(lic)).when(a.isNotNull(), place(a))
-    in_region = top.isNull() | _below(top, line) | ((F.col("x1") <= top["x0"]) & (a.isNull() | _below(a, line)))
-    kinds = near.where(in_region).withColumn("kinds", text.find_license_types("text")).where(F.size("kinds") > 0)
-    kinds = kinds.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("place", "kinds"))).alias("k"), F.min("score").alias("score")).withColumn("k", F.array_distinct(F.flatten("k.kinds")))
-    out.append(_out(kinds, "license_types", F.array_join("k", "|"), F.col("score"), F.forall("k", text.license_type_is_valid)))
-
-    near = near.where(a.isNotNull())
-    in_column = (F.col("x0") >= a["x0"] - a["h"]) & (F.col("x0") < a["x1"])
-    names = near.where(_below(a, line) & in_column & F.col("text").rlike("[가-힣]") & (lic.isNull() | _below(line, lic)) & ~F.col("idx").eqNullSafe(F.col("title")))
-    names = names.groupBy("image").agg(F.max_by(F.struct("text", "score"), F.struct(F.col("y1"), -F.col("place"))).alias("n"))
-    name = text.leading_hangul("n.text")
-    out.append(_out(names, "name", F.nullif(name, F.lit("")), F.col("n.score"), text.name_is_valid(name)))
-
-    under = near.where(_below(line, a)).withColumn("dates", text.find_dates("text"))
-    issued_here = (F.size("dates") > 0) & (F.length(F.regexp_replace(text.text_after_numbers("text"), "[^가-힣]", "")) >= 3)
-    label = under.where(in_column & text.aptitude_kind("text").isNotNull()).groupBy("image").agg(F.min_by(F.struct("cy", "h", "score"), F.struct("cy", "place")).alias("label"))
-    around = under.join(label, "image").where(F.col("cy").between(F.col("label.cy") - 0.5 * F.col("label.h"), F.col("label.cy") + 2 * F.col("label.h")) & ~F.coalesce(issued_here, F.lit(False)))
-    ordered = layout.rows(around).select("image", "row", F.posexplode("idxs").alias("pos", "idx"))
-    dated = around.select("image", "idx", "score", "label", F.posexplode("dates").alias("k", "d")).join(ordered, ["image", "idx"])
-    dated = dated.withColumn("nth", F.row_number().over(Window.partitionBy("image").orderBy("row", "pos", "k"))).where("nth <= 2")
-    period = dated.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("nth", "d", "idx"))).alias("p"), F.min(F.least("score", F.col("label.score"))).alias("score"))
-    start, end = (F.try_element_at("p", F.lit(i))["d"] for i in (1, 2))
-    said = lambda d: F.coalesce(d["value"].cast("string"), d["raw"], F.lit(""))
-    out.append(_out(period, "aptitude_period", F.concat(said(start), F.lit("~"), said(end)), F.col("score"), F.date_diff(end["value"], start["value"]).between(0, 400)))
-
-    used = period.select("image", F.explode("p.idx").alias("idx")).distinct()
-    days = under.where(F.size("dates") > 0).join(used, ["image", "idx"], "left_anti").groupBy("image").agg(F.max_by(F.struct(F.col("dates")[0].alias("d"), "score", "cy", "h"), F.struct(F.col("cy"), -F.col("place"))).alias("i"), F.first("birth").alias("birth"))
-    day = F.col("i.d.value")
-    earliest = F.coalesce(F.make_date(F.year("birth") + 16, F.lit(1), F.lit(1)), F.lit(EARLIEST_LICENSE).cast("date"))
-    out.append(_out(days, "issue_date", said(F.col("i.d")), F.col("i.score"), day.between(earliest, today)))
-
-    i = F.col("i")
-    codes = under.join(days.select("image", "i"), "image", "left").withColumn("code", text.find_serial_code("text"))
-    codes = codes.where(F.col("code").isNotNull() & ((F.col("x0") + F.col("x1")) / 2 > a["x1"]) & (i.isNull() | _below(i, line)))
-    codes = codes.groupBy("image").agg(F.max_by(F.struct("code", "score"), F.struct(F.col("x0"), -F.col("place"))).alias("c"))
-    out.append(_out(codes, "serial_code", F.col("c.code"), F.col("c.score"), F.lit(True), F.when(text.has_lookalike("c.code"), "LOOKALIKE:serial_code")))
-
-    marks = layout.rows(under.where(F.col("x0") < a["x1"])).withColumn("said", F.regexp_extract(F.trim("text"), CONDITION, 1)).where(F.length("said").between(1, 12))
-    marks = marks.groupBy("image").agg(F.min_by(F.struct("said", "score"), "row").alias("m"))
-    out.append(_out(marks, "conditions", F.array_join(F.array_remove(F.split("m.said", r"[,·\s]+"), ""), "|"), F.col("m.score"), F.lit(True)))
-    return reduce(DataFrame.unionByName, out)
+    top = F.coalesce(lic["line"], a)
+    region = F.filter(lines_, lambda x: top.isNull() | is_low(top, x) | ((x["x1"] <= top["x0"]) & (a.isNull() | is_low(a, x))))
+    kinds = F.filter(F.transform(region, lambda x: F.struct(x.alias("line"), text.find_license_types(x["text"]).alias("kinds"))), lambda k: F.size(k["kinds"]) > 0)
+    own = own.withColumn("kinds", kinds)
+    own = own.withColumn("every", F.array_distinct(F.flatten(F.transform("kinds", lambda k: k["kinds"]))))
+    every = F.col("every")
+    used = F.transform("kinds", lambda k: k["line"])
+    fields.append(field("license_types", F.when(F.size("kinds") > 0, F.array_join(every, "|")), F.array_min(F.transform(used, lambda x: x["score"])), F.forall(every, text.license_type_is_valid), F.array(layout.union_box(used))))
+
+    in_column = lambda x: (x["x0"] >= a["x0"] - a["h"]) & (x["x0"] < a["x1"])
+    above = F.filter(lines_, lambda x: is_low(a, x) & in_column(x) & x["text"].rlike(HANGUL) & (lic.isNull() | is_low(x, lic["line"])) & ~x["idx"].eqNullSafe(F.col("title")))
+    own = with_name(own, layout.lowest(above, "y1"), again)
+    fields.append(_name_fields()[0])
+
+    own = own.withColumn("under", F.filter(lines_, lambda x: is_low(x, a)))
+    by_height = lambda of: items(of, "cy", "place")
+    label = first(by_height(F.filter("under", lambda x: in_column(x) & text.aptitude_kind(x["text"]).isNotNull())))
+    own = own.withColumn("label", label)
+    label = F.col("label")
+    issue_line = lambda x: (F.size(text.find_dates(x["text"])) > 0) & (text.hangul_count(text.text_after_numbers(x["text"])) >= 3)
+    around = F.filter("under", lambda x: x["cy"].between(label["cy"] - 0.5 * label["h"], label["cy"] + 2 * label["h"]) & ~F.coalesce(issue_line(x), F.lit(False)))
+    own = own.withColumn("period", F.when(label.isNotNull(), F.slice(_dated(F.flatten(layout.rows_of(around))), 1, 2)))
+    start, end = (F.try_element_at("period", F.lit(i)) for i in (1, 2))
+    used = F.transform("period", lambda p: p["line"])
+    fits = F.date_diff(end["d"]["value"], start["d"]["value"]).between(0, 400)
+    expired = F.when(fits, F.create_map(F.lit("is_expired"), (end["d"]["value"] < today).cast("string"), F.lit("kind"), text.aptitude_kind(label["text"])))
+    value = F.concat(_date(start["d"]), F.lit("~"), F.coalesce(_date(end["d"]), F.lit("")))
+    fields.append(field("aptitude_period", value, F.least(F.array_min(F.transform(used, lambda x: x["score"])), label["score"]), fits, F.array(layout.union_box(used)), derived=expired))
+
+    taken = F.coalesce(F.transform("period", lambda p: p["line"]["idx"]), F.array().cast("array<int>"))
+    own = own.withColumn("days", _dated(F.filter("under", lambda x: ~F.array_contains(taken, x["idx"]))))
+    own = own.withColumn("low", F.array_max(F.transform("days", lambda x: x["line"]["cy"])))
+    own = own.withColumn("date", first(F.filter("days", lambda x: x["line"]["cy"] == F.col("low"))))
+    date, day = F.col("date"), F.col("date.d.value")
+    earliest = F.coalesce(F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(EARLIEST_LICENSE).cast("date"))
+    fields.append(field("issue_date", _date(date["d"]), date["line"]["score"], day.between(earliest, today), F.array(date["line"]["box"])))
+
+    dated = first(by_height(F.filter("under", lambda x: in_column(x) & (F.size(text.find_dates(x["text"])) > 0))))
+    stops = F.array_compact(F.array(F.struct(label["cy"].alias("cy"), label.alias("line")), F.struct(dated["cy"].alias("cy"), dated.alias("line")), F.struct(date["line"]["cy"].alias("cy"), date["line"].alias("line"))))
+    own = own.withColumn("stop", first(F.sort_array(F.filter(stops, lambda s: s["cy"].isNotNull())))["line"])
+    body = F.filter("under", lambda x: in_column(x) & (F.col("stop").isNull() | is_low(F.col("stop"), x)))
+    own = with_issuer(with_address(own, body), date["line"])
+    issuer = F.col("issuer")
+    own = own.withColumn("snapped", classify.snap_to_list(issuer["value"], text.POLICE_ISSUERS))
+    known = F.col("snapped.value").isin(*text.POLICE_ISSUERS)
+    own = corrected(own.withColumn("issuer", F.when(issuer.isNotNull(), issuer.withField("value", F.col("snapped.value")).withField("repaired", issuer["repaired"] | F.col("snapped.changed")))), dictionary)
+    fields += [*_address_fields(dictionary is not None), _issuer_field(known)]
+
+    coded = F.filter("under", lambda x: ((x["x0"] + x["x1"]) / 2 > a["x1"]) & (date.isNull() | is_low(date["line"], x)) & text.find_serial_code(x["text"]).isNotNull())
+    line = layout.lowest(coded, "x0")
+    own = own.withColumn("serial_line", line).withColumn("serial", text.find_serial_code("serial_line.text")).withColumn("others", text.serial_alternatives("serial"))
+    line, code, others = F.col("serial_line"), F.col("serial"), F.col("others")
+    derived = F.when(F.size(others) > 0, F.create_map(F.lit("serial_code_alternatives"), F.array_join(others, "|")))
+    fields.append(field("serial_code", code, line["score"], F.lit(True), F.array(line["box"]), [F.when(text.has_lookalike(code), "LOOKALIKE:serial_code")], derived=derived))
+
+    own = own.withColumn("marked", first(F.filter(layout.rows_of(F.filter("under", lambda x: x["x0"] < a["x1"])), lambda r: text.condition_codes(layout.texts(r)).isNotNull())))
+    marked = F.col("marked")
+    fields.append(field("conditions", F.array_join(text.condition_codes(layout.texts(marked)), "|"), F.array_min(F.transform(marked, lambda x: x["score"])), F.lit(True), F.array(layout.union_box(marked))))
+    return _rows(own, fields)
+
+
+def numbers(lines: DataFrame, today: Column) -> DataFrame:
+    """image with the registration number's row of the fields, for images that have one."""
+    return _rows(with_number(layout.pages(lines), today), [_number_field(today)])
+
+
+def merged_warnings(fields: DataFrame) -> DataFrame:
+    """image and warnings: those of its fields, each once, in the fields' order of the alphabet."""
+    held = fields.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("field", "warnings"))).alias("w"))
+    return held.select("image", F.array_distinct(F.flatten(F.transform("w", lambda x: x["warnings"]))).alias("warnings"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkrow.functions.text import let
 
 def bounds(lines: DataFrame, box: str = "box") -> DataFrame:
     """lines with x0, x1, y0, y1, h and cy of the box."""
@@ -88,3 +89,117 @@ def turned_back(box: Column, rotation: Column, width: Column, height: Column, sc
         return F.struct(F.round(x / scale, 1).alias("x"), F.round(y / scale, 1).alias("y"))
 
     return F.transform(box, back)
+
+
+def first(values: Column) -> Column:
+    return F.try_element_at(values, F.lit(1))
+
+
+def is_low(low: Column, high: Column) -> Column:
+    """Whether a line is below another by more than half of the lesser height."""
+    return low["cy"] > high["cy"] + 0.5 * F.least(low["h"], high["h"])
+
+
+def same_line(a: Column, b: Column) -> Column:
+    return F.abs(a["cy"] - b["cy"]) <= 0.5 * F.least(a["h"], b["h"])
+
+
+def none_of(lines: Column) -> Column:
+    """An empty array of the lines' type."""
+    return F.slice(lines, 1, 0)
+
+
+def items(lines: Column, *by: str) -> Column:
+    """The lines in order of the named numbers."""
+    keyed = F.transform(lines, lambda x: F.struct(*[x[b].alias(f"k{i}") for i, b in enumerate(by)], x.alias("line")))
+    return F.transform(F.array_sort(keyed), lambda k: k["line"])
+
+
+def lowest(lines: Column, by: str) -> Column:
+    """The line with the most of the named number, the first of equals; null without lines."""
+    best = lambda own: let(F.array_max(F.transform(own, lambda x: x[by])), lambda most: first(F.filter(own, lambda x: x[by] == most)))
+    return let(lines, best)
+
+
+def pages(lines: DataFrame, least_degrees: float = 1.0) -> DataFrame:
+    """image and lines: the lines of an image as one array in reading order, of (place, idx, text, score, box, chars, x0, x1, y0, y1, h, cy).
+
+    Blank lines go. Bounds are those of the box turned back by the median angle of the lines' top edges, if that is a degree or more; box stays as it was.
+    """
+    held = lines.where(F.trim("text") != "").groupBy("image").agg(F.collect_list(F.struct("idx", "text", "score", "box", "chars")).alias("held"))
+    side = lambda b, i, j: F.hypot(b[j]["x"] - b[i]["x"], b[j]["y"] - b[i]["y"])
+    flat = F.filter("held", lambda x: (F.length(F.trim(x["text"])) >= 3) & (side(x["box"], 0, 1) > 2 * side(x["box"], 0, 3)))
+    slopes = F.array_sort(F.transform(flat, lambda x: F.atan2(x["box"][1]["y"] - x["box"][0]["y"], x["box"][1]["x"] - x["box"][0]["x"])))
+    held = held.withColumn("slopes", slopes)
+    middle = lambda k: F.try_element_at("slopes", (F.floor((F.size("slopes") + k) / 2)).cast("int"))
+    angle = F.when(F.size("slopes") > 0, (F.try_element_at("slopes", F.greatest(F.floor((F.size("slopes") + 1) / 2), F.lit(1)).cast("int")) + middle(2)) / 2).otherwise(0.0)
+    held = held.withColumn("turn", F.when(F.abs(angle) >= math.radians(least_degrees), -angle).otherwise(0.0))
+    turn = F.col("turn")
+
+    def bounded(x: Column) -> Column:
+        xs = F.transform(x["box"], lambda p: p["x"] * F.cos(turn) - p["y"] * F.sin(turn))
+        ys = F.transform(x["box"], lambda p: p["x"] * F.sin(turn) + p["y"] * F.cos(turn))
+        return F.struct(F.array_min(ys).alias("y0"), F.array_min(xs).alias("x0"), x["idx"].alias("idx"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), x.alias("own"))
+
+    def whole(b: Column, i: Column) -> Column:
+        own = b["own"]
+        return F.struct((i + 1).alias("place"), b["idx"].alias("idx"), own["text"].alias("text"), own["score"].alias("score"), own["box"].alias("box"), own["chars"].alias("chars"), *[b[c].alias(c) for c in ("x0", "x1", "y0", "y1")], (b["y1"] - b["y0"]).alias("h"), ((b["y0"] + b["y1"]) / 2).alias("cy"))
+
+    return held.withColumn("sorted", F.array_sort(F.transform("held", bounded))).select("image", F.transform("sorted", whole).alias("lines"))
+
+
+def rows_of(lines: Column) -> Column:
+    """Rows of lines (arrays in order of x0) from the top: by cy, a line joins the last row if it is in the same row as any of its members, else it opens another."""
+
+    def step(done: Column, line: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joins = F.coalesce(F.exists(last, lambda m: same_line(m, line)), F.lit(False))
+        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, F.array(line))))
+        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.array(line))))
+
+    folded = let(lines, lambda own: F.aggregate(items(own, "cy", "place"), F.slice(F.array(own), 1, 0), step))
+    return F.transform(folded, lambda r: items(r, "x0", "place"))
+
+
+def texts(row: Column, each=None) -> Column:
+    """The texts of a row's lines, joined by spaces."""
+    return F.array_join(F.transform(row, lambda x: each(x["text"]) if each else x["text"]), " ")
+
+
+def merged(row: Column) -> Column:
+    """A row as one line: texts joined, the least score, the box around all, characters strung together where every line has them."""
+    low = lambda c: F.array_min(F.transform(row, lambda x: x[c]))
+    high = lambda c: F.array_max(F.transform(row, lambda x: x[c]))
+    chars = F.flatten(F.transform(row, lambda x: x["chars"]))
+    return F.struct(low("place").alias("place"), row[0]["idx"].alias("idx"), texts(row).alias("text"), low("score").alias("score"), union_box(row).alias("box"), chars.alias("chars"), low("x0").alias("x0"), high("x1").alias("x1"), low("y0").alias("y0"), high("y1").alias("y1"), (high("y1") - low("y0")).alias("h"), ((low("y0") + high("y1")) / 2).alias("cy"))
+
+
+def quad(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    point = lambda x, y: F.struct(F.round(x, 1).alias("x"), F.round(y, 1).alias("y"))
+    return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1))
+
+
+def union_box(lines: Column) -> Column:
+    """The upright box around the boxes of the lines, rounded to a tenth; null without lines."""
+    part = lambda points, k: F.transform(points, _part(k))
+    around = lambda p: F.when(F.size(p) > 0, quad(F.array_min(part(p, "x")), F.array_min(part(p, "y")), F.array_max(part(p, "x")), F.array_max(part(p, "y"))))
+    return let(F.flatten(F.transform(lines, lambda x: x["box"])), around)
+
+
+def chars_box(box: Column, chars: Column) -> Column:
+    """The box of some characters of a line: their range across, the line's height; the line's box without characters or where they have no boxes."""
+    xs = F.transform(F.flatten(F.transform(chars, lambda c: c["box"])), _part("x"))
+    ys = F.transform(box, _part("y"))
+    return F.when(F.size(xs) > 0, quad(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))).otherwise(box)
+
+
+def leading_chars(chars: Column, fits) -> Column:
+    """The characters before the first whose text doesn't fit."""
+    stop = F.array_position(F.transform(chars, lambda c: fits(c["text"])), False).cast("int")
+    return F.when(stop > 0, F.slice(chars, 1, F.greatest(stop - 1, F.lit(0)))).otherwise(chars)
+
+
+def trailing_chars_after(chars: Column, stops) -> Column:
+    """The characters after the last whose text stops."""
+    last = F.array_max(F.transform(chars, lambda c, i: F.when(stops(c["text"]), i + 1).otherwise(0)))
+    return F.slice(chars, F.coalesce(last, F.lit(0)) + 1, F.greatest(F.size(chars), F.lit(0)))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,55 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder that spark.checkpoint.dir names, and read again, so that its plan isn't worked out once for each use. A local session without one takes a folder of its own."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
+        folder = f"file://{tempfile.mkdtemp(prefix='inkrow-')}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def truth(spark: SparkSession, index: str, folder: str, fields: str) -> DataFrame:
+    """image, condition, document_type and fields (a struct of the given columns) of the rows of an index in JSON lines (image, gt, condition, document_type), each joined to its file of truth.
+
+    Paths in the index are relative to folder. Rows without a file stay with null fields.
+    """
+    rows = spark.read.schema("image string, gt string, condition string, document_type string").json(index)
+    held = spark.read.schema(f"document_type string, fields struct<{fields}>").option("recursiveFileLookup", "true").option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
+    held = held.select(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file"), F.input_file_name().alias("path"), F.col("document_type").alias("of_truth"), "fields")
+    rows = rows.withColumn("file", F.regexp_extract("gt", "([^/]*)$", 1)).alias("r")
+    both = rows.join(held.alias("t"), (F.col("r.file") == F.col("t.file")) & F.endswith(F.url_decode("t.path"), F.concat(F.lit("/"), F.col("r.gt"))), "left")
+    return both.select("r.image", "r.condition", F.coalesce("t.of_truth", "r.document_type").alias("document_type"), "t.fields")
+
+
+def lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(provinces, districts) as address.correct takes them, from JSON with sido (names) and sgg (names by province)."""
+    own = spark.read.schema("sido array<string>, sgg map<string,array<string>>").option("multiLine", "true").json(path)
+    provinces = own.select(F.explode("sido").alias("province")).distinct()
+    districts = own.select(F.explode("sgg").alias("province", "names")).select("province", F.explode("names").alias("district")).distinct()
+    return provinces, districts
+
+
+def write_lexicon(districts: DataFrame, path: str) -> None:
+    """The lexicon of districts (province, district) as one line of JSON, names in order; names of a city and its ward are taken apart. It's a country's administrative names, so one row holds it."""
+    from inkrow.operators.address import split_district
+
+    own = districts.select("province", F.explode(split_district(F.col("district"))).alias("district")).distinct()
+    held = own.groupBy("province").agg(F.array_sort(F.collect_list("district")).alias("names"))
+    out = held.agg(F.array_sort(F.collect_list("province")).alias("sido"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("province", "names")))).alias("sgg"))
+    out.coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_results(rows: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Rows as JSON lines, nulls kept, in folders by the named columns: results, checks, and sets of synthetic cards."""
+    (rows.write.mode("overwrite").partitionBy(*by) if by else rows.write.mode("overwrite")).option("ignoreNullFields", "false").json(path)
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINES).json(path)
 

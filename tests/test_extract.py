@@ -35,14 +35,17 @@ def test_addresses(spark):
         got = address.correct(df, provinces, districts, words).orderBy("id").collect()
         assert [(r.corrected, r.valid) for r in got] == [c[1:] for c in cases]
     assert [tuple(p) for p in got[0].changed] == [("대전광역세", "대전광역시")]
+    same = spark.createDataFrame([(1, "서울특별시 송파구 올림픽루 1"), (1, "서울특별시 종로구 은천로 93"), (None, "서울특별시 종로구 올림픽루 2")], "id int, address string")  # ids repeat and are missing
+    fixed = address.correct(same, provinces, districts, spark.createDataFrame([("올림픽로",), ("은천로",)], "word string")).collect()
+    assert {(r.id, r.corrected, r.changed[0].new if r.changed else None) for r in fixed} == {(1, "서울특별시 송파구 올림픽로 1", "올림픽로"), (1, "서울특별시 종로구 은천로 93", None), (None, "서울특별시 종로구 올림픽로 2", "올림픽로")}
     assert spark.createDataFrame([("성남시분당구",)], "d string").select(address.split_district(F.col("d"))).first()[0] == ["성남시", "분당구"]
 
 
-LINES = "image long, idx int, text string, score double, box array<struct<x:double,y:double>>, chars array<struct<text:string,score:double>>"
+LINES = "image long, idx int, text string, score double, box array<struct<x:double,y:double>>, chars array<struct<text:string,score:double,box:array<struct<x:double,y:double>>>>"
 
 
 def line(image, idx, said, x, y, w, h=20, score=0.9, chars=None):
-    return image, idx, said, score, [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))], chars
+    return image, idx, said, score, [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))], chars and [(*c, None) for c in chars]
 
 
 def test_resident_fields(spark):
@@ -85,7 +88,9 @@ def test_license_fields(spark):
     titles = spark.createDataFrame([(1, 0)], "image long, idx int")
     rows = extract.license_fields(lines, titles, F.lit("2026-10-07").cast("date")).collect()
     got = {(r.image, r.field): (r.value, r.confidence, r.valid, r.warnings) for r in rows}
-    assert len(got) == len(rows) == 10
+    assert len(got) == len(rows) == 15
+    assert got[1, "address"][:3] == ("서울특별시 중구 세종대로 1", 0.9, True) and got[1, "issuer"] == ("서울특별시경찰청장", 0.9, True, [])
+    assert {(r.image, r.field): r.derived for r in rows if r.derived}[1, "license_number"] == {"license_region_name": "서울"}
     assert got[2, "rrn"] == ("123456-6******", 0.9, False, ["MASKED:rrn"])  # a licence number with a hidden check digit reads as a hidden number too
     assert got[1, "rrn"][0] == "800101-1234567"
     assert got[1, "license_number"] == ("11-20-123456-61", 0.9, True, [])
