@@ -158,7 +158,8 @@ def row_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.rows(layout.bounds(_lines(spark, sf_dir)))
+    own = layout.rows(layout.bounds(_lines(spark, sf_dir)))
+    return own.withColumns({"row": F.col("row").cast("long"), "idxs": F.array_join(F.col("idxs").cast("array<string>"), ",")})
 
 
 def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +167,123 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def synthetic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.cards(spark, 200)
+    """A card for every customer, every value drawn from a hash of its key."""
+    return synthetic.cards(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+
+
+def _syllable(code) -> DataFrame:
+    return F.decode(F.unhex(F.lpad(F.hex(code + 0xAC00), 4, "0")), "UTF-16BE")
 
 
 def jamo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of each synthetic name to the next number's."""
-    own = synthetic.cards(spark, 200).select("id", "name")
-    both = own.join(own.select((F.col("id") - 1).alias("id"), F.col("name").alias("next")), "id")
-    return both.select("id", "name", "next", jamo.jamo_distance(F.col("name"), F.col("next")).alias("distance"))
+    """Distance of two words of two syllables made of each customer's key; the second has one letter or a whole syllable changed, or none."""
+    key = F.col("c_custkey")
+    first, second = key * 7919 % 11172, key * 104729 % 11172
+    changed = F.when(key % 4 == 0, second).when(key % 4 == 1, F.floor(second / 28) * 28 + (second + 1) % 28).when(key % 4 == 2, (second + 588) % 11172).otherwise(key * 31 % 11172).cast("long")
+    words = table(spark, sf_dir, "customer").select("c_custkey", F.concat(_syllable(first), _syllable(second)).alias("a"), F.concat(_syllable(first), _syllable(changed)).alias("b"))
+    return words.select("c_custkey", jamo.jamo_distance(F.col("a"), F.col("b")).cast("long").alias("distance"))
+
+
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of documents made of orders: a title in full or with a letter wrong, in another text, in English, or none."""
+    titles = ["주민등록증", "x 주민등록중 1", "자동차운전면허증", "운전면허증 1종", "Driver's License", "여권", ""]
+    key = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(key.alias("image"), F.lit(0).alias("idx"), F.element_at(F.array(*map(F.lit, titles)), (key % 7 + 1).cast("int")).alias("text"))
+    return classify.document_types(lines)
+
+
+def police_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Police offices made of suppliers, snapped to the closed list: exact, spaced, with a letter wrong, or none."""
+    said = ["서울지방경찰청장", "부산 경찰청장", "경기남부경찰청징", "동장"]
+    own = table(spark, sf_dir, "supplier").select("s_suppkey", classify.snap_to_list(F.element_at(F.array(*map(F.lit, said)), (F.col("s_suppkey") % 4 + 1).cast("int")), text.POLICE_ISSUERS).alias("s"))
+    return own.select("s_suppkey", F.col("s.value").alias("value"), F.col("s.changed").alias("changed"))
+
+
+def line_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Angle of each order's lines, made of part keys as slopes."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    rise = (F.col("l_partkey") % 21 - 10).cast("double")
+    w = F.col("l_quantity") * 4
+    box = F.array(point(F.lit(0), F.lit(0)), point(w, rise), point(w, rise + 20), point(F.lit(0), F.lit(20)))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("text"), box.alias("box"))
+    return layout.text_angle(lines).withColumn("angle", F.round("angle", 9))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(fields, images) of resident cards made of orders: five fields with confidences and validity from the order's numbers, some left out."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    names = ["name", "rrn", "address", "issue_date", "issuer"]
+    confidence = lambda i: F.lit(0.99) - ((key * (7 + i)) % 23) / 100
+    none = F.array().cast("array<array<struct<x:double,y:double>>>")
+    warning = lambda n: F.when(F.lit(n == "rrn") & (key % 6 == 0), F.array(F.lit("CHECKSUM_MISMATCH:rrn"))).otherwise(F.array().cast("array<string>"))
+    value = lambda n: F.concat(F.lit(f"{n} "), (key % 100).cast("string"), F.lit("-1234567"))
+    rows = [F.struct(F.lit(n).alias("field"), value(n).alias("value"), confidence(i).cast("double").alias("confidence"), ((key + i) % 9 != 0).alias("valid"), (F.lit(n == "rrn") & (key % 2 == 0)).alias("verified"), warning(n).alias("warnings"), none.alias("boxes"), F.create_map().cast("map<string,string>").alias("derived"), ((key + i) % 8 != 0).alias("there")) for i, n in enumerate(names)]
+    fields = orders.select(key.alias("image"), F.inline(F.array(*rows))).where("there").drop("there")
+    kind = F.when(key % 17 == 0, "UNKNOWN").otherwise("RESIDENT_CARD")
+    images = orders.select(key.alias("image"), kind.alias("document_type"), (key % 13).alias("n_lines"), (key % 19 != 0).alias("decoded"), F.col("o_orderpriority").alias("condition"), (key % 700).alias("elapsed_ms"))
+    return decide.strict_checksum(fields), images
+
+
+RESULTS_SQL = """f AS (
+  SELECT o_orderkey AS k, n AS field, n || ' ' || CAST(o_orderkey % 100 AS VARCHAR) || '-1234567' AS value, 0.99 - ((o_orderkey * (7 + i)) % 23) / 100 AS confidence,
+    (o_orderkey + i) % 9 <> 0 AND NOT (n = 'rrn' AND o_orderkey % 6 = 0) AS valid, n = 'rrn' AND o_orderkey % 2 = 0 AS verified, i
+  FROM orders, (VALUES (0, 'name', 0.85), (1, 'rrn', 0.9), (2, 'address', 0.8), (3, 'issue_date', 0.9), (4, 'issuer', 0.85)) AS s(i, n, least) WHERE (o_orderkey + i) % 8 <> 0),
+a AS (SELECT *, valid AND confidence >= CASE WHEN verified THEN 0.6 WHEN field IN ('rrn', 'issue_date') THEN 0.9 WHEN field = 'address' THEN 0.8 ELSE 0.85 END AS accepted FROM f),
+g AS (SELECT k, count(*) FILTER (accepted AND field IN ('name', 'rrn')) AS n_core, count(*) FILTER (accepted) AS n_all, max(value) FILTER (field = 'rrn') AS rrn, bool_or(field = 'rrn') AS has_rrn FROM a GROUP BY k),
+res AS (
+  SELECT o_orderkey AS image, CASE WHEN o_orderkey % 19 = 0 THEN 'IMAGE_DECODE_ERROR' WHEN o_orderkey % 13 = 0 THEN 'NO_TEXT' WHEN o_orderkey % 17 = 0 THEN 'UNSUPPORTED_DOCUMENT' WHEN coalesce(n_core, 0) < 2 THEN 'LOW_CONFIDENCE' END AS fail_reason,
+    coalesce(n_all, 0) AS n_all, rrn, coalesce(has_rrn, false) AS has_rrn, o_orderpriority AS condition, o_orderkey % 700 AS elapsed_ms FROM orders LEFT JOIN g ON k = o_orderkey),
+st AS (SELECT *, CASE WHEN fail_reason IS NOT NULL THEN 'FAIL' WHEN n_all = 5 THEN 'OK' ELSE 'PARTIAL' END AS status, fail_reason IS NULL OR fail_reason = 'LOW_CONFIDENCE' AS read FROM res)"""
+
+
+def card_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decide.assemble(*_results(spark, sf_dir), mask=True)
+    return out.select("image", "status", "fail_reason", F.col("fields")["rrn"].alias("rrn"), F.size("fields").cast("long").alias("n_fields"), F.array_join("warnings", "|").alias("warnings"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fields, images = _results(spark, sf_dir)
+    results = decide.assemble(fields, images)
+    key = F.col("o_orderkey")
+    right = lambda n, i: F.concat(F.lit(n), ((key + F.when((key + i) % 5 == 0, 1).otherwise(0)) % 100).cast("string"), F.lit("-1234567"))
+    entries = [x for i, n in enumerate(["name", "rrn", "address", "issue_date", "issuer"]) for x in (F.lit(n), right(n, i))]
+    truth = table(spark, sf_dir, "orders").select(key.alias("image"), F.lit("RESIDENT_CARD").alias("document_type"), F.create_map(*entries).alias("fields"))
+    return evaluate.scored(fields, truth, results), results.join(images.select("image", "condition", "elapsed_ms"), "image")
+
+
+SCORED_SQL = RESULTS_SQL + """, sc AS (
+  SELECT st.image, s.field, s.i, condition, st.status, elapsed_ms, a.value AS pred, s.field || CAST((image + CASE WHEN (image + s.i) % 5 = 0 THEN 1 ELSE 0 END) % 100 AS VARCHAR) || '-1234567' AS gt, image % 17 <> 0 AS same, read
+  FROM st, (VALUES (0, 'name'), (1, 'rrn'), (2, 'address'), (3, 'issue_date'), (4, 'issuer')) AS s(i, field) LEFT JOIN a ON a.k = st.image AND a.field = s.field),
+sd AS (SELECT *, CASE WHEN read THEN pred END AS p FROM sc),
+se AS (SELECT *, CASE WHEN same THEN replace(coalesce(p, ''), ' ', '') = gt END AS correct FROM sd)"""
+
+
+def truth_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir)[0].select("image", "field", "found", "correct", F.round("cer", 6).alias("cer"))
+
+
+def condition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields, images = _scored(spark, sf_dir)
+    out = evaluate.condition_report(images, fields, ["condition"])
+    return out.withColumns({c: F.round(c, 6) for c in ("share_ok", "core_correct", "all_correct")})
+
+
+def calibration_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evaluate.calibration_report(_fields(spark, sf_dir).where("found"), aim=0.8571)
+    return out.select("kind", F.round("threshold", 2).alias("threshold"), "n", F.round("precision", 6).alias("precision"), F.round("coverage", 6).alias("coverage"), "recommended")
+
+
+def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces, ratios and colours made of line items, judged."""
+    key, part = F.col("l_orderkey"), F.col("l_partkey")
+    point = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    x0, h = (part % 200).cast("double"), F.col("l_quantity") * 3
+    faces = F.when(part % 5 > 0, F.array(F.struct(x0.alias("x0"), F.lit(0.0).alias("y0"), (x0 + 40).alias("x1"), h.alias("y1"), F.col("l_tax").alias("score")))).otherwise(F.array().cast("array<struct<x0:double,y0:double,x1:double,y1:double,score:double>>"))
+    box = F.when(key % 7 > 0, F.array(point(100, 10), point(150, 10), point(150, 20), point(100, 20)))
+    kind = F.when(key % 2 == 0, "RESIDENT_CARD").otherwise("DRIVER_LICENSE")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("document_type"), box.alias("rrn_box"), faces.alias("faces"), (part % 11 > 0).alias("detector"), F.when(part % 3 > 0, F.lit(1.3) + F.col("l_discount") * 6).alias("ratio"), F.when(part % 4 == 0, "frame").otherwise("contour").alias("method"), F.when(part % 6 > 0, F.col("l_quantity")).alias("colour"), (F.col("l_discount") * 8).alias("clipped"))
+    out = decide.document_checks(rows)
+    return out.select("l_orderkey", "l_linenumber", F.col("face.ok").alias("face_ok"), F.array_join("reasons", "|").alias("reasons"), F.array_join("inconclusive", "|").alias("inconclusive"), "suspicious")
 
 
 def license_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +358,16 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals)}
+
+
+def _letters_sql(n: str) -> str:
+    """Letters of the n-th syllable, each as one ASCII sign, since the distance of the SQL engine counts bytes."""
+    every = "".join(dict.fromkeys(jamo.INITIALS + jamo.MEDIALS + jamo.FINALS.strip()))
+    parts = [(jamo.INITIALS, f"{n} // 588"), (jamo.MEDIALS, f"{n} % 588 // 28"), (jamo.FINALS, f"{n} % 28")]
+    signs = [f"CASE WHEN substr('{letters}', CAST({at} + 1 AS INT), 1) = ' ' THEN '' ELSE chr(CAST(47 + instr('{every}', substr('{letters}', CAST({at} + 1 AS INT), 1)) AS INT)) END" for letters, at in parts]
+    return " || ".join(signs)
+
 
 SQL = {
     "redact_documents": r"""SELECT doc_id, md5(coalesce(r, '')) AS redacted_md5, coalesce(r <> text, false) AS changed
@@ -319,4 +438,42 @@ SQL = {
     "signal_report": """SELECT l_linestatus, count(*) AS n, round(avg(CAST(l_linenumber = 1 AS INT)), 6) AS unchecked, round(avg(CAST(l_returnflag = 'A' AS INT)), 6) AS share_ok,
         round(avg(CAST(l_partkey % 3 = 0 OR l_suppkey % 4 = 0 OR l_quantity > 40 AS INT)) FILTER (l_linenumber > 1), 6) AS suspicious, round(avg(CAST(l_partkey % 3 = 0 AS INT)) FILTER (l_linenumber > 1), 6) AS no_face,
         round(avg(CAST(l_suppkey % 4 = 0 AS INT)) FILTER (l_linenumber > 1), 6) AS card_aspect, round(avg(CAST(l_quantity > 40 AS INT)) FILTER (l_linenumber > 1), 6) AS plain_background FROM lineitem GROUP BY l_linestatus""",
+    "line_rows": """WITH RECURSIVE li AS (SELECT l_orderkey AS image, CAST(l_linenumber * 100 + l_quantity AS BIGINT) AS idx, CAST(l_partkey % 40 * 10 AS DOUBLE) AS x0, CAST(l_suppkey % 20 * 8 AS DOUBLE) AS y0, l_quantity + 30 AS w, l_linenumber * 3 + 10 AS h, l_linenumber, l_tax FROM lineitem),
+      o AS (SELECT *, x0 + w AS x1, y0 + h AS y1, (y0 + y0 + h) / 2 AS cy, row_number() OVER (PARTITION BY image ORDER BY (y0 + y0 + h) / 2, idx, x0, w, l_tax) AS rn FROM li),
+      r AS (
+        SELECT image, rn, 0 AS row, [{'cy': cy, 'h': h}] AS held FROM o WHERE rn = 1
+        UNION ALL
+        SELECT o.image, o.rn, CASE WHEN joins THEN row ELSE row + 1 END, CASE WHEN joins THEN list_append(held, {'cy': o.cy, 'h': o.h}) ELSE [{'cy': o.cy, 'h': o.h}] END
+        FROM r JOIN (SELECT * FROM o) o ON o.image = r.image AND o.rn = r.rn + 1, LATERAL (SELECT len(list_filter(r.held, lambda m: abs(m.cy - o.cy) <= 0.5 * least(m.h, o.h))) > 0 AS joins))
+      SELECT o.image, CAST(row AS BIGINT) AS row, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY x0, o.rn) AS idxs, string_agg('line ' || CAST(l_linenumber AS VARCHAR), ' ' ORDER BY x0, o.rn) AS text, min(l_tax) AS score,
+        min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM r JOIN o ON o.image = r.image AND o.rn = r.rn GROUP BY o.image, row""",
+    "jamo_distances": f"""WITH k AS (
+        SELECT c_custkey, c_custkey * 7919 % 11172 AS f, c_custkey * 104729 % 11172 AS s FROM customer),
+      w AS (SELECT c_custkey, [f, s] AS a, [f, CASE c_custkey % 4 WHEN 0 THEN s WHEN 1 THEN s // 28 * 28 + (s + 1) % 28 WHEN 2 THEN (s + 588) % 11172 ELSE c_custkey * 31 % 11172 END] AS b FROM k),
+      e AS (SELECT c_custkey, array_to_string(list_transform(a, lambda n: {_letters_sql("n")}), '') AS a, array_to_string(list_transform(b, lambda n: {_letters_sql("n")}), '') AS b FROM w)
+      SELECT c_custkey, levenshtein(a, b) AS distance FROM e""",
+    "document_kinds": "SELECT o_orderkey AS image, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'RESIDENT' WHEN o_orderkey % 7 IN (2, 3, 4) THEN 'LICENSE' ELSE 'UNKNOWN' END AS document_type FROM orders",
+    "police_offices": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '서울지방경찰청장' WHEN 1 THEN '부산경찰청장' WHEN 2 THEN '경기남부경찰청장' ELSE '동장' END AS value, s_suppkey % 4 = 2 AS changed FROM supplier",
+    "line_angles": """SELECT l_orderkey AS image, round(coalesce(median(atan2(l_partkey % 21 - 10, l_quantity * 4)) FILTER (sqrt((l_quantity * 4) * (l_quantity * 4) + (l_partkey % 21 - 10) * (l_partkey % 21 - 10)) > 40), 0), 9) AS angle FROM lineitem GROUP BY 1""",
+    "card_results": f"""WITH {RESULTS_SQL} SELECT image, status, fail_reason, CASE WHEN read THEN substr(rrn, 1, 8) || '******' END AS rrn, CAST(CASE WHEN read THEN 7 ELSE 0 END AS BIGINT) AS n_fields,
+        CASE WHEN read AND has_rrn AND image % 6 = 0 THEN 'CHECKSUM_MISMATCH:rrn' ELSE '' END AS warnings FROM st""",
+    "truth_scores": f"""WITH {SCORED_SQL} SELECT image, field, CASE WHEN same THEN p IS NOT NULL END AS found, correct,
+        CASE WHEN same THEN round(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE)), 6) END AS cer FROM se""",
+    "condition_scores": f"""WITH {SCORED_SQL}, im AS (SELECT image, any_value(condition) AS condition, any_value(status) AS status, any_value(elapsed_ms) AS ms, bool_and(coalesce(correct, false)) AS every, bool_and(coalesce(correct, false)) FILTER (field IN ('name', 'rrn')) AS core FROM se GROUP BY image)
+      SELECT condition, count(*) AS n, round(avg(CAST(status = 'OK' AS INT)), 6) AS share_ok, round(avg(CAST(core AS INT)), 6) AS core_correct, round(avg(CAST(every AS INT)), 6) AS all_correct, median(ms) AS p50 FROM im GROUP BY condition""",
+    "calibration_choice": f"""WITH {FIELDS_SQL},
+      f AS (SELECT * FROM fields WHERE found), g AS (
+        SELECT kind, t, count(*) FILTER (confidence >= t / 100.0 - 1e-9) AS n, avg(CAST(correct AS INT)) FILTER (confidence >= t / 100.0 - 1e-9) AS p, count(*) AS total
+        FROM f, (SELECT unnest(range(50, 100)) AS t) GROUP BY kind, t),
+      c AS (SELECT *, coalesce(t = min(t) FILTER (p >= 0.8571) OVER (PARTITION BY kind), false) AS recommended FROM g WHERE n > 0)
+      SELECT kind, round(t / 100.0, 2) AS threshold, n, round(p, 6) AS precision, round(n / total, 6) AS coverage, recommended FROM c WHERE recommended OR t IN (50, 70, 80, 85, 90, 95)
+      UNION ALL SELECT kind, NULL, NULL, NULL, NULL, false FROM c GROUP BY kind HAVING NOT bool_or(recommended)""",
+    "document_signals": """WITH v AS (
+        SELECT l_orderkey, l_linenumber, l_partkey % 11 > 0 AS detector, l_orderkey % 7 > 0 AS boxed,
+          l_partkey % 5 > 0 AND l_quantity * 3 BETWEEN 20 AND 120 AND CASE WHEN l_orderkey % 2 = 0 THEN l_partkey % 200 + 20 > 150 ELSE l_partkey % 200 + 20 < 100 END AS good,
+          CASE WHEN l_partkey % 3 > 0 THEN 1.3 + l_discount * 6 END AS ratio, l_partkey % 4 <> 0 AS contour, CASE WHEN l_partkey % 6 > 0 THEN l_quantity END AS colour, l_discount * 8 AS clipped FROM lineitem),
+      r AS (SELECT *, CASE WHEN detector AND boxed THEN good END AS face_ok,
+          concat_ws('|', CASE WHEN detector AND boxed AND NOT good THEN 'NO_FACE_IN_PHOTO_AREA' END, CASE WHEN contour AND abs(ratio / (85.6 / 54.0) - 1) > 0.1 THEN 'CARD_ASPECT' END, CASE WHEN clipped <= 0.5 AND colour < 12 THEN 'PLAIN_BACKGROUND' END) AS reasons,
+          concat_ws('|', CASE WHEN detector AND NOT boxed THEN 'FACE_NOT_CHECKED' END, CASE WHEN ratio IS NOT NULL AND NOT contour THEN 'CARD_EDGES_NOT_VISIBLE' END, CASE WHEN colour IS NOT NULL AND clipped > 0.5 THEN 'BACKGROUND_OVEREXPOSED' END) AS inconclusive FROM v)
+      SELECT l_orderkey, l_linenumber, face_ok, reasons, inconclusive, reasons <> '' AS suspicious FROM r""",
 }

@@ -11,6 +11,102 @@ from inkrow.functions.jamo import jamo
 THRESHOLDS, VERIFIED = {"numeric": 0.90, "text": 0.85, "address": 0.80}, 0.60
 
 
+#: Of each document its fields in order, with the kind that sets their threshold; those required, and those without which it fails.
+SPECS = {
+    "RESIDENT_CARD": {
+        "fields": {"name": "text", "name_hanja": None, "rrn": "numeric", "address": "address", "address_lines": "address", "issue_date": "numeric", "issuer": "text"},
+        "required": ["name", "rrn", "address", "issue_date", "issuer"],
+        "core": ["name", "rrn"],
+    },
+    "DRIVER_LICENSE": {
+        "fields": {"license_number": "numeric", "license_region": None, "license_types": "text", "name": "text", "rrn": "numeric", "address": "address", "address_lines": "address", "aptitude_period": "numeric", "issue_date": "numeric", "conditions": "text", "serial_code": "numeric", "issuer": "text", "name_en": None, "birth_date_en": None},
+        "required": ["license_number", "license_types", "name", "rrn", "address", "aptitude_period", "issue_date", "issuer"],
+        "core": ["name", "rrn", "license_number"],
+    },
+}
+#: Fixed value: fields that are evaluated though they aren't required.
+EVALUATED = {"RESIDENT_CARD": [], "DRIVER_LICENSE": ["serial_code"]}
+
+
+def strict_checksum(fields: DataFrame) -> DataFrame:
+    """fields (field, valid, warnings) where a number whose check digit disagrees isn't valid."""
+    wrong = (F.col("field") == "rrn") & F.array_contains("warnings", "CHECKSUM_MISMATCH:rrn")
+    return fields.withColumn("valid", F.col("valid") & ~F.coalesce(wrong, F.lit(False)))
+
+
+def with_spec(fields: DataFrame, document_type: str = "document_type") -> DataFrame:
+    """fields (field, document type) with kind, core and required by SPECS; a field that its document doesn't have goes."""
+    named = lambda kind: F.array(*[F.lit(f"{d}.{f}") for d, spec in SPECS.items() for f in spec[kind]])
+    key = F.concat_ws(".", document_type, "field")
+    kinds = F.create_map(*[F.lit(x) for d, spec in SPECS.items() for f, k in spec["fields"].items() if k for x in (f"{d}.{f}", k)])
+    return fields.where(F.array_contains(named("fields"), key)).withColumns({"kind": kinds[key], "core": F.array_contains(named("core"), key), "required": F.array_contains(named("required"), key)})
+
+
+def assemble(fields: DataFrame, images: DataFrame, mask: bool = False) -> DataFrame:
+    """One result a row of images (image, document_type, n_lines, decoded): image, document_type, status, fail_reason, fields, field_meta, warnings, derived.
+
+    fields are those of the extractors (image, field, value, confidence, valid, verified, warnings, boxes, derived). The maps fields and field_meta have an entry for every field of the document's
+    SPECS, null where it wasn't found; confidences are rounded to four digits; mask hides the last six digits of the number. An image that can't be
+    decoded, has no line or is of no known document fails with that reason and empty maps. Every image gives a row; its fields are few.
+    """
+    typed = fields.join(images.select("image", "document_type"), "image")
+    own = accepted(with_spec(typed))
+    value = F.when((F.col("field") == "rrn") & F.lit(mask), F.concat(F.left("value", F.lit(8)), F.lit("******"))).otherwise(F.col("value"))
+    item = F.struct("field", value.alias("value"), F.round("confidence", 4).alias("confidence"), "valid", "accepted", "boxes", "warnings", "derived")
+    held = own.groupBy("image").agg(F.collect_list(item).alias("found"), F.coalesce(F.count_if(F.col("accepted") & F.col("core")), F.lit(0)).alias("n_core"), F.count_if(F.col("accepted") & F.col("required")).alias("n_required"))
+    out = images.join(held, "image", "left")
+    kind = F.col("document_type")
+    pick = lambda make, default: F.coalesce(*[F.when(kind == d, make(spec)) for d, spec in SPECS.items()], default)
+    names = pick(lambda s: F.array(*map(F.lit, s["fields"])), F.array().cast("array<string>"))
+    reason = F.when(~F.coalesce("decoded", F.lit(True)), "IMAGE_DECODE_ERROR").when(F.coalesce("n_lines", F.lit(0)) == 0, "NO_TEXT").when(~F.coalesce(kind.isin(*SPECS), F.lit(False)), "UNSUPPORTED_DOCUMENT")
+    n_core = F.coalesce("n_core", F.lit(0)) == pick(lambda s: F.lit(len(s["core"])), F.lit(0))
+    n_all = F.coalesce("n_required", F.lit(0)) == pick(lambda s: F.lit(len(s["required"])), F.lit(0))
+    found = lambda name: F.try_element_at(F.filter("found", lambda x: x["field"] == name), F.lit(1))
+    entry = lambda n: F.struct(n.alias("key"), found(n)["value"].alias("value"))
+    meta = lambda n: F.struct(n.alias("key"), F.struct(found(n).isNotNull().alias("found"), found(n)["confidence"].alias("confidence"), found(n)["boxes"].alias("bbox"), found(n)["valid"].alias("valid"), F.coalesce(found(n)["accepted"], F.lit(False)).alias("accepted")).alias("value"))
+    asked = F.when(reason.isNull(), names).otherwise(F.array().cast("array<string>"))
+    in_order = F.flatten(F.transform(asked, lambda n: F.coalesce(found(n)["warnings"], F.array().cast("array<string>"))))
+    derived = F.aggregate(F.transform(asked, lambda n: found(n)["derived"]), F.create_map().cast("map<string,string>"), lambda a, m: F.when(m.isNull(), a).otherwise(F.map_concat(a, m)))
+    return out.select(
+        "image", "document_type",
+        F.when(reason.isNotNull() | ~n_core, "FAIL").when(n_all, "OK").otherwise("PARTIAL").alias("status"),
+        F.coalesce(reason, F.when(~n_core, "LOW_CONFIDENCE")).alias("fail_reason"),
+        F.map_from_entries(F.transform(asked, entry)).alias("fields"), F.map_from_entries(F.transform(asked, meta)).alias("field_meta"), F.array_distinct(in_order).alias("warnings"), derived.alias("derived"),
+    )
+
+
+def face_check(faces: Column, document_type: Column, box: Column) -> Column:
+    """(found, score, ok) from faces (x0, y0, x1, y1, score) on given boxes: the surest face on the photograph's side of the number's box, right of it on resident cards, else left, whose height is
+    2 to 12 of the number's; without one, whether there is any face and the best score. Null without a box."""
+    xs, ys = F.transform(box, lambda p: p["x"]), F.transform(box, lambda p: p["y"])
+    height = F.array_max(ys) - F.array_min(ys)
+    middle = lambda f: (f["x0"] + f["x1"]) / 2
+    beside = lambda f: F.when(document_type == "RESIDENT_CARD", middle(f) > F.array_max(xs)).otherwise(middle(f) < F.array_min(xs))
+    fits = F.filter(faces, lambda f: beside(f) & (height > 0) & F.try_divide(f["y1"] - f["y0"], height).between(2.0, 12.0))
+    best = lambda some: F.round(F.coalesce(F.array_max(F.transform(some, lambda f: f["score"])), F.lit(0.0)), 3)
+    good = F.coalesce(F.size(fits), F.lit(0)) > 0
+    return F.when(box.isNotNull(), F.struct((F.coalesce(F.size(faces), F.lit(0)) > 0).alias("found"), F.when(good, best(fits)).otherwise(best(faces)).alias("score"), good.alias("ok")))
+
+
+#: Sides of a card and how far its ratio may be off; least colour of a background, and the most of it that may be burnt out.
+CARD_RATIO, RATIO_OFF, LEAST_COLOUR, MOST_CLIPPED = 85.6 / 54.0, 0.10, 12.0, 0.5
+
+
+def document_checks(rows: DataFrame) -> DataFrame:
+    """rows (document_type, rrn_box, faces, detector, ratio, method, colour, clipped) with face, reasons, inconclusive and suspicious.
+
+    Without a detector faces give neither a reason nor a doubt. A card's ratio is judged where its outline was seen (method contour); null ratio or colour weren't measured.
+    """
+    face = F.when(F.coalesce("detector", F.lit(False)), face_check(F.col("faces"), F.col("document_type"), F.col("rrn_box")))
+    off = F.abs(F.col("ratio") / CARD_RATIO - 1) > RATIO_OFF
+    seen, burnt = F.col("method") == "contour", F.col("clipped") > MOST_CLIPPED
+    own = rows.withColumn("face", face)
+    reasons = [F.when(~F.col("face.ok"), "NO_FACE_IN_PHOTO_AREA"), F.when(seen & off, "CARD_ASPECT"), F.when(~burnt & (F.col("colour") < LEAST_COLOUR), "PLAIN_BACKGROUND")]
+    doubts = [F.when(F.coalesce("detector", F.lit(False)) & F.col("face").isNull(), "FACE_NOT_CHECKED"), F.when(F.col("ratio").isNotNull() & ~seen, "CARD_EDGES_NOT_VISIBLE"), F.when(F.col("colour").isNotNull() & burnt, "BACKGROUND_OVEREXPOSED")]
+    own = own.withColumns({"reasons": F.array_compact(F.array(*reasons)), "inconclusive": F.array_compact(F.array(*doubts))})
+    return own.withColumn("suspicious", F.size("reasons") > 0)
+
+
 def accepted(fields: DataFrame) -> DataFrame:
     """fields (kind, valid, verified, confidence) with accepted. A field without a kind needs no confidence; null valid or confidence isn't accepted."""
     limit = F.create_map(*[F.lit(x) for k, v in THRESHOLDS.items() for x in (k, v)])[F.col("kind")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkrow.operators.decide import EVALUATED, SPECS
+
 
 def norm(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", "")
@@ -16,6 +18,51 @@ def cer(predicted: Column, truth: Column) -> Column:
     return F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(p, t) / F.length(t)))
 
 
+def scored(fields: DataFrame, truth: DataFrame, results: DataFrame) -> DataFrame:
+    """image, field, core, pred, gt, found, exact, correct, cer, confidence and accepted of every evaluated field of the truth (image, document_type, fields: map of strings).
+
+    results are those of decide.assemble. Fields of an image whose document was taken for another, or that has no result, have nulls for all measures, so that rates over all images count them
+    and means don't. correct leaves white space aside. Maps hold lists joined by a bar and spans as start~end.
+    """
+    evaluated = F.coalesce(*[F.when(F.col("t.document_type") == d, F.array(*map(F.lit, [*spec["required"], *EVALUATED[d]]))) for d, spec in SPECS.items()])
+    core = F.coalesce(*[F.when(F.col("t.document_type") == d, F.array(*map(F.lit, spec["core"]))) for d, spec in SPECS.items()])
+    both = truth.alias("t").join(results.alias("r"), "image", "left")
+    own = both.select("image", F.col("t.document_type").alias("document_type"), (F.col("r.document_type") == F.col("t.document_type")).alias("same"), F.col("t.fields").alias("truth"), F.col("r.fields").alias("read"), F.col("r.field_meta").alias("meta"), core.alias("core_fields"), F.explode(evaluated).alias("field"))
+    pred, gt, meta = F.try_element_at("read", F.col("field")), F.try_element_at("truth", F.col("field")), F.try_element_at("meta", F.col("field"))
+    same = F.coalesce("same", F.lit(False))
+    only = lambda c: F.when(same, c)
+    return own.select(
+        "image", "document_type", "field", F.array_contains("core_fields", F.col("field")).alias("core"), only(pred).alias("pred"), gt.alias("gt"), only(pred.isNotNull()).alias("found"), only(pred.eqNullSafe(gt)).alias("exact"),
+        only(norm(pred) == norm(gt)).alias("correct"), only(cer(pred, gt)).alias("cer"), only(meta["confidence"]).alias("confidence"), only(F.coalesce(meta["accepted"], F.lit(False))).alias("accepted"),
+    )
+
+
+def condition_report(images: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group of images (image, status, elapsed_ms and the keys): n, shares OK, with all core fields correct and with all fields correct, and the median time. fields are those of scored()."""
+    right = fields.groupBy("image").agg(F.bool_and(F.coalesce(F.col("correct"), F.lit(False))).alias("all_ok"), F.bool_and(F.when(F.col("core"), F.coalesce(F.col("correct"), F.lit(False)))).alias("core_ok"))
+    own = images.join(right, "image", "left")
+    shares = own.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("status") == "OK").alias("share_ok"), share(F.coalesce("core_ok", F.lit(False))).alias("core_correct"), share(F.coalesce("all_ok", F.lit(False))).alias("all_correct"))
+    return shares.join(latency(images, keys, "elapsed_ms").select(*keys, "p50"), keys, "left")
+
+
+#: Thresholds that the calibration report always shows.
+SHOWN = [50, 70, 80, 85, 90, 95]
+
+
+def calibration_report(fields: DataFrame, kind: str = "kind", aim: float = 0.98) -> DataFrame:
+    """The rows of calibration() that a report shows: some thresholds that accept any field, and the recommended one; a kind without one has a row with a null threshold besides."""
+    own = calibration(fields, kind, aim).where("n > 0")
+    shown = own.where(F.round(F.col("threshold") * 100).cast("int").isin(*SHOWN) | F.col("recommended"))
+    missing = own.groupBy(kind).agg(F.bool_or("recommended").alias("any")).where("NOT any")
+    nothing = missing.select(kind, *[F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("threshold", "n", "precision", "coverage")], F.lit(False).alias("recommended"))
+    return shown.select(*nothing.columns).unionByName(nothing)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Percentage with one decimal as text, a dash without a whole."""
+    return F.when(whole > 0, F.format_string("%.1f%%", 100 * part / whole)).otherwise("-")
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("int").cast("double"))
 
