@@ -314,15 +314,23 @@ def resident_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = key % 3 == 0
     row = lambda text_, x, y, w: F.struct(text_.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("w"))
     first = row(F.when(split, front).otherwise(F.concat(front, F.lit("-"), back)), 10, 100, 80)
-    said = F.array(row(F.lit("주민등록중"), 20, 0, 80), row(F.lit("홍길동(洪吉童)"), 12, 50, 60), first, row(F.when(split, F.concat(F.lit("-"), back)), 100, 101, 60), row(day, 40, 200, 50))
-    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    address, issuer = [F.lit("서울특별시 종로규"), F.concat(F.lit("세종대로"), (key % 300).cast("string"))], F.concat(F.lit("서울특별시 종로구"), F.when(key % 2 == 0, "청").otherwise("청장"))
+    said = F.array(row(F.lit("주민등록중"), 20, 0, 80), row(F.lit("홍길동(洪吉童)"), 12, 50, 60), first, row(F.when(split, F.concat(F.lit("-"), back)), 100, 101, 60), row(address[0], 10, 130, 90), row(address[1], 12, 155, 70), row(day, 40, 200, 50), row(issuer, 40, 230, 90))
+    # one card in five lies askew by four degrees
+    turn = F.when(key % 5 == 0, 0.0698).otherwise(0.0)
+    point = lambda x, y: F.struct((x * F.cos(turn) - y * F.sin(turn)).alias("x"), (x * F.sin(turn) + y * F.cos(turn)).alias("y"))
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
+    own = table(spark, sf_dir, "customer").select(key.alias("image"), turn.alias("turn"), F.posexplode(said).alias("idx", "l"))
+    turn = F.col("turn")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
-    own = table(spark, sf_dir, "customer").select(key.alias("image"), F.posexplode(said).alias("idx", "l"))
-    chars = F.lit(None).cast("array<struct<text:string,score:double,box:array<struct<x:double,y:double>>>>")
+    # some numbers have characters, the third of which is unsure
+    sure = lambda c, i: F.struct(c.alias("text"), F.when(i == 2, 0.7).otherwise(0.95).alias("score"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("box"))
+    chars = F.when((F.col("image") % 4 == 0) & (F.col("image") % 3 != 0) & (F.col("idx") == 2), F.transform(F.split("l.text", ""), sure))
     lines = own.select("image", "idx", F.col("l.text").alias("text"), F.lit(0.9).alias("score"), box.alias("box"), chars.alias("chars")).where("text IS NOT NULL")
-    out = extract.resident_fields(lines, classify.title_lines(lines, classify.RESIDENT), F.lit(TODAY).cast("date"))
-    return out.select("image", "field", "value", "confidence")
+    districts = spark.createDataFrame([("서울특별시", "종로구"), ("서울특별시", "중구")], "province string, district string")
+    dictionary = {"provinces": districts.select("province").distinct(), "districts": districts}
+    out = extract.resident_fields(lines, classify.title_lines(lines, classify.RESIDENT), F.lit(TODAY).cast("date"), dictionary)
+    return out.select("image", "field", "value", "confidence", F.array_join("warnings", "|").alias("warnings"))
 
 
 def license_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +340,7 @@ def license_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rrn = F.concat(F.lit("80"), pad(key % 12 + 1, 2), F.lit("15-1"), pad(key * 7907 % 1_000_000, 6))
     begin = F.concat(F.lit("2025."), (key % 12 + 1).cast("string"), F.lit(".1"))
     row = lambda text_, x, y, w: F.struct(text_.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("w"))
-    said = [(F.lit("1종보통"), 10, 30, 60), (F.when(key % 2 == 0, "원동기"), 10, 60, 60), (number, 200, 60, 150), (F.lit("홍길동"), 200, 90, 60), (rrn, 200, 120, 140), (F.lit("적성검사기간"), 200, 190, 100), (begin, 310, 190, 70), (F.lit("~2025.12.31"), 310, 215, 70), (F.when(key % 5 == 0, "조건: A,B"), 200, 250, 60), (F.lit("ABCDE7"), 420, 230, 60), (F.concat(F.lit("2015.3."), (key % 28 + 1).cast("string")), 220, 300, 70)]
+    said = [(F.lit("1종보통"), 10, 30, 60), (F.when(key % 2 == 0, "원동기"), 10, 60, 60), (number, 200, 60, 150), (F.lit("홍길동"), 200, 90, 60), (rrn, 200, 120, 140), (F.lit("적성검사기간"), 200, 190, 100), (begin, 310, 190, 70), (F.lit("~2025.12.31"), 310, 215, 70), (F.when(key % 5 == 0, "조건: A,B"), 200, 250, 60), (F.lit("ABCDE7"), 420, 230, 60), (F.concat(F.lit("경기도 성남시 정자로"), (key % 90 + 1).cast("string")), 200, 150, 180), (F.concat(F.lit("2015.3."), (key % 28 + 1).cast("string")), 220, 300, 70), (F.when(key % 2 == 0, "경기남부경찰청징").otherwise("경기남부 경찰청장"), 300, 300, 120)]
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
@@ -425,13 +433,18 @@ SQL = {
       CAST(CASE c_custkey % 4 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS n_changed, true AS valid FROM customer""",
     "resident_fields": """WITH c AS (SELECT c_custkey AS image, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS rrn,
         CAST(make_date(c_custkey % 20 + 2000, c_custkey % 12 + 1, c_custkey % 28 + 1) AS VARCHAR) AS day FROM customer)
-      SELECT image, f.field, f.value, 0.9::DOUBLE AS confidence FROM (SELECT image, unnest([{'field': 'rrn', 'value': rrn}, {'field': 'name', 'value': '홍길동'}, {'field': 'name_hanja', 'value': '洪吉童'}, {'field': 'issue_date', 'value': day}]) AS f FROM c)""",
+      , n AS (SELECT c.*, image % 2 AS odd, CAST(image % 300 AS VARCHAR) AS house, replace(rrn, '-', '') AS d FROM c),
+      m AS (SELECT *, (11 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(d, i, 1) AS INT) * (2 + (i - 1) % 8))) % 11) % 10 = CAST(substr(d, 13, 1) AS INT) AS sound FROM n)
+      SELECT image, f.field, f.value, CAST(f.c AS DOUBLE) AS confidence, f.w AS warnings FROM (SELECT image, unnest([{'field': 'rrn', 'value': rrn, 'c': CASE WHEN image % 4 = 0 AND image % 3 <> 0 THEN 0.7 ELSE 0.9 END, 'w': CASE WHEN sound THEN '' ELSE 'CHECKSUM_MISMATCH:rrn' END},
+        {'field': 'name', 'value': '홍길동', 'c': 0.9, 'w': ''}, {'field': 'name_hanja', 'value': '洪吉童', 'c': 0.9, 'w': ''}, {'field': 'address', 'value': '서울특별시 종로구 세종대로 ' || house, 'c': 0.9, 'w': 'REPAIRED:address'},
+        {'field': 'address_lines', 'value': '서울특별시 종로구|세종대로 ' || house, 'c': 0.9, 'w': ''}, {'field': 'issue_date', 'value': day, 'c': 0.9, 'w': ''},
+        {'field': 'issuer', 'value': '서울특별시 종로구청장', 'c': 0.9, 'w': CASE WHEN odd = 0 THEN 'REPAIRED:issuer' ELSE '' END}]) AS f FROM m)""",
     "license_fields": """WITH c AS (SELECT s_suppkey AS image, s_suppkey AS k FROM supplier)
       SELECT image, f.field, f.value, true AS valid FROM (SELECT image, unnest([{'field': 'rrn', 'value': '80' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(k * 7907 % 1000000 AS VARCHAR), 6, '0')},
         {'field': 'license_number', 'value': '11-' || CAST(k % 90 + 10 AS VARCHAR) || '-' || lpad(CAST(k * 7919 % 1000000 AS VARCHAR), 6, '0') || '-61'},
         {'field': 'license_types', 'value': CASE WHEN k % 2 = 0 THEN '1종보통|2종원동기' ELSE '1종보통' END}, {'field': 'name', 'value': '홍길동'},
         {'field': 'aptitude_period', 'value': '2025-' || lpad(CAST(k % 12 + 1 AS VARCHAR), 2, '0') || '-01~2025-12-31'}, {'field': 'issue_date', 'value': '2015-03-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0')},
-        {'field': 'serial_code', 'value': 'ABCDE7'}, {'field': 'conditions', 'value': CASE WHEN k % 5 = 0 THEN 'A|B' END}]) AS f FROM c) WHERE f.value IS NOT NULL""",
+        {'field': 'serial_code', 'value': 'ABCDE7'}, {'field': 'address', 'value': '경기도 성남시 정자로 ' || CAST(k % 90 + 1 AS VARCHAR)}, {'field': 'address_lines', 'value': '경기도 성남시 정자로 ' || CAST(k % 90 + 1 AS VARCHAR)}, {'field': 'issuer', 'value': '경기남부경찰청장'}, {'field': 'conditions', 'value': CASE WHEN k % 5 = 0 THEN 'A|B' END}]) AS f FROM c) WHERE f.value IS NOT NULL""",
     "number_safety": f"""WITH {FIELDS_SQL}, r AS (SELECT kind, found, found AND correct AS correct, accepted, other % 3 = 0 AS warned FROM acc)
       SELECT kind, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, count(*) FILTER (found AND NOT correct) AS n_wrong,
         count(*) FILTER (found AND NOT correct AND accepted) AS false_accepts, count(*) FILTER (found AND NOT correct AND warned) AS wrong_warned, count(*) FILTER (correct AND warned) AS correct_warned FROM r GROUP BY kind""",

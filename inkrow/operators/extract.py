@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from inkrow.functions import text
 from inkrow.operators import address, classify, layout
 from inkrow.operators.layout import first, is_low, items, same_line
+from inkrow.sources.tables import stored
 
 #: The first days on which cards and licences were issued.
 EARLIEST_ISSUE, EARLIEST_LICENSE = "1968-11-21", "1960-01-01"
@@ -140,7 +141,9 @@ def corrected(pages: DataFrame, dictionary: dict[str, DataFrame] | None) -> Data
     """pages with corrected, changed and address_valid of their addresses, by the dictionary's provinces, districts and words; unchanged without a dictionary."""
     if dictionary is None:
         return pages
-    return address.correct(pages.withColumn("__address", F.array_join("address.texts", " ")), dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address").withColumnRenamed("valid", "address_valid").drop("__address")
+    # written out, so that the joins' filters aren't pushed into the expressions above, and these are worked out once
+    own = stored(pages.withColumn("__address", F.array_join("address.texts", " ")), "pages")
+    return address.correct(own, dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address").withColumnRenamed("valid", "address_valid").drop("__address")
 
 
 def with_issuer(pages: DataFrame, line: Column) -> DataFrame:
