@@ -19,8 +19,8 @@ WORDS, PERCENT = 5, 85
 COORDINATES, LOSS = 64, 1.6e-7
 #: Node ids up to so many are broadcast when their texts are looked for again.
 MOST_BROADCAST = 1_000_000
-#: Shingles of a chunk of a family.
-CHUNK = 1 << 17
+#: Shingles and nodes of a chunk of a family.
+CHUNK, CHUNK_NODES = 1 << 17, 1_024
 RNG = np.random.default_rng(8)
 FACTORS = RNG.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -73,9 +73,9 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def node_of(hashes: np.ndarray) -> int:
-    """Number of a shingle set: equal sets are one node."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "big", signed=True)
+def node_of(hashes: np.ndarray) -> bytes:
+    """Name of a shingle set: equal sets are one node, and 128 bits keep different ones apart."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
 def sets(docs: DataFrame, words: int) -> DataFrame:
@@ -87,7 +87,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([node_of(h) if len(h) else None for h in hashes], pa.int64()),
+                    pa.array([node_of(h) if len(h) else None for h in hashes], pa.binary()),
                     pa.array([len(h) for h in hashes], pa.int64()),
                     pa.array([signature(h) if len(h) else None for h in hashes], pa.list_(pa.int32())),
                     batch.column(2),
@@ -96,7 +96,7 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
             )
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"key {kind}, node long, n long, signature array<int>, digest long")
+    return docs.select("key", "text", F.xxhash64("text").alias("digest")).mapInArrow(run, f"key {kind}, node binary, n long, signature array<int>, digest long")
 
 
 def postings(nodes: DataFrame, least: int) -> DataFrame:
@@ -126,7 +126,7 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """node and its whole set of shingles for the ids (node, rep); the text of one row of each node is read again."""
+    """node, its whole set of shingles and its signature for the ids (node, rep); the text of one row of each node is read again."""
     wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
     rows = docs.join(wanted, docs["key"].eqNullSafe(wanted["rep"])).select("node", "text")
 
@@ -134,10 +134,11 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
         for batch in slices(batches, 500):
             hashes = shingle_hashes(text_array(batch.column(1)), words)
             keep = [len(h) > 0 and node_of(h) == node for h, node in zip(hashes, batch.column(0).to_pylist(), strict=True)]
-            own = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64()))], ["node", "shingles"])
+            signs = pa.array([signature(h) if k else None for h, k in zip(hashes, keep, strict=True)], pa.list_(pa.int32()))
+            own = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64())), signs], ["node", "shingles", "signature"])
             yield pc.filter(own, pa.array(keep, pa.bool_()))
 
-    return stored(rows.mapInArrow(run, "node long, shingles array<long>"), "near-full").dropDuplicates(["node"])
+    return stored(rows.mapInArrow(run, "node binary, shingles array<long>, signature array<int>"), "near-full").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -175,14 +176,50 @@ def shared_counts(lists: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def collisions(signs: np.ndarray, least: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j), i < j, of rows that are apart and agree in least coordinates.
+
+    Coordinates are taken from the one with the fewest collisions on. A pair that agrees in none of the first COORDINATES - least + 1 can't reach least; the collisions of the others
+    are counted on, and a pair is skipped once what is left can't bring it to least.
+    """
+    n, prefix = len(signs), COORDINATES - least + 1
+    lengths = [np.unique(signs[:, k], return_counts=True)[1] for k in range(COORDINATES)]
+    order = np.argsort([(x.astype(np.int64) ** 2).sum() for x in lengths], kind="stable")
+    count = np.zeros((n, n), np.uint8)
+    for k in order[:prefix]:
+        count += signs[:, k][:, None] == signs[:, k][None, :]
+    i, j = np.nonzero(np.triu(count > 0, 1) & apart)
+    have = count[i, j].astype(np.int64)
+    for done, k in enumerate(order[prefix:], prefix):
+        keep = have + (COORDINATES - done) >= least
+        if not keep.all():
+            i, j, have = i[keep], j[keep], have[keep]
+        have += signs[i, k] == signs[j, k]
+    keep = have >= least
+    return i[keep], j[keep]
+
+
+def linked(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of whole sets are alike enough. Many pairs are counted together, few each by itself."""
+    size = np.array([len(x) for x in lists], np.int64)
+    if len(i) > 4 * len(lists):
+        shared = shared_counts(lists)[i, j].astype(np.int64)
+    else:
+        shared = np.array([len(np.intersect1d(lists[a], lists[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    return 100 * shared >= percent * (size[i] + size[j] - shared)
+
+
 def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs of components (a, b) with a link between them, from all pairs of nodes of a family (hub, node) that are in different ones.
+    """Pairs of components (a, b) with a link between them, from the nodes of a family (hub, node) that are in different ones.
 
-    Families of one component are done. Others are dealt into chunks of about CHUNK shingles, and each two chunks are one group: a group compares whole sets and
+    Families of one component are done. Others are dealt into chunks of about CHUNK shingles and CHUNK_NODES nodes, and each two chunks are one group: a group counts the collisions of
+    its nodes' coordinates, compares the whole sets of pairs that collide often enough, and
     returns each pair of components once, so that candidate pairs are never rows.
     """
     placed = families.join(labels, "node").join(nodes.select("node", "n", "rep"), "node")
-    open_ = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.sum("n") / CHUNK).cast("int").alias("chunks")).where("low < high").select("hub", "chunks")
+    sized = placed.groupBy("hub").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.greatest(F.ceil(F.sum("n") / CHUNK), F.ceil(F.count("*") / CHUNK_NODES)).cast("int").alias("chunks"))
+    # written out, so that a hub with very many nodes isn't held together by the sums above when its nodes are joined to them
+    open_ = stored(sized.where("low < high").select("hub", "chunks"), "near-hubs")
     left = stored(placed.join(open_, "hub"), "near-open")
     full = full_sets(stored(left.select("node", "rep").distinct(), "near-open-ids"), docs, words)
     own = F.pmod(F.xxhash64("node", "hub"), F.col("chunks")).cast("int")
@@ -190,17 +227,18 @@ def links_within(families: DataFrame, labels: DataFrame, nodes: DataFrame, docs:
     tiles = tiles.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp").join(full, "node")
 
     def run(group: pa.Table) -> pa.Table:
-        comp = group["comp"].to_numpy()
-        found = np.zeros((0, 2), np.int64)
-        if len(np.unique(comp)) > 1:
+        coded = group["comp"].combine_chunks().dictionary_encode()
+        comp, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        found = []
+        if len(names) > 1:
+            signs = np.stack([x.values.to_numpy() for x in group["signature"]])
+            a, b = collisions(signs, matches(percent), comp[:, None] != comp[None, :])
             lists = [np.asarray(x.values.to_numpy()) for x in group["shingles"]]
-            size = np.array([len(x) for x in lists])
-            shared = shared_counts(lists).astype(np.int64)
-            a, b = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size[None, :] - shared), 1) & (comp[:, None] != comp[None, :]))
-            found = np.unique(np.stack([np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b])], axis=1), axis=0)
-        return pa.table([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            use = linked(lists, a, b, percent) if len(a) else np.zeros(0, bool)
+            found = sorted({tuple(sorted((names[x], names[y]))) for x, y in zip(comp[a[use]], comp[b[use]], strict=True)})
+        return pa.table([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
 
-    return tiles.groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return tiles.groupBy("hub", "i", "j").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
