@@ -138,7 +138,8 @@ def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
             own = pa.RecordBatch.from_arrays([batch.column(0), pa.array([h.view(np.int64) for h in hashes], pa.list_(pa.int64())), signs], ["node", "shingles", "signature"])
             yield pc.filter(own, pa.array(keep, pa.bool_()))
 
-    return stored(rows.mapInArrow(run, "node binary, shingles array<long>, signature array<int>"), "near-full").dropDuplicates(["node"])
+    # one row a node before it is written, so that joins with many pairs of one node can be split
+    return stored(rows.mapInArrow(run, "node binary, shingles array<long>, signature array<int>").dropDuplicates(["node"]), "near-full")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
