@@ -187,40 +187,75 @@ def test_pitman_yor(spark):
     assert pitman_yor.score(frame.limit(0), F.lit(True)).count() == 0
 
 
-def test_pitman_yor_probabilities_add_up():
-    rng = np.random.default_rng(7)
-    n = 50
-    count = rng.integers(0, 6, (n, pitman_yor.CONTEXTS))
-    count[0, 1] = 5000
-    count[:, 0] += 1
-    word, context = np.nonzero(count)
-    tables, root = pitman_yor.gibbs(word, context, count[word, context], n, 1, 1)
-    assert (tables >= 1).all() and (tables <= count[word, context]).all()
-    sums = np.zeros((1 + 2 * pitman_yor.SAMPLES, pitman_yor.CONTEXTS + 1), np.int64)
-    sums[0, :-1], sums[0, -1] = count.sum(axis=0), n
-    for s in range(pitman_yor.SAMPLES):
-        sums[1 + s, :-1], sums[1 + s, -1] = np.bincount(context, tables[s], pitman_yor.CONTEXTS), root[s].sum()
-    values, sizes = [], []
-    for w in range(n + 1):
-        own = np.zeros((pitman_yor.SAMPLES, pitman_yor.CONTEXTS), np.int64)
-        if w < n:
-            own[:, context[word == w]] = tables[:, word == w]
-        row = [int(count[w].sum()) if w < n else 0, *([*root[:, w]] if w < n else [0] * pitman_yor.SAMPLES), *own.sum(axis=1)]
-        for c in range(pitman_yor.CONTEXTS):
-            row += [c, int(count[w, c]) if w < n else 0, *own[:, c]]
-        values += row
-        sizes.append(len(row))
-    models = pitman_yor.packed(np.array(values), np.array(sizes))
-    totals = pitman_yor.Totals([sums.tobytes()])
-    for c in range(pitman_yor.CONTEXTS):
-        p, _ = pitman_yor.probabilities(totals, np.arange(n + 1), np.full(n + 1, c), models)
-        assert p.sum() == pytest.approx(1)
-
-
-def test_varints():
-    values = np.array([0, 1, 127, 128, 300, 2**31, 2**40, 5])
-    got, sizes = pitman_yor.unpacked(pitman_yor.packed(values, np.array([3, 0, 5])))
-    assert got.tolist() == values.tolist() and sizes.tolist() == [3, 0, 5]
+def test_pitman_yor_equals_brute_force(spark):
+    """No pair repeats and no word follows two others, so that each dish has one table everywhere and nothing is left to chance."""
+    texts = [(1, "a b c d"), (2, "e f"), (3, "g"), (4, None), (5, "h i j"), (6, "a x"), (7, "y d")]
+    learned = [1, 5]
+    got = {r["doc_id"]: r["score"] for r in rows_of(pitman_yor.score(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), F.col("doc_id").isin(learned)))}
+    (d, d0), (s, s0) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    pairs = [p for i, t in texts if i in learned for w in [["<", *t.split(), ">"]] for p in zip(w, w[1:], strict=False)]
+    assert len(set(pairs)) == len(pairs)
+    served = Counter(w for _, w in pairs)  # END has a table in two contexts, and its root tables are left to chance
+    opened, words = Counter(u for u, _ in pairs), len(served)
+
+    def score(text, ends):
+        root_tables = words - 1 + ends
+        total = 0.0
+        for u, w in (lambda x: zip(x, x[1:], strict=False))(["<", *(text or "").split(), ">"]):
+            root = (served[w] - d0 * (ends if w == ">" else served[w] > 0) + (s0 + d0 * root_tables) / (words + 1)) / (s0 + len(pairs))
+            total += math.log10((((u, w) in pairs) * (1 - d) + (s + d * opened[u]) * root) / (s + opened[u]))
+        return total
+
+    for i, t in texts:
+        low, high = sorted(score(t, ends) for ends in (1, 2))
+        assert low - 1e-4 <= got[i] <= high + 1e-4
+
+
+@pytest.mark.parametrize("hot", [4_000_000, 40])
+def test_pitman_yor_probabilities_add_up(spark, monkeypatch, hot):
+    monkeypatch.setattr(pitman_yor, "HOT", hot)
+    rng = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(12)]
+    texts = [(k, " ".join(rng.choice(vocabulary[: 1 + k % 12]) for _ in range(rng.randint(0, 40))), True) for k in range(60)]
+    every = [*vocabulary, "unknown"]
+    texts += [(100, "\n".join([""]), False), *((1000 + k, f"{a} {b}", False) for k, (a, b) in enumerate((a, b) for a in every for b in every)), *((2000 + k, a, False) for k, a in enumerate(every))]
+    frame = spark.createDataFrame([(k, t, flag) for k, t, flag in texts], "key long, text string, learned boolean")
+    blocks = pitman_yor.pack(frame.coalesce(1))
+    found = pitman_yor.hot_contexts(blocks, 1)
+    assert (len(found[0]) > 0) == (hot == 40)
+    sent = spark.sparkContext.broadcast(found)
+    pairs = pitman_yor.counted(blocks, sent, 5)
+    answers = pitman_yor.rooted(pitman_yor.sent(pairs, sent, 5), 5)
+    totals = answers.where("share < 0").agg(F.struct(*(F.sum(c).alias(c) for c in pitman_yor.TOTALS)).alias("totals")).scalar()
+    back = rows_of(pitman_yor.answered(pairs, answers.where("share >= 0").select(*pitman_yor.ANSWER, totals.alias("totals")), sent, 5).orderBy("share"))
+    block = pitman_yor.Block(rows_of(blocks)[0], found, 5)
+    p = 10.0 ** np.concatenate([pitman_yor.spread(r["logs"], np.float32) for r in back])
+    per = np.bincount(block.opened, p)
+    assert len(per) == len(every) + 2 and np.allclose(np.delete(per, np.flatnonzero(block.words == pitman_yor.END)), 1, atol=1e-4)
+    assert {r["tokens"] for r in back} == {sum(len(t.split()) + 1 for _, t, flag in texts if flag)} and {r["words"] for r in back} == {13}
+
+
+def test_pitman_yor_of_hot_contexts(spark, monkeypatch):
+    """Parts of a context count as one: what doesn't depend on chance is the same."""
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score"]
+    frame = docs(spark).withColumn("doc_id", F.col("doc_id").cast("string"))
+    whole = Counter(tuple(r[c] if c != "base_score" else round(r[c], 6) for c in names) for r in rows_of(pitman_yor.score(frame, F.lit(True))))
+    monkeypatch.setattr(pitman_yor, "HOT", 30)
+    assert Counter(tuple(r[c] if c != "base_score" else round(r[c], 6) for c in names) for r in rows_of(pitman_yor.score(frame, F.lit(True)))) == whole
+
+
+def test_seating():
+    rng = np.random.default_rng(3)
+    customers = np.array([0, 1, 2, 500, 30, 7])
+    tables = pitman_yor.seat(customers, np.full(6, 0.1), np.zeros(6, np.int64), np.array([10]), 0.5, 2.0, rng)
+    assert (tables <= customers).all() and ((tables > 0) == (customers > 0)).all()
+
+
+def test_squeezed_arrays():
+    for kind in (np.uint64, np.int64, np.uint32, np.float32):
+        values = np.array([0, 1, 127, 300, 2**31 - 1], kind)
+        assert pitman_yor.spread(pitman_yor.squeeze(values), kind).tolist() == values.tolist()
+    assert len(pitman_yor.spread(pitman_yor.squeeze(np.zeros(0, np.int64)), np.int64)) == 0
 
 
 def test_chat(spark):
