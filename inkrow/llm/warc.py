@@ -34,15 +34,36 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(record_id: str, key: str, url: str, payload: bytes, size: int, sha1: str, refers_to: str | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no block; its payload's size and digest are in its headers."""
-    block = payload if refers_to is None else b""
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}", "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {size}", f"X-Key: {quote(key)}"]
-    if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Key: {quote(refers_to)}"]
+def response_id(key: str, sha1: str) -> str:
+    """Record id of the response for a key and payload: revisits name it without a look at the response. Rows that repeat both share it."""
+    return str(uuid.uuid5(uuid.NAMESPACE_OID, f"{key} {sha1}"))
+
+
+def written(kind: str, record_id: str, more: list[str], block: bytes) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{record_id}>", f"WARC-Date: {DATE}", f"Content-Length: {len(block)}", *more]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def record(record_id: str, key: str | None, url: str, payload: bytes, size: int, sha1: str, refers_to: str | None) -> bytes:
+    """One WARC/1.1 record: a response with its HTTP head and payload, or a revisit, whose block is the HTTP head alone.
+
+    Both have size and digest of the full payload in their headers. Keys are in X-Key and X-Refers-To-Key, beside the standard fields; a null key has none.
+    """
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
+    more = [f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}", "Content-Type: application/http; msgtype=response", f"WARC-Payload-Digest: sha1:{sha1}", f"X-Payload-Length: {size}"]
+    if key is not None:
+        more.append(f"X-Key: {quote(key)}")
+    if refers_to is None:
+        return written("response", record_id, more, block + payload)
+    more += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{response_id(refers_to, sha1)}>", f"X-Refers-To-Key: {quote(refers_to)}"]
+    return written("revisit", record_id, more, block)
+
+
+def payload_of(block: bytes) -> bytes:
+    """What follows the HTTP head."""
+    return block.partition(b"\r\n\r\n")[2]
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """(headers, block) of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -85,6 +106,7 @@ class Bundle:
         self.path, self.where = f"{folder}/{self.name}", f"{where}/{self.name}"
         self.file = self.fs.open_output_stream(self.where, compression=None)
         self.frames, self.size, self.part, self.held = [], 0, [], 0
+        self.add(written("warcinfo", str(uuid.uuid4()), ["Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n"))
 
     def add(self, raw: bytes) -> tuple[int, int]:
         """(frame, offset in it) of the record."""
@@ -141,13 +163,13 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", pay
                     bundle.close()
                     bundle = None
                 bundle = bundle or Bundle(folder)
-                own = "" if row["key"] is None else str(row["key"])
+                own = None if row["key"] is None else str(row["key"])
                 sha1 = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
-                record_id = str(uuid.uuid4())
                 refers = None if row["refers_to"] is None else str(row["refers_to"])
+                record_id = str(uuid.uuid4()) if own is None or refers is not None else response_id(own, sha1)
                 raw = record(record_id, own, row["url"], row["payload"], row["size"], sha1, refers)
                 frame, offset = bundle.add(raw)
-                out.append((record_id, None if row["key"] is None else own, bundle.path, frame, offset, len(raw)))
+                out.append((record_id, own, bundle.path, frame, offset, len(raw)))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
@@ -159,10 +181,10 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", pay
 
 
 def read(index: DataFrame, verify: bool = True) -> DataFrame:
-    """The records that the rows of index point to: key, record_type, refers_to, payload_bytes, payload_digest and block.
+    """The records that the rows of index point to: key, record_type, refers_to, payload_bytes, payload_digest and block (a response's payload; a revisit has none).
 
-    Each row is looked up in the seek table of its bundle; only its frame is read. With verify, a response whose block doesn't have the digest in
-    its header fails. Index rows that stand in order of path and frame read each frame once.
+    Each row is looked up in the seek table of its bundle; only its frame is read, and all columns, keys too, come from the record. With verify, a
+    response whose payload doesn't have the digest in its header fails. Index rows that stand in order of path and frame read each frame once.
     """
 
     def run(batches):
@@ -182,12 +204,12 @@ def read(index: DataFrame, verify: bool = True) -> DataFrame:
                 fields, block = parse(plain[row["offset"] : row["offset"] + row["length"]])
                 sha1, kind = fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"]
                 size = int(fields["X-Payload-Length"])
+                payload = payload_of(block)
                 if kind == "response":
-                    own = digest(block)
-                    if verify and (own, len(block)) != (sha1, size):
+                    if verify and (digest(payload), len(payload)) != (sha1, size):
                         raise ValueError(f"record {row['record_id']} doesn't have the payload that its header names")
-                refers = fields.get("X-Refers-To-Key")
-                out.append((row["key"], kind, None if refers is None else unquote(refers), size, sha1, block))
+                own, refers = (None if x is None else unquote(x) for x in (fields.get("X-Key"), fields.get("X-Refers-To-Key")))
+                out.append((own, kind, refers, size, sha1, payload))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]

@@ -94,6 +94,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0 and all(r["record_type"] == "response" for r in rows_of(warc.round_trip(pages, least_bytes=100)))
 
 
+def test_warc_records_follow_the_standard(spark):
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 50), (2, "http://b/", "x" * 50), (None, None, "y")], "page_id long, url string, html string").withColumns({"payload": F.lit("clash"), "key": F.lit("clash"), "sha1": F.lit(1)})
+    index = rows_of(warc.write(pages.coalesce(1)))
+    raw = {}
+    for r in index:
+        fs, where = warc.filesystem(r["path"])
+        file = fs.open_input_file(where)
+        start, n = warc.read_seek_table(file, file.size())[r["frame"]]
+        file.seek(start)
+        plain = warc.zstandard.ZstdDecompressor().decompress(file.read(n))
+        assert warc.parse(plain[: plain.index(b"\r\n\r\nWARC/1.1") + 4])[0]["WARC-Type"] == "warcinfo"
+        raw[r["key"]] = warc.parse(plain[r["offset"] : r["offset"] + r["length"]])
+    (first, block), (again, empty), (nameless, _) = raw["1"], raw["2"], raw[None]
+    assert first["WARC-Type"] == "response" and block.startswith(b"HTTP/1.1 200 OK\r\n") and warc.payload_of(block) == b"x" * 50
+    assert again["WARC-Type"] == "revisit" and again["WARC-Refers-To"] == first["WARC-Record-ID"] and warc.payload_of(empty) == b"" and "X-Key" not in nameless
+    assert {r["page_id"] for r in rows_of(warc.round_trip(pages))} == {1, 2, None}
+
+
 def brute_overlap(texts, items):
     split = lambda t: [w for w in __import__("re").split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)})) if w]
     wins = {}
