@@ -50,7 +50,7 @@ def code(text: str) -> int:
 
 
 def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, value, offsets of each text's, number of words): the square root of each feature's share of the words, times 10."""
+    """(bucket, value, offsets of each text's, number of words): a feature's value is the log of its count against that of the text's words."""
     codes, offsets, distinct = word_codes(texts, lower=False)
     n = np.diff(offsets)
     doc = np.repeat(np.arange(len(texts)), n)

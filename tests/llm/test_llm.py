@@ -176,6 +176,54 @@ def test_quality(spark):
     assert quality.train(frame, graded.limit(0)) is None and quality.score(frame, None).where("accepted").count() == 601
 
 
+def test_quality_equals_brute_force(spark):
+    """Scores from the formula, text by text; the fit against its own likelihood at other weights and thresholds."""
+    import xxhash
+
+    rng = random.Random(16)
+    rows = [(i, prose(rng, "en", rng.randint(1, 30)) + [" vile nasty", " %%% it%%%", " Fine NASA 7"][i % 3]) for i in range(90)] + [(None, "the of"), (901, ""), (902, None), (903, " \n"), (904, "vile " * 30_000), (1, "the vile"), (1, "the vile")]
+    model = quality.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 0)) for i in range(90)], "doc_id long, quality int, toxic int"))
+
+    def bucket(name):
+        return int(quality.mix64(np.array([xxhash.xxh64_intdigest(name.encode())], np.uint64))[0]) & (quality.BUCKETS - 1)
+
+    def want(text):
+        words = (text or "").split()
+        eta = 0.0
+        for kind in ("w", "v", "t", "s"):
+            count = Counter()
+            for w in words:
+                tail = quality.TAIL.search(w)
+                tail = tail[0] if tail else ""
+                bare = quality.BODY.sub("", w).lower()
+                count[bucket({"w": "w" + bare, "v": "v" + bare, "t": "t" + tail, "s": "s" + quality.shape(w[: len(w) - len(tail)]) + tail}[kind])] += 1
+            eta += sum(model.weights[b] * 4 * math.log1p(c) / math.log1p(len(words)) for b, c in count.items())
+        usable, good = (1 / (1 + math.exp(t - eta)) for t in model.thresholds)
+        return usable, good, usable + good, good >= 0.5 and bool(words)
+
+    got = rows_of(quality.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), model))
+    assert len(got) == len(rows) and (model.weights != 0).any()
+    for r in got:
+        usable, good, expected, accepted = want(r["text"])
+        assert (r["p_usable"], r["p_good"], r["expected_grade"]) == pytest.approx((usable, good, expected), abs=1e-4)
+        assert r["accepted"] == accepted or abs(good - 0.5) < 1e-4
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for i, t in rows[:90]:
+            if i == 1:  # this key has several texts, one of which is fitted
+                continue
+            b, v, _, _ = quality.text_features(pa.array([t]))
+            eta = float((weights[b] * v).sum())
+            above = [1.0, *(1 / (1 + math.exp(c - eta)) for c in thresholds), 0.0]
+            g = 0 if i % 3 == 0 else 1 if i % 3 == 1 else 2
+            total -= math.log(max(above[g] - above[g + 1], 1e-12))
+        return total / 90
+
+    best = loss(model.weights, model.thresholds)
+    assert best < 0.2 < loss(np.zeros(quality.BUCKETS), model.thresholds)
+
+
 def test_samples_of_very_many_rows_are_not_empty(spark):
     from inkrow.llm._common import highest_hash
 
