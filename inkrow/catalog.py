@@ -83,8 +83,8 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_partkey") % 11 == 0, "OK").when(F.col("l_partkey") % 3 == 0, "PARTIAL").otherwise("FAIL")
-    tries = lines.select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("position"), status.alias("status"), (F.col("l_suppkey") % 4).alias("n_accepted"), F.col("l_discount").alias("mean_confidence"))
-    return decide.best_attempts(tries, "image", "position").select("image", "position", "status", "passes")
+    tries = lines.select(F.col("l_orderkey").alias("image"), (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("position"), status.alias("status"), (F.col("l_suppkey") % 4).alias("n_accepted"), F.when(F.col("l_partkey") % 4 > 0, F.round(F.col("l_discount") * 30)).alias("mean_confidence"), (F.col("l_suppkey") % 3 > 0).alias("known"))
+    return decide.best_attempts(tries, "image", "position", "known").select("image", "position", "status", "passes")
 
 
 def cer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -366,7 +366,59 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals)}
+def attempt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further attempts at images made of orders, whose first attempt looks upright or not, of a known kind or not, or wasn't measured."""
+    key = F.col("o_orderkey")
+    looks = [F.when(key % 11 > 0, key % 5 == 0), key % 3 == 0, F.when(key % 7 > 0, key % 2 == 0)]
+    return table(spark, sf_dir, "orders").select(key.alias("image"), F.array_join(decide.attempt_order(*looks), "|").alias("passes"))
+
+
+def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of line items found on pictures that were turned and scaled, back in the upright picture's coordinates."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    box = F.array(point(F.col("l_partkey") % 640, F.col("l_suppkey") % 480), point(F.col("l_partkey") % 640 + F.col("l_quantity"), F.col("l_suppkey") % 480 + F.col("l_linenumber")))
+    back = layout.turned_back(box, F.col("l_linenumber") % 4 * 90, F.lit(700), F.lit(500), F.when(F.col("l_orderkey") % 2 == 0, 0.5).otherwise(2.0))
+    own = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", back.alias("b"))
+    return own.select("l_orderkey", "l_linenumber", *[F.col("b")[i][k].alias(f"{k}{i}") for i in (0, 1) for k in "xy"])
+
+
+def missed_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first fakes that passed and genuine cards that didn't, made of line items."""
+    reasons = F.when(F.col("l_partkey") % 5 > 0, F.array_compact(F.array(F.when(F.col("l_quantity") > 40, "CARD_ASPECT"))))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("image"), F.when(F.col("l_suppkey") % 2 == 0, "fake").otherwise("genuine").alias("label"), F.when(F.col("l_linestatus") == "O", "OK").otherwise("FAIL").alias("status"), reasons.alias("reasons"))
+    return evaluate.missed(rows).select("error", "image", F.col("k").cast("long").alias("k"))
+
+
+ISSUER_ENDS = ["구청장", "구청", "경찰", "경찰청", "시 장", "구청징", "군 수", "군청", "시청", "구", "군", "읍장", "시징", "소장", " 청장"]
+
+
+def issuer_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issuers made of customers: a province, a place and an ending that is whole, apart, misread, cut off or none."""
+    key = F.col("c_custkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    said = F.concat(pick(text.PROVINCES, key), F.when(key % 2 == 0, "  ").otherwise(""), pick(["가람", "누리", "다솔"], key), pick(ISSUER_ENDS, F.floor(key / 3)))
+    own = table(spark, sf_dir, "customer").select("c_custkey", text.repair_issuer(said).alias("r"))
+    return own.select("c_custkey", F.col("r.value").alias("value"), F.col("r.repaired").alias("repaired"), text.issuer_is_valid("r.value").alias("valid"))
+
+
+def token_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens made of numbers of customers with look-alike letters for some digits, repaired where digits prevail; and the numbers masked."""
+    number = F.concat(F.lpad((F.col("c_custkey") * 7919 % 1_000_000).cast("string"), 6, "0"), F.lit("-"), F.lpad((F.col("c_custkey") * 104_729 % 10_000_000).cast("string"), 7, "0"))
+    read = F.when(F.col("c_custkey") % 3 == 0, F.translate(number, "0158", "OlSB")).when(F.col("c_custkey") % 3 == 1, F.translate(number, "0123", "DxyZ")).otherwise(number)
+    token = F.concat(read, F.left("c_mktsegment", (F.col("c_custkey") % 9).cast("int")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.fix_digits(token).alias("repaired"), text.mask_number(number).alias("masked"))
+
+
+def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses made of customers: a province in full, short or none, set apart from what follows; validity; and the district as one name or two."""
+    key = F.col("c_custkey")
+    names = [*text.PROVINCES, *text.PROVINCE_STEMS, "한양", ""]
+    district = F.element_at(F.array(*map(F.lit, ["성남시분당구", "종로구", "수원시", "양평군"])), (key % 4 + 1).cast("int"))
+    said = F.concat(F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int")), F.when(key % 3 == 0, " ").otherwise(""), F.when(key % 5 > 0, F.concat(district, F.lit(" "), key.cast("string"))).otherwise(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.space_after_province(said).alias("spaced"), text.address_is_valid(said).alias("valid"), F.array_join(address.split_district(district), "|").alias("district"))
+
+
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
 
 
 def _letters_sql(n: str) -> str:
@@ -400,9 +452,9 @@ SQL = {
         count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
       SELECT event_type, any_value(n) AS n, avg(ms) FILTER (i IN ((n - 1) // 2, n // 2)) AS p50, max(ms) FILTER (i = CAST(floor(0.95 * (n - 1)) AS BIGINT)) AS p95 FROM v GROUP BY event_type""",
     "best_attempts": """WITH t AS (
-        SELECT l_orderkey AS image, l_linenumber * 1000000 + l_partkey AS position, CASE WHEN l_partkey % 11 = 0 THEN 'OK' WHEN l_partkey % 3 = 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status, l_suppkey % 4 AS a, l_discount AS c FROM lineitem),
+        SELECT l_orderkey AS image, l_linenumber * 1000000 + l_partkey AS position, CASE WHEN l_partkey % 11 = 0 THEN 'OK' WHEN l_partkey % 3 = 0 THEN 'PARTIAL' ELSE 'FAIL' END AS status, l_suppkey % 4 AS a, CASE WHEN l_partkey % 4 > 0 THEN round(l_discount * 30) ELSE 0 END AS c, l_suppkey % 3 > 0 AS known FROM lineitem),
       s AS (SELECT *, coalesce(max(CAST(status = 'OK' AS INT)) OVER (PARTITION BY image ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM t),
-      r AS (SELECT *, count(*) OVER (PARTITION BY image) AS passes, row_number() OVER (PARTITION BY image ORDER BY CASE status WHEN 'OK' THEN 3 WHEN 'PARTIAL' THEN 2 ELSE 1 END DESC, a DESC, c DESC, position) AS k FROM s WHERE stopped = 0)
+      r AS (SELECT *, count(*) OVER (PARTITION BY image) AS passes, row_number() OVER (PARTITION BY image ORDER BY CASE status WHEN 'OK' THEN 3 WHEN 'PARTIAL' THEN 2 ELSE 1 END DESC, a DESC, c DESC, known DESC, position) AS k FROM s WHERE stopped = 0)
       SELECT image, position, status, passes FROM r WHERE k = 1""",
     "cer_names": """WITH v AS (SELECT c_custkey, replace(translate(c_name, '05', 'O') || substr(c_mktsegment, 1, 2), ' ', '') AS p, replace(c_name || substr(c_mktsegment, 1, 3), ' ', '') AS t FROM customer)
       SELECT c_custkey, round(least(1.0, levenshtein(p, t) / CAST(length(t) AS DOUBLE)), 6) AS cer FROM v""",
@@ -489,4 +541,27 @@ SQL = {
           concat_ws('|', CASE WHEN detector AND boxed AND NOT good THEN 'NO_FACE_IN_PHOTO_AREA' END, CASE WHEN contour AND abs(ratio / (85.6 / 54.0) - 1) > 0.1 THEN 'CARD_ASPECT' END, CASE WHEN clipped <= 0.5 AND colour < 12 THEN 'PLAIN_BACKGROUND' END) AS reasons,
           concat_ws('|', CASE WHEN detector AND NOT boxed THEN 'FACE_NOT_CHECKED' END, CASE WHEN ratio IS NOT NULL AND NOT contour THEN 'CARD_EDGES_NOT_VISIBLE' END, CASE WHEN colour IS NOT NULL AND clipped > 0.5 THEN 'BACKGROUND_OVEREXPOSED' END) AS inconclusive FROM v)
       SELECT l_orderkey, l_linenumber, face_ok, reasons, inconclusive, reasons <> '' AS suspicious FROM r""",
+    "attempt_orders": """SELECT o_orderkey AS image, CASE WHEN o_orderkey % 11 > 0 AND o_orderkey % 5 = 0 THEN 'rot90|rot270|contrast|rot180' WHEN o_orderkey % 3 = 0 THEN 'rot180|rot90|rot270|contrast'
+        WHEN o_orderkey % 7 > 0 AND o_orderkey % 2 = 0 THEN 'rot180|contrast|rot90|rot270' ELSE 'contrast|rot90|rot270|rot180' END AS passes FROM orders""",
+    "turned_boxes": """WITH p AS (
+        SELECT l_orderkey, l_linenumber, l_linenumber % 4 * 90 AS r, CASE WHEN l_orderkey % 2 = 0 THEN 0.5 ELSE 2.0 END AS s, CAST(l_partkey % 640 AS DOUBLE) AS x, CAST(l_suppkey % 480 AS DOUBLE) AS y,
+          CAST(l_partkey % 640 + l_quantity AS DOUBLE) AS u, CAST(l_suppkey % 480 + l_linenumber AS DOUBLE) AS v FROM lineitem)
+      SELECT l_orderkey, l_linenumber, round(CASE r WHEN 0 THEN x WHEN 90 THEN y WHEN 180 THEN 699 - x ELSE 699 - y END / s, 1) AS x0, round(CASE r WHEN 0 THEN y WHEN 90 THEN 499 - x WHEN 180 THEN 499 - y ELSE x END / s, 1) AS y0,
+        round(CASE r WHEN 0 THEN u WHEN 90 THEN v WHEN 180 THEN 699 - u ELSE 699 - v END / s, 1) AS x1, round(CASE r WHEN 0 THEN v WHEN 90 THEN 499 - u WHEN 180 THEN 499 - v ELSE u END / s, 1) AS y1 FROM p""",
+    "missed_signals": """WITH r AS (
+        SELECT l_orderkey * 10 + l_linenumber AS image, CASE WHEN l_suppkey % 2 = 0 AND l_linestatus = 'O' AND l_quantity <= 40 THEN 'missed' WHEN l_suppkey % 2 = 1 AND l_quantity > 40 THEN 'false_positive' END AS error FROM lineitem WHERE l_partkey % 5 > 0)
+      SELECT error, image, k FROM (SELECT error, image, row_number() OVER (PARTITION BY error ORDER BY image) AS k FROM r WHERE error IS NOT NULL) WHERE k <= 20""",
+    "issuer_repairs": f"""WITH t AS (
+        SELECT c_custkey, ({text.PROVINCES})[c_custkey % {len(text.PROVINCES)} + 1] || CASE WHEN c_custkey % 2 = 0 THEN '  ' ELSE '' END || (['가람', '누리', '다솔'])[c_custkey % 3 + 1] || ({ISSUER_ENDS})[c_custkey // 3 % {len(ISSUER_ENDS)} + 1] AS t FROM customer),
+      a AS (SELECT c_custkey, regexp_replace(regexp_replace(t, ' +', ' ', 'g'), '^({"|".join(text.PROVINCES)})([^ ])', '\\1 \\2') AS a FROM t),
+      s AS (SELECT c_custkey, regexp_replace(a, ' (장|청장|시장|군수)$', '\\1') AS s FROM a),
+      r AS (SELECT c_custkey, s, CASE WHEN regexp_matches(s, '(청장|시장|군수|읍장|면장|동장)$') THEN s WHEN regexp_matches(s, '.[청시][가-힣]$') THEN left(s, length(s) - 1) || '장' WHEN regexp_matches(s, '.군[가-힣]$') THEN left(s, length(s) - 1) || '수'
+          WHEN s LIKE '%경찰' THEN s || '청장' WHEN s LIKE '%청' THEN s || '장' WHEN s LIKE '%구' THEN s || '청장' WHEN s LIKE '%군' THEN s || '수' ELSE s END AS value FROM s)
+      SELECT c_custkey, value, value <> s AS repaired, regexp_matches(value, '(청장|시장|군수|읍장|면장|동장)$') AND length(value) >= 4 AS valid FROM r""",
+    "token_repairs": """WITH n AS (SELECT c_custkey, c_mktsegment, lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') || '-' || lpad(CAST(c_custkey * 104729 % 10000000 AS VARCHAR), 7, '0') AS number FROM customer),
+      t AS (SELECT c_custkey, number, CASE c_custkey % 3 WHEN 0 THEN translate(number, '0158', 'OlSB') WHEN 1 THEN translate(number, '0123', 'DxyZ') ELSE number END || left(c_mktsegment, c_custkey % 9) AS t FROM n)
+      SELECT c_custkey, CASE WHEN length(regexp_replace(t, '[^0-9]', '', 'g')) * 10 >= length(regexp_replace(t, '[^0-9A-Za-z]', '', 'g')) * 6 THEN translate(t, 'OoDQIl|i!SBZz', '0000111115822') ELSE t END AS repaired, substr(number, 1, 8) || '******' AS masked FROM t""",
+    "address_checks": f"""WITH t AS (SELECT c_custkey, (['성남시분당구', '종로구', '수원시', '양평군'])[c_custkey % 4 + 1] AS d FROM customer),
+      s AS (SELECT c_custkey, d, ({[*text.PROVINCES, *text.PROVINCE_STEMS, "한양", ""]})[c_custkey % {len(text.PROVINCES) + len(text.PROVINCE_STEMS) + 2} + 1] || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 5 > 0 THEN d || ' ' || c_custkey ELSE '' END AS s FROM t)
+      SELECT c_custkey, regexp_replace(s, '^({"|".join(text.PROVINCES)})([^ ])', '\\1 \\2') AS spaced, regexp_matches(s, '^({"|".join(text.PROVINCE_STEMS)})') AND length(s) >= 8 AS valid, replace(d, '시분당', '시|분당') AS district FROM s""",
 }

@@ -19,10 +19,15 @@ def likeness(text: Column, words: list[str], windows: bool = False) -> Column:
     @F.pandas_udf("array<double>")
     def ratios(texts: pd.Series) -> pd.Series:
         def one(t: str, word: str) -> float:
+            if windows and word in t:
+                return 1.0
             spans = [t[i : i + len(word)] for i in range(max(1, len(t) - len(word) + 1))] if windows else [t]
             return max(SequenceMatcher(None, span, word).ratio() for span in spans)
 
-        return texts.map(lambda t: [one(t, w) if t else 0.0 for w in words])
+        # a text that many lines share is compared once a batch
+        codes, distinct = pd.factorize(texts, use_na_sentinel=False)
+        scores = [[one(t, w) if isinstance(t, str) and t else 0.0 for w in words] for t in distinct]
+        return pd.Series([scores[c] for c in codes], index=texts.index)
 
     return ratios(text)
 

@@ -127,14 +127,16 @@ def verdicts(fields: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, status.alias("status"), "n_accepted", "mean_confidence")
 
 
-def best_attempts(attempts: DataFrame, key: str, position: str) -> DataFrame:
-    """The best attempt of each key and passes, the number that were run: attempts (status, n_accepted, mean_confidence) stop at the first that is OK; the earliest of equals stays."""
+def best_attempts(attempts: DataFrame, key: str, position: str, known: str | None = None) -> DataFrame:
+    """The best attempt of each key and passes, the number that were run: attempts (status, n_accepted, mean_confidence) stop at the first that is OK; of equals one of a known type of document (the
+    column known, true or false) goes before others, then the earliest. Null status is less than FAIL, null numbers count as 0."""
     run = Window.partitionBy(key).orderBy(position)
     stopped = F.coalesce(F.max((F.col("status") == "OK").cast("int")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     tried = attempts.withColumn("stopped", stopped).where("stopped = 0").drop("stopped")
     tried = tried.withColumn("passes", F.count("*").over(Window.partitionBy(key)))
     order = F.when(F.col("status") == "OK", 3).when(F.col("status") == "PARTIAL", 2).when(F.col("status") == "FAIL", 1).otherwise(0)
-    ranked = F.row_number().over(Window.partitionBy(key).orderBy(order.desc(), F.col("n_accepted").desc(), F.col("mean_confidence").desc_nulls_last(), position))
+    better = [order, F.coalesce("n_accepted", F.lit(0)), F.coalesce("mean_confidence", F.lit(0.0)), *([F.coalesce(known, F.lit(False))] if known else [])]
+    ranked = F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in better], position))
     return tried.withColumn("k", ranked).where("k = 1").drop("k")
 
 

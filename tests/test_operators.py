@@ -47,3 +47,8 @@ def test_best_attempt_stops_at_the_first_ok(spark):
 def test_nearest_needs_a_single_best(spark):
     words, names = spark.createDataFrame([("abcd",), ("zz",), (None,)], "word string"), spark.createDataFrame([("abce",), ("abcf",), ("zzz",)], "candidate string")
     assert {r["word"]: r["found"] for r in decide.nearest(words, names, 1).collect()} == {"abcd": None, "zz": "zzz"}
+
+
+def test_known_types_break_ties(spark):
+    tries = spark.createDataFrame([(1, 1, "FAIL", None, None, False), (1, 2, "FAIL", 0, 0.0, True), (2, 1, None, 0, 0.5, True), (2, 2, "FAIL", 0, 0.1, None)], "image int, position int, status string, n_accepted int, mean_confidence double, known boolean")
+    assert {r["image"]: r["position"] for r in decide.best_attempts(tries, "image", "position", "known").collect()} == {1: 2, 2: 2}
