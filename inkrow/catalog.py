@@ -113,7 +113,11 @@ def rrn_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit(". "), F.date_format("o_orderdate", "M"), F.lit(". "), F.date_format("o_orderdate", "d"), F.lit(".서울특별시장"))
+    """Dates of orders with different signs between their parts, the day of every fifth made the 31st, and issuers after them that are whole or cut off."""
+    key = F.col("o_orderkey")
+    pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    sign, day = pick(". ", "-", "/", " . "), F.when(key % 5 == 0, "31").otherwise(F.date_format("o_orderdate", "d"))
+    line = F.concat(F.date_format("o_orderdate", "yyyy"), sign, F.date_format("o_orderdate", "M"), sign, day, pick(".", " "), pick("서울특별시장", "가람구청", "다솔군"))
     found = F.try_element_at(text.find_dates(line), F.lit(1))
     return table(spark, sf_dir, "orders").select("o_orderkey", found["value"].cast("string").alias("iso"), text.repair_issuer(text.text_after_numbers(line))["value"].alias("issuer"))
 
@@ -295,12 +299,16 @@ def license_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def address_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses made of customer keys: province, city or district misread, province unreadable; all can be set right."""
+    """Addresses made of customer keys: province, city or district misread, a space lost, province unreadable; all can be set right."""
     provinces = spark.createDataFrame([(p,) for p in text.PROVINCES], "province string")
     pairs = [("서울특별시", "송파구"), ("서울특별시", "종로구"), ("서울특별시", "중구"), ("부산광역시", "중구"), ("경기도", "성남시"), ("경기도", "분당구")]
     districts = spark.createDataFrame(pairs, "province string, district string")
     read = ["서울특별세 송파규 올림픽로1", "성울병신 종로구 은천로93", "경기도 성남시 분당규 정자로 12", "서울시 중구 세종대로 1(정동)"]
-    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.element_at(F.array(*map(F.lit, read)), (F.col("c_custkey") % 4 + 1).cast("int")).alias("address"))
+    key = F.col("c_custkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
+    province, district, place = pick(["서울특별시", "서울특별시", "경기도"], key), pick(["송파구", "종로구", "성남시"], key), key % 8
+    made = F.concat(F.when(place == 5, F.translate(province, "시도", "세토")).otherwise(province), F.lit(" "), F.when(place == 6, F.translate(district, "구시", "규세")).otherwise(district), F.lit(" 중앙로"), F.when(place == 7, "").otherwise(" "), (key % 300).cast("string"))
+    own = table(spark, sf_dir, "customer").select(key.alias("id"), F.when(place < 4, pick(read, key)).otherwise(made).alias("address"))
     out = address.correct(own, provinces, districts, spark.createDataFrame([("올림픽로",), ("은전로",)], "word string"))
     return out.select("id", "corrected", F.size("changed").cast("long").alias("n_changed"), "valid")
 
@@ -469,7 +477,8 @@ SQL = {
       SELECT c_custkey, f || '-' || s || b AS rrn, (11 - list_sum(list_transform(range(1, 13), lambda i: CAST(substr(a, i, 1) AS INT) * (2 + (i - 1) % 8))) % 11) % 10 = CAST(substr(a, 13, 1) AS INT) AS checksum_ok,
         CAST(d AS VARCHAR) AS birth, coalesce(s NOT IN ('9', '0') AND d <= DATE '{TODAY}' AND year(DATE '{TODAY}') - year(d) <= 120, false) AS valid,
         CASE WHEN CAST(s AS INT) % 2 = 1 THEN 'M' ELSE 'F' END AS gender, CAST(s AS INT) BETWEEN 5 AND 8 AS is_foreigner FROM n""",
-    "order_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, '서울특별시장' AS issuer FROM orders",
+    "order_dates": """SELECT o_orderkey, CAST(try_cast(strftime(o_orderdate, '%Y-%m-') || CASE WHEN o_orderkey % 5 = 0 THEN '31' ELSE strftime(o_orderdate, '%d') END AS DATE) AS VARCHAR) AS iso,
+        CASE o_orderkey % 3 WHEN 0 THEN '서울특별시' || '장' WHEN 1 THEN '가람구' || '청장' ELSE '다솔군' || '수' END AS issuer FROM orders""",
     "license_numbers": """SELECT o_orderkey, lpad(CAST(o_orderkey % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey % 100 AS VARCHAR), 2, '0') || '-' || lpad(CAST(o_orderkey * 31 % 1000000 AS VARCHAR), 6, '0') || '-'
         || CASE WHEN o_orderkey % 5 = 0 THEN 'XX' ELSE lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, '0') END AS number, o_orderkey % 5 = 0 AS masked, o_orderkey % 30 BETWEEN 11 AND 28 AND o_orderkey % 30 <> 27 AS valid FROM orders""",
     "serial_codes": """WITH c AS (SELECT p_partkey, substr(upper(md5(CAST(p_partkey AS VARCHAR))), 1, 6) AS code FROM part),
@@ -481,8 +490,9 @@ SQL = {
     "page_shapes": f"""WITH {LINES_SQL} SELECT image, list_sort(list(cy))[len(list(cy)) // 2 + 1] AS middle, 2 * count(*) FILTER (h > 1.5 * (x1 - x0)) > count(*) AS vertical FROM cl GROUP BY image""",
     "license_kinds": """SELECT p_partkey, g || '종' || CASE WHEN p_partkey % 3 = 2 THEN '대형' ELSE '보통' END || '|' || g || '종소형|1종특수(구난)|1종특수(소형견인)|2종원동기' AS kinds
       FROM (SELECT p_partkey, CAST(p_partkey % 2 + 1 AS VARCHAR) AS g FROM part)""",
-    "address_corrections": """SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '서울특별시 송파구 올림픽로 1' WHEN 1 THEN '서울특별시 종로구 은전로 93' WHEN 2 THEN '경기도 성남시 분당구 정자로 12' ELSE '서울시 중구 세종대로 1 (정동)' END AS corrected,
-      CAST(CASE c_custkey % 4 WHEN 2 THEN 1 WHEN 3 THEN 0 ELSE 2 END AS BIGINT) AS n_changed, true AS valid FROM customer""",
+    "address_corrections": """SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '서울특별시 송파구 올림픽로 1' WHEN 1 THEN '서울특별시 종로구 은전로 93' WHEN 2 THEN '경기도 성남시 분당구 정자로 12' WHEN 3 THEN '서울시 중구 세종대로 1 (정동)'
+        ELSE (['서울특별시 송파구', '서울특별시 종로구', '경기도 성남시'])[c_custkey % 3 + 1] || ' 중앙로 ' || c_custkey % 300 END AS corrected,
+      CAST(CASE WHEN c_custkey % 8 IN (0, 1) THEN 2 WHEN c_custkey % 8 IN (2, 5, 6) THEN 1 ELSE 0 END AS BIGINT) AS n_changed, true AS valid FROM customer""",
     "resident_fields": """WITH c AS (SELECT c_custkey AS image, lpad(CAST(c_custkey % 90 + 10 AS VARCHAR), 2, '0') || lpad(CAST(c_custkey % 12 + 1 AS VARCHAR), 2, '0') || '15-1' || lpad(CAST(c_custkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS rrn,
         CAST(make_date(c_custkey % 20 + 2000, c_custkey % 12 + 1, c_custkey % 28 + 1) AS VARCHAR) AS day FROM customer)
       , n AS (SELECT c.*, image % 2 AS odd, CAST(image % 300 AS VARCHAR) AS house, replace(rrn, '-', '') AS d FROM c),
