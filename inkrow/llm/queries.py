@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkrow.llm import bpe, chat, decontaminate, fingerprint, language, near_duplicates, pitman_yor, quality, urls, warc
+from inkrow.llm import bpe, chat, decontaminate, filter_audit, fingerprint, language, near_duplicates, pitman_yor, quality, urls, warc
 from inkrow.llm._common import remainder, table
 
 
@@ -60,13 +62,17 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_decontaminate, op4_quality, op5_bpe, op6_pitman_yor, op7_chat, op8_near_duplicates, op9_fingerprint, op10_urls, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_decontaminate, op4_quality, op5_bpe, op6_pitman_yor, op7_chat, op8_near_duplicates, op9_fingerprint, op10_urls, op12_filter_audit, pipeline)}
 
 OP3_SQL = r"""
 WITH dw AS (
@@ -104,4 +110,22 @@ SELECT s.page_id, s.host, s.path, j.rule, coalesce(j.verdict, 'allow') AS verdic
 FROM s LEFT JOIN j ON s.page_id = j.page_id AND s.host = j.host AND s.path = j.path AND j.k = 1
 """
 
-SQL = {"op3_decontaminate": OP3_SQL, "op10_urls": OP10_SQL}
+_STEPS = ", ".join(f"('{''.join(o)}', {i + 1}, {sum(1 << 'ABCDE'.index(c) for c in o[:i])}, {1 << 'ABCDE'.index(o[i])})" for o in permutations("ABCDE") for i in range(5))
+OP12_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+m AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l ON m.doc_id = l.doc_id GROUP BY part, mask),
+s(filter_order, step, before, own) AS (VALUES {_STEPS})
+SELECT part, filter_order, step, CAST(sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN mask & own <> 0 THEN n * 120 // greatest(bit_count(mask), 1) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, s GROUP BY part, filter_order, step
+"""
+
+SQL = {"op12_filter_audit": OP12_SQL, "op3_decontaminate": OP3_SQL, "op10_urls": OP10_SQL}
