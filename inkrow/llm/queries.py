@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkrow.llm import bpe, chat, decontaminate, filter_audit, fingerprint, language, near_duplicates, pitman_yor, quality, urls, warc
+from inkrow.llm import bpe, chat, decontaminate, filter_audit, fingerprint, language, near_duplicates, pitman_yor, prefix_trie, quality, sharding, urls, warc
 from inkrow.llm._common import remainder, table
 
 
@@ -62,17 +62,25 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_decontaminate, op4_quality, op5_bpe, op6_pitman_yor, op7_chat, op8_near_duplicates, op9_fingerprint, op10_urls, op12_filter_audit, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_warc, op3_decontaminate, op4_quality, op5_bpe, op6_pitman_yor, op7_chat, op8_near_duplicates, op9_fingerprint, op10_urls, op11_sharding, op12_filter_audit, op13_prefix_trie, pipeline)}
 
 OP3_SQL = r"""
 WITH dw AS (
@@ -128,4 +136,22 @@ SELECT part, filter_order, step, CAST(sum(CASE WHEN mask & (own | before) = 0 TH
 FROM c, s GROUP BY part, filter_order, step
 """
 
-SQL = {"op12_filter_audit": OP12_SQL, "op3_decontaminate": OP3_SQL, "op10_urls": OP10_SQL}
+# the remainder of a CRC by its bits, since the SQL engine has no such function
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS s, strlen(coalesce(text, '')) AS b
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, CAST(c AS VARCHAR) AS name, list(s ORDER BY seq) AS ss, list(b ORDER BY seq) AS bs FROM t GROUP BY c),
+h AS (SELECT *, CAST(xor(list_reduce(list_transform(range(1, len(name) + 1), lambda i: CAST(ascii(substr(name, CAST(i AS INT), 1)) AS BIGINT)),
+    lambda a, x: list_reduce(range(8), lambda r, i: xor(r >> 1, CASE WHEN r & 1 = 1 THEN 3988292384 ELSE 0 END), xor(a, x)), 4294967295), 4294967295) % 9 AS INT) AS h FROM n),
+r AS (SELECT a.c, list_concat(coalesce(z.ss[1:a.h], []), a.ss[a.h + 1:]) AS ss, list_concat(coalesce(z.bs[1:a.h], []), a.bs[a.h + 1:]) AS bs FROM h a LEFT JOIN h z ON z.c = a.c - a.c % 5),
+p AS (SELECT c, d, ss[1:d] AS p, CASE WHEN d > 0 THEN bs[d] ELSE 0 END AS b, len(ss) AS n FROM (SELECT *, unnest(range(0, len(ss) + 1)) AS d FROM r)),
+g AS (SELECT p, d, min(c) AS c, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM p GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS up, count(*) AS k FROM g WHERE d > 0 GROUP BY 1),
+e AS (SELECT p, n, b, k.k, unnest(range(0, d + 1)) AS j FROM g LEFT JOIN k ON k.up = g.p),
+u AS (SELECT p[1:j] AS a, sum(CASE WHEN k IS NULL THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * b) AS saved FROM e GROUP BY 1)
+SELECT g.c AS conv_id, g.d AS depth, o.c AS parent_conv_id, g.n AS n_convs, coalesce(k.k, 0) AS n_children, CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256
+FROM g JOIN u ON u.a = g.p LEFT JOIN k ON k.up = g.p LEFT JOIN g o ON g.d > 0 AND o.p = g.p[1:g.d - 1]
+"""
+
+SQL = {"op12_filter_audit": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op3_decontaminate": OP3_SQL, "op10_urls": OP10_SQL}
