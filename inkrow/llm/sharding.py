@@ -84,7 +84,7 @@ def ranges(rows: DataFrame, shards: int) -> tuple[list[str], pd.DataFrame]:
             one = held["low"].map(group_of) == held["high"].map(group_of)
             whole = one & (held["bytes"] <= total / shards) & (held["rows"] <= min(MOST_ROWS, max(1, n / shards)))
             divisible = held[((held["bytes"] > 2 * most_bytes) | (held["rows"] > 2 * most_rows)) & (held["low"] != held["high"])]
-            over = divisible[~whole]
+            over = divisible[~whole[divisible.index]]
             if over.empty:
                 table = dealt(held, shards)
                 full = table.groupby("shard")["bytes"].transform("sum")
