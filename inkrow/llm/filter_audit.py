@@ -40,10 +40,11 @@ def failures(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # equal texts meet by digest, as texts they travel nowhere
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     own = stored(docs.select(F.col(key).alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), digest.alias("digest"), text_failures(F.col(text)).alias("own")), "audit-texts")
-    lows = own.groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # by digest and id, not by digest alone: a text that a third of all rows share has many ids
+    lows = own.groupBy("digest").agg(F.min("id").alias("low")).select(F.col("digest").alias("of"), "low", F.lit(True).alias("first"))
     marks = labels.groupBy(F.col("doc_id").alias("id")).agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
-    later = F.coalesce((F.col("id") > F.col("low")) | (F.col("id").isNull() & F.col("low").isNotNull()), F.lit(False))
-    both = own.join(lows, "digest", "left").withColumn("mask", F.col("own") + F.when(later, 1 << 4).otherwise(0)).select("id", "part", "mask")
+    both = own.join(lows, (F.col("digest") == F.col("of")) & F.col("id").eqNullSafe(F.col("low")), "left")
+    both = both.select("id", "part", (F.col("own") + F.when(F.col("first"), 0).otherwise(1 << 4)).alias("mask"))
     marked = both.join(marks, "id", "left")
     return marked.select("part", "mask", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "toxic")])
 
