@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkrow import card_queries
 from inkrow.functions import jamo, text
-from inkrow.operators import address, classify, decide, evaluate, extract, layout, synthetic
+from inkrow.operators import address, classify, decide, evaluate, extract, layout
 from inkrow.sources.tables import table
 
 FLAGSHIP = "verdict_report"
@@ -170,11 +171,6 @@ def page_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.page_shape(layout.bounds(_lines(spark, sf_dir)))
 
 
-def synthetic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card for every customer, every value drawn from a hash of its key."""
-    return synthetic.cards(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
-
-
 def _syllable(code) -> DataFrame:
     return F.decode(F.unhex(F.lpad(F.hex(code + 0xAC00), 4, "0")), "UTF-16BE")
 
@@ -426,7 +422,8 @@ def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.space_after_province(said).alias("spaced"), text.address_is_valid(said).alias("valid"), F.array_join(address.split_district(district), "|").alias("district"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, synthetic_cards, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
+QUERIES |= card_queries.QUERIES
 
 
 def _letters_sql(n: str) -> str:
@@ -527,7 +524,7 @@ SQL = {
       w AS (SELECT c_custkey, [f, s] AS a, [f, CASE c_custkey % 4 WHEN 0 THEN s WHEN 1 THEN s // 28 * 28 + (s + 1) % 28 WHEN 2 THEN (s + 588) % 11172 ELSE c_custkey * 31 % 11172 END] AS b FROM k),
       e AS (SELECT c_custkey, array_to_string(list_transform(a, lambda n: {_letters_sql("n")}), '') AS a, array_to_string(list_transform(b, lambda n: {_letters_sql("n")}), '') AS b FROM w)
       SELECT c_custkey, levenshtein(a, b) AS distance FROM e""",
-    "document_kinds": "SELECT o_orderkey AS image, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'RESIDENT' WHEN o_orderkey % 7 IN (2, 3, 4) THEN 'LICENSE' ELSE 'UNKNOWN' END AS document_type FROM orders",
+    "document_kinds": "SELECT o_orderkey AS image, CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'RESIDENT_CARD' WHEN o_orderkey % 7 IN (2, 3, 4) THEN 'DRIVER_LICENSE' ELSE 'UNKNOWN' END AS document_type FROM orders",
     "police_offices": "SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN '서울지방경찰청장' WHEN 1 THEN '부산경찰청장' WHEN 2 THEN '경기남부경찰청장' ELSE '동장' END AS value, s_suppkey % 4 = 2 AS changed FROM supplier",
     "line_angles": """SELECT l_orderkey AS image, round(coalesce(median(atan2(l_partkey % 21 - 10, l_quantity * 4)) FILTER (sqrt((l_quantity * 4) * (l_quantity * 4) + (l_partkey % 21 - 10) * (l_partkey % 21 - 10)) > 40), 0), 9) AS angle FROM lineitem GROUP BY 1""",
     "card_results": f"""WITH {RESULTS_SQL} SELECT image, status, fail_reason, CASE WHEN read THEN substr(rrn, 1, 8) || '******' END AS rrn, CAST(CASE WHEN read THEN 7 ELSE 0 END AS BIGINT) AS n_fields,
@@ -575,3 +572,4 @@ SQL = {
       s AS (SELECT c_custkey, d, ({[*text.PROVINCES, *text.PROVINCE_STEMS, "한양", ""]})[c_custkey % {len(text.PROVINCES) + len(text.PROVINCE_STEMS) + 2} + 1] || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 5 > 0 THEN d || ' ' || c_custkey ELSE '' END AS s FROM t)
       SELECT c_custkey, regexp_replace(s, '^({"|".join(text.PROVINCES)})([^ ])', '\\1 \\2') AS spaced, regexp_matches(s, '^({"|".join(text.PROVINCE_STEMS)})') AND length(s) >= 8 AS valid, replace(d, '시분당', '시|분당') AS district FROM s""",
 }
+SQL |= card_queries.SQL

@@ -2,44 +2,77 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkrow.functions.likeness import Names, ratios
+from inkrow.functions.text import SPACE
+
 #: Titles, with the least score at which each counts.
 RESIDENT, LICENSE, LICENSE_SHORT = ("주민등록증", 0.7), ("자동차운전면허증", 0.7), ("운전면허증", 0.8)
-ENGLISH = r"(?i)driver'?s\s*licen"
 
 
 def likeness(text: Column, words: list[str], windows: bool = False) -> Column:
-    """Per word its matching-blocks ratio against text, or with windows the best against any window of the word's length; null text gives 0."""
+    """Per word its matching-blocks ratio against text, or with windows the best against any window of the word's length; null or empty text gives 0.
+
+    The distinct texts of a batch are compared once each, all pairs together.
+    """
 
     @F.pandas_udf("array<double>")
-    def ratios(texts: pd.Series) -> pd.Series:
-        def one(t: str, word: str) -> float:
-            if windows and word in t:
-                return 1.0
-            spans = [t[i : i + len(word)] for i in range(max(1, len(t) - len(word) + 1))] if windows else [t]
-            return max(SequenceMatcher(None, span, word).ratio() for span in spans)
-
-        # a text that many lines share is compared once a batch
+    def scores(texts: pd.Series) -> pd.Series:
         codes, distinct = pd.factorize(texts, use_na_sentinel=False)
-        scores = [[one(t, w) if isinstance(t, str) and t else 0.0 for w in words] for t in distinct]
-        return pd.Series([scores[c] for c in codes], index=texts.index)
+        pairs = []
+        for i, t in enumerate(distinct):
+            if isinstance(t, str) and t:
+                for j, word in enumerate(words):
+                    # a text that has the whole word needs no other window
+                    starts = [t.find(word)] if word in t else range(max(1, len(t) - len(word) + 1))
+                    pairs += [(i, j, t[k : k + len(word)] if windows else t) for k in (starts if windows else [0])]
+        out = np.zeros((len(distinct), len(words)))
+        if pairs:
+            i, j, spans = zip(*pairs, strict=True)
+            np.maximum.at(out, (np.array(i), np.array(j)), ratios(list(spans), [words[k] for k in j]))
+        return pd.Series(list(out[codes]), index=texts.index)
 
-    return ratios(text)
+    return scores(text)
 
 
-def document_types(lines: DataFrame) -> DataFrame:
-    """image and document_type from lines (image, idx, text): a resident title wins over a licence title, that over its short and English forms; else UNKNOWN. Null text matches nothing."""
+def nearest_name(text: Column, names: list[str], least: float) -> Column:
+    """The name of a closed list most like text, the first of equals, if it is as like it as least; null for null text. Lists may have many thousands of names."""
+    held = Names(names)
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        codes, distinct = pd.factorize(texts, use_na_sentinel=False)
+        asked = [i for i, t in enumerate(distinct) if isinstance(t, str)]
+        own: list[str | None] = [None] * len(distinct)
+        for i, name in zip(asked, held.nearest([distinct[i] for i in asked], least), strict=True):
+            own[i] = name
+        return pd.Series([own[c] for c in codes], index=texts.index, dtype=object)
+
+    return found(text)
+
+
+def classified(lines: DataFrame) -> DataFrame:
+    """image, document_type and title (the idx of the line that told it) from lines (image, idx, text).
+
+    A resident title wins over a licence title, that over its short form, that over the English one; of equally like lines the first counts. Without any the type is UNKNOWN; null text matches nothing.
+    """
     titles = [RESIDENT, LICENSE, LICENSE_SHORT]
     hangul = F.regexp_replace(F.coalesce("text", F.lit("")), "[^가-힣]", "")
-    scored = lines.select("image", "text", likeness(hangul, [t for t, _ in titles], True).alias("scores"))
-    best = scored.groupBy("image").agg(*[F.max(F.col("scores")[i]).alias(f"best{i}") for i in range(3)], F.max(F.col("text").rlike(ENGLISH)).alias("english"))
-    licence = (F.col("best1") >= LICENSE[1]) | (F.col("best2") >= LICENSE_SHORT[1]) | F.coalesce("english", F.lit(False))
-    return best.select("image", F.when(F.col("best0") >= RESIDENT[1], "RESIDENT").when(licence, "LICENSE").otherwise("UNKNOWN").alias("document_type"))
+    english = F.replace(F.lower("text"), F.lit("driver's"), F.lit("drivers")).rlike(f"drivers[{SPACE}]*licen")
+    scored = lines.select("image", "idx", english.alias("english"), likeness(hangul, [t for t, _ in titles], True).alias("scores"))
+    like = [F.max(F.when(F.col("scores")[i] >= least, F.struct(F.col("scores")[i].alias("score"), (-F.col("idx")).alias("before")))).alias(f"like{i}") for i, (_, least) in enumerate(titles)]
+    best = scored.groupBy("image").agg(*like, F.min(F.when(F.col("english"), F.col("idx"))).alias("said"))
+    kind = F.when(F.col("like0").isNotNull(), "RESIDENT_CARD").when(F.coalesce(F.col("like1.before"), F.col("like2.before"), "said").isNotNull(), "DRIVER_LICENSE").otherwise("UNKNOWN")
+    return best.select("image", kind.alias("document_type"), F.coalesce(*[-F.col(f"like{i}.before") for i in range(3)], "said").alias("title"))
+
+
+def document_types(lines: DataFrame) -> DataFrame:
+    """image and document_type of classified()."""
+    return classified(lines).select("image", "document_type")
 
 
 def title_lines(lines: DataFrame, title: tuple[str, float]) -> DataFrame:
@@ -49,10 +82,8 @@ def title_lines(lines: DataFrame, title: tuple[str, float]) -> DataFrame:
 
 
 def snap_to_list(text: Column, names: list[str], least: float = 0.75) -> Column:
-    """(value, changed): the name of the list (a short one, as a parameter) most like text without spaces, if that is at least so like it; else text itself."""
-    bare = F.regexp_replace(text, r"\s", "")
-    scores = likeness(bare, names)
-    top = F.array_max(scores)
-    found = F.element_at(F.array(*map(F.lit, names)), F.array_position(scores, top).cast("int"))
-    pair = lambda value, done: F.struct(value.alias("value"), F.lit(done).alias("changed"))
-    return F.when(bare.isin(*names), pair(bare, False)).when(top >= least, pair(found, True)).otherwise(pair(text, False))
+    """(value, changed): the name of the closed list most like text without spaces, if that is at least so like it; else text itself."""
+    bare = F.regexp_replace(text, f"[{SPACE}]", "")
+    found = nearest_name(bare, names, least)
+    pair = lambda value, done: F.struct(value.alias("value"), done.alias("changed"))
+    return F.when(found.isNotNull(), pair(found, found != bare)).otherwise(pair(text, F.lit(False)))

@@ -127,6 +127,16 @@ def verdicts(fields: DataFrame, keys: list[str]) -> DataFrame:
     return own.select(*keys, status.alias("status"), "n_accepted", "mean_confidence")
 
 
+def ranks(fields: DataFrame, types: DataFrame) -> DataFrame:
+    """image, status, n_accepted and mean_confidence of the images of a known type in types (image, document_type): a missing field counts as not accepted, and the mean is that of the fields found."""
+    own = accepted(with_spec(fields.join(types.select("image", "document_type"), "image")))
+    held = own.groupBy("image").agg(F.count_if(F.col("accepted") & F.col("core")).alias("n_core"), F.count_if(F.col("accepted") & F.col("required")).alias("n_required"), F.count_if("accepted").alias("n_accepted"), F.avg("confidence").alias("mean_confidence"))
+    of = lambda part: F.coalesce(*[F.when(F.col("document_type") == d, len(spec[part])) for d, spec in SPECS.items()])
+    status = F.when(F.col("n_core") < of("core"), "FAIL").when(F.col("n_required") == of("required"), "OK").otherwise("PARTIAL")
+    every = types.where(F.col("document_type").isin(*SPECS)).select("image", "document_type").join(held, "image", "left").fillna(0, ["n_core", "n_required", "n_accepted"])
+    return every.select("image", status.alias("status"), "n_accepted", "mean_confidence")
+
+
 def best_attempts(attempts: DataFrame, key: str, position: str, known: str | None = None) -> DataFrame:
     """The best attempt of each key and passes, the number that were run: attempts (status, n_accepted, mean_confidence) stop at the first that is OK; of equals one of a known type of document (the
     column known, true or false) goes before others, then the earliest. Null status is less than FAIL, null numbers count as 0."""

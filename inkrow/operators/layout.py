@@ -28,14 +28,6 @@ def text_angle(lines: DataFrame) -> DataFrame:
     return lines.groupBy("image").agg(F.coalesce(F.median(F.when(fits, slope)), F.lit(0.0)).alias("angle"))
 
 
-def deskew(lines: DataFrame, least_degrees: float = 1.0) -> DataFrame:
-    """lines with geo: the box turned back by the image's angle if that is a degree or more, else the box. Blank lines go."""
-    angled = lines.where(F.trim("text") != "").join(text_angle(lines.where(F.trim("text") != "")), "image")
-    turn = F.when(F.abs("angle") >= math.radians(least_degrees), -F.col("angle")).otherwise(0.0)
-    geo = F.transform("box", lambda p: F.struct((p["x"] * F.cos(turn) - p["y"] * F.sin(turn)).alias("x"), (p["x"] * F.sin(turn) + p["y"] * F.cos(turn)).alias("y")))
-    return angled.withColumn("geo", geo).drop("angle")
-
-
 def reading_order(lines: DataFrame) -> DataFrame:
     """lines (with bounds) with place, from 1, by y0, x0 and idx."""
     return lines.withColumn("place", F.row_number().over(Window.partitionBy("image").orderBy("y0", "x0", "idx")))

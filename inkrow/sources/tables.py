@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkrow.functions.text import SPACE
+
 LINES = "image long, pass string, idx int, text string, score double, box array<struct<x:double,y:double>>, chars array<struct<text:string,score:double,box:array<struct<x:double,y:double>>>>"
 
 
@@ -70,7 +72,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct words of two characters or more of a text file."""
-    return spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("word")).where(F.length("word") >= 2).distinct()
+    return spark.read.text(path).select(F.explode(F.split("value", f"[{SPACE}]+")).alias("word")).where(F.length("word") >= 2).distinct()
 
 
 def listing(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png"), first: int = 1) -> DataFrame:
