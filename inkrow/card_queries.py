@@ -72,16 +72,17 @@ def _wrap_sql(x: int, size: int, end: int, percent: str) -> str:
 
 def papers_sql(source: str) -> str:
     """cards_sql and papers(id, document_type, address_lines, shown, ...)."""
-    fits = []
+    fits, percents = [], []
     for slots in (synthetic.RESIDENT_SLOTS, synthetic.LICENSE_SLOTS):
         x, _, size = slots["address"][0]
         tries = [_wrap_sql(x, size, slots["address_end"], str(p)) for p in synthetic.SHRINKS]
         n = len(slots["address"])
         fits.append(f"array_to_string(list_filter([{', '.join(tries)}], lambda t, i: len(string_split(t, '|')) <= {n} OR i = {len(tries)})[1:1], '')")
+        percents.append(f"({synthetic.SHRINKS})[coalesce(list_position(list_transform([{', '.join(tries)}], lambda t: len(string_split(t, '|')) <= {n}), true), {len(tries)})]")
         fits[-1] = f"array_to_string(string_split({fits[-1]}, '|')[1:{n}], '|')"
     return f"""{cards_sql(source)},
 typed AS (SELECT *, CASE WHEN sex >= '5' OR {_d("paper", 2)} = 0 THEN 'DRIVER_LICENSE' ELSE 'RESIDENT_CARD' END AS document_type FROM cards),
-papers AS (SELECT *, CASE WHEN document_type = 'RESIDENT_CARD' THEN {fits[0]} ELSE {fits[1]} END AS address_lines, document_type = 'RESIDENT_CARD' AND {_d("hanja", 5)} < 4 AS shown FROM typed)"""
+papers AS (SELECT *, CASE WHEN document_type = 'RESIDENT_CARD' THEN {fits[0]} ELSE {fits[1]} END AS address_lines, CASE WHEN document_type = 'RESIDENT_CARD' THEN {percents[0]} ELSE {percents[1]} END AS percent, document_type = 'RESIDENT_CARD' AND {_d("hanja", 5)} < 4 AS shown FROM typed)"""
 
 
 CUSTOMERS = "SELECT c_custkey AS id FROM customer"
@@ -147,14 +148,72 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, lying = F.col("id"), F.col("id") % 10 == 7
     images = papers.select(key.alias("image"), (key % 20 != 5).alias("decoded"), F.when(lying, HEIGHT).otherwise(WIDTH).alias("width"), F.when(lying, WIDTH).otherwise(HEIGHT).alias("height"), F.lit(1.0).alias("scale"))
     out = stored(read.results(lines, images, F.lit(TODAY).cast("date"), _dictionary(spark)), "results")
-    right = evaluate.scored(None, _truth(papers), out).groupBy("image").agg(F.count_if("correct").alias("n_correct"), F.count_if("accepted").alias("n_accepted"))
+    right = evaluate.scored(_truth(papers), out).groupBy("image").agg(F.count_if("correct").alias("n_correct"), F.count_if("accepted").alias("n_accepted"))
     shown = ["name", "name_hanja", "rrn", "address", "address_lines", "issue_date", "issuer", "license_number", "license_types", "aptitude_period", "serial_code"]
     box = F.col("field_meta")["rrn"]["bbox"][0][0]
     told = [F.col("derived")[k].alias(k) for k in ("birth_date", "gender", "license_region_name", "is_expired")]
     return out.join(right, "image").select("image", "document_type", "status", "fail_reason", "pass", "passes", "n_correct", "n_accepted", *[F.col("fields")[f].alias(f) for f in shown], *told, F.array_join("warnings", "|").alias("warnings"), box["x"].alias("rrn_x"), box["y"].alias("rrn_y"))
 
 
-QUERIES = {f.__name__: f for f in (synthetic_cards, card_addresses, document_results)}
+#: Lines that the noise of card_conditions reaches with more than lost scores.
+NOISY = ("name", "rrn", "address")
+
+
+def card_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the customers' papers are read by condition of their photographs, one condition by draw each."""
+    papers = _papers(spark, sf_dir).withColumn("condition", synthetic.of(list(synthetic.CONDITIONS), synthetic.draw(1, "condition", len(synthetic.CONDITIONS))))
+    lines = synthetic.photographed(papers, targets=NOISY).select(F.col("id").alias("image"), F.lit("original").alias("pass"), "idx", "text", "score", "box", "chars")
+    images = papers.select(F.col("id").alias("image"), F.lit(True).alias("decoded"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(1.0).alias("scale"))
+    out = stored(read.results(lines, images, F.lit(TODAY).cast("date"), _dictionary(spark)), "results")
+    rows = out.join(papers.select(F.col("id").alias("image"), "condition", (F.col("id") % 700).alias("elapsed_ms")), "image")
+    report = evaluate.condition_report(rows, evaluate.scored(_truth(papers), out), ["condition"])
+    return report.withColumns({c: F.round(c, 6) for c in ("share_ok", "core_correct", "all_correct")})
+
+
+def _conditions_sql() -> str:
+    rows = ", ".join(f"('{c}', {', '.join(map(str, v[1:]))})" for c, v in synthetic.CONDITIONS.items())
+    d = lambda what, below: _d(what, below, "key")
+    weigh = "list_sum(list_transform(range(1, 13), lambda i: CAST(substr(r, CAST(i AS INT), 1) AS INT) * (2 + (i - 1) % 8)))"
+    others = {True: ["issue_date", "issuer"], False: ["label", "aptitude_start", "aptitude_end", "serial_code", "issue_date", "issuer"]}
+    after = {card: ", ".join(f"{{'role': '{k}', 'idx': {3 if card else 5} + len(al) + {i}, 'i': 0, 't': '.'}}" for i, k in enumerate(keys)) for card, keys in others.items()}
+    narrow = synthetic.NARROW
+    # a part of an address right of the number's box isn't taken as part of it
+    (r_x, _, r_size), (l_x, _, l_size) = synthetic.RESIDENT_SLOTS["address"][0], synthetic.LICENSE_SLOTS["address"][0]
+    r_end, l_end = (f"({x} + 14 * {narrow * size} / 100.0)" for x, _, size in (synthetic.RESIDENT_SLOTS["rrn"], synthetic.LICENSE_SLOTS["rrn"]))
+    return f"""WITH {papers_sql(CUSTOMERS)},
+  p AS (SELECT *, document_type = 'RESIDENT_CARD' AS card, string_split(address_lines, '|') AS al, {_of(list(synthetic.CONDITIONS), _d("condition", len(synthetic.CONDITIONS)))} AS condition FROM papers),
+  l AS (
+    SELECT id, unnest(list_concat(CASE WHEN card THEN [{{'role': 'name', 'idx': 1, 'i': 0, 't': CASE WHEN shown THEN name || '(' || name_hanja || ')' ELSE name END}}, {{'role': 'rrn', 'idx': 2, 'i': 0, 't': rrn}}, {after[True]}]
+        ELSE [{{'role': 'license_types', 'idx': 1, 'i': 0, 't': '.'}}, {{'role': 'license_number', 'idx': 2, 'i': 0, 't': '.'}}, {{'role': 'name', 'idx': 3, 'i': 0, 't': name}}, {{'role': 'rrn', 'idx': 4, 'i': 0, 't': rrn}}, {after[False]}] END,
+      list_transform(al, lambda t, i: {{'role': 'address', 'idx': CASE WHEN card THEN 2 ELSE 4 END + i, 'i': i, 't': t}}))) AS l, condition, name, district_, card, percent FROM (SELECT *, len(words) > 0 AND left(address, 2) <> '세종' AS district_ FROM p)),
+  k AS (SELECT id, l.role AS role, l.i AS i, l.t AS t, id || ':' || l.idx AS key, condition, name, district_, card, percent FROM l),
+  c(condition, loss, taken, lost, cut, misread) AS (VALUES {rows}),
+  n AS (
+    SELECT k.*, round(0.97 - ({d("score", 1 << 20)} % (loss + 1)) / 100.0, 2) AS score, list_contains({_list(list(NOISY))}, role) AS noisy, {d("misread", 1000)} < misread AS mis, {d("misread place", 1 << 20)} % length(t) + 1 AS mp, {d("misread by", 9)} + 1 AS inc,
+      {d("taken", 1000)} < taken AS tk, {d("taken place", 1 << 20)} % length(t) + 1 AS tp, {d("space", 1000)} < lost AND instr(t, ' ') > 0 AS lo, {d("split", 1000)} < cut AS sp FROM k JOIN c ON k.condition = c.condition),
+  s AS (SELECT *, CASE WHEN lo THEN replace(left(t, instr(t, ' ')), ' ', '') || substr(t, instr(t, ' ') + 1) ELSE t END AS t3 FROM n),
+  o AS (
+    SELECT *, role = 'address' AND sp AND instr(t3, ' ') > 1 AND (CASE WHEN card THEN {r_x} ELSE {l_x} END)
+      + (length(left(t3, instr(t3, ' '))) * {narrow} + length(regexp_replace(left(t3, instr(t3, ' ')), '[^가-힣一-鿿]', '', 'g')) * {100 - narrow}) * (CASE WHEN card THEN {r_size} ELSE {l_size} END) * percent / 10000.0 >= CASE WHEN card THEN {r_end} ELSE {l_end} END AS out FROM s),
+  m AS (SELECT *, noisy AND mis AND regexp_matches(substr(t, mp, 1), '[0-9가-힣]') AS changed, length(regexp_replace(substr(t, 1, mp - 1), '[^ ]', '', 'g')) AS word FROM o),
+  f AS (
+    SELECT id, any_value(condition) AS condition, min(score) FILTER (role = 'name') AS name_score, bool_or(changed AND mp <= length(name)) FILTER (role = 'name') AS name_wrong,
+      min(score) FILTER (role = 'rrn') AS rrn_score, max(CASE WHEN changed THEN left(t, mp - 1) || CAST((TRY_CAST(substr(t, mp, 1) AS INT) + inc) % 10 AS VARCHAR) || substr(t, mp + 1) ELSE t END) FILTER (role = 'rrn') AS r, bool_or(changed) FILTER (role = 'rrn') AS rrn_wrong,
+      min(score) FILTER (role = 'address') AS address_score, bool_or((changed AND NOT (i = 1 AND (word = 0 AND NOT lo OR word = 1 AND district_))) OR (tk AND instr('01258', substr(t, tp, 1)) > 0) OR out) FILTER (role = 'address') AS address_wrong, bool_or(i = 1 AND changed AND word = 0 AND lo) FILTER (role = 'address') AS address_lost,
+      min(score) FILTER (role = 'issue_date') AS date_score, min(score) FILTER (role = 'issuer') AS issuer_score, min(score) FILTER (role = 'license_number') AS number_score, min(score) FILTER (role = 'license_types') AS types_score, min(score) FILTER (role IN ('label', 'aptitude_start', 'aptitude_end')) AS period_score
+    FROM m GROUP BY id),
+  b AS (
+    SELECT f.*, p.card, CASE WHEN p.card THEN resident_issued ELSE license_issued END AS issued, replace(f.r, '-', '') AS digits,
+      TRY_CAST((CASE WHEN substr(f.r, 8, 1) IN ('1', '2', '5', '6') THEN '19' WHEN substr(f.r, 8, 1) IN ('9', '0') THEN '18' ELSE '20' END) || substr(f.r, 1, 2) || '-' || substr(f.r, 3, 2) || '-' || substr(f.r, 5, 2) AS DATE) AS birth2 FROM f JOIN p ON f.id = p.id),
+  a AS (
+    SELECT *, name_score >= 0.85 AS name_in,
+      coalesce(substr(r, 8, 1) NOT IN ('9', '0') AND birth2 <= DATE '{TODAY}' AND year(DATE '{TODAY}') - year(birth2) <= 120, false) AND (rrn_score >= 0.9 OR rrn_score >= 0.6 AND (11 - {weigh.replace("substr(r,", "substr(digits,")} % 11) % 10 = CAST(substr(digits, 13, 1) AS INT)) AS rrn_in,
+      address_score >= 0.8 AND NOT address_lost AS address_in, date_score >= 0.9 AND coalesce(issued >= make_date(year(birth2) + 16, 1, 1), true) AS date_in, issuer_score >= 0.85 AS issuer_in, card OR number_score >= 0.9 AS number_in, card OR types_score >= 0.85 AS types_in, card OR period_score >= 0.9 AS period_in FROM b)
+  SELECT condition, count(*) AS n, round(avg(CAST(name_in AND rrn_in AND address_in AND date_in AND issuer_in AND number_in AND types_in AND period_in AS INT)), 6) AS share_ok, round(avg(CAST(NOT name_wrong AND NOT rrn_wrong AS INT)), 6) AS core_correct,
+    round(avg(CAST(NOT name_wrong AND NOT rrn_wrong AND NOT address_wrong AS INT)), 6) AS all_correct, median(id % 700) AS p50 FROM a GROUP BY condition"""
+
+
+QUERIES = {f.__name__: f for f in (synthetic_cards, card_addresses, document_results, card_conditions)}
 SQL = {
     "synthetic_cards": f"""WITH {cards_sql(CUSTOMERS)} SELECT id, CAST(birth AS VARCHAR) AS birth, name, name_hanja, sex, rrn, address, CAST(resident_issued AS VARCHAR) AS resident_issued, resident_issuer, CAST(license_issued AS VARCHAR) AS license_issued,
       license_number, license_types, license_issuer, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, serial_code FROM cards""",
@@ -173,4 +232,5 @@ SQL = {
         CASE WHEN read AND NOT card AND regexp_matches(serial_code, '[0OQ1I]') THEN 'LOOKALIKE:serial_code' ELSE '' END AS warnings,
         CAST(CASE WHEN read THEN CASE k WHEN 6 THEN 999 - x WHEN 7 THEN 719 - y ELSE x END END AS DOUBLE) AS rrn_x, CAST(CASE WHEN read THEN CASE k WHEN 6 THEN 719 - y WHEN 7 THEN x ELSE y END END AS DOUBLE) AS rrn_y
       FROM (SELECT *, CASE WHEN card THEN 80 ELSE 430 END AS x, CASE WHEN card THEN 219 ELSE 291 END AS y FROM p)""",
+    "card_conditions": _conditions_sql(),
 }

@@ -248,7 +248,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     right = lambda n, i: F.concat(F.lit(n), ((key + F.when((key + i) % 5 == 0, 1).otherwise(0)) % 100).cast("string"), F.lit("-1234567"))
     entries = [x for i, n in enumerate(["name", "rrn", "address", "issue_date", "issuer"]) for x in (F.lit(n), right(n, i))]
     truth = table(spark, sf_dir, "orders").select(key.alias("image"), F.lit("RESIDENT_CARD").alias("document_type"), F.create_map(*entries).alias("fields"))
-    return evaluate.scored(fields, truth, results), results.join(images.select("image", "condition", "elapsed_ms"), "image")
+    return evaluate.scored(truth, results), results.join(images.select("image", "condition", "elapsed_ms"), "image")
 
 
 SCORED_SQL = RESULTS_SQL + """, sc AS (

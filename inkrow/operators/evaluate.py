@@ -19,7 +19,7 @@ def cer(predicted: Column, truth: Column) -> Column:
     return F.when(F.length(t) == 0, F.when(F.length(p) == 0, 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(p, t) / F.length(t)))
 
 
-def scored(fields: DataFrame | None, truth: DataFrame, results: DataFrame) -> DataFrame:
+def scored(truth: DataFrame, results: DataFrame) -> DataFrame:
     """image, field, core, pred, gt, found, exact, correct, cer, confidence and accepted of every evaluated field of the truth (image, document_type, fields: map of strings).
 
     results are those of decide.assemble. Fields of an image whose document was taken for another, or that has no result, have nulls for all measures, so that rates over all images count them
