@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkrow import card_queries
+from inkrow import card_queries, picture_queries
 from inkrow.functions import jamo, text
 from inkrow.operators import address, classify, decide, evaluate, extract, layout
 from inkrow.sources.tables import table
@@ -423,7 +423,7 @@ def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
-QUERIES |= card_queries.QUERIES
+QUERIES |= card_queries.QUERIES | picture_queries.QUERIES
 
 
 def _letters_sql(n: str) -> str:
@@ -572,4 +572,4 @@ SQL = {
       s AS (SELECT c_custkey, d, ({[*text.PROVINCES, *text.PROVINCE_STEMS, "한양", ""]})[c_custkey % {len(text.PROVINCES) + len(text.PROVINCE_STEMS) + 2} + 1] || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN c_custkey % 5 > 0 THEN d || ' ' || c_custkey ELSE '' END AS s FROM t)
       SELECT c_custkey, regexp_replace(s, '^({"|".join(text.PROVINCES)})([^ ])', '\\1 \\2') AS spaced, regexp_matches(s, '^({"|".join(text.PROVINCE_STEMS)})') AND length(s) >= 8 AS valid, replace(d, '시분당', '시|분당') AS district FROM s""",
 }
-SQL |= card_queries.SQL
+SQL |= card_queries.SQL | picture_queries.SQL
