@@ -156,16 +156,29 @@ def attempt_order(vertical: Column, unknown: Column, title_low: Column) -> Colum
     return F.when(vertical, order("rot90", "rot270", "contrast", "rot180")).when(unknown, order("rot180", "rot90", "rot270", "contrast")).when(title_low, order("rot180", "contrast", "rot90", "rot270")).otherwise(order("contrast", "rot90", "rot270", "rot180"))
 
 
+def deletions(form: Column, most: int) -> Column:
+    """Hashes of form and of what is left of it without up to most of its characters."""
+    shorter = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.left(t, i - 1), F.substring(t, i + 1, F.length(t))))
+    left, every = F.array(form), F.array(form)
+    for _ in range(most):
+        left = F.array_distinct(F.flatten(F.transform(left, shorter)))
+        every = F.array_union(every, left)
+    return F.transform(every, lambda t: F.xxhash64(t))
+
+
 def nearest(words: DataFrame, candidates: DataFrame, most: int, word: str = "word", candidate: str = "candidate", within: list[str] = [], letters: bool = False) -> DataFrame:
     """word and found, beside the columns named in within, which must agree: the one candidate at the least edit distance, at most most, of those whose length differs by at most 1; null if none or several.
 
-    Words are compared once each, by the letters of their syllables if letters is set; candidates join by their length, so that no word meets all of them.
+    Words are compared once each, by the letters of their syllables if letters is set. Texts at a distance of d share what is left of them without d characters each, so words and candidates join by
+    such remainders, and only pairs that share one are compared. A word of n characters has at most n ** most remainders, so most is 1 or 2 for long words.
     """
-    own = words.select(*within, F.col(word).alias("word")).where("word IS NOT NULL").distinct()
-    near = own.withColumn("n", F.explode(F.array(*[F.length("word") + d for d in (-1, 0, 1)])))
-    listed = candidates.select(*within, F.col(candidate).alias("candidate")).where("candidate IS NOT NULL").distinct().withColumn("n", F.length("candidate"))
     form = jamo if letters else (lambda c: c)
-    scored = near.join(listed, [*within, "n"]).withColumn("d", F.levenshtein(form(F.col("word")), form(F.col("candidate")), most)).where("d >= 0")
+    own = words.select(*within, F.col(word).alias("word")).where("word IS NOT NULL").distinct()
+    listed = candidates.select(*within, F.col(candidate).alias("candidate")).where("candidate IS NOT NULL").distinct()
+    near = own.withColumn("form", form(F.col("word"))).withColumn("key", F.explode(deletions(F.col("form"), most)))
+    index = listed.withColumn("other", form(F.col("candidate"))).withColumn("key", F.explode(deletions(F.col("other"), most)))
+    pairs = near.join(index, [*within, "key"]).where(F.abs(F.length("word") - F.length("candidate")) <= 1).select(*within, "word", "candidate", "form", "other").distinct()
+    scored = pairs.withColumn("d", F.levenshtein("form", "other", most)).where("d >= 0")
     least = scored.groupBy(*within, "word", "d").agg(F.count("*").alias("ties"), F.min("candidate").alias("found"))
     best = least.groupBy(*within, "word").agg(F.min_by(F.struct("ties", "found"), "d").alias("b"))
     return own.join(best, [*within, "word"], "left").select(*within, F.col("word").alias(word), F.when(F.col("b.ties") == 1, F.col("b.found")).alias("found"))
