@@ -194,7 +194,7 @@ def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def police_offices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Police offices made of suppliers, snapped to the closed list: exact, spaced, with a letter wrong, or none."""
-    said = ["서울지방경찰청장", "부산 경찰청장", "경기남부경찰청징", "동장"]
+    said = ["서울지방경찰청장", "부산 경찰청장", "경기남부경찰청잠", "동장"]
     own = table(spark, sf_dir, "supplier").select("s_suppkey", classify.snap_to_list(F.element_at(F.array(*map(F.lit, said)), (F.col("s_suppkey") % 4 + 1).cast("int")), text.POLICE_ISSUERS).alias("s"))
     return own.select("s_suppkey", F.col("s.value").alias("value"), F.col("s.changed").alias("changed"))
 
@@ -258,6 +258,16 @@ sd AS (SELECT *, CASE WHEN read THEN pred END AS p FROM sc),
 se AS (SELECT *, CASE WHEN same THEN replace(coalesce(p, ''), ' ', '') = gt END AS correct FROM sd)"""
 
 
+LEVELS_SQL = SCORED_SQL + """, lf AS (
+  SELECT se.*, a.accepted AND read AS taken, o_orderstatus FROM se JOIN orders ON o_orderkey = se.image LEFT JOIN a ON a.k = se.image AND a.field = se.field),
+li AS (
+  SELECT image, any_value(o_orderstatus) AS document_type, any_value(condition) AS condition, any_value(status) AS status, any_value(elapsed_ms) AS ms, bool_and(coalesce(correct, false)) AS every, bool_and(coalesce(correct, false)) FILTER (field IN ('name', 'rrn')) AS core,
+    bool_or(same AND coalesce(taken, false) AND NOT coalesce(correct, false)) AS wrong FROM lf GROUP BY image),
+lv AS (
+  SELECT document_type, condition, grouping(condition) = 0 AS by_condition, count(*) AS n, count(*) FILTER (status = 'OK') AS ok, count(*) FILTER (status = 'PARTIAL') AS partial, count(*) FILTER (status = 'FAIL') AS fail, count(*) FILTER (every) AS all_correct, count(*) FILTER (core) AS core_correct,
+    count(*) FILTER (status = 'OK' AND wrong) AS ok_wrong, count(*) FILTER (image % 4 = 0) AS other_type, median(ms) AS p50 FROM li GROUP BY GROUPING SETS ((document_type, condition), (document_type)))"""
+
+
 def truth_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)[0].select("image", "field", "found", "correct", F.round("cer", 6).alias("cer"))
 
@@ -268,6 +278,22 @@ def condition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("share_ok", "core_correct", "all_correct")})
 
 
+def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    fields, images = _scored(spark, sf_dir)
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderstatus").alias("kind"))
+    own = images.join(kinds, "image").select("image", F.col("kind").alias("document_type"), "condition", F.when(F.col("image") % 4 > 0, F.col("kind")).alias("predicted_type"), "status", "elapsed_ms")
+    return evaluate.level_report(own, fields), evaluate.field_report(fields.drop("document_type").join(kinds.withColumnRenamed("kind", "document_type"), "image"), ["document_type", "field"])
+
+
+def report_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports on orders by status, and by status and priority, in one aggregation."""
+    return _levels(spark, sf_dir)[0]
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.markdown(*_levels(spark, sf_dir))
+
+
 def calibration_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = evaluate.calibration_report(_fields(spark, sf_dir).where("found"), aim=0.8571)
     return out.select("kind", F.round("threshold", 2).alias("threshold"), "n", F.round("precision", 6).alias("precision"), F.round("coverage", 6).alias("coverage"), "recommended")
@@ -289,7 +315,7 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def license_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kinds of licence made of part keys, half of them with a letter wrong."""
     key = F.col("p_partkey")
-    kind = F.when(key % 3 == 0, "보통").when(key % 3 == 1, "보동").otherwise("대형")
+    kind = F.when(key % 3 == 0, "보통").when(key % 3 == 1, "보퉁").otherwise("대형")
     line = F.concat((key % 2 + 1).cast("string"), F.lit(" 종 "), kind, F.lit(" 소형 특수(구난,소형견인) 원동기"))
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.find_license_types(line), "|").alias("kinds"))
 
@@ -299,7 +325,7 @@ def address_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     provinces = spark.createDataFrame([(p,) for p in text.PROVINCES], "province string")
     pairs = [("서울특별시", "송파구"), ("서울특별시", "종로구"), ("서울특별시", "중구"), ("부산광역시", "중구"), ("경기도", "성남시"), ("경기도", "분당구")]
     districts = spark.createDataFrame(pairs, "province string, district string")
-    read = ["서울특별세 송파규 올림픽로1", "성울병신 종로구 은천로93", "경기도 성남시 분당규 정자로 12", "서울시 중구 세종대로 1(정동)"]
+    read = ["서울특별지 송파규 올림픽로1", "서올특벌지 종로구 은천로93", "경기도 성남시 분당규 정자로 12", "서울시 중구 세종대로 1(정동)"]
     key = F.col("c_custkey")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
     province, district, place = pick(["서울특별시", "서울특별시", "경기도"], key), pick(["송파구", "종로구", "성남시"], key), key % 8
@@ -344,7 +370,7 @@ def license_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     rrn = F.concat(F.lit("80"), pad(key % 12 + 1, 2), F.lit("15-1"), pad(key * 7907 % 1_000_000, 6))
     begin = F.concat(F.lit("2025."), (key % 12 + 1).cast("string"), F.lit(".1"))
     row = lambda text_, x, y, w: F.struct(text_.alias("text"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(float(w)).alias("w"))
-    said = [(F.lit("1종보통"), 10, 30, 60), (F.when(key % 2 == 0, "원동기"), 10, 60, 60), (number, 200, 60, 150), (F.lit("홍길동"), 200, 90, 60), (rrn, 200, 120, 140), (F.lit("적성검사기간"), 200, 190, 100), (begin, 310, 190, 70), (F.lit("~2025.12.31"), 310, 215, 70), (F.when(key % 5 == 0, "조건: A,B"), 200, 250, 60), (F.lit("ABCDE7"), 420, 230, 60), (F.concat(F.lit("경기도 성남시 정자로"), (key % 90 + 1).cast("string")), 200, 150, 180), (F.concat(F.lit("2015.3."), (key % 28 + 1).cast("string")), 220, 300, 70), (F.when(key % 2 == 0, "경기남부경찰청징").otherwise("경기남부 경찰청장"), 300, 300, 120)]
+    said = [(F.lit("1종보통"), 10, 30, 60), (F.when(key % 2 == 0, "원동기"), 10, 60, 60), (number, 200, 60, 150), (F.lit("홍길동"), 200, 90, 60), (rrn, 200, 120, 140), (F.lit("적성검사기간"), 200, 190, 100), (begin, 310, 190, 70), (F.lit("~2025.12.31"), 310, 215, 70), (F.when(key % 5 == 0, "조건: A,B"), 200, 250, 60), (F.lit("ABCDE7"), 420, 230, 60), (F.concat(F.lit("경기도 성남시 정자로"), (key % 90 + 1).cast("string")), 200, 150, 180), (F.concat(F.lit("2015.3."), (key % 28 + 1).cast("string")), 220, 300, 70), (F.when(key % 2 == 0, "경기남부경찰청잠").otherwise("경기남부 경찰청장"), 300, 300, 120)]
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
@@ -422,7 +448,7 @@ def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.space_after_province(said).alias("spaced"), text.address_is_valid(said).alias("valid"), F.array_join(address.split_district(district), "|").alias("district"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, report_levels, report_lines, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
 QUERIES |= card_queries.QUERIES | picture_queries.QUERIES
 
 
@@ -533,6 +559,18 @@ SQL = {
         CASE WHEN same THEN round(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE)), 6) END AS cer FROM se""",
     "condition_scores": f"""WITH {SCORED_SQL}, im AS (SELECT image, any_value(condition) AS condition, any_value(status) AS status, any_value(elapsed_ms) AS ms, bool_and(coalesce(correct, false)) AS every, bool_and(coalesce(correct, false)) FILTER (field IN ('name', 'rrn')) AS core FROM se GROUP BY image)
       SELECT condition, count(*) AS n, round(avg(CAST(status = 'OK' AS INT)), 6) AS share_ok, round(avg(CAST(core AS INT)), 6) AS core_correct, round(avg(CAST(every AS INT)), 6) AS all_correct, median(ms) AS p50 FROM im GROUP BY condition""",
+    "report_levels": f"WITH {LEVELS_SQL} SELECT * FROM lv",
+    "report_lines": f"""WITH {LEVELS_SQL},
+      fr AS (
+        SELECT o_orderstatus AS document_type, field, count(*) AS n, count(*) FILTER (same AND p IS NOT NULL) / count(*) AS found, count(*) FILTER (correct) / count(*) AS correct, avg(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE))) FILTER (same AND p IS NOT NULL) AS cer,
+          count(*) FILTER (same AND taken) / CAST(count(*) FILTER (same) AS DOUBLE) AS accept, count(*) FILTER (same AND taken AND correct) / nullif(CAST(count(*) FILTER (same AND taken) AS DOUBLE), 0) AS precision, count(*) FILTER (same AND taken AND NOT correct) AS false_accepts FROM lf GROUP BY ALL)
+      SELECT document_type || ':0:' AS position, '## ' || document_type || ' (' || n || ')' AS line FROM lv WHERE NOT by_condition
+      UNION ALL SELECT document_type || ':1:', printf('| OK / PARTIAL / FAIL | %.1f%% / %.1f%% / %.1f%% |', 100 * ok / n, 100 * partial / n, 100 * fail / n) FROM lv WHERE NOT by_condition
+      UNION ALL SELECT document_type || ':2:', '| taken for another type | ' || other_type || ' |' FROM lv WHERE NOT by_condition
+      UNION ALL SELECT document_type || ':3:', printf('| all fields correct | %.1f%% |', 100 * all_correct / n) FROM lv WHERE NOT by_condition
+      UNION ALL SELECT document_type || ':4:', printf('| OK with a wrong field | %d (%.1f%%) |', ok_wrong, 100 * ok_wrong / n) FROM lv WHERE NOT by_condition
+      UNION ALL SELECT document_type || ':5:' || field, printf('| %s | %.1f%% | %.1f%% | %.3f | %.1f%% | %.1f%% | %d |', field, 100 * found, 100 * correct, cer, 100 * accept, 100 * precision, false_accepts) FROM fr
+      UNION ALL SELECT document_type || ':6:' || condition, printf('| %s | %d | %.1f%% | %.1f%% | %.1f%% | %.0f ms |', condition, n, 100 * ok / n, 100 * core_correct / n, 100 * all_correct / n, p50) FROM lv WHERE by_condition""",
     "calibration_choice": f"""WITH {FIELDS_SQL},
       f AS (SELECT * FROM fields WHERE found), g AS (
         SELECT kind, t, count(*) FILTER (confidence >= t / 100.0 - 1e-9) AS n, avg(CAST(correct AS INT)) FILTER (confidence >= t / 100.0 - 1e-9) AS p, count(*) AS total

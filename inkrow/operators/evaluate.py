@@ -46,6 +46,45 @@ def condition_report(images: DataFrame, fields: DataFrame, keys: list[str]) -> D
     return shares.join(latency(images, keys, "elapsed_ms").select(*keys, "p50"), keys, "left")
 
 
+def level_report(images: DataFrame, fields: DataFrame) -> DataFrame:
+    """Reports by document_type and by document_type and condition in one aggregation (by_condition tells which): n, counts of each status, of all fields correct, of core fields correct, of OK with a wrong field among the accepted, and
+    of types taken for others, and the median time.
+
+    images are image, document_type, condition, predicted_type, status and elapsed_ms, a row each; fields are those of scored(). A null condition is one of its own.
+    """
+    ok = F.coalesce(F.col("correct"), F.lit(False))
+    right = fields.groupBy("image").agg(F.bool_and(ok).alias("all_ok"), F.bool_and(F.when(F.col("core"), ok)).alias("core_ok"), F.bool_or(F.coalesce("accepted", F.lit(False)) & ~ok).alias("wrong"))
+    own = images.join(right, "image", "left")
+    both = own.groupingSets([["document_type", "condition"], ["document_type"]], "document_type", "condition")
+    statuses = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "PARTIAL", "FAIL")]
+    out = both.agg((F.grouping_id() == 0).alias("by_condition"), F.count("*").alias("n"), *statuses, F.count_if("all_ok").alias("all_correct"), F.count_if("core_ok").alias("core_correct"), F.count_if((F.col("status") == "OK") & F.col("wrong")).alias("ok_wrong"), F.count_if(~F.col("predicted_type").eqNullSafe(F.col("document_type"))).alias("other_type"), F.median("elapsed_ms").alias("p50"))
+    return out
+
+
+def markdown(levels: DataFrame, fields: DataFrame) -> DataFrame:
+    """(position, line) of a report in Markdown: levels are those of level_report, fields of field_report by document_type and field. Lines follow by position."""
+    whole, part = levels.where("NOT by_condition"), levels.where("by_condition")
+    at = lambda section, row="": F.concat_ws(":", F.coalesce("document_type", F.lit("")), F.lit(section), F.lit(row) if isinstance(row, str) else row)
+    cells = lambda *texts: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.lit(t) if isinstance(t, str) else t for t in texts]), F.lit(" |"))
+    text = lambda c: F.col(c).cast("string")
+    of_n = lambda c: percent(F.col(c), F.col("n"))
+    line = lambda rows, position, said: rows.select(position.alias("position"), said.alias("line"))
+    rate = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.1f%%", 100 * F.col(c)))
+    lines = [
+        line(whole, at("0"), F.concat(F.lit("## "), "document_type", F.lit(" ("), text("n"), F.lit(")"))),
+        line(whole, at("1"), cells("OK / PARTIAL / FAIL", F.concat_ws(" / ", of_n("ok"), of_n("partial"), of_n("fail")))),
+        line(whole, at("2"), cells("taken for another type", text("other_type"))),
+        line(whole, at("3"), cells("all fields correct", of_n("all_correct"))),
+        line(whole, at("4"), cells("OK with a wrong field", F.concat(text("ok_wrong"), F.lit(" ("), of_n("ok_wrong"), F.lit(")")))),
+        line(fields, at("5", F.col("field").cast("string")), cells(text("field"), rate("found_rate"), rate("correct_rate"), F.coalesce(F.format_string("%.3f", "mean_cer"), F.lit("-")), rate("accept_rate"), rate("accept_precision"), text("false_accepts"))),
+        line(part, at("6", F.coalesce("condition", F.lit(""))), cells(F.coalesce("condition", F.lit("-")), text("n"), of_n("ok"), of_n("core_correct"), of_n("all_correct"), F.format_string("%d ms", F.bround("p50", 0).cast("long")))),
+    ]
+    out = lines[0]
+    for more in lines[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 #: Thresholds that the calibration report always shows.
 SHOWN = [50, 70, 80, 85, 90, 95]
 

@@ -39,9 +39,8 @@ def card_ratio(outline: Column, width: Column, height: Column, boxes: Column) ->
     return F.when(outline.isNotNull(), F.struct(let(ordered_corners(outline), lambda c: let(across(c), ratio)).alias("ratio"), F.lit("contour").alias("method"))).otherwise(frame)
 
 
-@F.pandas_udf("array<struct<x:double,y:double>>")
-def hull(points: pd.Series) -> pd.Series:
-    """The convex hull of each array of points, its corners in order around it; null for fewer than three points."""
+def around(points: list | None) -> list | None:
+    """The corners of the convex hull of points (with x and y), in order around it; None for fewer than three points."""
 
     def half(own: list) -> list:
         out: list = []
@@ -51,14 +50,20 @@ def hull(points: pd.Series) -> pd.Series:
             out.append(p)
         return out[:-1]
 
-    def one(held) -> list | None:
-        if held is None or len(held) < 3:
-            return None
-        own = sorted({(p["x"], p["y"]) for p in held})
-        around = half(own) + half(own[::-1]) if len(own) > 1 else own
-        return [{"x": x, "y": y} for x, y in around]
+    if points is None or len(points) < 3:
+        return None
+    own = sorted({(p["x"], p["y"]) for p in points})
+    return [{"x": x, "y": y} for x, y in (half(own) + half(own[::-1]) if len(own) > 1 else own)]
+
+
+def hull(points: Column | str) -> Column:
+    """The convex hull of each array of points, its corners in order around it; null for fewer than three points."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def of(held: pd.Series) -> pd.Series:
+        return held.map(around)
 
-    return points.map(one)
+    return of(points)
 
 
 def inside(polygon: Column, x: Column, y: Column) -> Column:

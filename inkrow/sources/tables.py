@@ -30,17 +30,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def truth(spark: SparkSession, index: str, folder: str, fields: str) -> DataFrame:
-    """image, condition, document_type and fields (a struct of the given columns) of the rows of an index in JSON lines (image, gt, condition, document_type), each joined to its file of truth.
+TRUTH_INDEX = "image string, gt string, condition string, document_type string"
 
-    Paths in the index are relative to folder. Rows without a file stay with null fields.
+
+def truth(spark: SparkSession, index: str, folder: str, fields: str, named: bool = False) -> DataFrame:
+    """image, condition, document_type and fields (a struct of the given columns) of the rows of an index in JSON lines (image, gt, condition, document_type), each joined to its truth document.
+
+    Documents are files by themselves, gt being their path in folder, or with named lines of any files, which carry gt as their name. Rows without a document stay with null fields.
     """
-    rows = spark.read.schema("image string, gt string, condition string, document_type string").json(index)
-    held = spark.read.schema(f"document_type string, fields struct<{fields}>").option("recursiveFileLookup", "true").option("multiLine", "true").option("pathGlobFilter", "*.json").json(folder)
-    held = held.select(F.regexp_extract(F.input_file_name(), "([^/]*)$", 1).alias("file"), F.input_file_name().alias("path"), F.col("document_type").alias("of_truth"), "fields")
-    rows = rows.withColumn("file", F.regexp_extract("gt", "([^/]*)$", 1)).alias("r")
-    both = rows.join(held.alias("t"), (F.col("r.file") == F.col("t.file")) & F.endswith(F.url_decode("t.path"), F.concat(F.lit("/"), F.col("r.gt"))), "left")
-    return both.select("r.image", "r.condition", F.coalesce("t.of_truth", "r.document_type").alias("document_type"), "t.fields")
+    rows = spark.read.schema(TRUTH_INDEX).json(index).alias("r")
+    held = spark.read.schema(f"name string, document_type string, fields struct<{fields}>").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    if named:
+        both = rows.join(held.json(folder).alias("t"), F.col("r.gt") == F.col("t.name"), "left")
+    else:
+        files = held.option("multiLine", "true").json(folder).withColumn("path", F.url_decode(F.input_file_name())).withColumn("file", F.regexp_extract("path", "([^/]*)$", 1))
+        own = rows.withColumn("file", F.regexp_extract("gt", "([^/]*)$", 1)).alias("r")
+        both = own.join(files.alias("t"), (F.col("r.file") == F.col("t.file")) & F.endswith(F.col("t.path"), F.concat(F.lit("/"), F.col("r.gt"))), "left")
+    return both.select("r.image", "r.condition", F.coalesce("t.document_type", "r.document_type").alias("document_type"), "t.fields")
 
 
 def lexicon(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
