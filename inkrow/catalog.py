@@ -469,7 +469,7 @@ SQL = {
       FROM verdict JOIN orders ON image = o_orderkey GROUP BY 1""",
     "verdicts": f"WITH {FIELDS_SQL} SELECT image, status, n_accepted, round(mean_confidence, 6) AS mean_confidence FROM verdict",
     "field_report": f"""WITH {FIELDS_SQL}
-      SELECT field, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, round(avg(other % 5 / 5.0) FILTER (found), 6) AS mean_cer,
+      SELECT field, count(*) AS n, round(avg(CAST(found AS INT)), 6) AS found_rate, round(avg(CAST(correct AS INT)), 6) AS correct_rate, round(avg(other % 5 / 5.0), 6) AS mean_cer,
         round(avg(CAST(accepted AS INT)), 6) AS accept_rate, round(avg(CAST(correct AS INT)) FILTER (accepted), 6) AS accept_precision, count(*) FILTER (accepted AND NOT correct) AS false_accepts
       FROM acc GROUP BY field""",
     "calibration": f"""WITH {FIELDS_SQL},
@@ -562,14 +562,14 @@ SQL = {
     "report_levels": f"WITH {LEVELS_SQL} SELECT * FROM lv",
     "report_lines": f"""WITH {LEVELS_SQL},
       fr AS (
-        SELECT o_orderstatus AS document_type, field, count(*) AS n, count(*) FILTER (same AND p IS NOT NULL) / count(*) AS found, count(*) FILTER (correct) / count(*) AS correct, avg(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE))) FILTER (same AND p IS NOT NULL) AS cer,
-          count(*) FILTER (same AND taken) / CAST(count(*) FILTER (same) AS DOUBLE) AS accept, count(*) FILTER (same AND taken AND correct) / nullif(CAST(count(*) FILTER (same AND taken) AS DOUBLE), 0) AS precision, count(*) FILTER (same AND taken AND NOT correct) AS false_accepts FROM lf GROUP BY ALL)
+        SELECT o_orderstatus AS document_type, field, count(*) AS n, count(*) FILTER (same AND p IS NOT NULL) / count(*) AS found, count(*) FILTER (correct) / count(*) AS correct, count(*) FILTER (same AND p IS NOT DISTINCT FROM gt) / count(*) AS exact, avg(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE))) FILTER (same) AS cer,
+          count(*) FILTER (same AND taken) / count(*) AS accept, count(*) FILTER (same AND taken AND correct) / nullif(CAST(count(*) FILTER (same AND taken) AS DOUBLE), 0) AS precision, count(*) FILTER (same AND taken AND NOT correct) AS false_accepts FROM lf GROUP BY ALL)
       SELECT document_type || ':0:' AS position, '## ' || document_type || ' (' || n || ')' AS line FROM lv WHERE NOT by_condition
       UNION ALL SELECT document_type || ':1:', printf('| OK / PARTIAL / FAIL | %.1f%% / %.1f%% / %.1f%% |', 100 * ok / n, 100 * partial / n, 100 * fail / n) FROM lv WHERE NOT by_condition
       UNION ALL SELECT document_type || ':2:', '| taken for another type | ' || other_type || ' |' FROM lv WHERE NOT by_condition
       UNION ALL SELECT document_type || ':3:', printf('| all fields correct | %.1f%% |', 100 * all_correct / n) FROM lv WHERE NOT by_condition
       UNION ALL SELECT document_type || ':4:', printf('| OK with a wrong field | %d (%.1f%%) |', ok_wrong, 100 * ok_wrong / n) FROM lv WHERE NOT by_condition
-      UNION ALL SELECT document_type || ':5:' || field, printf('| %s | %.1f%% | %.1f%% | %.3f | %.1f%% | %.1f%% | %d |', field, 100 * found, 100 * correct, cer, 100 * accept, 100 * precision, false_accepts) FROM fr
+      UNION ALL SELECT document_type || ':5:' || field, printf('| %s | %.1f%% | %.1f%% | %.1f%% | %.3f | %.1f%% | %.1f%% | %d |', field, 100 * found, 100 * correct, 100 * exact, cer, 100 * accept, 100 * precision, false_accepts) FROM fr
       UNION ALL SELECT document_type || ':6:' || condition, printf('| %s | %d | %.1f%% | %.1f%% | %.1f%% | %.0f ms |', condition, n, 100 * ok / n, 100 * core_correct / n, 100 * all_correct / n, p50) FROM lv WHERE by_condition""",
     "calibration_choice": f"""WITH {FIELDS_SQL},
       f AS (SELECT * FROM fields WHERE found), g AS (

@@ -76,7 +76,7 @@ def markdown(levels: DataFrame, fields: DataFrame) -> DataFrame:
         line(whole, at("2"), cells("taken for another type", text("other_type"))),
         line(whole, at("3"), cells("all fields correct", of_n("all_correct"))),
         line(whole, at("4"), cells("OK with a wrong field", F.concat(text("ok_wrong"), F.lit(" ("), of_n("ok_wrong"), F.lit(")")))),
-        line(fields, at("5", F.col("field").cast("string")), cells(text("field"), rate("found_rate"), rate("correct_rate"), F.coalesce(F.format_string("%.3f", "mean_cer"), F.lit("-")), rate("accept_rate"), rate("accept_precision"), text("false_accepts"))),
+        line(fields, at("5", F.col("field").cast("string")), cells(text("field"), rate("found_rate"), rate("correct_rate"), *([rate("exact_rate")] if "exact_rate" in fields.columns else []), F.coalesce(F.format_string("%.3f", "mean_cer"), F.lit("-")), rate("accept_rate"), rate("accept_precision"), text("false_accepts"))),
         line(part, at("6", F.coalesce("condition", F.lit(""))), cells(F.coalesce("condition", F.lit("-")), text("n"), of_n("ok"), of_n("core_correct"), of_n("all_correct"), F.format_string("%d ms", F.bround("p50", 0).cast("long")))),
     ]
     out = lines[0]
@@ -114,13 +114,16 @@ def group_report(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def field_report(fields: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group of fields (found, correct, accepted, cer): rates over all, mean CER of the found ones, precision of the accepted ones and their errors."""
+    """Per group of fields (found, correct, accepted, cer, and exact if there is one): rates over all rows, those that weren't scored (nulls) included, mean CER of the scored ones, precision of the accepted ones and their errors."""
+    rate = lambda c: F.count_if(F.col(c)) / F.count("*")
+    exact = [rate("exact").alias("exact_rate")] if "exact" in fields.columns else []
     return fields.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        share(F.col("found")).alias("found_rate"),
-        share(F.col("correct")).alias("correct_rate"),
-        F.avg(F.when(F.col("found"), F.col("cer"))).alias("mean_cer"),
-        share(F.col("accepted")).alias("accept_rate"),
+        rate("found").alias("found_rate"),
+        rate("correct").alias("correct_rate"),
+        *exact,
+        F.avg("cer").alias("mean_cer"),
+        rate("accepted").alias("accept_rate"),
         F.avg(F.when(F.col("accepted"), F.col("correct").cast("int").cast("double"))).alias("accept_precision"),
         F.count_if(F.col("accepted") & ~F.col("correct")).alias("false_accepts"),
     )
