@@ -49,6 +49,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(name: str, taken: list[str]) -> str:
+    """name, with underscores in front as long as it is taken, whatever the case of its letters."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
 def remainder(column: Column | str, modulus: int) -> Column:
     """crc32 of the value as text, modulo: the folds of held-out rows. Null counts as the empty text."""
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")), F.lit(modulus))

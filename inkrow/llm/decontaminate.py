@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkrow.llm._common import stored
+from inkrow.llm._common import free, stored
 
 #: Words of a window, and of the shingles that are its tokens.
 WINDOW, SHINGLE = 10, 3
@@ -113,5 +113,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str =
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that contain a window of benchmark; null keys and texts stay unless hit, and so do other texts of a hit row's key."""
-    bad = hits(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias("__bad"), F.col("text_key").alias("__text")).distinct()
-    return docs.join(bad, F.col(key).eqNullSafe(F.col("__bad")) & (F.md5(F.coalesce(text, F.lit(""))) == F.col("__text")), "left_anti")
+    bad, said = free("__bad", docs.columns), free("__text", docs.columns)
+    found = hits(docs, benchmark, key, text).where("contaminated").select(F.col(key).alias(bad), F.col("text_key").alias(said)).distinct()
+    return docs.join(found, F.col(key).eqNullSafe(F.col(bad)) & (F.md5(F.coalesce(text, F.lit(""))) == F.col(said)), "left_anti")

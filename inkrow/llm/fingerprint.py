@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections import Counter
 
 import numpy as np
@@ -22,7 +23,7 @@ NEAR, POPULAR = 16, 4
 #: Entropy of windows (bits a byte) of ordinary prose, and its spread: the further from it, the rarer. Windows under LEAST have too little in them.
 USUAL, SPREAD, LEAST = 2.87, 0.25, 1.0
 CLASSES = 16
-#: Bytes of texts that are ranked at once; a longer text is ranked in pieces of so many.
+#: Bytes of texts that are ranked at once; a longer text is ranked stretch by stretch, with the same result.
 PIECE = 1 << 20
 PRIME = np.uint64(0x100000001B3)
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -85,6 +86,27 @@ def piece_features(pieces: list[np.ndarray]) -> list[np.ndarray]:
     return [chosen[a:b] for a, b in zip(cuts, [*cuts[1:], len(chosen)], strict=True)]
 
 
+def long_features(data: np.ndarray, size: int) -> list[np.ndarray]:
+    """Features of a text of over SPAN bytes as piece_features gives them, worked out for size runs of windows at once.
+
+    A feature counts where its first run is; the runs before and after a stretch, and all windows that they hold, are looked at with it.
+    """
+    windows, out = len(data) - SPAN + 1, []
+    for a in range(0, windows + NEAR - 1, size):
+        low, high = a - 1, min(a + size, windows + NEAR - 1) + NEAR  # runs that are looked at; run r holds the windows from r - NEAR + 1 to r
+        place = np.full(high - low + NEAR - 1, NONE, np.uint64)
+        first, end = max(0, low - NEAR + 1), min(windows, high)
+        place[first - (low - NEAR + 1) : end - (low - NEAR + 1)] = ranks(data[first : end + SPAN - 1])
+        step = 1
+        while step < NEAR:
+            place, step = np.minimum(place[:-step], place[step:]), 2 * step
+        begin = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        length = np.diff(np.concatenate([begin, [len(place)]]))
+        here = (begin + low >= a) & (begin + low < a + size)
+        out.append(mix64(place[begin[here & (length >= POPULAR) & (place[begin] != NONE)]]))
+    return out
+
+
 def features(raws: list[bytes]) -> list[np.ndarray]:
     """64-bit features of each text in order of appearance, each once; an empty text has none."""
     out: list[list[np.ndarray]] = [[] for _ in raws]
@@ -98,13 +120,15 @@ def features(raws: list[bytes]) -> list[np.ndarray]:
 
     for i, raw in enumerate(raws):
         data = np.frombuffer(raw, np.uint8)
-        for at in range(0, len(data), PIECE):
-            if held and size + min(PIECE, len(data) - at) > PIECE:
+        if len(data) > PIECE:
+            out[i] = long_features(data, PIECE)
+        elif len(data):
+            if held and size + len(data) > PIECE:
                 done()
                 size = 0
-            held.append(data[at : at + PIECE])
+            held.append(data)
             owners.append(i)
-            size += len(held[-1])
+            size += len(data)
     if held:
         done()
     once = lambda own: own[np.sort(np.unique(own, return_index=True)[1])]
@@ -150,15 +174,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(score.max(axis=1).mean())
 
 
-def with_next(docs: DataFrame, key: str, text: str, rows_a_bucket: int = 4000, most_buckets: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, rows_a_bucket: int = 4000, few_buckets: int = 4096) -> DataFrame:
     """docs (key, text) in buckets by ascending key, then hash of the text, each followed by a copy of the first row of the bucket after it (head = 1).
 
-    Texts are dealt once. The buckets' edges are quantiles of a sample of the keys (the sample decides the balance alone); they are data that is broadcast, at most
-    most_buckets of them, and a bucket streams through its task. A key that takes several quantiles, null among them, has as many buckets, by hash.
+    Texts are dealt once. The buckets' edges are quantiles of a sample of the keys (the sample decides the balance alone); they are data that is broadcast: a bucket has
+    rows_a_bucket rows, or more where there would be over few_buckets of them: then there are as many as the square root of the rows. A bucket streams through its task. A key that takes several quantiles, null among them, has as many buckets, by hash.
     """
     own = docs.select(F.col(key).alias("key"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     n = own.count()
-    cuts = min(most_buckets, max(1, -(-n // rows_a_bucket)))
+    cuts = min(max(few_buckets, math.isqrt(n)), max(1, -(-n // rows_a_bucket)))
     wanted = 32 * cuts  # keys of the sample, at the driver
     keys = own.select("key") if n <= wanted else own.select("key").sample(wanted / n, 9)
     got = [r["key"] for r in keys.collect()] if cuts > 1 else []

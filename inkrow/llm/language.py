@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,6 +31,7 @@ SCRIPT_SHARE = 0.001
 #: What a change of language between two words costs, and what a word costs in a language outside the candidates (natural logarithms).
 SWITCH, OUTSIDE = 10.0, 60.0
 CACHE_WORDS = 150_000
+ASCII_LETTERS = re.compile("[a-z]+")
 
 
 def scripts(points: np.ndarray) -> np.ndarray:
@@ -50,9 +54,35 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return hashed[at].astype(np.int64), offsets, scripts(points[starts + 1].astype(np.int64))
 
 
-def letters_of(words: pa.Array) -> list[str]:
-    """Lower-cased letters of each word: characters of the Unicode categories L only, so no fraction, superscript or circled digit."""
-    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in pc.utf8_lower(words).to_pylist()]
+def parts_of(word: str) -> list[str]:
+    """The runs of letters of one script in a lower-cased word; letters are characters of the Unicode categories L only, so no fraction, superscript or circled digit. Marks are left out and part nothing."""
+    if word.isascii():
+        return [word] if word.isalpha() else ASCII_LETTERS.findall(word)
+    out, last = [], None
+    for c, script in zip(word, scripts(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)).tolist(), strict=True):
+        if c.isalpha():
+            if script == last:
+                out[-1] += c
+            else:
+                out.append(c)
+            last = script
+        elif not unicodedata.category(c).startswith("M"):
+            last = None
+    return out
+
+
+def split_words(codes: np.ndarray, offsets: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """Words between white space, as word_codes gives them, cut into parts_of: (code of each part, where each text's parts start and end, the distinct parts, the word that each part is in)."""
+    number: dict[str, int] = {}
+    held = [[number.setdefault(p, len(number)) for p in parts_of(w)] for w in pc.utf8_lower(distinct).to_pylist()]
+    sizes = np.array([len(h) for h in held], np.int64)
+    flat, starts = np.array([p for h in held for p in h], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    if not len(codes):
+        return np.zeros(0, np.int64), offsets, list(number), np.zeros(0, np.int64)
+    n = sizes[codes]
+    upto = np.concatenate([[0], np.cumsum(n)])
+    word = np.repeat(np.arange(len(codes)), n)
+    return flat[starts[codes][word] + np.arange(upto[-1]) - upto[:-1][word]], upto[offsets], list(number), word
 
 
 class Model:
@@ -147,17 +177,12 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
             codes, offsets, distinct = word_codes(text_array(batch.column(1)), lower=False)
             if not len(codes):
                 continue
-            words = letters_of(distinct)
-            has = np.flatnonzero([bool(w) for w in words])
-            if not len(has):
+            codes, offsets, words, _ = split_words(codes, offsets, distinct)
+            if not words:
                 continue
-            bucket, at, script = word_features([words[i] for i in has])
-            place = np.full(len(words), -1)
-            place[has] = np.arange(len(has))
-            langs_of_words = np.repeat(lang_of, np.diff(offsets))
-            seen = np.zeros((len(has), len(langs)), np.int64)
-            own = place[codes]
-            np.add.at(seen, (own[own >= 0], langs_of_words[own >= 0]), 1)
+            bucket, at, script = word_features(words)
+            seen = np.zeros((len(words), len(langs)), np.int64)
+            np.add.at(seen, (codes, np.repeat(lang_of, np.diff(offsets))), 1)
             lengths = np.diff(at)
             for k in range(len(langs)):
                 counts[:BUCKETS, k] += np.bincount(bucket, np.repeat(seen[:, k], lengths), BUCKETS).astype(np.int64)
@@ -179,9 +204,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", train_row
 def identify(docs: DataFrame, model: Model | None, text: str = "text", switch: float = SWITCH, spans: bool = False) -> DataFrame:
     """docs with lang_pred, score and n_spans, and with spans if asked for.
 
-    The words of a whole text are labelled by Viterbi; lang_pred has the most letters of it and score is its
-    share of the letters (ties: the first by name). spans holds (first word, last word, language) of each stretch of
-    the words that have a letter. A text that is null or has no letter, or a model of nothing, gives und, 0 and no span.
+    The words of a whole text, cut where the script changes or another character than a letter stands, are labelled by Viterbi; lang_pred has the most letters of it and score is its
+    share of the letters (ties: the first by name). spans holds (first word, last word, language) of each stretch,
+    words being counted by the white space between them, so that two stretches may meet in one. A text that is null or has no letter, or a model of nothing, gives und, 0 and no span.
     Columns of these names are replaced; all other columns and all rows stay.
     """
     from pyspark.sql import types as T
@@ -200,12 +225,9 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", switch: f
         for batch in slices(batches):
             n = batch.num_rows
             codes, offsets, distinct = word_codes(text_array(batch.column(text)), lower=False)
-            words = letters_of(distinct)
-            lengths = np.array([len(w) for w in words], np.int64) if words else np.zeros(1, np.int64)
-            keep = lengths[codes] > 0 if len(codes) else np.zeros(0, bool)
-            place = np.concatenate([[0], np.cumsum(keep)])
-            number = np.flatnonzero(keep)
-            codes, offsets = codes[keep], place[offsets]
+            first_word = offsets[:-1]
+            codes, offsets, words, number = split_words(codes, offsets, distinct)
+            lengths = np.array([len(w) for w in words], np.int64)
             total = sums(lengths[codes] if len(codes) else np.zeros(0, np.int64), offsets)
             pred, score, runs, lists = [None] * n, np.zeros(n), np.zeros(n, np.int64), [[] for _ in range(n)]
             if langs and len(codes):
@@ -224,9 +246,8 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", switch: f
                     begin = np.flatnonzero(first)
                     end = np.concatenate([begin[1:], [len(codes)]]) - 1
                     doc_of = np.searchsorted(offsets, begin, "right") - 1
-                    starts = doc_starts(batch, text)
                     for a, b, d in zip(begin, end, doc_of, strict=True):
-                        lists[d].append({"first": int(number[a] - starts[d]), "last": int(number[b] - starts[d]), "lang": langs[path[a]]})
+                        lists[d].append({"first": int(number[a] - first_word[d]), "last": int(number[b] - first_word[d]), "lang": langs[path[a]]})
             columns = [pa.array([p if t else "und" for p, t in zip(pred, total, strict=True)] if langs else ["und"] * n, pa.string()), pa.array(score, pa.float64()), pa.array(runs, pa.int64())]
             if spans:
                 columns.append(pa.array(lists, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("lang", pa.string())]))))
@@ -234,8 +255,4 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", switch: f
         if model:
             model.fresh()
 
-    def doc_starts(batch, text):
-        _, offsets, _ = word_codes(text_array(batch.column(text)), lower=False)
-        return offsets[:-1]
-
     return kept.mapInArrow(run, schema)

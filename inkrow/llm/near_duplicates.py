@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkrow.llm._common import mix64, slices, stored, text_array, word_codes
+from inkrow.llm._common import free, mix64, slices, stored, text_array, word_codes
 
 #: Words of a shingle; links need 100 * shared >= percent * all, PERCENT if nothing else is asked for.
 WORDS, PERCENT = 5, 85
@@ -291,9 +291,10 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     first = rows.where("node IS NOT NULL").join(labels, "node").groupBy("comp").agg(F.min(row).alias("__row")).select("__row")
     wanted = first.unionByName(rows.where("node IS NULL").select(row.alias("__row")).distinct())
     # nulls inside of structs are equal; the window finds the rows as the join dealt them
-    own = docs.withColumn("__row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("digest")))
-    equal = Window.partitionBy("__row").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    return own.join(wanted, "__row", "left_semi").withColumn("__place", F.row_number().over(equal)).where("__place = 1").select(*docs.columns)
+    at, place = free("__row", docs.columns), free("__place", docs.columns)
+    own = docs.withColumn(at, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(text).alias("digest")))
+    equal = Window.partitionBy(at).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return own.join(wanted.withColumnRenamed("__row", at), at, "left_semi").withColumn(place, F.row_number().over(equal)).where(f"{place} = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

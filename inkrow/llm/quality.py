@@ -127,17 +127,17 @@ def fit_rows(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, grades:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Model | None:
     """Model of the grades in labels (key, quality, toxic); None without a graded text.
 
-    A hash sample of about train_rows labels is fitted, the same in every run; train_rows bounds what is broadcast
+    A hash sample of about train_rows keys with a grade is fitted, the same in every run; train_rows bounds what is broadcast
     and what reaches the driver (a few thousand features a text). Rows without key, rating or text are left out;
     a key counts once for each grade that its labels give, with one of its texts (that of the least hash), so that a key
     with very many labels or rows stays one row of the sample. A grade that has labels but no text in a sample of them fails.
     """
-    graded = labels.select(F.col(key).alias("key"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL")
+    graded = labels.select(F.col(key).alias("key"), grade(F.col("quality"), F.col("toxic")).alias("grade")).where("key IS NOT NULL AND grade IS NOT NULL").distinct()
     sizes = {r["grade"]: r["count"] for r in graded.groupBy("grade").count().collect()}
     n = sum(sizes.values())
     if not n:
         return None
-    sample = graded.where(hash_of("key") <= highest_hash(train_rows, n)).distinct()
+    sample = graded.where(hash_of("key") <= highest_hash(train_rows, n))
     held = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(sample), "key")
     rows = held.groupBy("key", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("grade", "text")
 

@@ -22,6 +22,8 @@ BITS_A_KEY, HASHES = 8, 5
 SHARD_KEYS = 4_000_000
 #: Filters up to so many bytes together are broadcast; more of them meet the keys of their shard in groups of about GROUP_ROWS keys.
 MOST_BYTES, GROUP_ROWS = 64 << 20, 500_000
+#: Rules up to so many are broadcast with their verdicts.
+MOST_RULES = 100_000
 #: Every level hashes anew, so that two keys part sooner or later unless all 128 bits of their hashes agree.
 MOST_LEVELS = 64
 
@@ -184,12 +186,9 @@ def members(keys: DataFrame, cascade: Cascade) -> DataFrame:
     return asked.withColumn("listed", F.col("key").isNotNull() & F.col("listed")).drop("h1", "h2", "shard")
 
 
-def with_keys(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """pages (with host and path) with the array candidates, longest first: every host suffix that has as many labels as some rule's host, with every start of the path that is as long as some rule's path.
-
-    There are at most as many as rules have different label counts times different path lengths.
+def with_keys(pages: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """pages (with host and path) with the array candidates, longest first: for each of shapes (labels of a host, characters of a path) the host's last labels with the path's start, as far as there are so many.
     """
-    shapes = sorted({(len(h.split(".")), len(p)) for _, h, p in rules}, reverse=True)
     labels = F.split("host", "\\.")
     out = []
     for depth, length in shapes:
@@ -200,37 +199,55 @@ def with_keys(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return pages.withColumn("candidates", keys)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
-    """key, host, path, rule and verdict of every page.
+def first_listed(pages: DataFrame, cascade: Cascade) -> DataFrame:
+    """pages with rule, the first of their candidates that the cascade lists, null if none.
+
+    Filters that are small together are broadcast and asked for a page's candidates at once. Others meet the candidates, a row each, by shard; the least place of a listed one comes back by the row's number.
+    """
+    if cascade.bytes <= MOST_BYTES:
+        by_shard: dict[int, list] = {}
+        for r in cascade.filters.orderBy("shard", "level").collect():  # MOST_BYTES at most
+            by_shard.setdefault(r["shard"], []).append(np.frombuffer(r["bits"], np.uint8))
+        shared = pages.sparkSession.sparkContext.broadcast(by_shard)
+        shards = cascade.shards
+
+        @pandas_udf("int")
+        def place(h1: pd.Series, h2: pd.Series) -> pd.Series:
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in h)]) for h in (h1, h2))
+            row, own, listed = np.repeat(np.arange(len(h1)), [len(x) for x in h1]), (b >> 20) % shards, np.zeros(len(a), bool)
+            for k in np.unique(own):
+                use = own == k
+                listed[use] = listed_by(shared.value.get(int(k), []), a[use], b[use])
+            hit, starts, out = np.flatnonzero(listed), np.searchsorted(row, np.arange(len(h1))), np.zeros(len(h1), np.int32)
+            some, first = np.unique(row[hit], return_index=True)
+            out[some] = hit[first] - starts[some] + 1
+            return pd.Series(out)
+
+        at = place(*(F.expr(f"transform(candidates, k -> xxhash64({i}, k))") for i in (1, 2)))
+        return pages.withColumn("at", at).withColumn("rule", F.when(F.col("at") > 0, F.try_element_at("candidates", F.greatest("at", F.lit(1))))).drop("at")
+    rows = stored(pages.withColumn("row", F.monotonically_increasing_id()), "urls-pages")
+    asked = members(rows.select("row", F.posexplode("candidates").alias("at", "key")), cascade).where("listed")
+    best = asked.groupBy("row").agg(F.min_by("key", "at").alias("rule"))
+    return rows.join(best, "row", "left").drop("row")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, key: str = "page_id", url: str = "url", default: str = "allow", shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """key, host, path, rule and verdict of every page; rules are (verdict, host, path), as a list or, of any number, a DataFrame with these columns and place, their order.
 
     A rule fits its host and the hosts below it if the path starts with its path; the longest rule (then the one with the longer host)
-    wins; of rules with equal keys the first counts. Whether a candidate key is listed is asked of the cascade built over all candidate keys of all pages. Where no
+    wins; of rules with equal keys the first counts. Whether a candidate key is listed is asked of the cascade built over all candidate keys of all pages, shard by shard. Where no
     rule fits, rule is null and verdict is default, since the cascade lists nothing of that url. All rows stay,
-    repeated ones too; a null key stays null.
+    repeated ones too; a null key stays null. Only the shapes of the rules, how many labels and how long a path they have, come to the driver.
     """
     spark = pages.sparkSession
-    split = with_keys(split_url(pages.select(key, url), url), rules)
-    listed = spark.createDataFrame([(h + p,) for _, h, p in rules], "key string")
-    cascade = build(listed, split.select(F.explode("candidates").alias("key")).distinct())
-    held = [np.frombuffer(r["bits"], np.uint8) for r in cascade.filters.orderBy("level").collect()]  # the rules are driver's data, so are their filters
-    shared = spark.sparkContext.broadcast(held)
-
-    @pandas_udf("int")
-    def first_listed(h1: pd.Series, h2: pd.Series) -> pd.Series:
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in h)]) for h in (h1, h2))
-        hit, row = np.flatnonzero(listed_by(shared.value, a, b)), np.repeat(np.arange(len(h1)), [len(x) for x in h1])
-        starts, out = np.searchsorted(row, np.arange(len(h1))), np.zeros(len(h1), np.int32)
-        some, first = np.unique(row[hit], return_index=True)
-        out[some] = hit[first] - starts[some] + 1
-        return pd.Series(out)
-
-    verdicts = spark.sparkContext.broadcast({h + p: v for v, h, p in reversed(rules)})
-
-    @pandas_udf("string")
-    def verdict_of(rule: pd.Series) -> pd.Series:
-        return rule.map(lambda r: default if r is None else verdicts.value[r])
-
-    # candidates stand longest first, so the first that is listed wins
-    at = first_listed(*(F.expr(f"transform(candidates, k -> xxhash64({i}, k))") for i in (1, 2)))
-    marked = split.withColumn("at", at).withColumn("rule", F.when(F.col("at") > 0, F.try_element_at("candidates", F.greatest("at", F.lit(1)))))
-    return marked.select(key, "host", "path", "rule", verdict_of("rule").alias("verdict"))
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(*r, i) for i, r in enumerate(rules)], "verdict string, host string, path string, place int")
+    own = rules.where("host IS NOT NULL AND path IS NOT NULL")
+    shapes = sorted({(r["depth"], r["length"]) for r in own.select(F.size(F.split("host", "\\.")).alias("depth"), F.length("path").alias("length")).distinct().collect()}, reverse=True)
+    listed = stored(own.groupBy(F.concat("host", "path").alias("key")).agg(F.min_by("verdict", "place").alias("verdict")), "urls-rules")
+    split = with_keys(split_url(pages.select(key, url), url), shapes)
+    cascade = build(listed.select("key"), split.select(F.explode("candidates").alias("key")).distinct(), shard_keys)
+    marked = first_listed(split, cascade).select(key, "host", "path", "rule")
+    told = listed.withColumnRenamed("key", "rule")
+    told = F.broadcast(told) if listed.count() <= MOST_RULES else told
+    return marked.join(told, "rule", "left").select(key, "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
