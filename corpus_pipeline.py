@@ -15,15 +15,20 @@ LEAST_LANGUAGE = 0.5
 NEAR_PERCENT = 80
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of docs whole, as doc, beside their text, so that what a stage adds meets no column of the same name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is more likely good than low or toxic."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("accepted").select(*docs.columns)
+    return quality.score(packed(docs), model).where("accepted").select("doc.*")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have letters, mostly of one language."""
-    return language.identify(docs, language.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    return language.identify(packed(docs), language.train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("doc.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
