@@ -241,6 +241,11 @@ def card_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("image", "status", "fail_reason", F.col("fields")["rrn"].alias("rrn"), F.size("fields").cast("long").alias("n_fields"), F.array_join("warnings", "|").alias("warnings"))
 
 
+def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of cards made of orders as JSON."""
+    return decide.documents(decide.assemble(*_results(spark, sf_dir), mask=True), {"name": "none"})
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields, images = _results(spark, sf_dir)
     results = decide.assemble(fields, images)
@@ -448,7 +453,7 @@ def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.space_after_province(said).alias("spaced"), text.address_is_valid(said).alias("valid"), F.array_join(address.split_district(district), "|").alias("district"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, truth_scores, condition_scores, report_levels, report_lines, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, card_documents, truth_scores, condition_scores, report_levels, report_lines, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
 QUERIES |= card_queries.QUERIES | picture_queries.QUERIES
 
 
@@ -555,6 +560,16 @@ SQL = {
     "line_angles": """SELECT l_orderkey AS image, round(coalesce(median(atan2(l_partkey % 21 - 10, l_quantity * 4)) FILTER (sqrt((l_quantity * 4) * (l_quantity * 4) + (l_partkey % 21 - 10) * (l_partkey % 21 - 10)) > 40), 0), 9) AS angle FROM lineitem GROUP BY 1""",
     "card_results": f"""WITH {RESULTS_SQL} SELECT image, status, fail_reason, CASE WHEN read THEN substr(rrn, 1, 8) || '******' END AS rrn, CAST(CASE WHEN read THEN 7 ELSE 0 END AS BIGINT) AS n_fields,
         CASE WHEN read AND has_rrn AND image % 6 = 0 THEN 'CHECKSUM_MISMATCH:rrn' ELSE '' END AS warnings FROM st""",
+    "card_documents": f"""WITH {RESULTS_SQL},
+      n(field) AS (VALUES ('address'), ('address_lines'), ('issue_date'), ('issuer'), ('name'), ('name_hanja'), ('rrn')),
+      e AS (
+        SELECT image, n.field, CASE WHEN value IS NULL THEN 'null' ELSE '"' || CASE WHEN n.field = 'rrn' THEN substr(value, 1, 8) || '******' ELSE value END || '"' END AS v,
+          CASE WHEN value IS NULL THEN '{{"found":false,"confidence":null,"bbox":null,"valid":null,"accepted":false}}' ELSE '{{"found":true,"confidence":' || round(confidence, 4) || ',"bbox":[],"valid":' || valid || ',"accepted":' || accepted || '}}' END AS m
+        FROM st CROSS JOIN n LEFT JOIN a ON a.k = image AND a.field = n.field WHERE read),
+      j AS (SELECT image, string_agg('"' || field || '":' || v, ',' ORDER BY field) AS f, string_agg('"' || field || '":' || m, ',' ORDER BY field) AS m FROM e GROUP BY image)
+      SELECT st.image, '{{"request_id":"' || md5('{{"image":' || st.image || '}}') || '","status":"' || status || '","document_type":"' || CASE WHEN st.image % 17 = 0 THEN 'UNKNOWN","document_side":"UNKNOWN' ELSE 'RESIDENT_CARD","document_side":"FRONT' END || '","fields":{{' || coalesce(f, '') || '}},"derived":{{}},"field_meta":{{' || coalesce(m, '')
+        || '}},"warnings":[' || CASE WHEN read AND has_rrn AND st.image % 6 = 0 THEN '"CHECKSUM_MISMATCH:rrn"' ELSE '' END || '],"fail_reason":' || coalesce('"' || fail_reason || '"', 'null') || ',"preprocess":{{"rotation":0,"contrast_enhanced":false,"passes":null}},"model":{{"name":"none","schema":"1"}},"elapsed_ms":null}}' AS document
+      FROM st LEFT JOIN j ON j.image = st.image""",
     "truth_scores": f"""WITH {SCORED_SQL} SELECT image, field, CASE WHEN same THEN p IS NOT NULL END AS found, correct,
         CASE WHEN same THEN round(least(1.0, levenshtein(replace(coalesce(p, ''), ' ', ''), gt) / CAST(length(gt) AS DOUBLE)), 6) END AS cer FROM se""",
     "condition_scores": f"""WITH {SCORED_SQL}, im AS (SELECT image, any_value(condition) AS condition, any_value(status) AS status, any_value(elapsed_ms) AS ms, bool_and(coalesce(correct, false)) AS every, bool_and(coalesce(correct, false)) FILTER (field IN ('name', 'rrn')) AS core FROM se GROUP BY image)

@@ -75,6 +75,38 @@ def assemble(fields: DataFrame, images: DataFrame, mask: bool = False) -> DataFr
     )
 
 
+#: Fields whose text is a list joined by bars, and the one that is a span.
+LISTS, SPAN = ["license_types", "conditions", "address_lines"], "aptitude_period"
+
+
+def documents(results: DataFrame, model: dict[str, str], schema_version: str = "1", request: Column | None = None, elapsed_ms: Column | None = None) -> DataFrame:
+    """image and document: the records of assemble() (with pass and passes, as read.results gives them, or without) as JSON, one object a row.
+
+    An object has request_id (request, or a digest of the image), status, document_type, document_side, fields, derived, field_meta, warnings, fail_reason, preprocess, model (with schema) and elapsed_ms. Every field of the
+    document's SPECS is there, null where it wasn't found; lists are arrays and the period is an object of start, end and kind; a field of one box has that box, any other a list of them, a box being four pairs. Names
+    are in order of the alphabet within fields, derived and field_meta.
+    """
+    options = {"ignoreNullFields": "false"}
+    variant = lambda c: F.parse_json(F.to_json(c, options))
+    value = lambda k, v: F.when(k.isin(*LISTS), variant(F.split(v, r"\|"))).when(k == SPAN, variant(F.struct(F.substring_index(v, "~", 1).alias("start"), F.nullif(F.element_at(F.split(v, "~"), -1), F.lit("")).alias("end"), F.col("derived")["kind"].alias("kind")))).otherwise(v.cast("variant"))
+    pairs = lambda box: F.transform(box, lambda p: F.array(p["x"], p["y"]))
+    boxes = lambda b: F.when(F.size(b) == 1, variant(pairs(F.get(b, F.lit(0))))).when(b.isNotNull(), variant(F.transform(b, pairs)))
+    meta = lambda k, m: F.struct(m["found"].alias("found"), m["confidence"].alias("confidence"), boxes(m["bbox"]).alias("bbox"), m["valid"].alias("valid"), m["accepted"].alias("accepted"))
+    ordered = lambda m: F.map_from_entries(F.array_sort(F.map_entries(m)))
+    has = set(results.columns)
+    name = F.col("pass") if "pass" in has else F.lit(None).cast("string")
+    rotation = F.coalesce(F.regexp_extract(name, "^rot([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    made = F.struct(rotation.alias("rotation"), F.coalesce(name == "contrast", F.lit(False)).alias("contrast_enhanced"), (F.col("passes") if "passes" in has else F.lit(None).cast("long")).alias("passes"))
+    kind = F.coalesce("document_type", F.lit("UNKNOWN"))
+    keys = F.array_sort(F.map_keys("fields"))
+    held = F.struct(
+        (F.md5(F.to_json(F.struct("image")).cast("binary")) if request is None else request).alias("request_id"), "status", kind.alias("document_type"), F.when(kind == "UNKNOWN", "UNKNOWN").otherwise("FRONT").alias("document_side"),
+        F.map_from_arrays(keys, F.transform(keys, lambda k: value(k, F.col("fields")[k]))).alias("fields"), ordered(F.col("derived")).alias("derived"), F.map_from_arrays(keys, F.transform(keys, lambda k: meta(k, F.col("field_meta")[k]))).alias("field_meta"),
+        "warnings", "fail_reason", made.alias("preprocess"), F.create_map(*[F.lit(x) for pair in sorted({**model, "schema": schema_version}.items()) for x in pair]).alias("model"), (F.lit(None).cast("long") if elapsed_ms is None else elapsed_ms).alias("elapsed_ms"),
+    )
+    return results.select("image", F.to_json(held, options).alias("document"))
+
+
 def face_check(faces: Column, document_type: Column, box: Column) -> Column:
     """(found, score, ok) from faces (x0, y0, x1, y1, score) on given boxes: the surest face on the photograph's side of the number's box, right of it on resident cards, else left, whose height is
     2 to 12 of the number's; without one, whether there is any face and the best score. Null without a box."""

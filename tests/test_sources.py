@@ -134,3 +134,19 @@ def test_strict_numbers_and_ranks(spark):
     got = {r["image"]: tuple(r)[1:] for r in decide.ranks(fields, types).collect()}
     assert got == {1: ("PARTIAL", 2, pytest.approx(0.925)), 2: ("FAIL", 0, None)}
     assert {r["image"]: r["status"] for r in decide.ranks(decide.strict_checksum(fields), types).collect()}[1] == "FAIL"
+
+
+def test_records_as_json(spark):
+    box = [(1.0, 2.0), (3.0, 2.0), (3.0, 4.0), (1.0, 4.0)]
+    quads = "array<array<struct<x:double,y:double>>>"
+    data = [(1, "rrn", "800101-2345678", 0.95, True, True, ["W"], [box, box], {"gender": "F"}), (2, "license_types", "1종보통|2종소형", 0.9, True, False, [], [box], {}), (2, "aptitude_period", "2025-01-01~", 0.9, True, False, [], [None], None)]
+    fields = spark.createDataFrame(data, f"image long, field string, value string, confidence double, valid boolean, verified boolean, warnings array<string>, boxes {quads}, derived map<string,string>")
+    images = spark.createDataFrame([(1, "RESIDENT_CARD", 5, True), (2, "DRIVER_LICENSE", 5, True), (3, None, 0, True)], "image long, document_type string, n_lines int, decoded boolean")
+    results = decide.assemble(fields, images).withColumns({"pass": F.lit("rot90"), "passes": F.lit(2)})
+    got = {r["image"]: json.loads(r["document"]) for r in decide.documents(results, {"name": "m"}, request=F.col("image").cast("string"), elapsed_ms=F.lit(7)).collect()}
+    corners = [[1, 2], [3, 2], [3, 4], [1, 4]]
+    assert got[1]["field_meta"]["rrn"] == {"found": True, "confidence": 0.95, "bbox": [corners, corners], "valid": True, "accepted": True} and got[1]["derived"] == {"gender": "F"}
+    assert got[2]["fields"]["license_types"] == ["1종보통", "2종소형"] and got[2]["fields"]["aptitude_period"] == {"start": "2025-01-01", "end": None, "kind": None} and got[2]["field_meta"]["license_types"]["bbox"] == corners
+    assert set(got[2]["fields"]) == set(decide.SPECS["DRIVER_LICENSE"]["fields"]) and got[2]["fields"]["name"] is None
+    assert got[3]["fields"] == {} and got[3]["document_side"] == "UNKNOWN" and got[3]["fail_reason"] == "NO_TEXT" and got[3]["request_id"] == "3"
+    assert got[1]["preprocess"] == {"rotation": 90, "contrast_enhanced": False, "passes": 2} and got[1]["model"] == {"name": "m", "schema": "1"} and got[1]["elapsed_ms"] == 7
