@@ -392,15 +392,23 @@ def number_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("found_rate", "correct_rate")})
 
 
-def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals made of line items: reasons follow from part, supplier and quantity."""
     codes = list(evaluate.REASONS.values())
     reasons = F.array_compact(F.array(F.when(F.col("l_partkey") % 3 == 0, codes[0]), F.when(F.col("l_suppkey") % 4 == 0, codes[1]), F.when(F.col("l_quantity") > 40, codes[2])))
     rows = table(spark, sf_dir, "lineitem").select("l_linestatus", F.when(F.col("l_returnflag") == "A", "OK").otherwise("FAIL").alias("status"), F.when(F.col("l_linenumber") > 1, reasons).alias("reasons"))
-    out = evaluate.signal_report(rows, ["l_linestatus"])
+    return evaluate.signal_report(rows, ["l_linestatus"])
+
+
+def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _signals(spark, sf_dir)
     return out.withColumns({c: F.round(c, 6) for c in out.columns[2:]})
 
 
+def signal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.signal_markdown(_signals(spark, sf_dir), missed_signals(spark, sf_dir), ["l_linestatus"])
+
+
 def attempt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Further attempts at images made of orders, whose first attempt looks upright or not, of a known kind or not, or wasn't measured."""
     key = F.col("o_orderkey")
@@ -453,7 +461,7 @@ def address_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.space_after_province(said).alias("spaced"), text.address_is_valid(said).alias("valid"), F.array_join(address.split_district(district), "|").alias("district"))
 
 
-QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, document_kinds, police_offices, line_angles, card_results, card_documents, truth_scores, condition_scores, report_levels, report_lines, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
+QUERIES = {f.__name__: f for f in (redact_documents, verdict_report, verdicts, field_report, calibration, error_examples, latency, best_attempts, cer_names, nearest_names, rrn_checks, order_dates, license_numbers, serial_codes, reading_order, row_pairs, line_rows, page_shapes, jamo_distances, license_kinds, address_corrections, resident_fields, license_fields, number_safety, signal_report, signal_lines, document_kinds, police_offices, line_angles, card_results, card_documents, truth_scores, condition_scores, report_levels, report_lines, calibration_choice, document_signals, attempt_orders, turned_boxes, missed_signals, issuer_repairs, token_repairs, address_checks)}
 QUERIES |= card_queries.QUERIES | picture_queries.QUERIES
 
 
@@ -626,3 +634,8 @@ SQL = {
       SELECT c_custkey, regexp_replace(s, '^({"|".join(text.PROVINCES)})([^ ])', '\\1 \\2') AS spaced, regexp_matches(s, '^({"|".join(text.PROVINCE_STEMS)})') AND length(s) >= 8 AS valid, replace(d, '시분당', '시|분당') AS district FROM s""",
 }
 SQL |= card_queries.SQL | picture_queries.SQL
+SQL["signal_lines"] = f"""WITH r AS ({SQL["signal_report"]}), m AS ({SQL["missed_signals"]}),
+  c AS (SELECT *, [unchecked, share_ok, suspicious, no_face, card_aspect, plain_background] AS v FROM r)
+  SELECT '1:' || l_linestatus AS position, '| ' || l_linestatus || ' | ' || n || ' | ' || array_to_string(list_transform(v, lambda x: coalesce(printf('%.1f%%', 100 * x), '-')), ' | ') || ' |' AS line FROM c
+  UNION ALL SELECT '2:' || error, '## ' || error || ' (' || count(*) || ')' FROM m GROUP BY error
+  UNION ALL SELECT '2:' || error || ':' || lpad(CAST(k AS VARCHAR), 6, '0'), '- ' || image FROM m"""

@@ -182,6 +182,19 @@ def signal_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), share(~checked).alias("unchecked"), share(F.col("status") == "OK").alias("share_ok"), of_checked(F.size("reasons") > 0).alias("suspicious"), *each)
 
 
+def signal_markdown(report: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
+    """(position, line) of a report in Markdown: report is that of signal_report by keys, errors that of missed(). Lines follow by position."""
+    rate = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.1f%%", 100 * F.col(c)))
+    name = F.concat_ws(" / ", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in keys])
+    cells = [name, F.col("n").cast("string"), *[rate(c) for c in ("unchecked", "share_ok", "suspicious", *REASONS)]]
+    groups = report.select(F.concat(F.lit("1:"), name).alias("position"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+    counted = Window.partitionBy("error")
+    listed = errors.withColumn("many", F.count("*").over(counted))
+    heads = listed.where("k = 1").select(F.concat(F.lit("2:"), "error").alias("position"), F.concat(F.lit("## "), "error", F.lit(" ("), F.col("many").cast("string"), F.lit(")")).alias("line"))
+    items = listed.select(F.concat(F.lit("2:"), "error", F.lit(":"), F.lpad(F.col("k").cast("string"), 6, "0")).alias("position"), F.concat(F.lit("- "), F.col("image").cast("string")).alias("line"))
+    return groups.unionByName(heads).unionByName(items)
+
+
 def missed(rows: DataFrame, most: int = 20) -> DataFrame:
     """The first few fakes (label) that are OK without a reason, and genuine ones with one, as error; the number is the report's feature."""
     fake = (F.col("label") == "fake") & (F.col("status") == "OK") & (F.size("reasons") == 0)

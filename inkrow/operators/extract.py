@@ -184,7 +184,8 @@ def _issuer_field(valid: Column, repaired: Column | None = None) -> Column:
 
 
 def _rows(pages: DataFrame, fields: list[Column]) -> DataFrame:
-    return pages.select("image", F.inline(F.filter(F.array(*fields), lambda f: f["value"].isNotNull())))
+    """A row a field found. Written out, so that what is done with the rows, such as a filter, isn't pushed into the expressions above, to be worked out for each use."""
+    return stored(pages.select("image", F.inline(F.filter(F.array(*fields), lambda f: f["value"].isNotNull()))), "fields")
 
 
 def _date(found: Column) -> Column:

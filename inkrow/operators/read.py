@@ -49,7 +49,7 @@ def results(lines: DataFrame, images: DataFrame, today: Column, dictionary: dict
     types = stored(classify.classified(tried), "read-types")
     seen = types.join(looks(tried, types), "image", "left")
     found = fields(tried, types, today, dictionary)
-    found = stored(decide.strict_checksum(found) if strict else found, "read-fields")
+    found = decide.strict_checksum(found) if strict else found
     ranked = seen.join(decide.ranks(found, types), "image", "left").select(F.col("image.of").alias("of"), F.col("image.pass").alias("pass"), "document_type", "n_lines", "title_low", "vertical", "status", "n_accepted", "mean_confidence")
     opening = ranked.where(F.col("pass") == "original").select("of", decide.attempt_order(F.col("vertical"), F.col("document_type") == "UNKNOWN", F.col("title_low")).alias("others"))
     # an image whose original has no line is looked at as one of unknown type
