@@ -122,6 +122,17 @@ def _truth(papers: DataFrame) -> DataFrame:
     return papers.select(F.col("id").alias("image"), "document_type", F.col("truth").alias("fields"))
 
 
+def _signals(papers: DataFrame) -> DataFrame:
+    """Signals by the key: a face beside the number, on the wrong side, none, or not looked for; an outline of the right ratio, another or none; colours of all sorts."""
+    key, card = F.col("id"), F.col("document_type") == "RESIDENT_CARD"
+    face = lambda x: F.array(F.struct(x.cast("double").alias("x0"), F.lit(200.0).alias("y0"), (x + 150).cast("double").alias("x1"), F.lit(380.0).alias("y1"), F.lit(0.9).alias("score")))
+    faces = F.when(key % 4 == 2, F.slice(face(F.lit(0)), 1, 0)).otherwise(face(F.when(card == (key % 4 != 1), 700).otherwise(100)))
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    quad = lambda w: F.array(corner(w, 0), corner(w, 540), corner(0, 540), corner(0, 0))
+    outline = F.when(key % 3 == 0, quad(856)).when(key % 3 == 1, quad(600))
+    return papers.select(key.alias("image"), outline.alias("outline"), faces.alias("faces"), (key % 4 != 3).alias("detector"), F.when(key % 5 == 0, 5.0).when(key % 5 != 1, 30.0).alias("colour"), F.when(key % 20 == 0, 0.6).otherwise(0.1).alias("clipped"))
+
+
 def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customers' papers, read from the lines of all attempts to records in one run.
 
@@ -147,12 +158,14 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines = lines.unionByName(part)
     key, lying = F.col("id"), F.col("id") % 10 == 7
     images = papers.select(key.alias("image"), (key % 20 != 5).alias("decoded"), F.when(lying, HEIGHT).otherwise(WIDTH).alias("width"), F.when(lying, WIDTH).otherwise(HEIGHT).alias("height"), F.lit(1.0).alias("scale"))
-    out = stored(read.results(lines, images, F.lit(TODAY).cast("date"), _dictionary(spark)), "results")
+    attempts = read.attempted(lines, F.lit(TODAY).cast("date"), _dictionary(spark))
+    out = stored(read.results(attempts, images), "results")
+    checked = read.checks(attempts, images, _signals(papers)).select("image", F.col("face.ok").alias("face_ok"), F.round("ratio", 6).alias("ratio"), F.array_join("reasons", "|").alias("reasons"), F.array_join("inconclusive", "|").alias("inconclusive"))
     right = evaluate.scored(_truth(papers), out).groupBy("image").agg(F.count_if("correct").alias("n_correct"), F.count_if("accepted").alias("n_accepted"))
     shown = ["name", "name_hanja", "rrn", "address", "address_lines", "issue_date", "issuer", "license_number", "license_types", "aptitude_period", "serial_code"]
     box = F.col("field_meta")["rrn"]["bbox"][0][0]
     told = [F.col("derived")[k].alias(k) for k in ("birth_date", "gender", "license_region_name", "is_expired")]
-    return out.join(right, "image").select("image", "document_type", "status", "fail_reason", "pass", "passes", "n_correct", "n_accepted", *[F.col("fields")[f].alias(f) for f in shown], *told, F.array_join("warnings", "|").alias("warnings"), box["x"].alias("rrn_x"), box["y"].alias("rrn_y"))
+    return out.join(right, "image").join(checked, "image", "left").select("image", "face_ok", "ratio", "reasons", "inconclusive", "document_type", "status", "fail_reason", "pass", "passes", "n_correct", "n_accepted", *[F.col("fields")[f].alias(f) for f in shown], *told, F.array_join("warnings", "|").alias("warnings"), box["x"].alias("rrn_x"), box["y"].alias("rrn_y"))
 
 
 #: Lines that the noise of card_conditions reaches with more than lost scores.
@@ -164,7 +177,7 @@ def card_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = _papers(spark, sf_dir).withColumn("condition", synthetic.of(list(synthetic.CONDITIONS), synthetic.draw(1, "condition", len(synthetic.CONDITIONS))))
     lines = synthetic.photographed(papers, targets=NOISY).select(F.col("id").alias("image"), F.lit("original").alias("pass"), "idx", "text", "score", "box", "chars")
     images = papers.select(F.col("id").alias("image"), F.lit(True).alias("decoded"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"), F.lit(1.0).alias("scale"))
-    out = stored(read.results(lines, images, F.lit(TODAY).cast("date"), _dictionary(spark)), "results")
+    out = stored(read.results(read.attempted(lines, F.lit(TODAY).cast("date"), _dictionary(spark)), images), "results")
     rows = out.join(papers.select(F.col("id").alias("image"), "condition", (F.col("id") % 700).alias("elapsed_ms")), "image")
     report = evaluate.condition_report(rows, evaluate.scored(_truth(papers), out), ["condition"])
     return report.withColumns({c: F.round(c, 6) for c in ("share_ok", "core_correct", "all_correct")})
@@ -230,7 +243,11 @@ SQL = {
         CASE WHEN read AND NOT card THEN serial_code END AS serial_code, CASE WHEN read THEN CAST(birth AS VARCHAR) END AS birth_date, CASE WHEN read THEN CASE WHEN CAST(sex AS INT) % 2 = 1 THEN 'M' ELSE 'F' END END AS gender,
         CASE WHEN read AND NOT card THEN CASE substr(license_number, 1, 2) {" ".join(f"WHEN '{c}' THEN '{n}'" for c, n in text.REGIONS.items())} END END AS license_region_name, CASE WHEN read AND NOT card THEN CASE WHEN period_end < DATE '{TODAY}' THEN 'true' ELSE 'false' END END AS is_expired,
         CASE WHEN read AND NOT card AND regexp_matches(serial_code, '[0OQ1I]') THEN 'LOOKALIKE:serial_code' ELSE '' END AS warnings,
+        CASE WHEN read AND id % 4 <> 3 THEN id % 4 = 0 END AS face_ok, CASE WHEN read THEN round(CASE id % 3 WHEN 0 THEN 856 / 540.0 WHEN 1 THEN 600 / 540.0 ELSE frame END, 6) END AS ratio,
+        CASE WHEN read THEN concat_ws('|', CASE WHEN id % 4 IN (1, 2) THEN 'NO_FACE_IN_PHOTO_AREA' END, CASE WHEN id % 3 = 1 THEN 'CARD_ASPECT' END, CASE WHEN id % 20 = 10 THEN 'PLAIN_BACKGROUND' END) END AS reasons,
+        CASE WHEN read THEN concat_ws('|', CASE WHEN id % 3 = 2 AND frame IS NOT NULL THEN 'CARD_EDGES_NOT_VISIBLE' END, CASE WHEN id % 20 = 0 THEN 'BACKGROUND_OVEREXPOSED' END) END AS inconclusive,
         CAST(CASE WHEN read THEN CASE k WHEN 6 THEN 999 - x WHEN 7 THEN 719 - y ELSE x END END AS DOUBLE) AS rrn_x, CAST(CASE WHEN read THEN CASE k WHEN 6 THEN 719 - y WHEN 7 THEN x ELSE y END END AS DOUBLE) AS rrn_y
-      FROM (SELECT *, CASE WHEN card THEN 80 ELSE 430 END AS x, CASE WHEN card THEN 219 ELSE 291 END AS y FROM p)""",
+      FROM (SELECT *, CASE WHEN card THEN 80 ELSE 430 END AS x, CASE WHEN card THEN 219 ELSE 291 END AS y,
+        CASE WHEN NOT card OR 240 + (length(resident_issuer) * 55 + length(regexp_replace(resident_issuer, '[^가-힣]', '', 'g')) * 45) * 40 / 100.0 - 80 >= 600 THEN 1000 / 720.0 END AS frame FROM p)""",
     "card_conditions": _conditions_sql(),
 }

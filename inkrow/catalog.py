@@ -119,16 +119,20 @@ def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda *values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
     sign, day = pick(". ", "-", "/", " . "), F.when(key % 5 == 0, "31").otherwise(F.date_format("o_orderdate", "d"))
     line = F.concat(F.date_format("o_orderdate", "yyyy"), sign, F.date_format("o_orderdate", "M"), sign, day, pick(".", " "), pick("서울특별시장", "가람구청", "다솔군"))
-    found = F.try_element_at(text.find_dates(line), F.lit(1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", found["value"].cast("string").alias("iso"), text.repair_issuer(text.text_after_numbers(line))["value"].alias("issuer"))
+    # a text that several expressions read is made once
+    own = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
+    found = F.try_element_at(text.find_dates("line"), F.lit(1))
+    return own.select("o_orderkey", found["value"].cast("string").alias("iso"), text.repair_issuer(text.text_after_numbers("line"))["value"].alias("issuer"))
 
 
 def license_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
     line = F.concat(F.lit("번호 "), pad(key % 30, 2), F.lit("-"), pad(key % 100, 2), F.lit("-"), pad(key * 31 % 1_000_000, 6), F.lit(" - "), F.when(key % 5 == 0, F.lit("XX")).otherwise(pad(key % 97, 2)))
-    number = F.try_element_at(text.find_license_numbers(line), F.lit(1))
-    return table(spark, sf_dir, "orders").select("o_orderkey", text.license_formatted(number).alias("number"), text.license_is_masked(number).alias("masked"), text.license_number_is_valid(number).alias("valid"))
+    number = F.try_element_at(text.find_license_numbers("line"), F.lit(1))
+    own = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line")).select("o_orderkey", number.alias("number"))
+    number = F.col("number")
+    return own.select("o_orderkey", text.license_formatted(number).alias("number"), text.license_is_masked(number).alias("masked"), text.license_number_is_valid(number).alias("valid"))
 
 
 def serial_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

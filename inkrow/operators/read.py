@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkrow.operators import classify, decide, extract, layout
+from inkrow.operators import classify, decide, extract, layout, picture
 from inkrow.operators.layout import first
 from inkrow.sources.tables import stored
 
@@ -37,18 +39,27 @@ def fields(lines: DataFrame, types: DataFrame, today: Column, dictionary: dict[s
     return parts[0].unionByName(parts[1])
 
 
-def results(lines: DataFrame, images: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, strict: bool = False, mask: bool = False) -> DataFrame:
-    """One result a row of images, as decide.assemble gives it, with pass and passes: the attempt that it is from, and how many were made.
+@dataclass
+class Attempts:
+    """What was read of all attempts: lines and fields (their image is a struct of the image, as of, and the pass), and of each image the best attempt: of, pass, passes, document_type, n_lines."""
+
+    lines: DataFrame
+    fields: DataFrame
+    best: DataFrame
+
+
+def attempted(lines: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, strict: bool = False, again: DataFrame | None = None) -> Attempts:
+    """Reads lines of all attempts (image, pass, idx, text, score, box, chars), pass being one of ROTATIONS, and chooses the best attempt of each image.
 
-    lines are those of all attempts (image, pass, idx, text, score, box, chars), pass being one of ROTATIONS; images are image, decoded, width, height and scale (of the upright picture; null: 1), and may have
-    no line. The first attempt is the original; how it looks gives the order of the others, of which those without lines in the table are left out. Attempts stop at the first that is OK; the best is that of the
-    better status, then of more accepted fields, then of higher mean confidence, then of a known type, then the earlier. Boxes are turned back into the upright, unscaled picture. strict makes
-    numbers whose check digit disagrees invalid before attempts are compared. Each image has one row in images.
+    The first attempt is the original; how it looks gives the order of the others, of which those without lines in the table are left out. Attempts stop at the first that is OK; the best is that of the
+    better status, then of more accepted fields, then of higher mean confidence, then of a known type, then the earlier. strict makes numbers whose check digit disagrees invalid before attempts are
+    compared. again (image, pass, text, score) are second readings of names, as extract.with_name takes them.
     """
-    tried = stored(lines.withColumn("image", F.struct(F.col("image").alias("of"), F.col("pass").alias("pass"))).drop("pass"), "read-lines")
+    keyed = lambda df: df.withColumn("image", F.struct(F.col("image").alias("of"), F.col("pass").alias("pass"))).drop("pass")
+    tried = stored(keyed(lines), "read-lines")
     types = stored(classify.classified(tried), "read-types")
     seen = types.join(looks(tried, types), "image", "left")
-    found = fields(tried, types, today, dictionary)
+    found = fields(tried, types, today, dictionary, None if again is None else keyed(again))
     found = decide.strict_checksum(found) if strict else found
     ranked = seen.join(decide.ranks(found, types), "image", "left").select(F.col("image.of").alias("of"), F.col("image.pass").alias("pass"), "document_type", "n_lines", "title_low", "vertical", "status", "n_accepted", "mean_confidence")
     opening = ranked.where(F.col("pass") == "original").select("of", decide.attempt_order(F.col("vertical"), F.col("document_type") == "UNKNOWN", F.col("title_low")).alias("others"))
@@ -56,12 +67,39 @@ def results(lines: DataFrame, images: DataFrame, today: Column, dictionary: dict
     default = decide.attempt_order(F.lit(False), F.lit(True), F.lit(False))
     placed = ranked.join(opening, "of", "left").withColumn("position", F.when(F.col("pass") == "original", 0).otherwise(F.array_position(F.coalesce("others", default), F.col("pass"))))
     best = decide.best_attempts(placed.withColumn("known", F.col("document_type") != "UNKNOWN"), "of", "position", "known").select("of", "pass", "passes", "document_type", "n_lines")
-    best = stored(best, "read-best")
-    own = images.join(best, F.col("image") == F.col("of"), "left").drop("of")
+    return Attempts(tried, found, stored(best, "read-best"))
+
+
+def turn_of(attempt: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in ROTATIONS.items() for x in pair])[attempt]
+
+
+def results(attempts: Attempts, images: DataFrame, mask: bool = False) -> DataFrame:
+    """One result a row of images (image, decoded, width, height and scale of the upright picture; a null scale is 1), as decide.assemble gives it, with pass and passes: the attempt that it is from, and how many were made.
+
+    Images may have no line. Boxes are turned back into the upright, unscaled picture. Each image has one row in images.
+    """
+    own = images.join(attempts.best, F.col("image") == F.col("of"), "left").drop("of")
     size = own.select("image", "pass", "width", "height", F.coalesce("scale", F.lit(1.0)).alias("scale")).dropDuplicates(["image"])
-    turn = F.create_map(*[F.lit(x) for pair in ROTATIONS.items() for x in pair])[F.col("pass")]
+    found = attempts.fields
     chosen = found.select(F.col("image.of").alias("image"), F.col("image.pass").alias("pass"), *[c for c in found.columns if c != "image"]).join(size, ["image", "pass"])
-    back = F.transform("boxes", lambda b: F.when(b.isNotNull(), layout.turned_back(b, turn, F.col("width"), F.col("height"), F.col("scale"))))
+    back = F.transform("boxes", lambda b: F.when(b.isNotNull(), layout.turned_back(b, turn_of(F.col("pass")), F.col("width"), F.col("height"), F.col("scale"))))
     chosen = chosen.withColumn("boxes", back).drop("pass", "width", "height", "scale")
     out = decide.assemble(chosen, own.select("image", "document_type", "n_lines", "decoded"), mask)
-    return out.join(best.select(F.col("of").alias("image"), "pass", "passes"), "image", "left")
+    return out.join(attempts.best.select(F.col("of").alias("image"), "pass", "passes"), "image", "left")
+
+
+def checks(attempts: Attempts, images: DataFrame, signals: DataFrame) -> DataFrame:
+    """image with ratio, method, face, reasons, inconclusive and suspicious (decide.document_checks) of the images of known types, on the picture as the best attempt turned it.
+
+    images are image, width and height of the picture before it was turned; signals are image, outline, faces, detector, colour and clipped, found on the turned picture, null where they weren't looked for.
+    """
+    of, name = F.col("image.of").alias("image"), F.col("image.pass").alias("pass")
+    known = attempts.best.where(F.col("document_type").isin(*decide.SPECS)).select(F.col("of").alias("image"), "pass", "document_type")
+    number = attempts.fields.where("field = 'rrn'").select(of, name, first(F.col("boxes")).alias("rrn_box"))
+    texts = attempts.lines.groupBy("image").agg(F.collect_list("box").alias("texts")).select(of, name, "texts")  # an image has few lines
+    own = known.join(images.select("image", "width", "height"), "image").join(signals, "image", "left").join(number, ["image", "pass"], "left").join(texts, ["image", "pass"], "left")
+    lying = turn_of(F.col("pass")).isin(90, 270)
+    ratio = picture.card_ratio(F.col("outline"), F.when(lying, F.col("height")).otherwise(F.col("width")), F.when(lying, F.col("width")).otherwise(F.col("height")), F.col("texts"))
+    own = own.withColumn("c", ratio).withColumns({"ratio": F.col("c.ratio"), "method": F.col("c.method")})
+    return decide.document_checks(own).select("image", "ratio", "method", "face", "reasons", "inconclusive", "suspicious")
