@@ -77,7 +77,9 @@ def piece_features(pieces: list[np.ndarray]) -> list[np.ndarray]:
     step = 1
     while step < NEAR:  # the least of each run
         place, step = np.minimum(place[:-step], place[step:]), 2 * step
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    changes = np.concatenate([[True], place[1:] != place[:-1]])
+    changes[ends[:-1]] = True  # also where a piece ends as the next begins
+    first = np.flatnonzero(changes)
     length = np.diff(np.concatenate([first, [len(place)]]))
     use = (length >= POPULAR) & (place[first] != NONE)
     chosen, at = place[first[use]], first[use]  # where a window's first run ends: at the window or after it, inside its piece

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ SCRIPT_SHARE = 0.001
 #: What a change of language between two words costs, and what a word costs in a language outside the candidates (natural logarithms).
 SWITCH, OUTSIDE = 10.0, 60.0
 CACHE_WORDS = 150_000
-ASCII_LETTERS = re.compile("[a-z]+")
+#: Lower-cased texts of the Latin script alone, and the letters in them.
+LATIN, LATIN_LETTERS = re.compile("[\0-\u024f]*"), re.compile("[a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 
 def scripts(points: np.ndarray) -> np.ndarray:
@@ -56,8 +58,8 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def parts_of(word: str) -> list[str]:
     """The runs of letters of one script in a lower-cased word; letters are characters of the Unicode categories L only, so no fraction, superscript or circled digit. Marks are left out and part nothing."""
-    if word.isascii():
-        return [word] if word.isalpha() else ASCII_LETTERS.findall(word)
+    if word.isascii() or LATIN.fullmatch(word):
+        return [word] if word.isalpha() else LATIN_LETTERS.findall(word)
     out, last = [], None
     for c, script in zip(word, scripts(np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.int64)).tolist(), strict=True):
         if c.isalpha():
@@ -73,16 +75,16 @@ def parts_of(word: str) -> list[str]:
 
 def split_words(codes: np.ndarray, offsets: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
     """Words between white space, as word_codes gives them, cut into parts_of: (code of each part, where each text's parts start and end, the distinct parts, the word that each part is in)."""
-    number: dict[str, int] = {}
-    held = [[number.setdefault(p, len(number)) for p in parts_of(w)] for w in pc.utf8_lower(distinct).to_pylist()]
-    sizes = np.array([len(h) for h in held], np.int64)
-    flat, starts = np.array([p for h in held for p in h], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    held = [parts_of(w) for w in pc.utf8_lower(distinct).to_pylist()]
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    coded = pa.array(list(chain.from_iterable(held)), pa.string()).dictionary_encode()
+    flat, starts, parts = coded.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), coded.dictionary.to_pylist()
     if not len(codes):
-        return np.zeros(0, np.int64), offsets, list(number), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), offsets, parts, np.zeros(0, np.int64)
     n = sizes[codes]
     upto = np.concatenate([[0], np.cumsum(n)])
     word = np.repeat(np.arange(len(codes)), n)
-    return flat[starts[codes][word] + np.arange(upto[-1]) - upto[:-1][word]], upto[offsets], list(number), word
+    return flat[starts[codes][word] + np.arange(upto[-1]) - upto[:-1][word]], upto[offsets], parts, word
 
 
 class Model:
