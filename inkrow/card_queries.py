@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkrow.functions import text
-from inkrow.operators import evaluate, layout, read, synthetic
+from inkrow.operators import classify, evaluate, layout, read, synthetic
 from inkrow.sources.tables import stored, table
 
 TODAY = "2026-10-07"
@@ -226,7 +226,27 @@ def _conditions_sql() -> str:
     round(avg(CAST(NOT name_wrong AND NOT rrn_wrong AND NOT address_wrong AS INT)), 6) AS all_correct, median(id % 700) AS p50 FROM a GROUP BY condition"""
 
 
-QUERIES = {f.__name__: f for f in (synthetic_cards, card_addresses, document_results, card_conditions)}
+TITLES = [classify.RESIDENT[0], classify.LICENSE[0], classify.LICENSE_SHORT[0]]
+#: A letter that no title has.
+STRANGE = "힣"
+
+
+def title_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types told by titles of orders, up to three letters of which are misread, between a word and a number."""
+    key = F.col("o_orderkey")
+    d = lambda what, below: synthetic.draw(1, what, below, key)
+    title = synthetic.of(TITLES, d("title", len(TITLES)))
+    n = F.length("title")
+    own = table(spark, sf_dir, "orders").select("o_orderkey", title.alias("title"), d("misreads", 4).alias("k"))
+    second, third = d("second letter", n - 1), d("third letter", n - 2)
+    places = F.array(d("letter", n), (d("letter", n) + 1 + second) % n, (d("letter", n) + 1 + (second + 1 + third) % (n - 1)) % n)
+    own = own.withColumn("places", F.slice(places, F.lit(1), F.col("k")))
+    read = F.array_join(F.transform(F.split("title", ""), lambda c, i: F.when(F.array_contains("places", i), STRANGE).otherwise(c)), "")
+    lines = own.select(key.alias("image"), F.posexplode(F.array(F.lit("abc"), F.concat(F.lit("<"), read, F.lit(">")), F.lit("12-34"))).alias("idx", "text"))
+    return classify.classified(lines).select("image", "document_type", F.col("title").cast("long").alias("title"))
+
+
+QUERIES = {f.__name__: f for f in (synthetic_cards, card_addresses, document_results, card_conditions, title_types)}
 SQL = {
     "synthetic_cards": f"""WITH {cards_sql(CUSTOMERS)} SELECT id, CAST(birth AS VARCHAR) AS birth, name, name_hanja, sex, rrn, address, CAST(resident_issued AS VARCHAR) AS resident_issued, resident_issuer, CAST(license_issued AS VARCHAR) AS license_issued,
       license_number, license_types, license_issuer, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, serial_code FROM cards""",
@@ -250,4 +270,10 @@ SQL = {
       FROM (SELECT *, CASE WHEN card THEN 80 ELSE 430 END AS x, CASE WHEN card THEN 219 ELSE 291 END AS y,
         CASE WHEN NOT card OR 240 + (length(resident_issuer) * 55 + length(regexp_replace(resident_issuer, '[^가-힣]', '', 'g')) * 45) * 40 / 100.0 - 80 >= 600 THEN 1000 / 720.0 END AS frame FROM p)""",
     "card_conditions": _conditions_sql(),
+    "title_types": f"""WITH t AS (SELECT o_orderkey, {_d("title", 3, "o_orderkey")} AS t, {_d("misreads", 4, "o_orderkey")} AS k FROM orders),
+      n AS (SELECT *, CASE WHEN t = 1 THEN 8 ELSE 5 END AS n FROM t),
+      p AS (SELECT *, {_d("letter", "n", "o_orderkey")} AS a, {_d("second letter", "(n - 1)", "o_orderkey")} AS b, {_d("third letter", "(n - 2)", "o_orderkey")} AS c FROM n),
+      q AS (SELECT *, [a, (a + 1 + b) % n, (a + 1 + (b + 1 + c) % (n - 1)) % n][1:k] AS places FROM p),
+      r AS (SELECT o_orderkey, CASE t WHEN 0 THEN CASE WHEN k <= 1 THEN 'RESIDENT_CARD' END WHEN 1 THEN CASE WHEN k <= 2 OR len(list_filter(places, lambda x: x >= 3)) <= 1 THEN 'DRIVER_LICENSE' END ELSE CASE WHEN k <= 1 THEN 'DRIVER_LICENSE' END END AS kind FROM q)
+      SELECT o_orderkey AS image, coalesce(kind, 'UNKNOWN') AS document_type, CASE WHEN kind IS NOT NULL THEN CAST(1 AS BIGINT) END AS title FROM r""",
 }
