@@ -25,9 +25,10 @@ def text_failures(text: Column) -> Column:
     """
     own = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(own, r"[\x20\x09-\x0D]+"), "")
-    distinct = F.size(F.array_distinct(words))
-    capitals = F.length(own) - F.length(F.translate(own, CAPITALS, ""))
-    fails = [F.size(words) < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * F.size(words), 100 * capitals > MOST_CAPITALS * F.length(own), own.rlike(SIGNS)]
+    # a hundred times the characters of a very long text is more than an int holds
+    n, distinct, chars = (x.cast("long") for x in (F.size(words), F.size(F.array_distinct(words)), F.length(own)))
+    capitals = chars - F.length(F.translate(own, CAPITALS, ""))
+    fails = [n < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * n, 100 * capitals > MOST_CAPITALS * chars, own.rlike(SIGNS)]
     return sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fails)), F.lit(0))
 
 
