@@ -11,8 +11,8 @@ from inkrow.llm._common import free, stored
 
 #: Words of a window, and of the shingles that are its tokens.
 WINDOW, SHINGLE = 10, 3
-#: Windows up to so many are broadcast; beyond, Spark shuffles both sides.
-MOST_BROADCAST = 200_000
+#: Windows up to so many, with so many bytes of words, are broadcast; beyond either, Spark shuffles both sides.
+MOST_BROADCAST, MOST_BYTES = 200_000, 32 << 20
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -86,11 +86,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, item: str =
     # equal rows get equal results, so that they are one document until the end
     own = docs.select(F.col(key).alias("id"), F.md5(F.coalesce(text, F.lit(""))).alias("text_key"), words(text).alias("words"))
     wins = stored(windows(benchmark, item, item_text, window), "decontaminate-windows")
-    by_size = {r["size"]: r["n"] for r in wins.groupBy(F.least(F.size("words"), F.lit(SHINGLE)).alias("size")).agg(F.count("*").alias("n")).collect()}
+    held = F.sum(F.octet_length(F.array_join("words", " ")).cast("long"))
+    by_size = {r["size"]: (r["n"], r["held"]) for r in wins.groupBy(F.least(F.size("words"), F.lit(SHINGLE)).alias("size")).agg(F.count("*").alias("n"), held.alias("held")).collect()}
     parts = []
-    for size, n in sorted(by_size.items()):
+    for size, (n, n_bytes) in sorted(by_size.items()):
         of_size = F.size("words") >= SHINGLE if size == SHINGLE else F.size("words") == size
-        parts.append(occurrences(own, wins.where(of_size).select("words").distinct(), size, n <= MOST_BROADCAST))
+        parts.append(occurrences(own, wins.where(of_size).select("words").distinct(), size, n <= MOST_BROADCAST and n_bytes <= MOST_BYTES))
     base = own.select("id", "text_key", F.size("words").cast("long").alias("n_words"))
     if parts:
         found = reduce(DataFrame.unionByName, parts).distinct()
