@@ -17,8 +17,8 @@ from inkrow.llm._common import free, mix64, slices, stored, text_array, word_cod
 WORDS, PERCENT = 5, 85
 #: Coordinates of a signature, and the share of pairs just alike enough that may agree in too few of them.
 COORDINATES, LOSS = 64, 1.6e-7
-#: Node ids up to so many are broadcast when their texts are looked for again.
-MOST_BROADCAST = 1_000_000
+#: Node ids up to so many, with keys of so many bytes as text, are broadcast when their texts are looked for again.
+MOST_BROADCAST, MOST_BYTES = 1_000_000, 32 << 20
 #: Shingles and nodes of a chunk of a family.
 CHUNK, CHUNK_NODES = 1 << 17, 1_024
 RNG = np.random.default_rng(8)
@@ -127,7 +127,8 @@ def agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """node, its whole set of shingles and its signature for the ids (node, rep); the text of one row of each node is read again."""
-    wanted = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    n, n_bytes = ids.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.col("rep").cast("string")).cast("long")), F.lit(0))).first()
+    wanted = F.broadcast(ids) if n <= MOST_BROADCAST and n_bytes <= MOST_BYTES else ids
     rows = docs.join(wanted, docs["key"].eqNullSafe(wanted["rep"])).select("node", "text")
 
     def run(batches):
