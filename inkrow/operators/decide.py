@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkrow.functions.jamo import jamo
+from inkrow.sources.tables import growing
 
 #: Least confidence of each kind of field, and of a field that a check digit confirms.
 THRESHOLDS, VERIFIED = {"numeric": 0.90, "text": 0.85, "address": 0.80}, 0.60
@@ -49,12 +50,12 @@ def assemble(fields: DataFrame, images: DataFrame, mask: bool = False) -> DataFr
     SPECS, null where it wasn't found; confidences are rounded to four digits; mask hides the last six digits of the number. An image that can't be
     decoded, has no line or is of no known document fails with that reason and empty maps. Every image gives a row; its fields are few.
     """
-    typed = fields.join(images.select("image", "document_type"), "image")
+    typed = fields.join(growing(images.select("image", "document_type")), "image")
     own = accepted(with_spec(typed))
     value = F.when((F.col("field") == "rrn") & F.lit(mask), F.concat(F.left("value", F.lit(8)), F.lit("******"))).otherwise(F.col("value"))
     item = F.struct("field", value.alias("value"), F.round("confidence", 4).alias("confidence"), "valid", "accepted", "boxes", "warnings", "derived")
     held = own.groupBy("image").agg(F.collect_list(item).alias("found"), F.coalesce(F.count_if(F.col("accepted") & F.col("core")), F.lit(0)).alias("n_core"), F.count_if(F.col("accepted") & F.col("required")).alias("n_required"))
-    out = images.join(held, "image", "left")
+    out = images.join(growing(held), "image", "left")
     kind = F.col("document_type")
     pick = lambda make, default: F.coalesce(*[F.when(kind == d, make(spec)) for d, spec in SPECS.items()], default)
     names = pick(lambda s: F.array(*map(F.lit, s["fields"])), F.array().cast("array<string>"))
@@ -62,16 +63,19 @@ def assemble(fields: DataFrame, images: DataFrame, mask: bool = False) -> DataFr
     n_core = F.coalesce("n_core", F.lit(0)) == pick(lambda s: F.lit(len(s["core"])), F.lit(0))
     n_all = F.coalesce("n_required", F.lit(0)) == pick(lambda s: F.lit(len(s["required"])), F.lit(0))
     found = lambda name: F.try_element_at(F.filter("found", lambda x: x["field"] == name), F.lit(1))
-    entry = lambda n: F.struct(n.alias("key"), found(n)["value"].alias("value"))
-    meta = lambda n: F.struct(n.alias("key"), F.struct(found(n).isNotNull().alias("found"), found(n)["confidence"].alias("confidence"), found(n)["boxes"].alias("bbox"), found(n)["valid"].alias("valid"), F.coalesce(found(n)["accepted"], F.lit(False)).alias("accepted")).alias("value"))
     asked = F.when(reason.isNull(), names).otherwise(F.array().cast("array<string>"))
-    in_order = F.flatten(F.transform(asked, lambda n: F.coalesce(found(n)["warnings"], F.array().cast("array<string>"))))
-    derived = F.aggregate(F.transform(asked, lambda n: found(n)["derived"]), F.create_map().cast("map<string,string>"), lambda a, m: F.when(m.isNull(), a).otherwise(F.map_concat(a, m)))
+    # each name meets its field once
+    out = out.withColumn("met", F.transform(asked, lambda n: F.struct(n.alias("key"), found(n).alias("own"))))
+    entry = lambda m: F.struct(m["key"].alias("key"), m["own"]["value"].alias("value"))
+    meta = lambda m: F.struct(m["key"].alias("key"), F.struct(m["own"].isNotNull().alias("found"), m["own"]["confidence"].alias("confidence"), m["own"]["boxes"].alias("bbox"), m["own"]["valid"].alias("valid"), F.coalesce(m["own"]["accepted"], F.lit(False)).alias("accepted")).alias("value"))
+    in_order = F.flatten(F.transform("met", lambda m: F.coalesce(m["own"]["warnings"], F.array().cast("array<string>"))))
+    told = F.filter(F.transform("met", lambda m: m["own"]["derived"]), lambda d: F.size(d) > 0)
+    derived = F.aggregate(told, F.create_map().cast("map<string,string>"), lambda a, d: F.map_concat(a, d))
     return out.select(
         "image", "document_type",
         F.when(reason.isNotNull() | ~n_core, "FAIL").when(n_all, "OK").otherwise("PARTIAL").alias("status"),
         F.coalesce(reason, F.when(~n_core, "LOW_CONFIDENCE")).alias("fail_reason"),
-        F.map_from_entries(F.transform(asked, entry)).alias("fields"), F.map_from_entries(F.transform(asked, meta)).alias("field_meta"), F.array_distinct(in_order).alias("warnings"), derived.alias("derived"),
+        F.map_from_entries(F.transform("met", entry)).alias("fields"), F.map_from_entries(F.transform("met", meta)).alias("field_meta"), F.array_distinct(in_order).alias("warnings"), derived.alias("derived"),
     )
 
 
@@ -161,11 +165,11 @@ def verdicts(fields: DataFrame, keys: list[str]) -> DataFrame:
 
 def ranks(fields: DataFrame, types: DataFrame) -> DataFrame:
     """image, status, n_accepted and mean_confidence of the images of a known type in types (image, document_type): a missing field counts as not accepted, and the mean is that of the fields found."""
-    own = accepted(with_spec(fields.join(types.select("image", "document_type"), "image")))
+    own = accepted(with_spec(fields.join(growing(types.select("image", "document_type")), "image")))
     held = own.groupBy("image").agg(F.count_if(F.col("accepted") & F.col("core")).alias("n_core"), F.count_if(F.col("accepted") & F.col("required")).alias("n_required"), F.count_if("accepted").alias("n_accepted"), F.avg("confidence").alias("mean_confidence"))
     of = lambda part: F.coalesce(*[F.when(F.col("document_type") == d, len(spec[part])) for d, spec in SPECS.items()])
     status = F.when(F.col("n_core") < of("core"), "FAIL").when(F.col("n_required") == of("required"), "OK").otherwise("PARTIAL")
-    every = types.where(F.col("document_type").isin(*SPECS)).select("image", "document_type").join(held, "image", "left").fillna(0, ["n_core", "n_required", "n_accepted"])
+    every = types.where(F.col("document_type").isin(*SPECS)).select("image", "document_type").join(growing(held), "image", "left").fillna(0, ["n_core", "n_required", "n_accepted"])
     return every.select("image", status.alias("status"), "n_accepted", "mean_confidence")
 
 

@@ -17,6 +17,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def growing(df: DataFrame) -> DataFrame:
+    """df for a join by key in which both sides grow with the input: it is merged, never broadcast. Spark takes a table's size from its compressed files, which tells little of its rows."""
+    return df.hint("merge")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt by its key over as many tasks as there are shuffle partitions, cores at least. Spark cuts files by bytes, so that rows of few bytes that stand for much work, such as keys that cards are made of, would all be one task's."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder that spark.checkpoint.dir names, and read again, so that its plan isn't worked out once for each use. A local session without one takes a folder of its own."""
     spark = df.sparkSession
