@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkrow.functions.text import SPACE
 from inkrow.operators.decide import EVALUATED, SPECS
+from inkrow.sources.tables import growing
 
 
 def norm(value: Column) -> Column:
@@ -27,7 +28,7 @@ def scored(truth: DataFrame, results: DataFrame) -> DataFrame:
     """
     evaluated = F.coalesce(*[F.when(F.col("t.document_type") == d, F.array(*map(F.lit, [*spec["required"], *EVALUATED[d]]))) for d, spec in SPECS.items()])
     core = F.coalesce(*[F.when(F.col("t.document_type") == d, F.array(*map(F.lit, spec["core"]))) for d, spec in SPECS.items()])
-    both = truth.alias("t").join(results.alias("r"), "image", "left")
+    both = truth.alias("t").join(growing(results.alias("r")), "image", "left")
     own = both.select("image", F.col("t.document_type").alias("document_type"), (F.col("r.document_type") == F.col("t.document_type")).alias("same"), F.col("t.fields").alias("truth"), F.col("r.fields").alias("read"), F.col("r.field_meta").alias("meta"), core.alias("core_fields"), F.explode(evaluated).alias("field"))
     pred, gt, meta = F.try_element_at("read", F.col("field")), F.try_element_at("truth", F.col("field")), F.try_element_at("meta", F.col("field"))
     same = F.coalesce("same", F.lit(False))
@@ -41,7 +42,7 @@ def scored(truth: DataFrame, results: DataFrame) -> DataFrame:
 def condition_report(images: DataFrame, fields: DataFrame, keys: list[str]) -> DataFrame:
     """Per group of images (image, status, elapsed_ms and the keys): n, shares OK, with all core fields correct and with all fields correct, and the median time. fields are those of scored()."""
     right = fields.groupBy("image").agg(F.bool_and(F.coalesce(F.col("correct"), F.lit(False))).alias("all_ok"), F.bool_and(F.when(F.col("core"), F.coalesce(F.col("correct"), F.lit(False)))).alias("core_ok"))
-    own = images.join(right, "image", "left")
+    own = images.join(growing(right), "image", "left")
     shares = own.groupBy(*keys).agg(F.count("*").alias("n"), share(F.col("status") == "OK").alias("share_ok"), share(F.coalesce("core_ok", F.lit(False))).alias("core_correct"), share(F.coalesce("all_ok", F.lit(False))).alias("all_correct"))
     return shares.join(latency(images, keys, "elapsed_ms").select(*keys, "p50"), keys, "left")
 
@@ -54,7 +55,7 @@ def level_report(images: DataFrame, fields: DataFrame) -> DataFrame:
     """
     ok = F.coalesce(F.col("correct"), F.lit(False))
     right = fields.groupBy("image").agg(F.bool_and(ok).alias("all_ok"), F.bool_and(F.when(F.col("core"), ok)).alias("core_ok"), F.bool_or(F.coalesce("accepted", F.lit(False)) & ~ok).alias("wrong"))
-    own = images.join(right, "image", "left")
+    own = images.join(growing(right), "image", "left")
     both = own.groupingSets([["document_type", "condition"], ["document_type"]], "document_type", "condition")
     statuses = [F.count_if(F.col("status") == s).alias(s.lower()) for s in ("OK", "PARTIAL", "FAIL")]
     out = both.agg((F.grouping_id() == 0).alias("by_condition"), F.count("*").alias("n"), *statuses, F.count_if("all_ok").alias("all_correct"), F.count_if("core_ok").alias("core_correct"), F.count_if((F.col("status") == "OK") & F.col("wrong")).alias("ok_wrong"), F.count_if(~F.col("predicted_type").eqNullSafe(F.col("document_type"))).alias("other_type"), F.median("elapsed_ms").alias("p50"))
@@ -63,26 +64,24 @@ def level_report(images: DataFrame, fields: DataFrame) -> DataFrame:
 
 def markdown(levels: DataFrame, fields: DataFrame) -> DataFrame:
     """(position, line) of a report in Markdown: levels are those of level_report, fields of field_report by document_type and field. Lines follow by position."""
-    whole, part = levels.where("NOT by_condition"), levels.where("by_condition")
     at = lambda section, row="": F.concat_ws(":", F.coalesce("document_type", F.lit("")), F.lit(section), F.lit(row) if isinstance(row, str) else row)
     cells = lambda *texts: F.concat(F.lit("| "), F.concat_ws(" | ", *[F.lit(t) if isinstance(t, str) else t for t in texts]), F.lit(" |"))
     text = lambda c: F.col(c).cast("string")
     of_n = lambda c: percent(F.col(c), F.col("n"))
-    line = lambda rows, position, said: rows.select(position.alias("position"), said.alias("line"))
+    line = lambda position, said: F.struct(position.alias("position"), said.alias("line"))
     rate = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.1f%%", 100 * F.col(c)))
-    lines = [
-        line(whole, at("0"), F.concat(F.lit("## "), "document_type", F.lit(" ("), text("n"), F.lit(")"))),
-        line(whole, at("1"), cells("OK / PARTIAL / FAIL", F.concat_ws(" / ", of_n("ok"), of_n("partial"), of_n("fail")))),
-        line(whole, at("2"), cells("taken for another type", text("other_type"))),
-        line(whole, at("3"), cells("all fields correct", of_n("all_correct"))),
-        line(whole, at("4"), cells("OK with a wrong field", F.concat(text("ok_wrong"), F.lit(" ("), of_n("ok_wrong"), F.lit(")")))),
-        line(fields, at("5", F.col("field").cast("string")), cells(text("field"), rate("found_rate"), rate("correct_rate"), *([rate("exact_rate")] if "exact_rate" in fields.columns else []), F.coalesce(F.format_string("%.3f", "mean_cer"), F.lit("-")), rate("accept_rate"), rate("accept_precision"), text("false_accepts"))),
-        line(part, at("6", F.coalesce("condition", F.lit(""))), cells(F.coalesce("condition", F.lit("-")), text("n"), of_n("ok"), of_n("core_correct"), of_n("all_correct"), F.format_string("%d ms", F.bround("p50", 0).cast("long")))),
-    ]
-    out = lines[0]
-    for more in lines[1:]:
-        out = out.unionByName(more)
-    return out
+    whole = [
+        line(at("0"), F.concat(F.lit("## "), "document_type", F.lit(" ("), text("n"), F.lit(")"))),
+        line(at("1"), cells("OK / PARTIAL / FAIL", F.concat_ws(" / ", of_n("ok"), of_n("partial"), of_n("fail")))),
+        line(at("2"), cells("taken for another type", text("other_type"))),
+        line(at("3"), cells("all fields correct", of_n("all_correct"))),
+        line(at("4"), cells("OK with a wrong field", F.concat(text("ok_wrong"), F.lit(" ("), of_n("ok_wrong"), F.lit(")")))),
+    ]
+    part = line(at("6", F.coalesce("condition", F.lit(""))), cells(F.coalesce("condition", F.lit("-")), text("n"), of_n("ok"), of_n("core_correct"), of_n("all_correct"), F.format_string("%d ms", F.bround("p50", 0).cast("long"))))
+    exact = [rate("exact_rate")] if "exact_rate" in fields.columns else []
+    each = line(at("5", F.col("field").cast("string")), cells(text("field"), rate("found_rate"), rate("correct_rate"), *exact, F.coalesce(F.format_string("%.3f", "mean_cer"), F.lit("-")), rate("accept_rate"), rate("accept_precision"), text("false_accepts")))
+    # the lines of a level in one go, so that levels are worked out once
+    return levels.select(F.inline(F.when(F.col("by_condition"), F.array(part)).otherwise(F.array(*whole)))).unionByName(fields.select(F.inline(F.array(each))))
 
 
 #: Thresholds that the calibration report always shows.
