@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkrow import card_queries, picture_queries
 from inkrow.functions import jamo, text
 from inkrow.operators import address, classify, decide, evaluate, extract, layout
-from inkrow.sources.tables import table
+from inkrow.sources.tables import growing, table
 
 FLAGSHIP = "verdict_report"
 TODAY = "2026-10-07"
@@ -257,7 +257,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     right = lambda n, i: F.concat(F.lit(n), ((key + F.when((key + i) % 5 == 0, 1).otherwise(0)) % 100).cast("string"), F.lit("-1234567"))
     entries = [x for i, n in enumerate(["name", "rrn", "address", "issue_date", "issuer"]) for x in (F.lit(n), right(n, i))]
     truth = table(spark, sf_dir, "orders").select(key.alias("image"), F.lit("RESIDENT_CARD").alias("document_type"), F.create_map(*entries).alias("fields"))
-    return evaluate.scored(truth, results), results.join(images.select("image", "condition", "elapsed_ms"), "image")
+    return evaluate.scored(truth, results), results.join(growing(images.select("image", "condition", "elapsed_ms")), "image")
 
 
 SCORED_SQL = RESULTS_SQL + """, sc AS (
@@ -290,8 +290,8 @@ def condition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fields, images = _scored(spark, sf_dir)
     kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderstatus").alias("kind"))
-    own = images.join(kinds, "image").select("image", F.col("kind").alias("document_type"), "condition", F.when(F.col("image") % 4 > 0, F.col("kind")).alias("predicted_type"), "status", "elapsed_ms")
-    return evaluate.level_report(own, fields), evaluate.field_report(fields.drop("document_type").join(kinds.withColumnRenamed("kind", "document_type"), "image"), ["document_type", "field"])
+    own = images.join(growing(kinds), "image").select("image", F.col("kind").alias("document_type"), "condition", F.when(F.col("image") % 4 > 0, F.col("kind")).alias("predicted_type"), "status", "elapsed_ms")
+    return evaluate.level_report(own, fields), evaluate.field_report(fields.drop("document_type").join(growing(kinds.withColumnRenamed("kind", "document_type")), "image"), ["document_type", "field"])
 
 
 def report_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
