@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkrow import catalog
+from inkrow.operators import decide, evaluate
 
 
 def broadcast_rows(df) -> list[str]:
@@ -24,3 +25,19 @@ def test_results_are_merged_by_image(spark, orders, query):
     df = catalog.QUERIES[query](spark, orders)
     assert broadcast_rows(df) == []
     assert df.count() == (1500 if query == "truth_scores" else 300)
+
+
+def test_reports_join_images_by_merging(spark, orders):
+    fields, images = catalog._scored(spark, orders)
+    assert broadcast_rows(evaluate.level_report(images.withColumn("predicted_type", F.col("document_type")), fields)) == []
+    assert broadcast_rows(catalog._levels(spark, orders)[1]) == []
+
+
+def test_conditions_join_images_by_merging(spark, orders):
+    # shares and times of a condition may be broadcast: there are few conditions
+    assert len(broadcast_rows(catalog.condition_scores(spark, orders))) <= 1
+
+
+def test_ranks_are_merged(spark, orders):
+    fields, images = catalog._results(spark, orders)
+    assert broadcast_rows(decide.ranks(fields, images)) == []
