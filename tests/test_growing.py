@@ -41,3 +41,8 @@ def test_conditions_join_images_by_merging(spark, orders):
 def test_ranks_are_merged(spark, orders):
     fields, images = catalog._results(spark, orders)
     assert broadcast_rows(decide.ranks(fields, images)) == []
+
+
+def test_report_lines_work_levels_out_once(spark, orders):
+    plan = catalog.report_lines(spark, orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("by_condition#") and plan.count("Expand") == 1
