@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkrow.functions import text
 from inkrow.operators import classify, evaluate, layout, read, synthetic
-from inkrow.sources.tables import stored, table
+from inkrow.sources.tables import spread, stored, table
 
 TODAY = "2026-10-07"
 
@@ -89,7 +89,7 @@ CUSTOMERS = "SELECT c_custkey AS id FROM customer"
 
 
 def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.cards(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    return synthetic.cards(spread(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id"))
 
 
 def synthetic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,9 @@ def test_ranks_are_merged(spark, orders):
 def test_report_lines_work_levels_out_once(spark, orders):
     plan = catalog.report_lines(spark, orders)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("by_condition#") and plan.count("Expand") == 1
+
+
+def test_cards_are_spread_over_tasks_whatever_their_files_bytes(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = catalog.QUERIES["card_addresses"](spark, str(tmp_path)).select("id", F.spark_partition_id().alias("task"))
+    assert tasks.count() == 50 and tasks.select("task").distinct().count() > 1
