@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkrow import card_queries, picture_queries
 from inkrow.functions import jamo, text
 from inkrow.operators import address, classify, decide, evaluate, extract, layout
-from inkrow.sources.tables import growing, table
+from inkrow.sources.tables import growing, spread, table
 
 FLAGSHIP = "verdict_report"
 TODAY = "2026-10-07"
@@ -359,7 +359,7 @@ def resident_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.when(key % 5 == 0, 0.0698).otherwise(0.0)
     point = lambda x, y: F.struct((x * F.cos(turn) - y * F.sin(turn)).alias("x"), (x * F.sin(turn) + y * F.cos(turn)).alias("y"))
     x, y, w = F.col("l.x"), F.col("l.y"), F.col("l.w")
-    own = table(spark, sf_dir, "customer").select(key.alias("image"), turn.alias("turn"), F.posexplode(said).alias("idx", "l"))
+    own = spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(key.alias("image"), turn.alias("turn"), F.posexplode(said).alias("idx", "l"))
     turn = F.col("turn")
     box = F.array(point(x, y), point(x + w, y), point(x + w, y + 20), point(x, y + 20))
     # some numbers have characters, the third of which is unsure

@@ -52,3 +52,14 @@ def test_cards_are_spread_over_tasks_whatever_their_files_bytes(spark, tmp_path)
     spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     tasks = catalog.QUERIES["card_addresses"](spark, str(tmp_path)).select("id", F.spark_partition_id().alias("task"))
     assert tasks.count() == 50 and tasks.select("task").distinct().count() > 1
+
+
+def test_resident_cards_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    from inkrow.operators import extract
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    seen = []
+    own = extract.resident_fields
+    monkeypatch.setattr(extract, "resident_fields", lambda lines, *rest: seen.append(lines) or own(lines, *rest))
+    catalog.QUERIES["resident_fields"](spark, str(tmp_path))
+    assert seen[0].select(F.spark_partition_id()).distinct().count() > 1
