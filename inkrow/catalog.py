@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkrow import card_queries, picture_queries
 from inkrow.functions import jamo, text
 from inkrow.operators import address, classify, decide, evaluate, extract, layout
-from inkrow.sources.tables import growing, spread, table
+from inkrow.sources.tables import growing, spread, stored, table
 
 FLAGSHIP = "verdict_report"
 TODAY = "2026-10-07"
@@ -250,9 +250,11 @@ def card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decide.documents(decide.assemble(*_results(spark, sf_dir), mask=True), {"name": "none"})
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _scored(spark: SparkSession, sf_dir: str, held: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(scores, images) of the cards made of orders; held writes the results out, for reports that use them several times."""
     fields, images = _results(spark, sf_dir)
-    results = decide.assemble(fields, images)
+    results = decide.assemble(fields, images).select("image", "document_type", "status", "fields", "field_meta")
+    results = stored(results, "results") if held else results
     key = F.col("o_orderkey")
     right = lambda n, i: F.concat(F.lit(n), ((key + F.when((key + i) % 5 == 0, 1).otherwise(0)) % 100).cast("string"), F.lit("-1234567"))
     entries = [x for i, n in enumerate(["name", "rrn", "address", "issue_date", "issuer"]) for x in (F.lit(n), right(n, i))]
@@ -288,7 +290,7 @@ def condition_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    fields, images = _scored(spark, sf_dir)
+    fields, images = _scored(spark, sf_dir, held=True)
     kinds = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), F.col("o_orderstatus").alias("kind"))
     own = images.join(growing(kinds), "image").select("image", F.col("kind").alias("document_type"), "condition", F.when(F.col("image") % 4 > 0, F.col("kind")).alias("predicted_type"), "status", "elapsed_ms")
     return evaluate.level_report(own, fields), evaluate.field_report(fields.drop("document_type").join(growing(kinds.withColumnRenamed("kind", "document_type")), "image"), ["document_type", "field"])

@@ -48,6 +48,13 @@ def test_report_lines_work_levels_out_once(spark, orders):
     assert plan.count("by_condition#") and plan.count("Expand") == 1
 
 
+@pytest.mark.parametrize("query", ["report_levels", "report_lines"])
+def test_reports_take_results_that_were_worked_out_once(spark, orders, query):
+    # the driver's plan holds what is made of the results, not the results themselves once for each use
+    plan = catalog.QUERIES[query](spark, orders)._jdf.queryExecution().optimizedPlan().toString()
+    assert "field_meta" in plan and "collect_list" not in plan
+
+
 def test_cards_are_spread_over_tasks_whatever_their_files_bytes(spark, tmp_path):
     spark.range(50).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     tasks = catalog.QUERIES["card_addresses"](spark, str(tmp_path)).select("id", F.spark_partition_id().alias("task"))
