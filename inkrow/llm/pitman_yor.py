@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 import numpy as np
@@ -18,8 +19,8 @@ from inkrow.llm._common import mix64, new_path, partitions, slices, sums, trim,
 DISCOUNT, STRENGTH = (0.75, 0.6), (2.0, 20.0)
 #: Sweeps before the first sample, and samples whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 1, 2
-#: Customers of a dish that are seated one by one; later ones arrive in groups of a share of those that are there.
-SINGLY, SHARE = 24, 1 / 8
+#: So many dishes or fewer that have further customers are gone through by themselves.
+FEW = 24
 #: Characters of texts in one packed block.
 BLOCK_CHARS = 14 << 20
 #: Bytes of a block's texts that are taken apart at once.
@@ -196,32 +197,146 @@ def counted(blocks: DataFrame, hot, shares: int) -> DataFrame:
     return blocks.mapInArrow(trimmed(run), "share int, block long, context binary, pairs binary, dish binary, count binary")
 
 
-def seat(customers: np.ndarray, parent: np.ndarray, restaurant: np.ndarray, totals: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of each dish after its customers stood up and sat down again.
+class Seats:
+    """Who sits at which table: of each dish of each restaurant its customers, all at one table at first.
 
-    A customer opens a table in proportion to (strength + discount * the restaurant's tables) * parent, and joins one of the dish in proportion to those seated less discount a
-    table. The first SINGLY come one by one, later ones in groups of SHARE of those seated, whose new tables are one binomial draw.
+    Dishes are seated independently of each other, so that those of many restaurants are gone through side by side, one customer each at a time; quickest with those of most customers first.
     """
-    tables, seated = (customers > 0).astype(np.int64), np.minimum(customers, 1)
-    opening = (strength + discount * totals[restaurant]) * parent
-    rows = np.flatnonzero(seated < customers)
-    while len(rows):
-        n, t = seated[rows], tables[rows]
-        group = np.minimum(np.where(n < SINGLY, 1, np.maximum(1, (n * SHARE).astype(np.int64))), customers[rows] - n)
-        p = opening[rows] / (opening[rows] + n - discount * t)
-        tables[rows] += rng.binomial(group, np.clip(p, 0, 1))
-        seated[rows] += group
-        rows = rows[seated[rows] < customers[rows]]
-    return tables
+
+    def __init__(self, count: np.ndarray):
+        self.count, self.first = count, np.cumsum(count) - count
+        self.tables, self.seated = np.minimum(count, 1), count.copy()
+        self.table, self.size = np.zeros(int(count.sum()), np.int32), np.zeros(int(count.sum()), np.int32)
+        self.size[self.first[count > 0]] = count[count > 0]
+        self._spare()
+
+    def _spare(self):
+        """Numbers of tables that aren't in use: of each dish a stack, of count - tables numbers."""
+        at = np.arange(len(self.table)) - np.repeat(self.first, self.count)
+        self.free = (at + np.repeat(self.tables, self.count)).astype(np.int32)
+
+    def resize(self, count: np.ndarray, weight: float, discount: float, rng: np.random.Generator):
+        """Other numbers of customers: any leave, as their order doesn't matter the last ones, and new ones come in and sit down."""
+        kept = np.minimum(self.count, count)
+        own, first = np.repeat(np.arange(len(count)), kept), np.cumsum(count) - count
+        place = np.arange(len(own)) - np.repeat(np.cumsum(kept) - kept, kept)
+        used, at = np.unique(own << 32 | self.table[self.first[own] + place], return_inverse=True)
+        of = used >> 32
+        number = np.arange(len(used)) - np.searchsorted(of, of)
+        table, size = np.zeros(int(count.sum()), np.int32), np.zeros(int(count.sum()), np.int32)
+        table[first[own] + place] = number[at]
+        size[first[of] + number] = np.bincount(at, minlength=len(used))
+        self.count, self.first, self.table, self.size, self.seated, self.tables = count, first, table, size, kept, np.bincount(of, minlength=len(count))
+        self._spare()
+        rows = np.flatnonzero(kept < count)
+        self._each(rows, kept[rows], np.full(len(count), weight), discount, rng, True)
+
+    def sweep(self, weight: np.ndarray | float, discount: float, rng: np.random.Generator):
+        """Every customer stands up and sits down again, one at a time, given where all others of its dish sit: at a table in proportion to those there less the discount, or at a new one in proportion to weight."""
+        weight = np.broadcast_to(weight, self.count.shape)
+        # a single customer leaves no other choice than its table
+        if (np.diff(self.count) <= 0).all():
+            self._each(slice(0, int(np.count_nonzero(self.count > 1))), 0, weight, discount, rng, False)
+        else:
+            rows = np.flatnonzero(self.count > 1)
+            self._each(rows, np.zeros(len(rows), np.int64), weight, discount, rng, False)
+
+    def _each(self, rows: np.ndarray | slice, turn: np.ndarray | int, weight: np.ndarray, discount: float, rng: np.random.Generator, come: bool):
+        """Customers from place turn on of the dishes in rows; of a slice, whose counts descend, turn is that of all."""
+        whole = isinstance(rows, slice)
+        while (width := rows.stop if whole else len(rows)) > FEW:
+            f, n, t, a, spare = self.first[rows], self.seated[rows], self.tables[rows], weight[rows], self.count[rows]
+            place = f + turn
+            if not come:
+                k = self.table[place]
+                left = self.size[f + k] - 1
+                self.size[f + k] = left
+                gone = np.flatnonzero(left == 0)
+                self.free[f[gone] + spare[gone] - t[gone]] = k[gone]
+                t[gone] -= 1
+                n = n - 1
+            opens = rng.random(width) * (a + n - discount * t) < a
+            # who doesn't open a table joins the one that is left, or of several one that is met by a customer who sits there, unless the discount has it
+            new = self.table[f + (0 if come else turn == 0)]
+            some = np.flatnonzero(opens)
+            new[some] = self.free[f[some] + spare[some] - t[some] - 1]
+            choose = np.flatnonzero(~opens & (t > 1))
+            t[some] += 1
+            while len(choose):
+                own = f[choose]
+                with_ = (rng.random(len(choose)) * n[choose]).astype(np.int64)
+                if not come:
+                    with_ += with_ >= (turn if whole else turn[choose])
+                k = self.table[own + with_]
+                taken = rng.random(len(choose)) * self.size[own + k] >= discount
+                new[choose[taken]] = k[taken]
+                choose = choose[~taken]
+            self.table[place] = new
+            self.size[f + new] += 1
+            self.tables[rows] = t
+            if come:
+                self.seated[rows] += 1
+            turn = turn + 1
+            if whole:
+                rows = slice(0, int(np.searchsorted(-spare, -turn)))
+            else:
+                more = turn < spare
+                rows, turn = rows[more], turn[more]
+        if whole:
+            rows = np.arange(rows.stop)
+            turn = np.full(len(rows), turn)
+        draw = random.Random(int(rng.integers(1 << 62))).random
+        for row, begin in zip(rows.tolist(), turn.tolist(), strict=True):
+            self._rest(row, begin, float(weight[row]), discount, draw, come)
+
+    def _rest(self, row: int, begin: int, weight: float, discount: float, draw, come: bool):
+        """The same for the last customers of one dish: where few dishes have so many, arrays of one customer each would take longer."""
+        own = slice(int(self.first[row]), int(self.first[row] + self.count[row]))
+        table, size, free = memoryview(self.table[own]), memoryview(self.size[own]), memoryview(self.free[own])
+        count, t, n = len(table), int(self.tables[row]), int(self.seated[row]) - (not come)
+        for turn in range(begin, count):
+            if not come:
+                k = table[turn]
+                size[k] -= 1
+                if not size[k]:
+                    free[count - t] = k
+                    t -= 1
+            if draw() * (weight + n - discount * t) < weight:
+                k = free[count - t - 1]
+                t += 1
+            elif t == 1:
+                k = table[0 if come or turn else 1]
+            else:
+                while True:
+                    with_ = int(draw() * n)
+                    k = table[with_ if come or with_ < turn else with_ + 1]
+                    if draw() * size[k] >= discount:
+                        break
+            table[turn] = k
+            size[k] += 1
+            n += come
+        self.tables[row], self.seated[row] = t, count
+
+
+def new_table(totals: np.ndarray | int, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray | float:
+    """What a new table weighs, but for its dish's probability in the parent, in restaurants with so many tables: the discount times a gamma variable, whose integral is the rising product of strength + discount * k."""
+    return discount * rng.standard_gamma(strength / discount + totals)
+
+
+def seat(seats: Seats | np.ndarray, parent: np.ndarray, restaurant: np.ndarray, totals: np.ndarray, discount: float, strength: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after a sweep, in restaurants with so many tables in all. Numbers of customers in place of seats sit at one table of their dish before."""
+    seats = seats if isinstance(seats, Seats) else Seats(seats)
+    seats.sweep(new_table(totals, discount, strength, rng)[restaurant] * parent, discount, rng)
+    return seats.tables
 
 
 class Share:
     """The pairs of one share, added up over blocks, and their sampled tables.
 
-    The draws depend on the share's pairs only, in no order of arrival: a task that runs again seats the same.
+    The draws depend on the share's pairs only, in no order of arrival: a task that runs again seats the same. sampled are the tables, as told() gives them, where they were drawn before.
     """
 
-    def __init__(self, rows: pa.Table, hot: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, rows: pa.Table, hot: tuple[np.ndarray, np.ndarray], sampled: bytes | None = None):
         self.rows = sorted(rows.to_pylist(), key=lambda r: r["block"])
         context = [np.cumsum(spread(r["context"], np.uint64), dtype=np.uint64) for r in self.rows]
         pairs = [spread(r["pairs"], np.uint32) for r in self.rows]
@@ -237,11 +352,16 @@ class Share:
         self.parts = parts_of_contexts(self.contexts, hot)
         self.tables = np.zeros((SAMPLES, len(key)), np.int64)
         some = self.count > 0
-        if some.any():
+        if sampled is not None:
+            self.tables[:, some] = spread(sampled, np.uint32).reshape(SAMPLES, -1)
+        elif some.any():
             self.tables[:, some] = gibbs(self.context[some], self.dish[some], self.count[some], self.parts, len(self.dishes), rows["share"][0].as_py())
         self.customers = np.bincount(self.context, self.count, len(self.contexts)).astype(np.int64)
         self.opened_tables = np.stack([np.bincount(self.context, t, len(self.contexts)) for t in self.tables]).astype(np.int64)
 
+    def told(self) -> bytes:
+        return squeeze(self.tables[:, self.count > 0].ravel().astype(np.uint32))
+
     def letters(self, shares: int):
         """(where to, its dishes, its split contexts), as places."""
         dish_to = (mix64(self.dishes) % np.uint64(shares)).astype(np.int64)
@@ -256,28 +376,33 @@ class Share:
 
 
 def gibbs(context: np.ndarray, dish: np.ndarray, count: np.ndarray, parts: np.ndarray, n_dishes: int, seed: int) -> np.ndarray:
-    """Tables [sample, pair] of one share's restaurants.
+    """Tables [sample, pair] of one share's restaurants, by Gibbs sampling: in a sweep every customer of the root and of each restaurant stands up and sits down again, one at a time.
 
-    During the sweeps the parent is a root that is seated from this share's tables alone; a split context's total is that of its part times its parts.
+    Dishes of a restaurant depend on each other by its number of tables only, and restaurants by the root. With a gamma variable drawn for a restaurant, given its tables, a new table's weight is discount * variable * parent
+    whatever the others do, and with the root's masses drawn, given its tables, the restaurants are independent. So customers of
+    different dishes may move side by side, and the sweep is that of one after the other. The root is seated from this share's tables alone; what it keeps for unseen tables goes to all dishes alike; a split context's
+    total is that of its part times its parts.
     """
     rng = np.random.default_rng(seed)
     known, dish = np.unique(dish, return_inverse=True)
     n = len(known)
-    tables, root = np.ones(len(count), np.int64), np.ones(n, np.int64)
-    base, nothing = np.full(n, 1 / (n + 1)), np.zeros(n, np.int64)
+    order = np.argsort(-count, kind="stable")
+    context, dish, count = context[order], dish[order], count[order]
+    seats, root = Seats(count), Seats(np.bincount(dish, minlength=n))
     out = np.zeros((SAMPLES, len(count)), np.int64)
     for sweep in range(BURN_IN + SAMPLES):
-        customers = np.bincount(dish, tables, n).astype(np.int64)
-        root = seat(customers, base, nothing, np.array([root.sum()]), DISCOUNT[1], STRENGTH[1], rng)
-        parent = (customers - DISCOUNT[1] * root + (STRENGTH[1] + DISCOUNT[1] * root.sum()) * base) / (STRENGTH[1] + customers.sum())
-        totals = np.bincount(context, tables, len(parts)) * parts
-        tables = seat(count, parent[dish], context, totals, DISCOUNT[0], STRENGTH[0], rng)
+        weight = new_table(root.tables.sum(), DISCOUNT[1], STRENGTH[1], rng) / (n + 1)
+        root.resize(np.bincount(dish, seats.tables, n).astype(np.int64), weight, DISCOUNT[1], rng)
+        root.sweep(weight, DISCOUNT[1], rng)
+        mass, rest = rng.standard_gamma(root.count - DISCOUNT[1] * root.tables), rng.standard_gamma(STRENGTH[1] + DISCOUNT[1] * root.tables.sum())
+        parent = (mass + rest / (n + 1)) / (mass.sum() + rest)
+        tables = seat(seats, parent[dish], context, np.bincount(context, seats.tables, len(parts)) * parts, DISCOUNT[0], STRENGTH[0], rng)
         if sweep >= BURN_IN:
-            out[sweep - BURN_IN] = tables
+            out[sweep - BURN_IN, order] = tables
     return out
 
 
-LETTER = ["share", "to", "dish", *(f"tables_{s}" for s in range(SAMPLES)), "context", "customers", *(f"opened_{s}" for s in range(SAMPLES)), "tokens", "words"]
+LETTER = ["share", "to", "dish", *(f"tables_{s}" for s in range(SAMPLES)), "context", "customers", *(f"opened_{s}" for s in range(SAMPLES)), "tokens", "words", "sampled"]
 LETTER_SCHEMA = ", ".join(f"{c} {'int' if c in ('share', 'to') else 'long' if c in ('tokens', 'words') else 'binary'}" for c in LETTER)
 
 
@@ -287,28 +412,28 @@ def sent(pairs: DataFrame, hot, shares: int) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         own, out = Share(rows, hot.value), []
         whole = own.parts == 1
-        told = [int(own.customers[whole].sum()), int((own.customers[whole] > 0).sum())]
+        told = [int(own.customers[whole].sum()), int((own.customers[whole] > 0).sum()), own.told()]
         served = [np.bincount(own.dish, t, len(own.dishes)).astype(np.int64) for t in own.tables]
         for to, dish, split in own.letters(shares):
             columns = [np.diff(own.dishes[dish], prepend=np.uint64(0)), *(t[dish] for t in served), own.contexts[split], own.customers[split], *(t[split] for t in own.opened_tables)]
             out.append([rows["share"][0].as_py(), to, *map(squeeze, columns), *told])
-            told = [0, 0]
+            told = [0, 0, b""]
         trim()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), LETTER_KINDS, strict=True)], LETTER)
 
     return pairs.groupBy("share").applyInArrow(run, LETTER_SCHEMA)
 
 
-LETTER_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * (3 + 2 * SAMPLES), pa.int64(), pa.int64()]
-ANSWER = ["share", "to", *(f"mass_{s}" for s in range(SAMPLES)), "customers", *(f"opened_{s}" for s in range(SAMPLES))]
+LETTER_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * (3 + 2 * SAMPLES), pa.int64(), pa.int64(), pa.binary()]
+ANSWER = ["share", "to", *(f"mass_{s}" for s in range(SAMPLES)), "customers", *(f"opened_{s}" for s in range(SAMPLES)), "sampled"]
 TOTALS = ["tokens", "words", *(f"tables_{s}" for s in range(SAMPLES)), *(f"root_{s}" for s in range(SAMPLES))]
-ANSWER_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * (1 + 2 * SAMPLES), *[pa.int64()] * len(TOTALS)]
+ANSWER_KINDS = [pa.int32(), pa.int32(), *[pa.binary()] * (2 + 2 * SAMPLES), *[pa.int64()] * len(TOTALS)]
 
 
 def rooted(letters: DataFrame, shares: int) -> DataFrame:
-    """The root's seating of its dishes, dealt by hash: an answer to each letter (each dish's customers less discounts, and split contexts added up), and a row of share -1 with totals.
+    """The root's seating of its dishes, dealt by hash, by Gibbs sweeps: an answer to each letter (each dish's customers less discounts, and split contexts added up), and a row of share -1 with totals.
 
-    A dish's seating depends on other dishes through the root's total only, which during the seating is the share's own times the number of shares.
+    A dish's seating depends on other dishes through the root's total only, which in each sweep is the share's own times the number of shares.
     """
     schema = ", ".join(f"{c} {'int' if c in ('share', 'to') else 'binary'}" for c in ANSWER) + ", " + ", ".join(f"{c} long" for c in TOTALS)
 
@@ -320,22 +445,22 @@ def rooted(letters: DataFrame, shares: int) -> DataFrame:
         names, context = np.unique(np.concatenate([spread(r["context"], np.uint64) for r in got]), return_inverse=True)
         context_ends = np.cumsum([0, *(len(spread(r["context"], np.uint64)) for r in got)])
         added = lambda column, at, n: np.bincount(at, np.concatenate([spread(r[column], np.int64) for r in got]), n).astype(np.int64)
-        split = [added(c, context, len(names)) for c in ANSWER[2 + SAMPLES :]]
+        split = [added(c, context, len(names)) for c in ANSWER[2 + SAMPLES : -1]]
         totals, mass = [sum(r["tokens"] for r in got) + int(split[0].sum()), sum(r["words"] for r in got) + int((split[0] > 0).sum())], []
         served = [added(f"tables_{s}", dish, len(dishes)) for s in range(SAMPLES)]
         roots = []
         for customers in served:
-            root = np.minimum(customers, 1)
-            known = int(root.sum())
+            seats = Seats(customers)
+            base = np.full(len(dishes), 1 / (int(seats.tables.sum()) * shares + 1))
             for _ in range(1 + BURN_IN):
-                root = seat(customers, np.full(len(dishes), 1 / (known * shares + 1)), np.zeros(len(dishes), np.int64), np.array([root.sum() * shares]), DISCOUNT[1], STRENGTH[1], rng)
+                root = seat(seats, base, np.zeros(len(dishes), np.int64), np.array([seats.tables.sum() * shares]), DISCOUNT[1], STRENGTH[1], rng)
             roots.append(root)
             mass.append((customers - DISCOUNT[1] * root).astype(np.float32))
         totals += [int(c.sum()) for c in served] + [int(r.sum()) for r in roots]
-        out = [[-1, got[0]["to"], *[b""] * (1 + 2 * SAMPLES), *totals]]
+        out = [[-1, got[0]["to"], *[b""] * (2 + 2 * SAMPLES), *totals]]
         for i, r in enumerate(got):
             own, split_own = dish[ends[i] : ends[i + 1]], context[context_ends[i] : context_ends[i + 1]]
-            out.append([r["share"], r["to"], *(squeeze(m[own]) for m in mass), *(squeeze(c[split_own]) for c in split), *[0] * len(TOTALS)])
+            out.append([r["share"], r["to"], *(squeeze(m[own]) for m in mass), *(squeeze(c[split_own]) for c in split), r["sampled"], *[0] * len(TOTALS)])
         trim()
         return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), ANSWER_KINDS, strict=True)], ANSWER + TOTALS)
 
@@ -369,7 +494,7 @@ def answered(pairs: DataFrame, answers: DataFrame, hot, shares: int) -> DataFram
     """For each row of pairs, in its order: log10 of the predictive probabilities, and the contexts' customers."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        share = Share(left, hot.value)
+        share = Share(left, hot.value, b"".join(right["sampled"].to_pylist()))
         p, customers = predictive(share, right.to_pylist(), shares)
         logs, out, begin, first = np.log10(p).astype(np.float32), [], 0, 0
         totals = right["totals"][0].as_py()

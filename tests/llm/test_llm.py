@@ -317,6 +317,27 @@ def test_seating():
     assert (tables <= customers).all() and ((tables > 0) == (customers > 0)).all()
 
 
+@pytest.mark.parametrize("few", [24, 10**9])
+def test_customers_move_one_at_a_time_by_the_exact_law(monkeypatch, few):
+    """Numbers of tables are in proportion to generalised Stirling numbers times weight ** tables, which seating all anew from left to right doesn't give."""
+    monkeypatch.setattr(pitman_yor, "FEW", few)
+    rng, discount, weight, n = np.random.default_rng(5), 0.75, 0.8, 6000
+    seats = pitman_yor.Seats(np.full(n, 6))
+    for customers in (6, 9, 4):
+        seats.resize(np.full(n, customers), weight, discount, rng)
+        for _ in range(12):
+            seats.sweep(weight, discount, rng)
+        ways = {0: 1.0}
+        for k in range(customers):
+            ways = {t: ways.get(t - 1, 0) + max(k - discount * t, 0) * ways.get(t, 0) for t in range(1, k + 2)}
+        law = np.array([ways[t] * weight**t for t in range(1, customers + 1)])
+        law /= law.sum()
+        seen = np.bincount(seats.tables, minlength=customers + 1)[1:] / n
+        assert (np.abs(seen - law) <= 4.5 * np.sqrt(law / n) + 2e-4).all()
+        table, size = seats.table.reshape(n, customers), seats.size.reshape(n, customers)
+        assert all((np.bincount(t, minlength=customers) == s).all() for t, s in zip(table[:200], size[:200], strict=True))
+
+
 def test_squeezed_arrays():
     for kind in (np.uint64, np.int64, np.uint32, np.float32):
         values = np.array([0, 1, 127, 300, 2**31 - 1], kind)
