@@ -13,14 +13,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkrow.llm._common import mix64, new_path, partitions, slices, sums, trim, trimmed, word_codes
+from inkrow.llm._common import mix64, new_path, partitions, slices, stored, sums, trim, trimmed, word_codes
 
 #: Discount and strength of the contexts' restaurants and of the root, their parent.
 DISCOUNT, STRENGTH = (0.75, 0.6), (2.0, 20.0)
 #: Sweeps before the first sample, and samples whose predictive probabilities are averaged.
 BURN_IN, SAMPLES = 1, 2
 #: So many dishes or fewer that have further customers are gone through by themselves.
-FEW = 24
+FEW = 48
 #: Characters of texts in one packed block.
 BLOCK_CHARS = 14 << 20
 #: Bytes of a block's texts that are taken apart at once.
@@ -264,11 +264,13 @@ class Seats:
             t[some] += 1
             while len(choose):
                 own = f[choose]
-                with_ = (rng.random(len(choose)) * n[choose]).astype(np.int64)
+                u = rng.random(len(choose)) * n[choose]
+                with_ = u.astype(np.int64)
+                u -= with_
                 if not come:
                     with_ += with_ >= (turn if whole else turn[choose])
                 k = self.table[own + with_]
-                taken = rng.random(len(choose)) * self.size[own + k] >= discount
+                taken = u * self.size[own + k] >= discount
                 new[choose[taken]] = k[taken]
                 choose = choose[~taken]
             self.table[place] = new
@@ -292,29 +294,43 @@ class Seats:
     def _rest(self, row: int, begin: int, weight: float, discount: float, draw, come: bool):
         """The same for the last customers of one dish: where few dishes have so many, arrays of one customer each would take longer."""
         own = slice(int(self.first[row]), int(self.first[row] + self.count[row]))
-        table, size, free = memoryview(self.table[own]), memoryview(self.size[own]), memoryview(self.free[own])
-        count, t, n = len(table), int(self.tables[row]), int(self.seated[row]) - (not come)
+        arrays = self.table[own], self.size[own], self.free[own]
+        count, t, n = own.stop - own.start, int(self.tables[row]), int(self.seated[row]) - (not come)
+        # lists are faster, but take many times the memory
+        lists = count <= 1 << 18
+        table, size, free = (x.tolist() if lists else memoryview(x) for x in arrays)
+        every = weight + n - discount * t
         for turn in range(begin, count):
             if not come:
                 k = table[turn]
-                size[k] -= 1
-                if not size[k]:
+                left = size[k] - 1
+                size[k] = left
+                if not left:
                     free[count - t] = k
                     t -= 1
-            if draw() * (weight + n - discount * t) < weight:
+                    every += discount
+            if draw() * every < weight:
                 k = free[count - t - 1]
                 t += 1
+                every -= discount
             elif t == 1:
                 k = table[0 if come or turn else 1]
             else:
                 while True:
-                    with_ = int(draw() * n)
+                    u = draw() * n
+                    with_ = int(u)
                     k = table[with_ if come or with_ < turn else with_ + 1]
-                    if draw() * size[k] >= discount:
+                    # what is left of the draw is as good as another one
+                    if (u - with_) * size[k] >= discount:
                         break
             table[turn] = k
             size[k] += 1
-            n += come
+            if come:
+                n += 1
+                every += 1
+        if lists:
+            for array, values in zip(arrays, (table, size, free), strict=True):
+                array[:] = values
         self.tables[row], self.seated[row] = t, count
 
 
@@ -450,10 +466,11 @@ def rooted(letters: DataFrame, shares: int) -> DataFrame:
         served = [added(f"tables_{s}", dish, len(dishes)) for s in range(SAMPLES)]
         roots = []
         for customers in served:
-            seats = Seats(customers)
+            order = np.argsort(-customers, kind="stable")
+            seats, root = Seats(customers[order]), np.zeros(len(dishes), np.int64)
             base = np.full(len(dishes), 1 / (int(seats.tables.sum()) * shares + 1))
             for _ in range(1 + BURN_IN):
-                root = seat(seats, base, np.zeros(len(dishes), np.int64), np.array([seats.tables.sum() * shares]), DISCOUNT[1], STRENGTH[1], rng)
+                root[order] = seat(seats, base, np.zeros(len(dishes), np.int64), np.array([seats.tables.sum() * shares]), DISCOUNT[1], STRENGTH[1], rng)
             roots.append(root)
             mass.append((customers - DISCOUNT[1] * root).astype(np.float32))
         totals += [int(c.sum()) for c in served] + [int(r.sum()) for r in roots]
@@ -526,7 +543,8 @@ def score(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "te
     shares = max(partitions(spark), n_blocks)
     hot = spark.sparkContext.broadcast(hot_contexts(blocks, n_blocks))
     pairs = counted(blocks, hot, shares)
-    answers = rooted(sent(pairs, hot, shares), shares)
+    # used twice, for its totals and its answers
+    answers = stored(rooted(sent(pairs, hot, shares), shares), "lm-answers")
     totals = answers.where("share < 0").agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).alias("totals")).scalar()
     back = answered(pairs, answers.where("share >= 0").select(*ANSWER, totals.alias("totals")), hot, shares)
     names = [key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"]
