@@ -25,7 +25,9 @@ DERIVED = "map<string,string>"
 
 def number_confidence(chars: Column, score: Column, digits: Column) -> Column:
     """The least score of the characters that spell the digits, if every digit character is one digit and they are found, else the line's score."""
-    seen = F.transform(chars, lambda c: F.struct(F.trim(text.numeric_view(c["text"])).alias("d"), c["score"].alias("score")))
+    # most characters are digits as they are
+    view = lambda t: F.when(t.rlike(r"^[0-9]\z"), t).otherwise(F.trim(text.numeric_view(t)))
+    seen = F.transform(chars, lambda c: F.struct(view(c["text"]).alias("d"), c["score"].alias("score")))
     seen = F.filter(seen, lambda c: c["d"].rlike(r"^\d+$"))
     run = F.array_join(F.transform(seen, lambda c: c["d"]), "")
     at = F.position(digits, run)
@@ -33,6 +35,17 @@ def number_confidence(chars: Column, score: Column, digits: Column) -> Column:
     return F.coalesce(F.when(fits, F.array_min(F.transform(F.slice(seen, F.greatest(at, F.lit(1)), F.length(digits)), lambda c: c["score"]))), score)
 
 
+def _pages(lines: DataFrame) -> DataFrame:
+    """layout.pages with the characters in a column of their own, letters, an array for each line: in the lines, of which every step makes others, chars are the places of the lines that have them."""
+    own = layout.pages(lines)
+    return own.withColumns({"letters": F.transform("lines", lambda x: x["chars"]), "lines": F.transform("lines", lambda x: x.withField("chars", F.array(x["place"])))})
+
+
+def _chars(line: Column) -> Column:
+    """The characters of a line of _pages, or of a row of them as one line; null where a line has none."""
+    return F.flatten(F.transform(line["chars"], lambda place: F.get(F.col("letters"), place - 1)))
+
+
 def _hits(lines: Column, find: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
     """(line, found, value) of everything that find finds in the lines, in order."""
     return F.flatten(F.transform(lines, lambda line: F.transform(find(line["text"]), lambda r: F.struct(line.alias("line"), r.alias("r"), value(r).alias("value")))))
@@ -71,14 +84,14 @@ def _number_field(today: Column) -> Column:
     derived = F.when(valid, F.create_map(*[x for k in ("birth_date", "gender", "is_foreigner") for x in (F.lit(k), own[k].cast("string"))]))
     flags = [F.when(n["n"] > 1, "AMBIGUOUS:rrn"), F.when(n.isNotNull() & part[2].isNull(), "MASKED:rrn"), F.when(~sound, "CHECKSUM_MISMATCH:rrn")]
     digits = F.concat(part[0], part[1], F.coalesce(part[2], F.lit("")))
-    return field("rrn", n["value"], number_confidence(n["line"]["chars"], n["line"]["score"], digits), valid, F.array(n["line"]["box"]), flags, sound, derived)
+    return field("rrn", n["value"], number_confidence(_chars(n["line"]), n["line"]["score"], digits), valid, F.array(n["line"]["box"]), flags, sound, derived)
 
 
 def with_name(pages: DataFrame, line: Column, again: DataFrame | None) -> DataFrame:
     """pages with name: the line's leading Hangul as (line, value, score, box). again (image, text, score) are second readings of the crops of names that something is attached to."""
     own = pages.withColumn("name_line", line)
     line = F.col("name_line")
-    value, lead = text.leading_hangul(line["text"]), layout.leading_chars(line["chars"], lambda c: c.rlike(f"^{HANGUL}$"))
+    value, lead = text.leading_hangul(line["text"]), layout.leading_chars(_chars(line), lambda c: c.rlike(f"^{HANGUL}$"))
     box = F.when(F.size(lead) > 0, layout.chars_box(line["box"], lead)).otherwise(line["box"])
     name = F.struct(line.alias("line"), F.nullif(value, F.lit("")).alias("value"), line["score"].alias("score"), box.alias("box"))
     if again is None:
@@ -128,30 +141,18 @@ def _replaced(lines: Column, changed: Column) -> Column:
     return F.aggregate(changed, lines, step)
 
 
-def _address_fields(dictionary: bool) -> list[Column]:
+def _address_fields(value: Column, changed: Column, valid: Column) -> list[Column]:
     a = F.col("address")
-    changed = F.col("changed") if dictionary else F.array().cast("array<struct<old:string,new:string>>")
-    value = F.col("corrected") if dictionary else F.array_join(a["texts"], " ")
-    valid = F.col("address_valid") if dictionary else text.address_is_valid(value)
     flags = [F.when(F.size(changed) > 0, "REPAIRED:address")]
     return [field("address", F.when(a.isNotNull(), value), a["score"], valid, a["boxes"], flags), field("address_lines", F.array_join(_replaced(a["texts"], changed), "|"), a["score"], valid, a["boxes"])]
 
 
-def corrected(pages: DataFrame, dictionary: dict[str, DataFrame] | None) -> DataFrame:
-    """pages with corrected, changed and address_valid of their addresses, by the dictionary's provinces, districts and words; unchanged without a dictionary."""
-    if dictionary is None:
-        return pages
-    # written out, so that the joins' filters aren't pushed into the expressions above, and these are worked out once
-    own = stored(pages.withColumn("__address", F.array_join("address.texts", " ")), "pages")
-    return address.correct(own, dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address").withColumnRenamed("valid", "address_valid").drop("__address")
-
-
 def with_issuer(pages: DataFrame, line: Column) -> DataFrame:
     """pages with issuer (value, repaired, score, box): the text after the date in its line if it has three letters of Hangul, else the lines right of it, then the rows below, the first row that
     opens with an issuer, or else the first with three letters. Parts are joined from the left until they read like an issuer."""
     own = pages.withColumn("dated", line).withColumn("rest", text.text_after_numbers(F.col("dated.text")))
     d, lines, rest = F.col("dated"), F.col("lines"), F.col("rest")
-    tail = layout.trailing_chars_after(d["chars"], lambda c: ~c.rlike(HANGUL))
+    tail = layout.trailing_chars_after(_chars(d), lambda c: ~c.rlike(HANGUL))
     part = lambda said, score, box: F.struct(said.alias("text"), score.alias("score"), box.alias("box"))
     inside = F.array(part(rest, d["score"], layout.chars_box(d["box"], tail)))
     of_line = lambda x: part(x["text"], x["score"], x["box"])
@@ -185,16 +186,33 @@ def _issuer_field(valid: Column, repaired: Column | None = None) -> Column:
 
 def _rows(pages: DataFrame, fields: list[Column]) -> DataFrame:
     """A row a field found. Written out, so that what is done with the rows, such as a filter, isn't pushed into the expressions above, to be worked out for each use."""
-    return stored(pages.select("image", F.inline(F.filter(F.array(*fields), lambda f: f["value"].isNotNull()))), "fields")
+    return stored(_found(pages, F.array(*fields)), "fields")
+
+
+def _found(pages: DataFrame, fields: Column) -> DataFrame:
+    return pages.select("image", F.inline(F.filter(fields, lambda f: f["value"].isNotNull())))
+
+
+def _rows_with_address(pages: DataFrame, fields: list[Column], dictionary: dict[str, DataFrame] | None) -> DataFrame:
+    """_rows of fields and of the pages' addresses, set right by the dictionary's provinces, districts and words, or as they are without one.
+
+    All fields are worked out first and only they are written out, so that the lines aren't, and that the joins' filters aren't pushed into these expressions.
+    """
+    whole = F.array_join("address.texts", " ")
+    if dictionary is None:
+        return _rows(pages, [*fields, *_address_fields(whole, F.array().cast("array<struct<old:string,new:string>>"), text.address_is_valid(whole))])
+    own = stored(pages.select("image", F.array(*fields).alias("found"), "address", whole.alias("__address")), "pages")
+    fixed = address.correct(own, dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address")
+    return stored(_found(fixed, F.concat("found", F.array(*_address_fields(F.col("corrected"), F.col("changed"), F.col("valid"))))), "fields")
 
 
 def _date(found: Column) -> Column:
     return F.coalesce(found["value"].cast("string"), found["raw"])
 
 
-def _dated(lines: Column) -> Column:
+def _dated(lines: Column, dates: Callable[[Column], Column] = lambda line: text.find_dates(line["text"])) -> Column:
     """(line, d) of every date in the lines, in order."""
-    return F.flatten(F.transform(lines, lambda line: F.transform(text.find_dates(line["text"]), lambda d: F.struct(line.alias("line"), d.alias("d")))))
+    return F.flatten(F.transform(lines, lambda line: F.transform(dates(line), lambda d: F.struct(line.alias("line"), d.alias("d")))))
 
 
 def resident_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
@@ -205,7 +223,7 @@ def resident_fields(lines: DataFrame, titles: DataFrame, today: Column, dictiona
     left of the number's right edge; the date of issue the first below the number, from the year in which its holder turns 16; the address is between them. An image without a number has no fields.
     dictionary holds provinces, districts and words as address.correct takes them; without it addresses stay as read. again is as for with_name.
     """
-    own = with_number(layout.pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
+    own = with_number(_pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
     # no filter on the number: Spark would push it below all of the above and work that out twice; without a number every field is null
     a, lines_ = F.col("number.line"), F.col("lines")
     title = first(F.filter(lines_, lambda x: x["idx"] == F.col("title")))
@@ -214,12 +232,12 @@ def resident_fields(lines: DataFrame, titles: DataFrame, today: Column, dictiona
     own = own.withColumn("date", first(_dated(F.filter(lines_, lambda x: is_low(x, a)))))
     date = F.col("date")
     body = F.filter(lines_, lambda x: is_low(x, a) & (x["x0"] < a["x1"]) & (date.isNull() | ((x["idx"] != date["line"]["idx"]) & is_low(date["line"], x))))
-    own = corrected(with_issuer(with_address(own, body), date["line"]), dictionary)
+    own = with_issuer(with_address(own, body), date["line"])
     day = date["d"]["value"]
     of_age = F.coalesce(day >= F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(True))
     issued = day.between(F.lit(EARLIEST_ISSUE).cast("date"), today) & of_age
-    fields = [_number_field(today), *_name_fields(), *_address_fields(dictionary is not None), field("issue_date", _date(date["d"]), date["line"]["score"], issued, F.array(date["line"]["box"])), _issuer_field(text.issuer_is_valid("issuer.value"))]
-    return _rows(own, fields)
+    fields = [_number_field(today), *_name_fields(), field("issue_date", _date(date["d"]), date["line"]["score"], issued, F.array(date["line"]["box"])), _issuer_field(text.issuer_is_valid("issuer.value"))]
+    return _rows_with_address(own, fields, dictionary)
 
 
 def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
@@ -228,7 +246,7 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
 
     Places are relative to the registration number: without it only the number, region and kinds of the licence are read. Arguments are as for resident_fields.
     """
-    own = with_number(layout.pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
+    own = with_number(_pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
     a, lines_ = F.col("number.line"), F.col("lines")
     own = own.withColumn("licences", _hits(lines_, text.find_license_numbers, text.license_formatted))
     own = own.withColumns({"lic": first(F.col("licences")), "n_lic": _distinct(F.col("licences"))}).drop("licences")
@@ -256,14 +274,16 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
     own = with_name(own, layout.lowest(above, "y1"), again)
     fields.append(_name_fields()[0])
 
-    own = own.withColumn("under", F.filter(lines_, lambda x: is_low(x, a)))
+    # every line's dates are looked for once
+    dates = lambda x: x["dates"]
+    own = own.withColumn("under", F.transform(F.filter(lines_, lambda x: is_low(x, a)), lambda x: x.withField("dates", text.find_dates(x["text"]))))
     by_height = lambda of: items(of, "cy", "place")
     label = first(by_height(F.filter("under", lambda x: in_column(x) & text.aptitude_kind(x["text"]).isNotNull())))
     own = own.withColumn("label", label)
     label = F.col("label")
-    issue_line = lambda x: (F.size(text.find_dates(x["text"])) > 0) & (text.hangul_count(text.text_after_numbers(x["text"])) >= 3)
+    issue_line = lambda x: (F.size(dates(x)) > 0) & (text.hangul_count(text.text_after_numbers(x["text"])) >= 3)
     around = F.filter("under", lambda x: x["cy"].between(label["cy"] - 0.5 * label["h"], label["cy"] + 2 * label["h"]) & ~F.coalesce(issue_line(x), F.lit(False)))
-    own = own.withColumn("period", F.when(label.isNotNull(), F.slice(_dated(F.flatten(layout.rows_of(around))), 1, 2)))
+    own = own.withColumn("period", F.when(label.isNotNull(), F.slice(_dated(F.flatten(layout.rows_of(around)), dates), 1, 2)))
     start, end = (F.try_element_at("period", F.lit(i)) for i in (1, 2))
     used = F.transform("period", lambda p: p["line"])
     fits = F.date_diff(end["d"]["value"], start["d"]["value"]).between(0, 400)
@@ -272,14 +292,15 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
     fields.append(field("aptitude_period", value, F.least(F.array_min(F.transform(used, lambda x: x["score"])), label["score"]), fits, F.array(layout.union_box(used)), derived=expired))
 
     taken = F.coalesce(F.transform("period", lambda p: p["line"]["idx"]), F.array().cast("array<int>"))
-    own = own.withColumn("days", _dated(F.filter("under", lambda x: ~F.array_contains(taken, x["idx"]))))
+    own = own.withColumn("days", _dated(F.filter("under", lambda x: ~F.array_contains(taken, x["idx"])), dates))
     own = own.withColumn("low", F.array_max(F.transform("days", lambda x: x["line"]["cy"])))
     own = own.withColumn("date", first(F.filter("days", lambda x: x["line"]["cy"] == F.col("low"))))
     date, day = F.col("date"), F.col("date.d.value")
     earliest = F.coalesce(F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(EARLIEST_LICENSE).cast("date"))
     fields.append(field("issue_date", _date(date["d"]), date["line"]["score"], day.between(earliest, today), F.array(date["line"]["box"])))
 
-    dated = first(by_height(F.filter("under", lambda x: in_column(x) & (F.size(text.find_dates(x["text"])) > 0))))
+    own = own.withColumn("dated_line", first(by_height(F.filter("under", lambda x: in_column(x) & (F.size(dates(x)) > 0)))))
+    dated = F.col("dated_line")
     stops = F.array_compact(F.array(F.struct(label["cy"].alias("cy"), label.alias("line")), F.struct(dated["cy"].alias("cy"), dated.alias("line")), F.struct(date["line"]["cy"].alias("cy"), date["line"].alias("line"))))
     own = own.withColumn("stop", first(F.sort_array(F.filter(stops, lambda s: s["cy"].isNotNull())))["line"])
     body = F.filter("under", lambda x: in_column(x) & (F.col("stop").isNull() | is_low(F.col("stop"), x)))
@@ -287,8 +308,8 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
     issuer = F.col("issuer")
     own = own.withColumn("snapped", classify.snap_to_list(issuer["value"], text.POLICE_ISSUERS))
     known = F.col("snapped.value").isin(*text.POLICE_ISSUERS)
-    own = corrected(own.withColumn("issuer", F.when(issuer.isNotNull(), issuer.withField("value", F.col("snapped.value")).withField("repaired", issuer["repaired"] | F.col("snapped.changed")))), dictionary)
-    fields += [*_address_fields(dictionary is not None), _issuer_field(known)]
+    own = own.withColumn("issuer", F.when(issuer.isNotNull(), issuer.withField("value", F.col("snapped.value")).withField("repaired", issuer["repaired"] | F.col("snapped.changed"))))
+    fields.append(_issuer_field(known))
 
     coded = F.filter("under", lambda x: ((x["x0"] + x["x1"]) / 2 > a["x1"]) & (date.isNull() | is_low(date["line"], x)) & text.find_serial_code(x["text"]).isNotNull())
     line = layout.lowest(coded, "x0")
@@ -300,12 +321,12 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
     own = own.withColumn("marked", first(F.filter(layout.rows_of(F.filter("under", lambda x: x["x0"] < a["x1"])), lambda r: text.condition_codes(layout.texts(r)).isNotNull())))
     marked = F.col("marked")
     fields.append(field("conditions", F.array_join(text.condition_codes(layout.texts(marked)), "|"), F.array_min(F.transform(marked, lambda x: x["score"])), F.lit(True), F.array(layout.union_box(marked))))
-    return _rows(own, fields)
+    return _rows_with_address(own, fields, dictionary)
 
 
 def numbers(lines: DataFrame, today: Column) -> DataFrame:
     """image with the registration number's row of the fields, for images that have one."""
-    return _rows(with_number(layout.pages(lines), today), [_number_field(today)])
+    return _rows(with_number(_pages(lines), today), [_number_field(today)])
 
 
 def merged_warnings(fields: DataFrame) -> DataFrame:

@@ -129,9 +129,9 @@ def pages(lines: DataFrame, least_degrees: float = 1.0) -> DataFrame:
     turn = F.col("turn")
 
     def bounded(x: Column) -> Column:
-        xs = F.transform(x["box"], lambda p: p["x"] * F.cos(turn) - p["y"] * F.sin(turn))
-        ys = F.transform(x["box"], lambda p: p["x"] * F.sin(turn) + p["y"] * F.cos(turn))
-        return F.struct(F.array_min(ys).alias("y0"), F.array_min(xs).alias("x0"), x["idx"].alias("idx"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"), x.alias("own"))
+        xs = F.when(turn == 0, x["box"]["x"]).otherwise(F.transform(x["box"], lambda p: p["x"] * F.cos(turn) - p["y"] * F.sin(turn)))
+        ys = F.when(turn == 0, x["box"]["y"]).otherwise(F.transform(x["box"], lambda p: p["x"] * F.sin(turn) + p["y"] * F.cos(turn)))
+        return let(F.struct(xs.alias("x"), ys.alias("y")), lambda b: F.struct(F.array_min(b["y"]).alias("y0"), F.array_min(b["x"]).alias("x0"), x["idx"].alias("idx"), F.array_max(b["x"]).alias("x1"), F.array_max(b["y"]).alias("y1"), x.alias("own")))
 
     def whole(b: Column, i: Column) -> Column:
         own = b["own"]

@@ -20,7 +20,8 @@ def looks(lines: DataFrame, titles: DataFrame) -> DataFrame:
 
     title_low: of three lines or more, the title's middle is below that at half of the sorted ones. vertical: over half of the lines of three characters or more are over one and a half times as high as wide.
     """
-    own = layout.pages(lines).join(titles.select("image", "title"), "image", "left")
+    # how a page looks needs no characters
+    own = layout.pages(lines.withColumn("chars", F.lit(None).cast("array<string>"))).join(titles.select("image", "title"), "image", "left")
     middles = F.array_sort(F.transform("lines", lambda x: x["cy"]))
     title = first(F.filter("lines", lambda x: x["idx"] == F.col("title")))
     half = F.try_element_at(middles, (F.floor(F.size("lines") / 2) + 1).cast("int"))

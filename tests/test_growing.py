@@ -80,3 +80,25 @@ def test_no_letter_measures_the_letters_before_it(spark):
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0
     got = [[(c["text"], c["box"][0]["x"], c["box"][1]["x"]) for c in r["chars"]] for r in out.collect()]
     assert got == [[("가", 10.0, 30.0), ("1", 41.0, 52.0), ("(", 52.0, 63.0)], [("", 0.0, 0.0)]]
+
+
+def test_extractors_write_no_lines_out(spark, tmp_path, monkeypatch):
+    from inkrow.operators import extract
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    seen, own = [], extract.stored
+    monkeypatch.setattr(extract, "stored", lambda df, name: seen.append((name, df.columns, df)) or own(df, name))
+    out = catalog.QUERIES["document_results"](spark, str(tmp_path))
+    assert [(name, columns) for name, columns, _ in seen if name == "pages"] == [("pages", ["image", "found", "address", "__address"])] * 2
+    # steps take lines without their characters, which stand beside them
+    assert all("letters" in df._jdf.queryExecution().analyzed().toString() for name, _, df in seen if name == "pages")
+    assert out.count() == 40 and out.where("status = 'OK'").count() == 32
+
+
+def test_numbers_are_looked_for_where_digits_may_be(spark):
+    from inkrow.functions import text
+
+    said = ["800101-l23456B", "2O20.01.02.", "12-l8-123456-78", "서울 18-123456-78", "12-18-●●3456-78", "가나다", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, t string").select("i", text.find_rrns("t").alias("n"), text.find_dates("t").alias("d"), text.find_license_numbers("t").alias("l")).orderBy("i")
+    got = [tuple(None if x is None else len(x) for x in (r.n, r.d, r.l)) for r in rows.collect()]
+    assert got == [(1, 0, 0), (0, 1, 0), (0, 0, 1), (0, 0, 1), (0, 0, 1), (0, 0, 0), (0, 0, 0), (None, None, None)]
