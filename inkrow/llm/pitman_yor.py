@@ -100,6 +100,22 @@ def hashes(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
 
+def placed(values: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, place of each value in them) of whole numbers from 0 to below - 1. Where both fit into 63 bits, values are sorted with their places in one word, which is quicker than to sort places by values."""
+    bits = len(values).bit_length()
+    if int(below).bit_length() + bits > 63:
+        return np.unique(values, return_inverse=True)
+    both = values.astype(np.int64) << bits
+    both |= np.arange(len(values))
+    both.sort()
+    at = both & ((1 << bits) - 1)
+    both >>= bits
+    new = np.diff(both, prepend=-1) > 0
+    out = np.empty(len(values), np.int64)
+    out[at] = np.cumsum(new) - 1
+    return both[new], out
+
+
 class Block:
     """A block's tokens as (context, dish) pairs; the pairs are in the order of the shares that they are dealt to.
 
@@ -108,27 +124,33 @@ class Block:
     """
 
     def __init__(self, row: dict, hot: tuple[np.ndarray, np.ndarray], shares: int):
-        found, lengths = [], []
-        for codes, starts, distinct in parts_of(row):
+        parts, found, lengths, begin = list(parts_of(row)), [], [], 0
+        # a word of several parts is hashed once
+        every = pa.chunked_array([distinct.cast(pa.large_string()) for *_, distinct in parts]).combine_chunks().dictionary_encode()
+        self.words, place = np.unique(np.append(hashes(every.dictionary), np.uint64(END)), return_inverse=True)
+        of, end = place[:-1][every.indices.to_numpy(zero_copy_only=False)], place[-1]
+        for codes, starts, distinct in parts:
             n = len(starts) - 1
-            out = np.full(len(codes) + n, END, np.uint64)
-            out[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(starts))] = hashes(distinct)[codes]
+            out = np.full(len(codes) + n, end, np.int64)
+            out[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(starts))] = of[begin : begin + len(distinct)][codes]
+            begin += len(distinct)
             found.append(out)
             lengths.append(np.diff(starts) + 1)
         self.learned = np.frombuffer(row["learned"], np.int8) > 0
         self.offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        self.words, self.word = np.unique(np.concatenate(found), return_inverse=True)
-        del found
+        self.word = np.concatenate(found)
+        del parts, found, every, of
         n = len(self.words)
         before = np.empty_like(self.word)
         before[1:] = self.word[:-1]
         before[self.offsets[:-1]] = n
-        pair, at = np.unique(before * n + self.word, return_inverse=True)
+        pair, at = placed(before * n + self.word, (n + 1) * n)
         del before
         names = np.append(self.words, np.uint64(START))
         opened, dish = pair // n, names[pair % n] >> np.uint64(64 - DISH_BITS)
         share = dealt(names[opened], dish, hot, shares)
-        order = np.argsort(share, kind="stable")
+        # numbers of 16 bits are sorted by their digits
+        order = np.argsort(share.astype(np.uint16) if shares <= 1 << 16 else share, kind="stable")
         self.share, self.opened, self.dish = share[order], opened[order], dish[order]
         self.context = names[self.opened]
         place = np.empty(len(order), np.int32)
@@ -361,9 +383,10 @@ class Share:
         self.dishes, d = np.unique(np.concatenate([spread(r["dish"], np.uint64) for r in self.rows]), return_inverse=True)
         self.contexts, self.opened = np.unique(np.concatenate(context), return_inverse=True)
         self.opened_ends = np.cumsum([len(c) for c in context])
-        key, self.pair = np.unique(np.repeat(self.opened, np.concatenate(pairs)) << 32 | d, return_inverse=True)
+        n = len(self.dishes)
+        key, self.pair = placed(np.repeat(self.opened, np.concatenate(pairs)) * n + d, len(self.contexts) * n)
         del d, context, pairs
-        self.context, self.dish = key >> 32, key & (2**32 - 1)
+        self.context, self.dish = key // n, key % n
         self.count = np.bincount(self.pair, count, len(key)).astype(np.int64)  # exact under 2**53
         self.parts = parts_of_contexts(self.contexts, hot)
         self.tables = np.zeros((SAMPLES, len(key)), np.int64)
@@ -542,7 +565,10 @@ def score(docs: DataFrame, learned: Column, key: str = "doc_id", text: str = "te
     n_blocks = max(1, blocks.select("block").count())
     shares = max(partitions(spark), n_blocks)
     hot = spark.sparkContext.broadcast(hot_contexts(blocks, n_blocks))
-    pairs = counted(blocks, hot, shares)
+    # used twice, for the letters and for what is answered; written out by share, so that they are neither made nor shuffled twice
+    held = f"lm_pairs_{uuid.uuid4().hex}"
+    counted(blocks, hot, shares).repartition(shares, "share").write.bucketBy(shares, "share").option("path", new_path(spark, "lm-pairs")).saveAsTable(held)
+    pairs = spark.table(held)
     # used twice, for its totals and its answers
     answers = stored(rooted(sent(pairs, hot, shares), shares), "lm-answers")
     totals = answers.where("share < 0").agg(F.struct(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in TOTALS)).alias("totals")).scalar()

@@ -98,3 +98,21 @@ def test_next_documents_equal_brute_force(spark):
         want[k, round(fingerprint.likeness(fingerprint.digest(t.encode()), fingerprint.digest(u.encode())), 9)] += 1
     got = Counter((r["doc_id"], round(r["near_next"], 9)) for r in fingerprint.fingerprints(docs).collect())
     assert got == want
+
+
+def test_pairs_of_a_language_model_are_made_once_and_sorted_with_their_places(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from inkrow.llm import pitman_yor
+
+    values = np.array([5, 0, 7, 5, 0], np.int64)
+    for below in (8, 1 << 62):  # sorted with places in one word, or not
+        for got, want in zip(pitman_yor.placed(values, below), np.unique(values, return_inverse=True), strict=True):
+            assert (got == want).all()
+    assert [len(x) for x in pitman_yor.placed(values[:0], 8)] == [0, 0]
+    seen, own = [], pitman_yor.sent
+    monkeypatch.setattr(pitman_yor, "sent", lambda pairs, *rest: seen.append(pairs) or own(pairs, *rest))
+    docs = spark.createDataFrame([(1, " a b a "), (2, "b a"), (3, None)], "doc_id long, text string")
+    assert pitman_yor.score(docs, F.lit(True)).count() == 3
+    assert "MapInArrow" not in seen[0]._jdf.queryExecution().executedPlan().toString()
