@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +24,13 @@ def likeness(text: Column, words: list[str], windows: bool = False) -> Column:
     The distinct texts of a batch are compared once each, all pairs together.
     """
 
-    @F.pandas_udf("array<double>")
-    def scores(texts: pd.Series) -> pd.Series:
-        codes, distinct = pd.factorize(texts, use_na_sentinel=False)
+    @F.arrow_udf("array<double>")
+    def scores(texts: pa.Array) -> pa.Array:
+        held = texts.dictionary_encode()
+        distinct = [*held.dictionary.to_pylist(), None]
         pairs = []
         for i, t in enumerate(distinct):
-            if isinstance(t, str) and t:
+            if t:
                 for j, word in enumerate(words):
                     # a text that has the whole word needs no other window
                     starts = [t.find(word)] if word in t else range(max(1, len(t) - len(word) + 1))
@@ -34,7 +39,8 @@ def likeness(text: Column, words: list[str], windows: bool = False) -> Column:
         if pairs:
             i, j, spans = zip(*pairs, strict=True)
             np.maximum.at(out, (np.array(i), np.array(j)), ratios(list(spans), [words[k] for k in j]))
-        return pd.Series(list(out[codes]), index=texts.index)
+        places = np.arange(0, len(words) * len(texts) + 1, len(words), np.int32)
+        return pa.ListArray.from_arrays(pa.array(places), pa.array(out[held.indices.fill_null(len(distinct) - 1).to_numpy(zero_copy_only=False)].ravel()))
 
     return scores(text)
 
@@ -60,14 +66,34 @@ def classified(lines: DataFrame) -> DataFrame:
 
     A resident title wins over a licence title, that over its short form, that over the English one; of equally like lines the first counts. Without any the type is UNKNOWN; null text matches nothing.
     """
-    titles = [RESIDENT, LICENSE, LICENSE_SHORT]
+    return typed(scored(lines), [])
+
+
+#: Titles in order of their weight.
+TITLES = [RESIDENT, LICENSE, LICENSE_SHORT]
+
+
+def scored(lines: DataFrame) -> DataFrame:
+    """lines with english and scores: whether a line names the English title, and how like it is to each of TITLES, 0 where it can't count."""
     hangul = F.regexp_replace(F.coalesce("text", F.lit("")), "[^가-힣]", "")
     english = F.replace(F.lower("text"), F.lit("driver's"), F.lit("drivers")).rlike(f"drivers[{SPACE}]*licen")
-    scored = lines.select("image", "idx", english.alias("english"), likeness(hangul, [t for t, _ in titles], True).alias("scores"))
-    like = [F.max(F.when(F.col("scores")[i] >= least, F.struct(F.col("scores")[i].alias("score"), (-F.col("idx")).alias("before")))).alias(f"like{i}") for i, (_, least) in enumerate(titles)]
-    best = scored.groupBy("image").agg(*like, F.min(F.when(F.col("english"), F.col("idx"))).alias("said"))
+
+    def able(title: str, least: float) -> Column:
+        # m letters in common make at most 2m / (m + title's) of a text of m letters, less of longer ones
+        needed = math.ceil(least * len(title) / (2 - least) - 1e-9)
+        return F.length(hangul) - F.length(F.translate(hangul, title, "")) >= needed
+
+    some = F.when(reduce(lambda a, b: a | b, (able(*t) for t in TITLES)), hangul)
+    return lines.withColumns({"english": english, "scores": likeness(some, [t for t, _ in TITLES], True)})
+
+
+def typed(lines: DataFrame, also: list[Column]) -> DataFrame:
+    """image, document_type and title of classified() from the lines of scored(), with further aggregates of them."""
+    like = [F.max(F.when(F.col("scores")[i] >= least, F.struct(F.col("scores")[i].alias("score"), (-F.col("idx")).alias("before")))).alias(f"like{i}") for i, (_, least) in enumerate(TITLES)]
+    best = lines.groupBy("image").agg(*also, *like, F.min(F.when(F.col("english"), F.col("idx"))).alias("said"))
     kind = F.when(F.col("like0").isNotNull(), "RESIDENT_CARD").when(F.coalesce(F.col("like1.before"), F.col("like2.before"), "said").isNotNull(), "DRIVER_LICENSE").otherwise("UNKNOWN")
-    return best.select("image", kind.alias("document_type"), F.coalesce(*[-F.col(f"like{i}.before") for i in range(3)], "said").alias("title"))
+    kept = [c for c in best.columns if c not in ("image", "like0", "like1", "like2", "said")]
+    return best.select("image", kind.alias("document_type"), F.coalesce(*[-F.col(f"like{i}.before") for i in range(3)], "said").alias("title"), *kept)
 
 
 def document_types(lines: DataFrame) -> DataFrame:

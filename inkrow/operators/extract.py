@@ -1,128 +1,152 @@
 """Fields of resident cards and driving licences from their recognised lines, one row per image and field, as decide.accepted takes them.
 
-The lines of an image are few, so they meet once, as one array per image (layout.pages), and every field is an expression on that array: one shuffle
-for all fields. Only addresses and issuers of licences, which need dictionaries, go on to joins and to the likeness of names.
+The lines of an image are few, so they meet once, as one array per image (layout.pages), and page.py reads them in Arrow batches, image by image: one shuffle for all fields. Only addresses,
+which need dictionaries, go on to joins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkrow.functions import text
-from inkrow.operators import address, classify, layout
-from inkrow.operators.layout import first, is_low, items, same_line
+from inkrow.functions.likeness import Names
+from inkrow.operators import address, layout, page
 from inkrow.sources.tables import stored
 
-#: The first days on which cards and licences were issued.
-EARLIEST_ISSUE, EARLIEST_LICENSE = "1968-11-21", "1960-01-01"
-HANGUL = "[가-힣]"
-STRINGS = "array<string>"
+STRINGS, BOXES = "array<string>", "array<array<struct<x:double,y:double>>>"
 DERIVED = "map<string,string>"
+FIELD = f"struct<field:string,value:string,confidence:double,valid:boolean,verified:boolean,warnings:{STRINGS},boxes:{BOXES},derived:{DERIVED}>"
+#: Least likeness of an issuer to the police office that it stands for.
+SNAP = 0.75
 
 
-def number_confidence(chars: Column, score: Column, digits: Column) -> Column:
-    """The least score of the characters that spell the digits, if every digit character is one digit and they are found, else the line's score."""
-    # most characters are digits as they are
-    view = lambda t: F.when(t.rlike(r"^[0-9]\z"), t).otherwise(F.trim(text.numeric_view(t)))
-    seen = F.transform(chars, lambda c: F.struct(view(c["text"]).alias("d"), c["score"].alias("score")))
-    seen = F.filter(seen, lambda c: c["d"].rlike(r"^\d+$"))
-    run = F.array_join(F.transform(seen, lambda c: c["d"]), "")
-    at = F.position(digits, run)
-    fits = (at > 0) & (F.length(run) == F.size(seen))
-    return F.coalesce(F.when(fits, F.array_min(F.transform(F.slice(seen, F.greatest(at, F.lit(1)), F.length(digits)), lambda c: c["score"]))), score)
+def parted(pages: DataFrame) -> DataFrame:
+    """The pages of layout.pages with the characters in a column of their own, letters, an array for each line."""
+    return pages.withColumns({"letters": F.transform("lines", lambda x: x["chars"]), "lines": F.transform("lines", lambda x: x.dropFields("chars"))})
 
 
-def _pages(lines: DataFrame) -> DataFrame:
-    """layout.pages with the characters in a column of their own, letters, an array for each line: in the lines, of which every step makes others, chars are the places of the lines that have them."""
-    own = layout.pages(lines)
-    return own.withColumns({"letters": F.transform("lines", lambda x: x["chars"]), "lines": F.transform("lines", lambda x: x.withField("chars", F.array(x["place"])))})
+class Snap:
+    """The name of a closed list that a text without spaces stands for, as classify.snap_to_list; each distinct text is looked for once."""
 
+    def __init__(self, names: list[str]):
+        self.names, self.held = Names(names), {n: n for n in names}
+        self.known = frozenset(names).__contains__
 
-def _chars(line: Column) -> Column:
-    """The characters of a line of _pages, or of a row of them as one line; null where a line has none."""
-    return F.flatten(F.transform(line["chars"], lambda place: F.get(F.col("letters"), place - 1)))
+    def __call__(self, bare: str) -> str | None:
+        if bare not in self.held:
+            if len(self.held) > 100_000:
+                self.held = {n: n for n in self.names.names}
+            self.held[bare] = self.names.nearest([bare], SNAP)[0]
+        return self.held[bare]
 
 
-def _hits(lines: Column, find: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
-    """(line, found, value) of everything that find finds in the lines, in order."""
-    return F.flatten(F.transform(lines, lambda line: F.transform(find(line["text"]), lambda r: F.struct(line.alias("line"), r.alias("r"), value(r).alias("value")))))
+def _cut(column: pa.Array) -> Callable[[int, int], list]:
+    """What gives the values of a column from one place to another. A batch has many times the values that reading it asks for, so that only those become objects."""
+    if column.null_count or not pa.types.is_primitive(column.type):
+        return lambda a, b: column.slice(a, b - a).to_pylist()
+    held = column.to_numpy(zero_copy_only=False)
+    return lambda a, b: held[a:b].tolist()
 
 
-def _distinct(hits: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(hits, lambda h: h["value"])))
+def _cut_lists(column: pa.ListArray, values: Callable[[int, int], list]) -> Callable[[int, int], list]:
+    """_cut for lists whose values are cut by values; None where there is none."""
+    at, null = column.offsets.to_numpy(), column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
 
+    def cut(a: int, b: int) -> list:
+        places = at[a : b + 1].tolist()
+        held, first = values(places[0], places[-1]), places[0]
+        return [None if null is not None and null[a + i] else held[places[i] - first : places[i + 1] - first] for i in range(b - a)]
 
-def with_number(pages: DataFrame, today: Column) -> DataFrame:
-    """pages with number: the first registration number of the lines, as (line, r, value, n, birth), n being how many different ones there are. Rows of several lines are read
-    only where no line has a number."""
-    value = lambda r: text.rrn_formatted(r["front"], r["sex"], r["back"])
-    out = pages.withColumn("alone", _hits(F.col("lines"), text.find_rrns, value))
-    joined = F.when(F.size("alone") == 0, F.transform(F.filter(layout.rows_of(F.col("lines")), lambda r: F.size(r) > 1), layout.merged))
-    out = out.withColumn("joined", _hits(F.coalesce(joined, layout.none_of(F.col("lines"))), text.find_rrns, value))
-    out = out.withColumn("hits", F.when(F.size("alone") > 0, F.col("alone")).otherwise(F.col("joined")))
-    hit = first(F.col("hits"))
-    number = F.struct(hit["line"].alias("line"), hit["r"].alias("r"), hit["value"].alias("value"), _distinct(F.col("hits")).alias("n"), text.rrn_birth(hit["r"]["front"], hit["r"]["sex"]).alias("birth"))
-    return out.withColumn("number", F.when(F.size("hits") > 0, number)).drop("alone", "joined", "hits")
+    return cut
 
 
-def field(name: str, value: Column, confidence: Column, valid: Column, boxes: Column, warnings: list[Column] = [], verified: Column | None = None, derived: Column | None = None) -> Column:  # noqa: B006
+def _cut_boxes(column: pa.ListArray) -> Callable[[int, int], list]:
+    x, y = map(_cut, column.values.flatten())
+    return _cut_lists(column, lambda a, b: list(zip(x(a, b), y(a, b), strict=True)))
+
+
+def _read_pages(lines: pa.ListArray, letters: pa.ListArray, title: pa.Array, today: pa.Array, again: pa.StructArray) -> Iterator[page.Page]:
+    own, signs = lines.values, letters.values.values
+    parts = [_cut(own.field(n)) for n in ("place", "idx", "text", "score")] + [_cut_boxes(own.field("box"))] + [_cut(own.field(n)) for n in ("x0", "x1", "y0", "y1", "h", "cy")]
+    said, scores, across = _cut(signs.field("text")), _cut(signs.field("score")), _cut_lists(signs.field("box"), _cut(signs.field("box").values.flatten()[0]))
+    ends, none = letters.values.offsets.to_pylist(), letters.values.is_null().to_pylist()
+    at, first = lines.offsets.to_pylist(), letters.offsets.to_pylist()
+    for i, (t, day, second) in enumerate(zip(title.to_pylist(), today.to_pylist(), again.to_pylist(), strict=True)):
+
+        def chars_of(place: int, start: int = first[i] - 1) -> page.Chars | None:
+            if none[start + place]:
+                return None
+            a, b = ends[start + place], ends[start + place + 1]
+
+            def between(i: int, j: int) -> list | None:
+                xs = across(a + i, a + j)
+                return None if None in xs else [x for own in xs for x in own]
+
+            return page.Chars(said(a, b), scores(a, b), between)
+
+        held = [page.Line(*x, [x[0]]) for x in zip(*(cut(at[i], at[i + 1]) for cut in parts), strict=True)]
+        yield page.Page(held, chars_of, t, day, second and (second["text"], second["score"]))
+
+
+def _offsets(lists: list) -> pa.Array:
+    out = [0]
+    for x in lists:
+        out.append(out[-1] + len(x or ()))
+    return pa.array(out, pa.int32())
+
+
+def _strings(lists: list[list[str]]) -> pa.Array:
+    return pa.ListArray.from_arrays(_offsets(lists), pa.array([s for x in lists for s in x], pa.string()))
+
+
+def _drawn(lists: list[list]) -> pa.Array:
+    boxes = [b for x in lists for b in x]
+    points = [p for b in boxes for p in b or ()]
+    xy = pa.StructArray.from_arrays([pa.array([p[k] for p in points], pa.float64()) for k in (0, 1)], ["x", "y"])
+    return pa.ListArray.from_arrays(_offsets(lists), pa.ListArray.from_arrays(_offsets(boxes), xy, mask=pa.array([b is None for b in boxes], pa.bool_())))
+
+
+def _packed(rows: list[tuple[list[page.Found], page.Address | None]]) -> pa.StructArray:
+    """The fields and addresses of pages as one array."""
+    found = [f for fields, _ in rows for f in fields]
+    of = lambda name, kind: pa.array([getattr(f, name) for f in found], kind)
+    told = [f.derived for f in found]
+    derived = pa.MapArray.from_arrays(_offsets(told), pa.array([k for d in told for k in d], pa.string()), pa.array([v for d in told for v in d.values()], pa.string()))
+    fields = {"field": of("field", pa.string()), "value": of("value", pa.string()), "confidence": of("confidence", pa.float64()), "valid": of("valid", pa.bool_()), "verified": of("verified", pa.bool_()), "warnings": _strings([f.warnings for f in found]), "boxes": _drawn([f.boxes for f in found]), "derived": derived}
+    own = pa.ListArray.from_arrays(_offsets([f for f, _ in rows]), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    none = page.Address([], None, [])
+    held = [a or none for _, a in rows]
+    places = {"texts": _strings([a.texts for a in held]), "score": pa.array([a.score for a in held], pa.float64()), "boxes": _drawn([a.boxes for a in held])}
+    addresses = pa.StructArray.from_arrays(list(places.values()), list(places), mask=pa.array([a is None for _, a in rows], pa.bool_()))
+    return pa.StructArray.from_arrays([own, addresses], ["found", "address"])
+
+
+def _pages(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    return parted(layout.pages(lines)).join(titles.select("image", F.col("idx").alias("title")), "image", "left")
+
+
+def _read(own: DataFrame, today: Column, again: DataFrame | None, kind: str) -> DataFrame:
+    """image, found (fields, but for those of the address) and address (texts of its rows, score and boxes) of each image, as page.resident or page.license reads it. own are image, lines, letters (as of parted) and title."""
+    snap = Snap(text.POLICE_ISSUERS)
+    reads = page.resident if kind == "resident" else lambda own: page.license(own, snap)
+
+    @F.arrow_udf(f"struct<found:array<{FIELD}>,address:struct<texts:{STRINGS},score:double,boxes:{BOXES}>>")
+    def read(lines: pa.Array, letters: pa.Array, title: pa.Array, today: pa.Array, again: pa.Array) -> pa.Array:
+        return _packed([reads(p) for p in _read_pages(lines, letters, title, today, again)])
+
+    second = F.lit(None).cast("struct<text:string,score:double>")
+    if again is not None:
+        own, second = own.join(again.select("image", F.struct("text", "score").alias("again")), "image", "left"), F.col("again")
+    return own.withColumn("read", read("lines", "letters", "title", today, second)).select("image", "read.found", "read.address")
+
+
+def field(name: str, value: Column, confidence: Column, valid: Column, boxes: Column, warnings: list[Column] = []) -> Column:  # noqa: B006
     flags = F.array_compact(F.array(*warnings)) if warnings else F.array().cast(STRINGS)
-    verified = F.lit(False) if verified is None else F.coalesce(verified, F.lit(False))
-    derived = F.create_map().cast(DERIVED) if derived is None else F.coalesce(derived, F.create_map().cast(DERIVED))
-    return F.struct(F.lit(name).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), verified.alias("verified"), flags.alias("warnings"), boxes.alias("boxes"), derived.alias("derived"))
-
-
-def _number_field(today: Column) -> Column:
-    n, r = F.col("number"), F.col("number.r")
-    part = [r["front"], r["sex"], r["back"]]
-    sound = text.rrn_checksum_ok(*part)
-    valid = text.rrn_is_valid(part[0], part[1], today) & (n["n"] == 1)
-    own = text.rrn_derived(*part[:2])
-    derived = F.when(valid, F.create_map(*[x for k in ("birth_date", "gender", "is_foreigner") for x in (F.lit(k), own[k].cast("string"))]))
-    flags = [F.when(n["n"] > 1, "AMBIGUOUS:rrn"), F.when(n.isNotNull() & part[2].isNull(), "MASKED:rrn"), F.when(~sound, "CHECKSUM_MISMATCH:rrn")]
-    digits = F.concat(part[0], part[1], F.coalesce(part[2], F.lit("")))
-    return field("rrn", n["value"], number_confidence(_chars(n["line"]), n["line"]["score"], digits), valid, F.array(n["line"]["box"]), flags, sound, derived)
-
-
-def with_name(pages: DataFrame, line: Column, again: DataFrame | None) -> DataFrame:
-    """pages with name: the line's leading Hangul as (line, value, score, box). again (image, text, score) are second readings of the crops of names that something is attached to."""
-    own = pages.withColumn("name_line", line)
-    line = F.col("name_line")
-    value, lead = text.leading_hangul(line["text"]), layout.leading_chars(_chars(line), lambda c: c.rlike(f"^{HANGUL}$"))
-    box = F.when(F.size(lead) > 0, layout.chars_box(line["box"], lead)).otherwise(line["box"])
-    name = F.struct(line.alias("line"), F.nullif(value, F.lit("")).alias("value"), line["score"].alias("score"), box.alias("box"))
-    if again is None:
-        return own.withColumn("name", F.when(line.isNotNull(), name)).drop("name_line")
-    own = own.join(again.select("image", F.col("text").alias("again_text"), F.col("score").alias("again_score")), "image", "left")
-    said = text.leading_hangul("again_text")
-    attached = (F.regexp_replace(line["text"], " ", "") != value) & (F.size(lead) >= 2) & text.name_is_valid(said)
-    pad = 0.25 * line["h"]
-    crop = F.transform(layout.chars_box(line["box"], lead), lambda p, i: F.struct((p["x"] + F.when(i.isin(1, 2), pad).otherwise(-pad)).alias("x"), p["y"].alias("y")))
-    better = F.struct(line.alias("line"), said.alias("value"), F.col("again_score").alias("score"), crop.alias("box"))
-    return own.withColumn("name", F.when(attached, better).when(line.isNotNull(), name)).drop("name_line", "again_text", "again_score")
-
-
-def _name_fields() -> list[Column]:
-    n = F.col("name")
-    hanja = text.hanja_in_parens(n["line"]["text"])
-    return [field("name", n["value"], n["score"], text.name_is_valid(n["value"]), F.array(n["box"])), field("name_hanja", hanja, n["line"]["score"], hanja.isNotNull(), F.array(n["line"]["box"]))]
-
-
-def with_address(pages: DataFrame, body: Column) -> DataFrame:
-    """pages with address: rows of the lines of body (texts, score, boxes), up to the first later row that reads like an issuer; null without a line of two characters that has Hangul or a digit."""
-    body = F.filter(body, lambda x: x["text"].rlike(f"{HANGUL}|[0-9]") & (F.length(F.trim(x["text"])) >= 2))
-    own = pages.withColumn("address_rows", layout.rows_of(body))
-    rows = F.col("address_rows")
-    reads = F.transform(rows, lambda r: text.let(text.repair_issuer(layout.texts(r))["value"], text.issuer_is_valid))
-    cut = F.array_position(F.transform(reads, lambda x, i: x & (i > 0)), True).cast("int")
-    own = own.withColumn("address_rows", F.when(cut > 0, F.slice(rows, 1, F.greatest(cut - 1, F.lit(0)))).otherwise(rows))
-    said = lambda r, i: text.let(layout.texts(r, text.collapse_spaces), lambda t: F.when(i == 0, text.space_after_province(t)).otherwise(t))
-    lines = F.transform(rows, lambda r, i: address.fix_spacing(said(r, i)))
-    score = F.array_min(F.transform(F.flatten(rows), lambda x: x["score"]))
-    return own.withColumn("address", F.when(F.size(rows) > 0, F.struct(lines.alias("texts"), score.alias("score"), F.transform(rows, layout.union_box).alias("boxes")))).drop("address_rows")
+    return F.struct(F.lit(name).alias("field"), value.alias("value"), confidence.cast("double").alias("confidence"), F.coalesce(valid, F.lit(False)).alias("valid"), F.lit(False).alias("verified"), flags.alias("warnings"), boxes.alias("boxes"), F.create_map().cast(DERIVED).alias("derived"))
 
 
 def _replaced(lines: Column, changed: Column) -> Column:
@@ -147,97 +171,34 @@ def _address_fields(value: Column, changed: Column, valid: Column) -> list[Colum
     return [field("address", F.when(a.isNotNull(), value), a["score"], valid, a["boxes"], flags), field("address_lines", F.array_join(_replaced(a["texts"], changed), "|"), a["score"], valid, a["boxes"])]
 
 
-def with_issuer(pages: DataFrame, line: Column) -> DataFrame:
-    """pages with issuer (value, repaired, score, box): the text after the date in its line if it has three letters of Hangul, else the lines right of it, then the rows below, the first row that
-    opens with an issuer, or else the first with three letters. Parts are joined from the left until they read like an issuer."""
-    own = pages.withColumn("dated", line).withColumn("rest", text.text_after_numbers(F.col("dated.text")))
-    d, lines, rest = F.col("dated"), F.col("lines"), F.col("rest")
-    tail = layout.trailing_chars_after(_chars(d), lambda c: ~c.rlike(HANGUL))
-    part = lambda said, score, box: F.struct(said.alias("text"), score.alias("score"), box.alias("box"))
-    inside = F.array(part(rest, d["score"], layout.chars_box(d["box"], tail)))
-    of_line = lambda x: part(x["text"], x["score"], x["box"])
-    right = F.filter(lines, lambda x: same_line(x, d) & (x["x0"] > d["x1"]))
-    below = layout.rows_of(F.filter(lines, lambda x: is_low(x, d)))
-    candidates = F.when(F.size(right) > 0, F.concat(F.array(right), below)).otherwise(below)
-    candidates = F.filter(candidates, lambda r: text.hangul_count(layout.texts(r)) >= 3)
-    reads = lambda said: text.let(text.repair_issuer(said)["value"], text.issuer_is_valid)
-    opens = lambda said: F.exists(F.sequence(F.lit(1), F.size(said)), lambda n: reads(F.array_join(F.slice(said, F.lit(1), n), " ")))
-    own = own.withColumn("candidates", F.when(d.isNotNull() & (text.hangul_count(rest) < 3), candidates))
-    whole = F.filter("candidates", lambda r: opens(F.filter(F.transform(r, lambda x: x["text"]), lambda t: t.rlike(HANGUL))))
-    chosen = F.coalesce(first(whole), first(F.col("candidates")))
-    own = own.withColumn("parts", F.when(text.hangul_count(rest) >= 3, inside).otherwise(F.transform(chosen, of_line)))
-    # parts without Hangul in front go, but for the last part
-    start = F.array_position(F.transform("parts", lambda p: p["text"].rlike(HANGUL)), True).cast("int")
-    start = F.when(start > 0, start).otherwise(F.size("parts"))
-    own = own.withColumn("parts", F.when(F.size("parts") > 0, F.slice("parts", F.greatest(start, F.lit(1)), F.greatest(F.size("parts"), F.lit(0)))))
-    said = F.transform("parts", lambda p: p["text"])
-    enough = F.array_position(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: reads(F.array_join(F.slice(said, F.lit(1), n), " "))), True).cast("int")
-    own = own.withColumn("parts", F.when(enough > 0, F.slice("parts", F.lit(1), F.greatest(enough, F.lit(1)))).otherwise(F.col("parts")))
-    own = own.withColumn("fixed", text.repair_issuer(F.array_join(said, " ")))
-    fixed = F.col("fixed")
-    issuer = F.struct(fixed["value"].alias("value"), fixed["repaired"].alias("repaired"), F.array_min(F.transform("parts", lambda p: p["score"])).alias("score"), layout.union_box(F.col("parts")).alias("box"))
-    return own.withColumn("issuer", F.when(F.size("parts") > 0, issuer)).drop("dated", "candidates", "parts", "rest", "fixed")
-
-
-def _issuer_field(valid: Column, repaired: Column | None = None) -> Column:
-    i = F.col("issuer")
-    return field("issuer", i["value"], i["score"], valid, F.array(i["box"]), [F.when(i["repaired"] if repaired is None else repaired, "REPAIRED:issuer")])
-
-
-def _rows(pages: DataFrame, fields: list[Column]) -> DataFrame:
-    """A row a field found. Written out, so that what is done with the rows, such as a filter, isn't pushed into the expressions above, to be worked out for each use."""
-    return stored(_found(pages, F.array(*fields)), "fields")
-
-
 def _found(pages: DataFrame, fields: Column) -> DataFrame:
     return pages.select("image", F.inline(F.filter(fields, lambda f: f["value"].isNotNull())))
 
 
-def _rows_with_address(pages: DataFrame, fields: list[Column], dictionary: dict[str, DataFrame] | None) -> DataFrame:
-    """_rows of fields and of the pages' addresses, set right by the dictionary's provinces, districts and words, or as they are without one.
+def read_pages(kind: str, pages: DataFrame, today: Column, again: DataFrame | None = None) -> DataFrame:
+    """What is found on pages of a kind (resident or license), written out for rows(): pages are image, lines and letters (as of parted) and title. What is done with it doesn't read the pages again."""
+    own = _read(pages, today, again, kind)
+    return stored(own.select("image", "found", "address", F.array_join("address.texts", " ").alias("__address")), "pages")
 
-    All fields are worked out first and only they are written out, so that the lines aren't, and that the joins' filters aren't pushed into these expressions.
-    """
-    whole = F.array_join("address.texts", " ")
+
+def rows(own: DataFrame, dictionary: dict[str, DataFrame] | None) -> DataFrame:
+    """A row a field found by read_pages, and of its addresses, set right by the dictionary's provinces, districts and words, or as they are without one."""
     if dictionary is None:
-        return _rows(pages, [*fields, *_address_fields(whole, F.array().cast("array<struct<old:string,new:string>>"), text.address_is_valid(whole))])
-    own = stored(pages.select("image", F.array(*fields).alias("found"), "address", whole.alias("__address")), "pages")
+        none = F.array().cast("array<struct<old:string,new:string>>")
+        return _found(own, F.concat("found", F.array(*_address_fields(F.col("__address"), none, text.address_is_valid("__address")))))
     fixed = address.correct(own, dictionary["provinces"], dictionary["districts"], dictionary.get("words"), "__address")
     return stored(_found(fixed, F.concat("found", F.array(*_address_fields(F.col("corrected"), F.col("changed"), F.col("valid"))))), "fields")
 
 
-def _date(found: Column) -> Column:
-    return F.coalesce(found["value"].cast("string"), found["raw"])
-
-
-def _dated(lines: Column, dates: Callable[[Column], Column] = lambda line: text.find_dates(line["text"])) -> Column:
-    """(line, d) of every date in the lines, in order."""
-    return F.flatten(F.transform(lines, lambda line: F.transform(dates(line), lambda d: F.struct(line.alias("line"), d.alias("d")))))
-
-
 def resident_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
     """image, field (rrn, name, name_hanja, address, address_lines, issue_date, issuer), value, confidence, valid, verified, warnings, boxes and derived of the fields found.
 
     lines are image, idx, text, score, box and chars (may be null); lists in value are joined by a bar. titles (image, idx) names the title line of images that have one. Lines are set
     upright by their image's angle first; boxes keep their places. The name is the lowest line with Hangul above the number, below the title and
     left of the number's right edge; the date of issue the first below the number, from the year in which its holder turns 16; the address is between them. An image without a number has no fields.
-    dictionary holds provinces, districts and words as address.correct takes them; without it addresses stay as read. again is as for with_name.
+    dictionary holds provinces, districts and words as address.correct takes them; without it addresses stay as read. again (image, text, score) are second readings of the crops of names that something is attached to.
     """
-    own = with_number(_pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
-    # no filter on the number: Spark would push it below all of the above and work that out twice; without a number every field is null
-    a, lines_ = F.col("number.line"), F.col("lines")
-    title = first(F.filter(lines_, lambda x: x["idx"] == F.col("title")))
-    above = F.filter(lines_, lambda x: is_low(a, x) & (x["x0"] < a["x1"]) & x["text"].rlike(HANGUL) & (F.col("t").isNull() | ((x["idx"] != F.col("t.idx")) & is_low(x, F.col("t")))))
-    own = with_name(own.withColumn("t", title), layout.lowest(above, "y1"), again)
-    own = own.withColumn("date", first(_dated(F.filter(lines_, lambda x: is_low(x, a)))))
-    date = F.col("date")
-    body = F.filter(lines_, lambda x: is_low(x, a) & (x["x0"] < a["x1"]) & (date.isNull() | ((x["idx"] != date["line"]["idx"]) & is_low(date["line"], x))))
-    own = with_issuer(with_address(own, body), date["line"])
-    day = date["d"]["value"]
-    of_age = F.coalesce(day >= F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(True))
-    issued = day.between(F.lit(EARLIEST_ISSUE).cast("date"), today) & of_age
-    fields = [_number_field(today), *_name_fields(), field("issue_date", _date(date["d"]), date["line"]["score"], issued, F.array(date["line"]["box"])), _issuer_field(text.issuer_is_valid("issuer.value"))]
-    return _rows_with_address(own, fields, dictionary)
+    return rows(read_pages("resident", _pages(lines, titles), today, again), dictionary)
 
 
 def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionary: dict[str, DataFrame] | None = None, again: DataFrame | None = None) -> DataFrame:
@@ -246,87 +207,14 @@ def license_fields(lines: DataFrame, titles: DataFrame, today: Column, dictionar
 
     Places are relative to the registration number: without it only the number, region and kinds of the licence are read. Arguments are as for resident_fields.
     """
-    own = with_number(_pages(lines).join(titles.select("image", F.col("idx").alias("title")), "image", "left"), today)
-    a, lines_ = F.col("number.line"), F.col("lines")
-    own = own.withColumn("licences", _hits(lines_, text.find_license_numbers, text.license_formatted))
-    own = own.withColumns({"lic": first(F.col("licences")), "n_lic": _distinct(F.col("licences"))}).drop("licences")
-    lic, no = F.col("lic"), F.col("lic.r")
-    regions = F.create_map(*[F.lit(x) for pair in text.REGIONS.items() for x in pair])
-    derived = F.when(no["region"].isin(*text.REGIONS), F.create_map(F.lit("license_region_name"), regions[no["region"]]))
-    flags = [F.when(F.col("n_lic") > 1, "AMBIGUOUS:license_number"), F.when(text.license_is_masked(no), "MASKED:license_number")]
-    fields = [
-        _number_field(today),
-        field("license_number", lic["value"], lic["line"]["score"], text.license_number_is_valid(no) & (F.col("n_lic") == 1), F.array(lic["line"]["box"]), flags, derived=derived),
-        field("license_region", no["printed"], lic["line"]["score"], F.lit(True), F.array(lic["line"]["box"])),
-    ]
-
-    top = F.coalesce(lic["line"], a)
-    region = F.filter(lines_, lambda x: top.isNull() | is_low(top, x) | ((x["x1"] <= top["x0"]) & (a.isNull() | is_low(a, x))))
-    kinds = F.filter(F.transform(region, lambda x: F.struct(x.alias("line"), text.find_license_types(x["text"]).alias("kinds"))), lambda k: F.size(k["kinds"]) > 0)
-    own = own.withColumn("kinds", kinds)
-    own = own.withColumn("every", F.array_distinct(F.flatten(F.transform("kinds", lambda k: k["kinds"]))))
-    every = F.col("every")
-    used = F.transform("kinds", lambda k: k["line"])
-    fields.append(field("license_types", F.when(F.size("kinds") > 0, F.array_join(every, "|")), F.array_min(F.transform(used, lambda x: x["score"])), F.forall(every, text.license_type_is_valid), F.array(layout.union_box(used))))
-
-    in_column = lambda x: (x["x0"] >= a["x0"] - a["h"]) & (x["x0"] < a["x1"])
-    above = F.filter(lines_, lambda x: is_low(a, x) & in_column(x) & x["text"].rlike(HANGUL) & (lic.isNull() | is_low(x, lic["line"])) & ~x["idx"].eqNullSafe(F.col("title")))
-    own = with_name(own, layout.lowest(above, "y1"), again)
-    fields.append(_name_fields()[0])
-
-    # every line's dates are looked for once
-    dates = lambda x: x["dates"]
-    own = own.withColumn("under", F.transform(F.filter(lines_, lambda x: is_low(x, a)), lambda x: x.withField("dates", text.find_dates(x["text"]))))
-    by_height = lambda of: items(of, "cy", "place")
-    label = first(by_height(F.filter("under", lambda x: in_column(x) & text.aptitude_kind(x["text"]).isNotNull())))
-    own = own.withColumn("label", label)
-    label = F.col("label")
-    issue_line = lambda x: (F.size(dates(x)) > 0) & (text.hangul_count(text.text_after_numbers(x["text"])) >= 3)
-    around = F.filter("under", lambda x: x["cy"].between(label["cy"] - 0.5 * label["h"], label["cy"] + 2 * label["h"]) & ~F.coalesce(issue_line(x), F.lit(False)))
-    own = own.withColumn("period", F.when(label.isNotNull(), F.slice(_dated(F.flatten(layout.rows_of(around)), dates), 1, 2)))
-    start, end = (F.try_element_at("period", F.lit(i)) for i in (1, 2))
-    used = F.transform("period", lambda p: p["line"])
-    fits = F.date_diff(end["d"]["value"], start["d"]["value"]).between(0, 400)
-    expired = F.when(fits, F.create_map(F.lit("is_expired"), (end["d"]["value"] < today).cast("string"), F.lit("kind"), text.aptitude_kind(label["text"])))
-    value = F.concat(_date(start["d"]), F.lit("~"), F.coalesce(_date(end["d"]), F.lit("")))
-    fields.append(field("aptitude_period", value, F.least(F.array_min(F.transform(used, lambda x: x["score"])), label["score"]), fits, F.array(layout.union_box(used)), derived=expired))
-
-    taken = F.coalesce(F.transform("period", lambda p: p["line"]["idx"]), F.array().cast("array<int>"))
-    own = own.withColumn("days", _dated(F.filter("under", lambda x: ~F.array_contains(taken, x["idx"])), dates))
-    own = own.withColumn("low", F.array_max(F.transform("days", lambda x: x["line"]["cy"])))
-    own = own.withColumn("date", first(F.filter("days", lambda x: x["line"]["cy"] == F.col("low"))))
-    date, day = F.col("date"), F.col("date.d.value")
-    earliest = F.coalesce(F.make_date(F.year("number.birth") + 16, F.lit(1), F.lit(1)), F.lit(EARLIEST_LICENSE).cast("date"))
-    fields.append(field("issue_date", _date(date["d"]), date["line"]["score"], day.between(earliest, today), F.array(date["line"]["box"])))
-
-    own = own.withColumn("dated_line", first(by_height(F.filter("under", lambda x: in_column(x) & (F.size(dates(x)) > 0)))))
-    dated = F.col("dated_line")
-    stops = F.array_compact(F.array(F.struct(label["cy"].alias("cy"), label.alias("line")), F.struct(dated["cy"].alias("cy"), dated.alias("line")), F.struct(date["line"]["cy"].alias("cy"), date["line"].alias("line"))))
-    own = own.withColumn("stop", first(F.sort_array(F.filter(stops, lambda s: s["cy"].isNotNull())))["line"])
-    body = F.filter("under", lambda x: in_column(x) & (F.col("stop").isNull() | is_low(F.col("stop"), x)))
-    own = with_issuer(with_address(own, body), date["line"])
-    issuer = F.col("issuer")
-    own = own.withColumn("snapped", classify.snap_to_list(issuer["value"], text.POLICE_ISSUERS))
-    known = F.col("snapped.value").isin(*text.POLICE_ISSUERS)
-    own = own.withColumn("issuer", F.when(issuer.isNotNull(), issuer.withField("value", F.col("snapped.value")).withField("repaired", issuer["repaired"] | F.col("snapped.changed"))))
-    fields.append(_issuer_field(known))
-
-    coded = F.filter("under", lambda x: ((x["x0"] + x["x1"]) / 2 > a["x1"]) & (date.isNull() | is_low(date["line"], x)) & text.find_serial_code(x["text"]).isNotNull())
-    line = layout.lowest(coded, "x0")
-    own = own.withColumn("serial_line", line).withColumn("serial", text.find_serial_code("serial_line.text")).withColumn("others", text.serial_alternatives("serial"))
-    line, code, others = F.col("serial_line"), F.col("serial"), F.col("others")
-    derived = F.when(F.size(others) > 0, F.create_map(F.lit("serial_code_alternatives"), F.array_join(others, "|")))
-    fields.append(field("serial_code", code, line["score"], F.lit(True), F.array(line["box"]), [F.when(text.has_lookalike(code), "LOOKALIKE:serial_code")], derived=derived))
-
-    own = own.withColumn("marked", first(F.filter(layout.rows_of(F.filter("under", lambda x: x["x0"] < a["x1"])), lambda r: text.condition_codes(layout.texts(r)).isNotNull())))
-    marked = F.col("marked")
-    fields.append(field("conditions", F.array_join(text.condition_codes(layout.texts(marked)), "|"), F.array_min(F.transform(marked, lambda x: x["score"])), F.lit(True), F.array(layout.union_box(marked))))
-    return _rows_with_address(own, fields, dictionary)
+    return rows(read_pages("license", _pages(lines, titles), today, again), dictionary)
 
 
 def numbers(lines: DataFrame, today: Column) -> DataFrame:
     """image with the registration number's row of the fields, for images that have one."""
-    return _rows(with_number(_pages(lines), today), [_number_field(today)])
+    titles = lines.select("image", "idx").limit(0)
+    own = stored(_read(_pages(lines, titles), today, None, "resident"), "pages")
+    return _found(own, F.col("found")).where("field = 'rrn'")
 
 
 def merged_warnings(fields: DataFrame) -> DataFrame:

@@ -118,7 +118,17 @@ def pages(lines: DataFrame, least_degrees: float = 1.0) -> DataFrame:
 
     Blank lines go. Bounds are those of the box turned back by the median angle of the lines' top edges, if that is a degree or more; box stays as it was.
     """
-    held = lines.where(F.trim("text") != "").groupBy("image").agg(F.collect_list(F.struct("idx", "text", "score", "box", "chars")).alias("held"))
+    return arranged(lines.where(F.trim("text") != "").groupBy("image").agg(held()), least_degrees)
+
+
+def held() -> Column:
+    """The lines of an image that aren't blank, as arranged() takes them."""
+    return F.collect_list(F.when(F.trim("text") != "", F.struct("idx", "text", "score", "box", "chars"))).alias("held")
+
+
+def arranged(held: DataFrame, least_degrees: float = 1.0) -> DataFrame:
+    """held (image, held and other columns) with the lines of pages() in place of held."""
+    others = [c for c in held.columns if c != "held"]
     side = lambda b, i, j: F.hypot(b[j]["x"] - b[i]["x"], b[j]["y"] - b[i]["y"])
     flat = F.filter("held", lambda x: (F.length(F.trim(x["text"])) >= 3) & (side(x["box"], 0, 1) > 2 * side(x["box"], 0, 3)))
     slopes = F.array_sort(F.transform(flat, lambda x: F.atan2(x["box"][1]["y"] - x["box"][0]["y"], x["box"][1]["x"] - x["box"][0]["x"])))
@@ -137,7 +147,7 @@ def pages(lines: DataFrame, least_degrees: float = 1.0) -> DataFrame:
         own = b["own"]
         return F.struct((i + 1).alias("place"), b["idx"].alias("idx"), own["text"].alias("text"), own["score"].alias("score"), own["box"].alias("box"), own["chars"].alias("chars"), *[b[c].alias(c) for c in ("x0", "x1", "y0", "y1")], (b["y1"] - b["y0"]).alias("h"), ((b["y0"] + b["y1"]) / 2).alias("cy"))
 
-    return held.withColumn("sorted", F.array_sort(F.transform("held", bounded))).select("image", F.transform("sorted", whole).alias("lines"))
+    return held.withColumn("sorted", F.array_sort(F.transform("held", bounded))).select(*others, F.transform("sorted", whole).alias("lines"))
 
 
 def rows_of(lines: Column) -> Column:
