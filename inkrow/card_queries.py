@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkrow.functions import text
-from inkrow.operators import classify, evaluate, layout, read, synthetic
+from inkrow.operators import classify, evaluate, read, synthetic
 from inkrow.sources.tables import spread, stored, table
 
 TODAY = "2026-10-07"
@@ -139,23 +139,12 @@ def document_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     By the last digit of the key: 6 lies upside down, 7 on its side, 8 is unclear without more contrast, 9 shows a note only, 5 can't be decoded or has no line; the others are upright and clear.
     """
     papers = _papers(spark, sf_dir)
-    upright = synthetic.lines(papers).withColumnRenamed("id", "image").withColumn("k", F.col("image") % 10)
-    turns = {90: lambda p: (HEIGHT - 1 - p["y"], p["x"]), 180: lambda p: (WIDTH - 1 - p["x"], HEIGHT - 1 - p["y"])}
-
-    def turned(lines: DataFrame, degrees: int) -> DataFrame:
-        # boxes start at their upper left corner in the picture, wherever the text's first letter is
-        def around(box: Column) -> Column:
-            xs, ys = (F.transform(box, lambda p: turns[degrees](p)[i]) for i in (0, 1))  # noqa: B023
-            return layout.quad(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
-
-        return lines.withColumns({"box": around(F.col("box")), "chars": F.transform("chars", lambda c: c.withField("box", around(c["box"])))})
-
-    of = lambda lines, name: lines.withColumn("pass", F.lit(name))
-    parts = [of(upright.where("k < 5"), "original"), of(turned(upright.where("k = 6"), 180), "original"), of(upright.where("k = 6"), "rot180"), of(turned(upright.where("k = 7"), 90), "original"), of(turned(upright.where("k = 7"), 180), "rot90"), of(upright.where("k = 7"), "rot270")]
-    parts += [of(upright.where("k = 8").withColumns({"score": F.lit(0.5), "chars": F.transform("chars", lambda c: c.withField("score", F.lit(0.5)))}), "original"), of(upright.where("k = 8"), "contrast"), of(upright.where("k = 9 AND idx = 0").withColumn("text", F.lit("메모 12")), "original")]
-    lines = parts[0]
-    for part in parts[1:]:
-        lines = lines.unionByName(part)
+    k, attempt = F.col("id") % 10, lambda name, degrees=0, score=synthetic.SCORE: F.struct(F.lit(name).alias("pass"), F.lit(degrees).alias("degrees"), F.lit(score).alias("score"))
+    made = F.when((k < 5) | (k == 9), F.array(attempt("original"))).when(k == 6, F.array(attempt("original", 180), attempt("rot180"))).when(k == 7, F.array(attempt("original", 90), attempt("rot90", 180), attempt("rot270")))
+    made = made.when(k == 8, F.array(attempt("original", score=0.5), attempt("contrast")))
+    # of a note there is one line
+    tried = papers.select("id", F.when(k == 9, F.slice("placed", 1, 1)).otherwise(F.col("placed")).alias("placed"), F.inline(made))
+    lines = synthetic.lines(tried, F.col("degrees"), (WIDTH, HEIGHT), ("pass",)).withColumnRenamed("id", "image").withColumn("text", F.when(F.col("image") % 10 == 9, "메모 12").otherwise(F.col("text")))
     key, lying = F.col("id"), F.col("id") % 10 == 7
     images = papers.select(key.alias("image"), (key % 20 != 5).alias("decoded"), F.when(lying, HEIGHT).otherwise(WIDTH).alias("width"), F.when(lying, WIDTH).otherwise(HEIGHT).alias("height"), F.lit(1.0).alias("scale"))
     attempts = read.attempted(lines, F.lit(TODAY).cast("date"), _dictionary(spark))
